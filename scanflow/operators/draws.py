@@ -46,31 +46,33 @@ def draw_from_pool(
     exclude: Column | None = None,
     name: str = "object",
     out: str = "drawn",
+    keep_unmatched: bool = False,
 ) -> DataFrame:
     """Add ``out``: up to ``k`` pool names per item, none of them in ``exclude``.
 
-    ``pool`` comes from ``ranked_pool``; items of sessions without a pool are dropped.
+    ``pool`` comes from ``ranked_pool``. Items of sessions without a pool are dropped
+    unless ``keep_unmatched``, which gives them an empty draw.
     """
     by, key = list(by), list(key)
+    how = "left" if keep_unmatched else "inner"
     banned = F.array().cast("array<string>") if exclude is None else exclude
     sizes = pool.groupBy(*by).agg(F.max("n_pool").alias("_n"))
     held = [F.col(c) for c in items.columns if c not in by]
+    reads = F.least(F.col("_n"), F.lit(k) + F.size("_banned"))
+    steps = F.when(reads > 0, F.sequence(F.lit(0).cast("long"), reads - 1))
     probes = (
         items.select(*by, F.struct(*held).alias("_item"), banned.alias("_banned"))
-        .join(sizes, by)
+        .join(sizes, by, how)
         .withColumn("_begin", F.pmod(hash60(seed, *[_held(c, by) for c in key]), F.col("_n")))
-        .withColumn(
-            "_step",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n"), F.lit(k) + F.size("_banned")) - 1)),
-        )
+        .withColumn("_step", F.explode_outer(steps) if keep_unmatched else F.explode(steps))
         .withColumn("rank", F.pmod(F.col("_begin") + F.col("_step"), F.col("_n")))
     )
-    found = probes.join(pool.select(*by, "rank", name), [*by, "rank"])
-    free = F.when(~F.array_contains("_banned", F.col(name)), F.struct("_step", F.col(name).alias("v")))
+    found = probes.join(pool.select(*by, "rank", name), [*by, "rank"], how)
+    usable = F.col(name).isNotNull() & ~F.array_contains("_banned", F.col(name))
+    free = F.when(usable, F.struct("_step", F.col(name).alias("v")))
     ids = [_held(c, by).alias(f"_k{i}") for i, c in enumerate(key)]
-    grouped = (
-        found.groupBy(*by, *ids)
-        .agg(F.first("_item").alias("_item"), F.array_sort(F.collect_list(free)).alias("_all"))
+    grouped = found.groupBy(*by, *ids).agg(
+        F.first("_item").alias("_item"), F.array_sort(F.collect_list(free)).alias("_all")
     )
     drawn = F.transform(F.slice("_all", 1, k), lambda s: s["v"])
     return grouped.select(*by, "_item.*", drawn.alias(out))

@@ -86,12 +86,25 @@ def neighbours(
     return ordered.home(tiled.select("*", *added))
 
 
-def lookback(entries: DataFrame, n: int = 3, by: Sequence[str] = ("session_id",), size: int = ENTRIES_PER_TILE):
-    """Names in view over the last ``n`` entries (actions count as entries), first mention first."""
+def lookback(
+    entries: DataFrame, n: int = 3, by: Sequence[str] = ("session_id",), size: int = ENTRIES_PER_TILE
+) -> DataFrame:
+    """Names in view over the last ``n`` entries (actions count as entries), first mention first.
+
+    Adds ``context`` and ``context_starts``, the start of the entry that first mentions each name.
+    """
     tiled = ordered.tiles(entries, "pos", size, before=n - 1)
     window = Window.partitionBy(*by, ordered.TILE).orderBy("pos").rowsBetween(-(n - 1), Window.currentRow)
-    seen = F.array_distinct(F.flatten(F.collect_list("fov").over(window)))
-    return ordered.home(tiled.withColumn("context", seen))
+    named = F.transform("fov", lambda o: F.struct(o.alias("o"), F.col("start_s").alias("s")))
+    seen = ordered.home(tiled.withColumn("_named", named).withColumn("_seen", F.flatten(F.collect_list("_named").over(window))))
+    names = F.transform("_seen", lambda m: m["o"])
+    first = F.filter("_seen", lambda m, i: F.array_position(names, m["o"]) == i + 1)
+    return (
+        seen.withColumn("_first", first)
+        .withColumn("context", F.col("_first.o"))
+        .withColumn("context_starts", F.col("_first.s"))
+        .drop("_named", "_seen", "_first")
+    )
 
 
 def last_n(arr: Column, n: int) -> Column:

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from scanflow.plans import catalog_gaze  # noqa: F401
+from scanflow.plans import catalog_gaze, catalog_questions  # noqa: F401
 from scanflow.plans.catalog import ORACLES, QUERIES  # noqa: F401
