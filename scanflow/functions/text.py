@@ -294,7 +294,7 @@ def seq_text(groups: Column) -> Column:
 
 def distinct_ci(items: Column) -> Column:
     """Trimmed items, the first spelling of each lower-cased key, blanks dropped."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     keys = F.transform(kept, F.lower)
     return F.filter(kept, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
 

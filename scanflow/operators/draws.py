@@ -47,16 +47,20 @@ def draw_from_pool(
     name: str = "object",
     out: str = "drawn",
     keep_unmatched: bool = False,
+    one_pool: bool = False,
 ) -> DataFrame:
     """Add ``out``: up to ``k`` pool names per item, none of them in ``exclude``.
 
     ``pool`` comes from ``ranked_pool``. Items of sessions without a pool are dropped
-    unless ``keep_unmatched``, which gives them an empty draw.
+    unless ``keep_unmatched``, which gives them an empty draw. With ``one_pool`` the key
+    ``by`` is one constant, so the pool size is a single row and is broadcast.
     """
     by, key = list(by), list(key)
     how = "left" if keep_unmatched else "inner"
     banned = F.array().cast("array<string>") if exclude is None else exclude
     sizes = pool.groupBy(*by).agg(F.max("n_pool").alias("_n"))
+    if one_pool:
+        sizes = F.broadcast(sizes)
     held = [F.col(c) for c in items.columns if c not in by]
     reads = F.least(F.col("_n"), F.lit(k) + F.size("_banned"))
     steps = F.when(reads > 0, F.sequence(F.lit(0).cast("long"), reads - 1))
@@ -72,9 +76,9 @@ def draw_from_pool(
     free = F.when(usable, F.struct("_step", F.col(name).alias("v")))
     ids = [_held(c, by).alias(f"_k{i}") for i, c in enumerate(key)]
     grouped = found.groupBy(*by, *ids).agg(
-        F.first("_item").alias("_item"), F.array_sort(F.collect_list(free)).alias("_all")
+        F.first("_item").alias("_item"), F.array_sort(F.collect_list(free)).alias("_found")
     )
-    drawn = F.transform(F.slice("_all", 1, k), lambda s: s["v"])
+    drawn = F.transform(F.slice("_found", 1, k), lambda s: s["v"])
     return grouped.select(*by, "_item.*", drawn.alias(out))
 
 

@@ -134,7 +134,12 @@ def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_custkey").alias("session_id"),
             (start + shift).alias("start_s"),
             (start + F.col("o_orderkey") % 30 + 1 + shift).alias("end_s"),
-            F.concat(F.lit("use tool "), (F.col("o_orderkey") % 11).cast("string")).alias("action"),
+            F.concat(
+                F.lit("use "),
+                F.get(F.array(*[F.lit(w) for w in ("anvil", "tool", "plate", "bolt")]), F.col("o_orderkey") % 4),
+                F.lit(" "),
+                (F.col("o_orderkey") % 11).cast("string"),
+            ).alias("action"),
             F.col("o_orderkey").alias("pos"),
         )
     )
@@ -260,7 +265,7 @@ _CTE = {
         [],
         f"""SELECT o_custkey AS session_id, {_DAYS} + CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0 END AS start_s,
         {_DAYS} + o_orderkey % 30 + 1 + CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0 END AS end_s,
-        'use tool ' || CAST(o_orderkey % 11 AS VARCHAR) AS action, o_orderkey AS pos
+        'use ' || ['anvil', 'tool', 'plate', 'bolt'][o_orderkey % 4 + 1] || ' ' || CAST(o_orderkey % 11 AS VARCHAR) AS action, o_orderkey AS pos
         FROM orders WHERE o_orderkey % 3 = 0""",
     ),
     "merged": (
