@@ -135,18 +135,26 @@ def name_words(name: Column) -> Column:
 
 def word_overlap(a: Column, b: Column) -> Column:
     """Shared words over all words of two names, 0 when neither has a word."""
-    wa, wb = name_words(a), name_words(b)
+    return _shared_ratio(name_words(a), name_words(b))
+
+
+def _shared_ratio(wa: Column, wb: Column) -> Column:
     union = F.size(F.array_union(wa, wb))
     return F.when(union > 0, F.size(F.array_intersect(wa, wb)) / F.when(union > 0, union)).otherwise(F.lit(0.0))
 
 
-def similar_names(a: Column, b: Column, strict: bool = True) -> Column:
-    """Whether two option names are too close to tell apart."""
-    shared = F.array_intersect(name_words(a), name_words(b))
-    only_modifiers = F.size(F.array_except(shared, words(MODIFIER_WORDS))) == 0
-    partial = F.lit(True) if not strict else (~only_modifiers) & (word_overlap(a, b) >= 0.5)
+def similar_names(
+    a: Column, b: Column, strict: bool = True, wa: Column | None = None, wb: Column | None = None
+) -> Column:
+    """Whether two option names are too close to tell apart; ``wa`` and ``wb`` are their words when known."""
+    wa = name_words(a) if wa is None else wa
+    wb = name_words(b) if wb is None else wb
+    partial = F.lit(True)
+    if strict:
+        beyond_modifiers = F.size(F.array_except(F.array_intersect(wa, wb), words(MODIFIER_WORDS))) > 0
+        partial = beyond_modifiers & (_shared_ratio(wa, wb) >= 0.5)
     return (
-        F.when(F.size(shared) == 0, F.lit(False))
+        F.when(~F.arrays_overlap(wa, wb), F.lit(False))
         .when((a == b) | a.contains(b) | b.contains(a), F.lit(True))
         .otherwise(partial)
     )

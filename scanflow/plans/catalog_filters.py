@@ -11,6 +11,7 @@ from scanflow.plans import questions as Q
 from scanflow.plans import sqltext as T
 from scanflow.plans import standins as S
 from scanflow.plans.catalog import query
+from scanflow.session import cut
 from scanflow.plans.catalog_questions import (
     ACTION_CTES,
     ALERT_CTES,
@@ -204,7 +205,7 @@ def group_items(spark, sf) -> DataFrame:
         return F.regexp_replace(col, "(hot|cold) ", "")
 
     made = Q.next_after_group(merged_entries(spark, sf))
-    return (
+    return cut(
         made.withColumn("answer_object", F.replace(shorter(F.col("answer_object")), F.lit(" "), F.lit("_")))
         .withColumn("options", F.transform("options", shorter))
         .withColumn("object_group", F.transform("object_group", shorter))

@@ -191,17 +191,28 @@ def identify(items: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(texts: Column) -> Column:
-    """Index pairs i < j of names too close to tell apart, in order."""
-    n = F.size(texts)
+def similar_pairs(options: Column) -> Column:
+    """Index pairs i < j of names too close to tell apart, in order.
+
+    ``options`` holds (name, words) structs, so that words are split once per name.
+    """
+    n = F.size(options)
     indices = F.sequence(F.lit(0), n - 1)
     every = F.flatten(
-        F.transform(indices, lambda i: F.transform(indices, lambda j: F.struct(i.alias("i"), j.alias("j"))))
-    )
-    return F.filter(
-        every, lambda p: (p["i"] < p["j"]) & text.similar_names(F.get(texts, p["i"]), F.get(texts, p["j"]))
+        F.transform(
+            indices,
+            lambda i: F.transform(
+                F.filter(indices, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j"))
+            ),
+        )
     )
 
+    def close(p: Column) -> Column:
+        a, b = F.get(options, p["i"]), F.get(options, p["j"])
+        return text.similar_names(a["name"], b["name"], wa=a["words"], wb=b["words"])
+
+    return F.filter(every, close)
+
 
 def next_after_group(items: DataFrame, key: Sequence[str], verdicts: DataFrame | None = None) -> DataFrame:
     """Human rule; one member of each similar option pair is replaced.
@@ -222,9 +233,11 @@ def next_after_group(items: DataFrame, key: Sequence[str], verdicts: DataFrame |
         .withColumn("_texts", values(F.col("options")))
     )
     human = F.exists("_texts", text.is_human)
-    flagged = clean.withColumn("reason", reasons((human, "human_object"))).withColumn("_pairs", similar_pairs(F.col("_texts")))
-    none = F.slice("_pairs", 1, 0)
-    flagged = flagged.withColumn("_pairs", F.when(F.col("reason").isNull(), F.col("_pairs")).otherwise(none))
+    split_up = F.transform("_texts", lambda t: F.struct(t.alias("name"), text.name_words(t).alias("words")))
+    flagged = clean.withColumn("reason", reasons((human, "human_object"))).withColumn("_words", split_up)
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    pairs = F.when(F.col("reason").isNull(), similar_pairs(F.col("_words"))).otherwise(none)
+    flagged = flagged.withColumn("_pairs", pairs).drop("_words")
     names = clean.select(
         F.lit(0).alias("_all"),
         F.explode(F.concat("_texts", F.array("answer_object"), "object_group")).alias("object"),
