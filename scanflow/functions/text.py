@@ -191,7 +191,8 @@ def strip_fences(text: Column) -> Column:
 
 def fenced_json(text: Column, schema: str) -> Column:
     """Parsed model output; null when it is not JSON of the schema."""
-    return F.from_json(strip_fences(text), schema, {"mode": "PERMISSIVE"})
+    bare = strip_fences(text)
+    return F.when(F.try_parse_json(bare).isNotNull(), F.from_json(bare, schema))
 
 
 @F.pandas_udf(T.StringType())

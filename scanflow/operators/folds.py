@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanflow.operators import ordered
+from scanflow.functions.timecode import frame_index
+from scanflow.operators import joins, ordered, segments
 from scanflow.session import cut
 
 _STATE = "start_s double, anchor_x double, anchor_y double, end_s double, n long, sum_x double, sum_y double"
@@ -200,3 +201,115 @@ def fixations(
 ) -> DataFrame:
     """Anchored segments of at least ``min_duration`` seconds."""
     return anchored_segments(frames, by, radius, gap, size).where(F.col("duration") >= min_duration)
+
+
+def _scores_high(hists: list, threshold: float) -> bool:
+    """Whether all consecutive histograms correlate at least ``threshold``; true below two readable ones."""
+    readable = [np.asarray(h, dtype=float) for h in hists if h is not None]
+    for a, b in zip(readable, readable[1:]):
+        da, db = a - a.mean(), b - b.mean()
+        norm = np.sqrt((da * da).sum() * (db * db).sum())
+        if norm > 0 and (da * db).sum() / norm < threshold:
+            return False
+    return True
+
+
+def _dedup_chunk(rows: pd.DataFrame, features: pd.DataFrame, fps: float, threshold: float, samples: int) -> list[bool]:
+    """Which episodes of a chunk are kept. ``e_similar`` compares them with the entering episode."""
+    frames = dict(zip(features["frame_idx"], features["hist"]))
+    start, end = rows["start_s"].to_numpy(), rows["end_s"].to_numpy()
+    named = rows["object"].notna().to_numpy()
+    entering = rows["e_similar"].to_numpy() if not pd.isna(rows["e_pos"].iloc[0]) else None
+    kept, anchor = [], None
+    for j in range(len(rows)):
+        if anchor is None:
+            similar = entering is not None and bool(entering[j])
+        elif named[anchor] and named[j]:
+            at = np.floor(np.linspace(start[anchor], end[j], samples) * fps).astype(int)
+            similar = _scores_high([frames.get(f) for f in at], threshold)
+        else:
+            similar = False
+        kept.append(not similar)
+        if not similar:
+            anchor = j
+    return kept
+
+
+def drop_consecutive_similar(
+    episodes: DataFrame,
+    features: DataFrame,
+    fps: float,
+    by: Sequence[str] = ("session_id",),
+    threshold: float = 0.70,
+    width: float = 60.0,
+    samples: int = 5,
+) -> DataFrame:
+    """Keep an episode and drop the following ones while they look like it.
+
+    Two named episodes look alike when the histograms of ``samples`` frames between the kept
+    one's start and the other's end correlate neighbour by neighbour. Episodes are folded in
+    chunks of ``width`` seconds next to the frames of their time range; what a chunk is
+    handed from the chunk before is compared by joins, one row per episode, and corrected in
+    rounds as in ``anchored_segments``. ``episodes`` carry a unique ``pos`` per session.
+    """
+    by = list(by)
+    keys = [*by, ordered.CHUNK]
+    fields = ["pos", "start_s", "end_s", "object"]
+    base = episodes.select(*by, *fields).withColumn(ordered.CHUNK, ordered.bucket(F.col("start_s"), width))
+    spans = base.groupBy(*keys).agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+    stamped = features.select(
+        *by, "frame_idx", "hist", F.col("frame_idx").cast("double").alias("start_s"),
+        F.col("frame_idx").cast("double").alias("end_s"),
+    )
+    reach = spans.select(
+        *keys, F.floor(F.col("start_s") * fps).cast("double").alias("start_s"),
+        F.floor(F.col("end_s") * fps).cast("double").alias("end_s"),
+    )
+    near = joins.overlap_join(reach, stamped, by, width=width * fps).select(
+        *keys, F.col("match.frame_idx").alias("frame_idx"), F.col("match.hist").alias("hist")
+    )
+    schema = T.StructType(
+        [base.schema[k] for k in keys]
+        + [base.schema["pos"]]
+        + list(T._parse_datatype_string("kept boolean, e_pos long").fields)
+    )
+
+    def run(chunk_rows: DataFrame) -> DataFrame:
+        def fold(pdf: pd.DataFrame, frame_rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf):
+                return pd.DataFrame(columns=schema.fieldNames())
+            pdf = pdf.sort_values("pos").reset_index(drop=True)
+            pdf["kept"] = _dedup_chunk(pdf, frame_rows, fps, threshold, samples)
+            return pdf[schema.fieldNames()]
+
+        wanted = near.join(chunk_rows.select(*keys).distinct(), keys, "left_semi")
+        return chunk_rows.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(fold, schema)
+
+    fresh = base.withColumn("e_pos", F.lit(None).cast("long")).withColumn("e_similar", F.lit(None).cast("boolean"))
+    marks = cut(run(fresh))
+    while True:
+        ends = marks.groupBy(*keys).agg(
+            F.max(F.when(F.col("kept"), F.col("pos"))).alias("_last"), F.max("e_pos").alias("e_pos")
+        )
+        order = Window.partitionBy(*by).orderBy(ordered.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        expected = ends.select(*keys, "e_pos", F.last("_last", ignorenulls=True).over(order).alias("_entry"))
+        changed = expected.where(~F.col("_entry").eqNullSafe(F.col("e_pos"))).select(
+            *keys, F.col("_entry").cast("long").alias("e_pos")
+        )
+        if changed.isEmpty():
+            break
+        kept_rows = base.select(*by, F.col("pos").alias("e_pos"), F.struct("start_s", "object").alias("_a"))
+        again = base.join(changed, keys).join(kept_rows, [*by, "e_pos"])
+        points = segments.sample_times(F.col("_a.start_s"), F.col("end_s"), F.lit(samples))
+        probes = again.select(*by, "pos", F.posexplode(points).alias("sample", "_t")).select(
+            *by, "pos", "sample", frame_index(F.col("_t"), fps).alias("frame_idx")
+        )
+        scores = segments.adjacent_similarity(probes, features, by, "pos")
+        scored = again.join(scores, [*by, "pos"], "left")
+        unread = F.coalesce(F.col("n_readable"), F.lit(0)) < 2
+        alike = F.col("object").isNotNull() & F.col("_a.object").isNotNull() & (
+            unread | (F.col("min_score") >= threshold)
+        )
+        redo = scored.select(*keys, *fields, "e_pos", F.coalesce(alike, F.lit(False)).alias("e_similar"))
+        marks = cut(marks.join(changed.select(*keys), keys, "left_anti").unionByName(run(redo)))
+    return episodes.join(marks.where("kept").select(*by, "pos"), [*by, "pos"], "left_semi")

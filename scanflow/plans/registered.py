@@ -1,4 +1,11 @@
 """Importing this module registers every query."""
 
-from scanflow.plans import catalog_filters, catalog_gaze, catalog_questions, catalog_scoring, catalog_timeline  # noqa: F401
+from scanflow.plans import (  # noqa: F401
+    catalog_filters,
+    catalog_gaze,
+    catalog_questions,
+    catalog_scoring,
+    catalog_sources,
+    catalog_timeline,
+)
 from scanflow.plans.catalog import ORACLES, QUERIES  # noqa: F401

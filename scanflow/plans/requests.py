@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanflow.functions.text import fenced_json
 from scanflow.functions.timecode import parse_clock
 
 # Prompt texts.
@@ -120,6 +121,20 @@ def predict(requests: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], kee
     return requests.mapInPandas(run, schema)
 
 
+def annotate(
+    segments: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], keep: list[str], schema: str
+) -> DataFrame:
+    """Apply a user annotator to Arrow batches of segments and parse its reply.
+
+    ``fn`` returns one reply text per row, JSON of ``schema`` with or without a code fence.
+    Each row gets its parsed ``annotation``; ``error`` tells a failed call or an unreadable reply.
+    """
+    replied = predict(segments, lambda batch: pd.DataFrame({"text": fn(batch), "seconds": 0.0}), keep)
+    parsed = replied.withColumn("annotation", fenced_json(F.col("text"), schema))
+    unread = F.when(F.col("annotation").isNull(), F.lit("reply is not readable"))
+    return parsed.withColumn("error", F.coalesce("error", unread)).drop("text", "seconds")
+
+
 def rewrite_distinct(df: DataFrame, col: str, fn: Callable[[pd.Series], pd.Series], out: str) -> DataFrame:
     """Apply ``fn`` once per distinct value of ``col`` and join the result back."""
     udf = F.pandas_udf(fn, T.StringType())
