@@ -225,7 +225,8 @@ def distinct_episodes(spark, sf):
 def stream_fixations_query(spark, sf):
     """The frames as a stream of two files, then a marker far ahead that ends every session."""
     path = scratch(spark, "gaze-stream")
-    at = F.timestamp_micros(F.round(F.col("time_seconds") * 1e6).cast("long"))
+    # recordings start a day after the epoch: a sample at the watermark's initial 0 would be late
+    at = F.timestamp_micros(F.round(F.col("time_seconds") * 1e6).cast("long") + 86_400_000_000)
     live = cut(S.gaze(spark, sf).select("session_id", at.alias("at"), "time_seconds", "px", "py"))
     early = F.col("time_seconds") < 1.0
     # one Spark job per part; parts keep their arrival order by modification time
