@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanflow.operators import ordered
+from scanflow.session import cut
 
 
 def digest(seed: str, *parts: Column) -> Column:
@@ -27,13 +28,16 @@ def hash60(seed: str, *parts: Column) -> Column:
 
 
 def ranked_pool(names: DataFrame, by: Sequence[str], seed: str, name: str = "object") -> DataFrame:
-    """Distinct names of a session with a dense 0-based ``rank`` in md5 order and the pool size ``n_pool``."""
+    """Distinct names of a session with a dense 0-based ``rank`` in md5 order and the pool size ``n_pool``.
+
+    Draws read the pool twice, for its sizes and by rank, so it is written to the shared folder once.
+    """
     by = list(by)
     hashed = names.select(*by, name).distinct().withColumn("_h", digest(seed, *[F.col(c) for c in by], F.col(name)))
     ranked = ordered.scan(
-        hashed, by, ["_h", name], F.substring("_h", 1, 2), rank=ordered.row_number(), n_pool=ordered.total(F.lit(1))
+        hashed, by, ["_h", name], F.substring("_h", 1, 1), rank=ordered.row_number(), n_pool=ordered.total(F.lit(1))
     )
-    return ranked.select(*by, name, (F.col("rank") - 1).alias("rank"), "n_pool")
+    return cut(ranked.select(*by, name, (F.col("rank") - 1).alias("rank"), "n_pool"))
 
 
 def draw_from_pool(

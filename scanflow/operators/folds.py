@@ -15,9 +15,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scanflow.functions.timecode import frame_index
 from scanflow.operators import joins, ordered, segments
@@ -27,6 +29,12 @@ _STATE = "start_s double, anchor_x double, anchor_y double, end_s double, n long
 _FIELDS = ["start_s", "anchor_x", "anchor_y", "end_s", "n", "sum_x", "sum_y"]
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash by ``keys`` over all shuffle partitions: Python work is worth a core per partition,
+    however few bytes AQE sees in it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _first_break(x, y, may_break, begin, ax, ay, radius) -> int:
     """First row from ``begin`` on that may break and lies beyond ``radius``; -1 without one."""
     width = 64
@@ -41,22 +49,14 @@ def _first_break(x, y, may_break, begin, ax, ay, radius) -> int:
     return -1
 
 
-def _fold_chunk(rows: pd.DataFrame, radius: float, gap: float) -> list[tuple]:
-    """Pieces of one chunk: closed segments, then the one left open."""
-    t, x, y = (rows[c].to_numpy(dtype=float) for c in ("time_seconds", "px", "py"))
-    first = rows.iloc[0]
-    entered = not pd.isna(first["e_start_s"])
-    before = first["e_end_s"] if entered else -np.inf
-    may_break = np.diff(t, prepend=before) > gap
+def _fold_chunk(t, x, y, entry: list | None, radius: float, gap: float) -> list[list]:
+    """Pieces of one chunk: closed segments, then the one left open. ``entry`` is the open
+    segment handed in, or None when the first row starts one."""
+    may_break = np.diff(t, prepend=-np.inf if entry is None else entry[3]) > gap
     cx, cy = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(y)])
-    if entered:
-        state = [first[f"e_{f}"] for f in _FIELDS]
-        at = 0
-    else:
-        state = [t[0], x[0], y[0], t[0], 0, 0.0, 0.0]
-        at = 0
+    state = [t[0], x[0], y[0], t[0], 0, 0.0, 0.0] if entry is None else entry
+    at, search = 0, 1 if entry is None else 0
     pieces = []
-    search = 0 if entered else 1
     while True:
         stop = _first_break(x, y, may_break, search, state[1], state[2], radius)
         upto = len(x) if stop < 0 else stop
@@ -65,7 +65,7 @@ def _fold_chunk(rows: pd.DataFrame, radius: float, gap: float) -> list[tuple]:
         state[4] += upto - at
         state[5] += cx[upto] - cx[at]
         state[6] += cy[upto] - cy[at]
-        pieces.append((*state, stop < 0))
+        pieces.append(state)
         if stop < 0:
             return pieces
         state = [t[stop], x[stop], y[stop], t[stop], 0, 0.0, 0.0]
@@ -75,30 +75,30 @@ def _fold_chunk(rows: pd.DataFrame, radius: float, gap: float) -> list[tuple]:
 def _run(frames: DataFrame, by: list[str], radius: float, gap: float) -> DataFrame:
     """Fold every (session, chunk) group of ``frames``; entry columns are null for a fresh start."""
     keys = [*by, ordered.CHUNK]
-    fields = [frames.schema[k] for k in keys]
+    totals = ["low_x", "high_x", "low_y", "high_y", "sx_chunk", "sy_chunk", "last_s"]
     schema = T.StructType(
-        fields
+        [frames.schema[k] for k in keys]
         + list(T._parse_datatype_string(_STATE).fields)
-        + list(T._parse_datatype_string("open boolean, e_start_s double, low_x double, high_x double, "
-                                        "low_y double, high_y double, n_chunk long, sx_chunk double, "
-                                        "sy_chunk double, last_s double").fields)
+        + list(T._parse_datatype_string("open boolean, e_start_s double, n_chunk long").fields)
+        + [T.StructField(c, T.DoubleType()) for c in totals]
     )
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        out = pd.DataFrame(_fold_chunk(pdf, radius, gap), columns=[*_FIELDS, "open"])
-        for key in reversed(keys):
-            out.insert(0, key, pdf[key].iloc[0])
-        out["e_start_s"] = pdf["e_start_s"].iloc[0]
-        for name, value in (
-            ("low_x", pdf["px"].min()), ("high_x", pdf["px"].max()), ("low_y", pdf["py"].min()),
-            ("high_y", pdf["py"].max()), ("n_chunk", len(pdf)), ("sx_chunk", pdf["px"].sum()),
-            ("sy_chunk", pdf["py"].sum()), ("last_s", pdf["time_seconds"].iloc[-1]),
-        ):
-            out[name] = value
-        return out
+    def fold(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["frame_idx"].to_numpy(), kind="stable")
+        t, x, y = (table[c].to_numpy()[order] for c in ("time_seconds", "px", "py"))
+        first = table.slice(0, 1).to_pylist()[0]
+        entry = None if first["e_start_s"] is None else [first[f"e_{f}"] for f in _FIELDS]
+        pieces = _fold_chunk(t, x, y, entry, radius, gap)
+        n = len(pieces)
+        columns = {k: [first[k]] * n for k in keys}
+        columns |= {f: [p[i] for p in pieces] for i, f in enumerate(_FIELDS)}
+        columns |= {"open": [False] * (n - 1) + [True], "e_start_s": [first["e_start_s"]] * n, "n_chunk": [len(t)] * n}
+        for name, value in zip(totals, (x.min(), x.max(), y.min(), y.max(), x.sum(), y.sum(), t[-1])):
+            columns[name] = [float(value)] * n
+        return pa.table(columns, schema=arrow_schema)
 
-    return frames.groupBy(*keys).applyInPandas(fold, schema)
+    arrow_schema = to_arrow_schema(schema)
+    return spread(frames, keys).groupBy(*keys).applyInArrow(fold, schema)
 
 
 def _expected_entries(pieces: DataFrame, by: list[str], radius: float) -> DataFrame:
@@ -283,7 +283,8 @@ def drop_consecutive_similar(
             return pdf[schema.fieldNames()]
 
         wanted = near.join(chunk_rows.select(*keys).distinct(), keys, "left_semi")
-        return chunk_rows.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(fold, schema)
+        rows, seen = spread(chunk_rows, keys), spread(wanted, keys)
+        return rows.groupBy(*keys).cogroup(seen.groupBy(*keys)).applyInPandas(fold, schema)
 
     fresh = base.withColumn("e_pos", F.lit(None).cast("long")).withColumn("e_similar", F.lit(None).cast("boolean"))
     marks = cut(run(fresh))

@@ -51,12 +51,19 @@ def episode_bounds(members: DataFrame, by: Sequence[str] = ("session_id",)) -> D
     )
 
 
-def member_lists(members: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Nested form for file output: one ordered list of member values per episode."""
-    nested = members.groupBy(*by, "episode").agg(
+def member_lists(
+    members: DataFrame, by: Sequence[str], cols: Sequence[str], size: int = 10_000
+) -> DataFrame:
+    """Nested form for file output: ordered lists of member values per episode.
+
+    An episode may run through a whole recording, so lists are cut every ``size`` members:
+    ``part`` numbers the lists of an episode, and nearly all episodes have only part 0.
+    """
+    part = F.floor((F.col("nr") - F.col("episode")) / F.lit(size)).cast("long")
+    nested = members.groupBy(*by, "episode", part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("nr", *cols))).alias("_m")
     )
-    return nested.select(*by, "episode", *[F.col(f"_m.{c}").alias(c) for c in cols])
+    return nested.select(*by, "episode", "part", *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
 def merge_intervals(

@@ -287,7 +287,7 @@ def nearest_event(spark, sf):
     clock = S.gaze_clock(spark, sf).select("session_id", "event_id", "event_type", "t")
     probes = clock.where(F.col("event_type") == "view").select("session_id", "event_id", "t")
     samples = clock.where(F.col("event_type") != "view").select("session_id", "event_id", "t")
-    out = joins.nearest_join(probes, samples, ["session_id"], "t", chunk=3600.0, seq="event_id")
+    out = joins.nearest_join(probes, samples, ["session_id"], "t", chunk=60.0, seq="event_id")
     return out.select("session_id", "event_id", F.col("sample.event_id").alias("near_id"))
 
 
@@ -306,7 +306,7 @@ def next_purchase(spark, sf):
     probes = clock.where(F.col("event_type") == "click").select("session_id", "event_id", "t")
     buys = clock.where(F.col("event_type") == "purchase").select("session_id", "event_id", "t")
     out = joins.next_after(
-        probes, buys, ["session_id"], "t", chunk=3600.0, low=7200.0, high=432_000.0, seq="event_id"
+        probes, buys, ["session_id"], "t", chunk=60.0, low=7200.0, high=432_000.0, seq="event_id"
     )
     return out.select("session_id", "event_id", F.col("event.event_id").alias("next_id"))
 
@@ -336,7 +336,7 @@ def _context(spark, sf, low):
     clock = S.gaze_clock(spark, sf).select("session_id", "event_id", "event_type", "t", "value")
     asked = clock.where(F.col("event_type") == "signup").select("session_id", "event_id", "t")
     out = joins.window_totals(
-        asked, clock, ["session_id"], "event_id", low, F.col("t"), "value", chunk=3600.0
+        asked, clock, ["session_id"], "event_id", low, F.col("t"), "value", chunk=60.0
     )
     return out.select("session_id", "event_id", "n_visible", r4("sum_visible"))
 
@@ -406,7 +406,7 @@ def projected_gaze(spark, sf):
         F.lit(504).alias("height"),
     )
     # the stand-in clock runs 432000 times slower than the camera, so frames are days apart
-    out = project_gaze(cameras, rays, poses, 24.46, chunk_ticks=36_000_000_000, time_scale=432_000, seq="event_id")
+    out = project_gaze(cameras, rays, poses, 24.46, chunk_ticks=600_000_000, time_scale=432_000, seq="event_id")
     return out.select("session_id", "frame_idx", r4("u"), r4("v"), "valid", "in_frame")
 
 

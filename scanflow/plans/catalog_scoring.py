@@ -45,29 +45,29 @@ def answer_letters(spark, sf):
 
 @query(
     "score_positions",
-    """WITH q AS (SELECT o_custkey % 100 AS item, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey)
-        AS pos, substr('ABCD', CAST(o_orderkey % 4 + 1 AS INTEGER), 1) AS a FROM orders WHERE o_orderkey % 40 < 3),
-    p AS (SELECT o_custkey % 100 AS item, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey)
-        AS pos, substr('ABCD', CAST(o_custkey % 4 + 1 AS INTEGER), 1) AS r FROM orders WHERE o_orderkey % 40 IN (1, 2))
+    """WITH q AS (SELECT o_orderkey // 8 AS item, row_number() OVER (PARTITION BY o_orderkey // 8 ORDER BY o_orderkey)
+        AS pos, substr('ABCD', CAST(o_orderkey % 4 + 1 AS INTEGER), 1) AS a FROM orders),
+    p AS (SELECT o_orderkey // 8 AS item, row_number() OVER (PARTITION BY o_orderkey // 8 ORDER BY o_orderkey)
+        AS pos, substr('ABCD', CAST(o_custkey % 4 + 1 AS INTEGER), 1) AS r FROM orders WHERE o_orderkey % 8 <> 2)
     SELECT item % 5 AS grp, count(*) FILTER (WHERE a = r) AS n_correct, count(*) AS n_total,
     r6(count(*) FILTER (WHERE a = r) * 100.0 / count(*)) AS accuracy FROM q JOIN p USING (item, pos) GROUP BY 1""",
 )
 def score_positions(spark, sf):
     letters = F.lit("ABCD")
     rows = S.table(spark, sf, "orders").select(
-        (F.col("o_custkey") % 100).alias("item"),
+        F.floor(F.col("o_orderkey") / 8).alias("item"),
         "o_orderkey",
         F.substring(letters, (F.col("o_orderkey") % 4 + 1).cast("int"), F.lit(1)).alias("a"),
         F.substring(letters, (F.col("o_custkey") % 4 + 1).cast("int"), F.lit(1)).alias("r"),
-        (F.col("o_orderkey") % 40).alias("m"),
-    ).where(F.col("m") < 3)
+        (F.col("o_orderkey") % 8 != 2).alias("replied"),
+    )
 
     def listed(keep, col):
         got = F.array_sort(F.collect_list(F.when(keep, F.struct("o_orderkey", col))))
         return F.transform(got, lambda s: s[col])
 
     items = rows.groupBy("item").agg(
-        listed(F.lit(True), "a").alias("answers"), listed(F.col("m").isin(1, 2), "r").alias("replies")
+        listed(F.lit(True), "a").alias("answers"), listed(F.col("replied"), "r").alias("replies")
     )
     out = scoring.score_result_items(items.withColumn("grp", F.col("item") % 5), ["grp"], "item")
     return out.select("grp", "n_correct", "n_total", r6("accuracy"))

@@ -74,13 +74,14 @@ def episodes(spark, sf):
 @query(
     "episode_lists",
     S.with_views("timeline", **_EPISODE_CTES)
-    + """SELECT session_id, episode, string_agg(CAST(nr AS VARCHAR), ',' ORDER BY nr) AS fixation_ids,
-    string_agg(CAST(CAST(start_s AS BIGINT) AS VARCHAR), ',' ORDER BY nr) AS starts FROM mem GROUP BY 1, 2""",
+    + """SELECT session_id, episode, (nr - episode) // 10000 AS part,
+    string_agg(CAST(nr AS VARCHAR), ',' ORDER BY nr) AS fixation_ids,
+    string_agg(CAST(CAST(start_s AS BIGINT) AS VARCHAR), ',' ORDER BY nr) AS starts FROM mem GROUP BY 1, 2, 3""",
 )
 def episode_lists(spark, sf):
     whole = _members(spark, sf).withColumn("begun", F.col("start_s").cast("long").cast("string"))
     out = intervals.member_lists(whole.withColumn("id", F.col("nr").cast("string")), BY, ["id", "begun"])
-    return out.select("session_id", "episode", _joined("id", "fixation_ids"), _joined("begun", "starts"))
+    return out.select("session_id", "episode", "part", _joined("id", "fixation_ids"), _joined("begun", "starts"))
 
 
 @query(
@@ -321,13 +322,13 @@ def not_visible_now(spark, sf):
     S.with_views("sightings")
     + """, x AS (SELECT session_id, start_s, end_s, CASE WHEN in_fov THEN upper(object) ELSE object END AS o
       FROM sightings),
-    l AS (SELECT session_id, start_s, end_s, list_sort(list(o)) AS names FROM x GROUP BY 1, 2, 3)
+    l AS (SELECT session_id, start_s, end_s, list_sort(list(DISTINCT o)) AS names FROM x GROUP BY 1, 2, 3)
     SELECT session_id, start_s, end_s, array_to_string(list_filter(names, lambda n, i: list_position(
       list_transform(names, lambda m: lower(m)), lower(n)) = i), ',') AS names FROM l""",
 )
 def distinct_names(spark, sf):
     spelled = F.when(F.col("in_fov"), F.upper("object")).otherwise(F.col("object"))
-    padded = F.array_append(F.array_sort(F.collect_list(spelled)), F.lit("  "))
+    padded = F.array_append(F.array_sort(F.collect_set(spelled)), F.lit("  "))
     out = S.sightings(spark, sf).groupBy("session_id", "start_s", "end_s").agg(padded.alias("names"))
     return out.select("session_id", "start_s", "end_s", F.array_join(text.distinct_ci(F.col("names")), ",").alias("names"))
 

@@ -28,7 +28,7 @@ def _not_before_zero(seconds: Column) -> Column:
 
 
 def all_names(entries: DataFrame) -> DataFrame:
-    return entries.select(*BY, F.explode(F.array_union("fov", "outside")).alias("object")).distinct()
+    return entries.select(*BY, F.explode(F.array_union("fov", "outside")).alias("object"))
 
 
 def next_after_group(entries: DataFrame, size: int = timeline.ENTRIES_PER_TILE) -> DataFrame:

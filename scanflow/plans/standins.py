@@ -14,7 +14,7 @@ from scanflow.operators import ordered
 
 FPS = 24.0
 FRAMES_PER_CHUNK = 65_536
-HOUR_US = 3_600_000_000
+MINUTE_US = 60_000_000
 DAY = 1.0
 
 
@@ -48,7 +48,7 @@ def gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
         clicks(spark, sf_dir),
         ["session_id"],
         ["us", "event_id"],
-        ordered.bucket(F.col("us"), HOUR_US),
+        ordered.bucket(F.col("us"), MINUTE_US),
         name="frame_idx",
     )
     return rows.select(

@@ -19,6 +19,9 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sca
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # local data is small and the work per byte is high: keep all cores busy
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SCANFLOW_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
