@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanflow.functions import geometry, text, timecode
-from scanflow.operators import folds, frames, joins, ordered, segments
+from scanflow.operators import folds, frames, intervals, joins, ordered, segments
 from scanflow.plans import standins as S
 from scanflow.plans.catalog import query, r4, r6
 
@@ -597,3 +597,24 @@ def long_segments(spark, sf):
         kept, ["session_id"], {"start_s": "start_time", "end_s": "end_time"}, chunk_seconds=600.0
     )
     return out.select("session_id", "fixation_id", r6("start_s"), r6("duration"))
+
+
+@query(
+    "context_alert",
+    S.with_views("gaze_clock")
+    + """, q AS (SELECT session_id, event_id * 5 + i AS point_id, t + (i - 2) * 36000 AS t FROM (SELECT session_id, event_id, t,
+      unnest(range(0, 5)) AS i FROM gaze_clock WHERE event_type = 'error'))
+    SELECT q.session_id, q.point_id, count(g.event_id) AS n_visible, r4(coalesce(sum(g.value), 0)) AS sum_visible
+    FROM q LEFT JOIN gaze_clock g ON g.session_id = q.session_id AND g.t >= 0 AND g.t <= q.t GROUP BY 1, 2""",
+)
+def context_alert(spark, sf):
+    clock = S.gaze_clock(spark, sf).select("session_id", "event_id", "event_type", "t", "value")
+    asked = clock.where(F.col("event_type") == "error").select(
+        "session_id", "event_id", F.posexplode(intervals.alert_points(F.col("t"), F.lit(0.0), _HOURS, 1e18)).alias("i", "t")
+    )
+    points = asked.select("session_id", (F.col("event_id") * 5 + F.col("i")).alias("point_id"), "t")
+    out = joins.window_totals(points, clock, ["session_id"], "point_id", F.lit(0.0), F.col("t"), "value", chunk=60.0)
+    return out.select("session_id", "point_id", "n_visible", r4("sum_visible"))
+
+
+_HOURS = (-72_000, -36_000, 0, 36_000, 72_000)

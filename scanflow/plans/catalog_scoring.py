@@ -456,3 +456,56 @@ def fenced_replies(spark, sf):
     reply = F.when(e % 4 == 3, F.lit("sorry")).when(e % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     parsed = text.fenced_json(reply, "answer string, id long")
     return S.table(spark, sf, "events").select("event_id", parsed.alias("v")).select("event_id", "v.*")
+
+
+@query(
+    "verdicts_applied",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'verdict_invalid' END AS reason,
+    CASE WHEN o_orderkey % 4 IN (0, 1) AND o_orderkey % 3 = 0 THEN 'fixed' ELSE o_orderstatus END AS answer FROM orders""",
+)
+def verdicts_applied(spark, sf):
+    from scanflow.plans.filters import apply_verdicts
+
+    orders = S.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("answer"))
+    turn = F.col("o_orderkey") % 4
+    verdicts = orders.where(turn < 2).select(
+        "o_orderkey",
+        F.when(turn == 0, 0).otherwise(1).alias("verdict"),
+        F.when(F.col("o_orderkey") % 3 == 0, "fixed").alias("relabel"),
+    )
+    return apply_verdicts(orders, verdicts, ["o_orderkey"], label="answer").select("o_orderkey", "reason", "answer")
+
+
+@query(
+    "span_windows",
+    """SELECT item_id, low, high, seconds BETWEEN low AND high + 3 AS on_time FROM (SELECT o_orderkey AS item_id,
+      o_totalprice / 10000.0::DOUBLE AS seconds, CAST(o_orderkey % 30 AS DOUBLE) AS low,
+      CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 30 + 5 ELSE 60 + o_orderkey % 30 END AS DOUBLE) AS high
+      FROM orders)""",
+)
+def span_windows(spark, sf):
+    k = F.col("item_id") % 30
+    end = F.when(F.col("item_id") % 2 == 0, (k + 5).cast("string")).otherwise(F.format_string("01:%02d", k))
+    df = S.predictions(spark, sf).withColumn("span", F.concat(k.cast("string"), F.lit("-"), end))
+    low, high = timecode.span_bounds(F.col("span"))
+    df = df.withColumn("low", low).withColumn("high", high)
+    return df.select(
+        "item_id", "low", "high", text.in_window(F.col("seconds"), F.col("low"), F.col("high")).alias("on_time")
+    )
+
+
+@query(
+    "object_labels",
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'a ' || p_type WHEN p_size % 3 = 1 AND p_size % 2 = 0 THEN ''
+    WHEN p_size % 3 = 1 THEN 'a ' || p_type ELSE p_name END AS label, lower(replace(p_type || '_' || p_brand, '_', ' '))
+    AS name FROM part""",
+)
+def object_labels(spark, sf):
+    size = F.col("p_size")
+    identity = F.when(size % 3 == 1, "").when(size % 3 == 2, F.col("p_name"))
+    caption = F.when((size % 3 == 1) & (size % 2 == 0), F.lit(None)).otherwise(F.concat(F.lit("a "), "p_type"))
+    return S.table(spark, sf, "part").select(
+        "p_partkey",
+        text.object_or_caption(identity, caption).alias("label"),
+        text.norm_name(F.concat_ws("_", "p_type", "p_brand")).alias("name"),
+    )
