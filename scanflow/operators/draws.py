@@ -78,7 +78,9 @@ def draw_from_pool(
     found = probes.join(pool.select(*by, "rank", name), [*by, "rank"], how)
     usable = F.col(name).isNotNull() & ~F.array_contains("_banned", F.col(name))
     free = F.when(usable, F.struct("_step", F.col(name).alias("v")))
-    ids = [_held(c, by).alias(f"_k{i}") for i, c in enumerate(key)]
+    # an item reads a few ranks; partial lists before the shuffle would only cost
+    ids = [f"_k{i}" for i in range(len(key))]
+    found = found.withColumns({i: _held(c, by) for i, c in zip(ids, key)}).repartition(*by, *ids)
     grouped = found.groupBy(*by, *ids).agg(
         F.first("_item").alias("_item"), F.array_sort(F.collect_list(free)).alias("_found")
     )

@@ -112,9 +112,14 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Object entries: sorted distinct names in view and outside, one row per interval."""
+    """Object entries: sorted distinct names in view and outside, one row per interval.
+
+    An entry is a handful of rows, so building partial sets before the shuffle only costs:
+    the rows are shuffled by entry first.
+    """
     return (
         sightings(spark, sf_dir)
+        .repartition("session_id", "start_s", "end_s")
         .groupBy("session_id", "start_s", "end_s")
         .agg(
             F.array_sort(F.collect_set(F.when(F.col("in_fov"), F.col("object")))).alias("fov"),
