@@ -52,12 +52,14 @@ def draw_from_pool(
     out: str = "drawn",
     keep_unmatched: bool = False,
     one_pool: bool = False,
+    needed: Column | None = None,
 ) -> DataFrame:
     """Add ``out``: up to ``k`` pool names per item, none of them in ``exclude``.
 
     ``pool`` comes from ``ranked_pool``. Items of sessions without a pool are dropped
     unless ``keep_unmatched``, which gives them an empty draw. With ``one_pool`` the key
-    ``by`` is one constant, so the pool size is a single row and is broadcast.
+    ``by`` is one constant, so the pool size is a single row and is broadcast. Items whose
+    ``needed`` is false read nothing.
     """
     by, key = list(by), list(key)
     how = "left" if keep_unmatched else "inner"
@@ -66,26 +68,35 @@ def draw_from_pool(
     if one_pool:
         sizes = F.broadcast(sizes)
     held = [F.col(c) for c in items.columns if c not in by]
-    reads = F.least(F.col("_n"), F.lit(k) + F.size("_banned"))
+    ids = [f"_k{i}" for i in range(len(key))]
+    wanted = F.lit(True) if needed is None else needed
+    reads = F.when(F.col("_needed"), F.least(F.col("_n"), F.lit(k) + F.size("_banned")))
     steps = F.when(reads > 0, F.sequence(F.lit(0).cast("long"), reads - 1))
     probes = (
-        items.select(*by, F.struct(*held).alias("_item"), banned.alias("_banned"))
+        items.select(*by, F.struct(*held).alias("_item"), banned.alias("_banned"), wanted.alias("_needed"))
         .join(sizes, by, how)
-        .withColumn("_begin", F.pmod(hash60(seed, *[_held(c, by) for c in key]), F.col("_n")))
+        .withColumns({i: _held(c, by) for i, c in zip(ids, key)})
+        .withColumn("_begin", F.pmod(hash60(seed, *[F.col(i) for i in ids]), F.col("_n")))
         .withColumn("_step", F.explode_outer(steps) if keep_unmatched else F.explode(steps))
-        .withColumn("rank", F.pmod(F.col("_begin") + F.col("_step"), F.col("_n")))
+    )
+    # of an item's probes only the first one carries the item itself
+    once = F.coalesce(F.col("_step") == 0, F.lit(True))
+    probes = probes.select(
+        *by,
+        *ids,
+        "_step",
+        F.pmod(F.col("_begin") + F.col("_step"), F.col("_n")).alias("rank"),
+        F.when(once, F.struct("_item", "_banned")).alias("_once"),
     )
     found = probes.join(pool.select(*by, "rank", name), [*by, "rank"], how)
-    usable = F.col(name).isNotNull() & ~F.array_contains("_banned", F.col(name))
-    free = F.when(usable, F.struct("_step", F.col(name).alias("v")))
+    read = F.when(F.col(name).isNotNull(), F.struct("_step", F.col(name).alias("v")))
     # an item reads a few ranks; partial lists before the shuffle would only cost
-    ids = [f"_k{i}" for i in range(len(key))]
-    found = found.withColumns({i: _held(c, by) for i, c in zip(ids, key)}).repartition(*by, *ids)
-    grouped = found.groupBy(*by, *ids).agg(
-        F.first("_item").alias("_item"), F.array_sort(F.collect_list(free)).alias("_found")
+    grouped = found.repartition(*by, *ids).groupBy(*by, *ids).agg(
+        F.first("_once", ignorenulls=True).alias("_once"), F.array_sort(F.collect_list(read)).alias("_found")
     )
-    drawn = F.transform(F.slice("_found", 1, k), lambda s: s["v"])
-    return grouped.select(*by, "_item.*", drawn.alias(out))
+    free = F.filter("_found", lambda s: ~F.array_contains(F.col("_once._banned"), s["v"]))
+    drawn = F.transform(F.slice(free, 1, k), lambda s: s["v"])
+    return grouped.select(*by, "_once._item.*", drawn.alias(out))
 
 
 def _held(col: str, by: list[str]) -> Column:

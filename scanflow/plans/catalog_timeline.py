@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from scanflow.functions import text
 from scanflow.operators import draws, intervals, objects, ordered, timeline
+from scanflow.plans import filters as G
+from scanflow.plans import questions as Q
 from scanflow.plans import sqltext as T
 from scanflow.plans import standins as S
 from scanflow.plans.catalog import query, r6
-from scanflow.plans.catalog_questions import _gap_merge_sql, merged_entries
+from scanflow.plans.catalog_questions import RECALL_CTES, _gap_merge_sql, merged_entries
 
 BY = ["session_id"]
 
@@ -421,22 +423,21 @@ _MODS = "[" + ", ".join(f"'{w}'" for w in text.MODIFIER_WORDS) + "]"
 
 @query(
     "similar_name_pairs",
-    S.with_views("entries")
-    + f""", n AS (SELECT session_id, pos, list_concat(fov, outside) AS names FROM entries),
-    i AS (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM n),
-    j AS (SELECT *, unnest(range(i + 1, len(names) + 1)) AS j FROM i),
+    S.with_views("merged_pos", **RECALL_CTES)
+    + f""", i AS (SELECT session_id, pos, mixed AS names, unnest([1, 2, 3]) AS i FROM mx),
+    j AS (SELECT *, unnest(range(i + 1, 5)) AS j FROM i),
     p AS (SELECT session_id, pos, i, j, names[i] AS a, names[j] AS b, {_NW.format('names[i]')} AS wa,
       {_NW.format('names[j]')} AS wb FROM j),
     s AS (SELECT *, CASE WHEN len({_SHARED}) = 0 THEN false WHEN a = b OR contains(a, b) OR contains(b, a) THEN true
       WHEN len(list_filter({_SHARED}, lambda w: NOT list_contains({_MODS}, w))) = 0 THEN false
       ELSE len({_SHARED}) * 1.0 / len(list_distinct(list_concat(wa, wb))) >= 0.5 END AS close FROM p)
     SELECT session_id, pos, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, a, b,
-    r6(len({_SHARED}) * 1.0::DOUBLE / len(list_distinct(list_concat(wa, wb)))) AS overlap, close FROM s
-    WHERE len({_SHARED}) > 0""",
+    r6(len({_SHARED}) * 1.0::DOUBLE / len(list_distinct(list_concat(wa, wb)))) AS overlap, close FROM s""",
 )
 def similar_name_pairs(spark, sf):
-    placed = timeline.with_position(S.timeline(spark, sf), chunk=S.DAY)
-    names = placed.select("session_id", "pos", F.concat("fov", "outside").alias("names"))
+    """The six option pairs of each question."""
+    asked = Q.scene_recall(merged_entries(spark, sf))
+    names = asked.select("session_id", "pos", G.values(F.col("options")).alias("names"))
     left = names.select("*", F.posexplode("names").alias("i", "a"))
     rest = F.transform(F.col("names"), lambda n, j: F.struct(j.alias("j"), n.alias("b")))
     pairs = left.select("*", F.explode(F.filter(rest, lambda s: s["j"] > F.col("i"))).alias("o")).select(
@@ -446,7 +447,7 @@ def similar_name_pairs(spark, sf):
         "*",
         r6(text.word_overlap(F.col("a"), F.col("b")), "overlap"),
         text.similar_names(F.col("a"), F.col("b")).alias("close"),
-    ).where(F.col("overlap") > 0)
+    )
 
 
 @query(

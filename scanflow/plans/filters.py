@@ -243,10 +243,12 @@ def next_after_group(items: DataFrame, key: Sequence[str], verdicts: DataFrame |
         F.explode(F.concat("_texts", F.array("answer_object"), "object_group")).alias("object"),
     )
     pool = draws.ranked_pool(names, ["_all"], "repair")
-    close = flagged.where(F.size("_pairs") > 0).withColumn("_all", F.lit(0))
+    # no filter on the pairs: pushed down, it would compare all names a second time
+    close = flagged.withColumn("_all", F.lit(0))
     banned = F.array_union(F.array_union("_texts", "object_group"), F.array("answer_object"))
     spare = draws.draw_from_pool(
-        close, pool, ["_all"], key, 6, "repair", exclude=banned, out="_spare", keep_unmatched=True, one_pool=True
+        close, pool, ["_all"], key, 6, "repair", exclude=banned, out="_spare", keep_unmatched=True, one_pool=True,
+        needed=F.size("_pairs") > 0,
     ).drop("_all")
     if verdicts is not None:
         hints = verdicts.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("nr", "replacement"))).alias("_hint"))
@@ -261,19 +263,23 @@ def next_after_group(items: DataFrame, key: Sequence[str], verdicts: DataFrame |
         first_is_truth = F.col("answer_object") == F.get("_texts", pair["i"])
         at = F.when(second_is_truth & ~first_is_truth, pair["i"]).otherwise(pair["j"])
         hint = F.try_element_at(F.col("_hint"), state["nr"])
-        unused = F.filter("_spare", lambda s: ~F.array_contains(state["texts"], s))
-        new = F.coalesce(hint, F.get(unused, 0))
-        fits = new.isNotNull() & ~F.array_contains(state["texts"], F.coalesce(new, F.lit("")))
-        texts = F.transform(state["texts"], lambda t, i: F.when(fits & (i == at), new).otherwise(t))
-        return F.struct(
-            texts.alias("texts"), (state["nr"] + 1).alias("nr"), (state["fixed"] + F.when(fits, 1).otherwise(0)).alias("fixed")
-        )
-
-    repaired = spare.withColumn("_s", F.aggregate("_pairs", start, replace))
-    repaired = repaired.withColumn("options", draws.lettered(F.col("_s.texts"))).withColumn("n_fixed", F.col("_s.fixed"))
-    rest = flagged.where(F.size("_pairs") == 0).withColumn("n_fixed", F.lit(0))
-    hidden = ["_texts", "_pairs", "_spare", "_hint", "_s"]
-    return rest.drop(*hidden).unionByName(repaired.drop(*hidden))
+        unused = F.get(F.filter("_spare", lambda s: ~F.array_contains(state["texts"], s)), 0)
+        new = F.when(hint.isNull(), unused).when(~F.array_contains(state["texts"], hint), hint)
+        # binding the choice to a lambda variable evaluates it once per pair
+        chosen = F.array(F.struct(at.alias("at"), new.alias("new")))
+
+        def step(c: Column) -> Column:
+            fits = c["new"].isNotNull()
+            texts = F.transform(state["texts"], lambda t, i: F.when(fits & (i == c["at"]), c["new"]).otherwise(t))
+            fixed = state["fixed"] + F.when(fits, 1).otherwise(0)
+            return F.struct(texts.alias("texts"), (state["nr"] + 1).alias("nr"), fixed.alias("fixed"))
+
+        return F.get(F.transform(chosen, step), 0)
+
+    folded = spare.withColumn("_s", F.aggregate("_pairs", start, replace))
+    lettered = F.when(F.size("_pairs") > 0, draws.lettered(F.col("_s.texts"))).otherwise(F.col("options"))
+    repaired = folded.withColumn("options", lettered).withColumn("n_fixed", F.col("_s.fixed"))
+    return repaired.drop("_texts", "_pairs", "_spare", "_hint", "_s")
 
 
 def _judged(items: DataFrame, verdicts: DataFrame | None, key: Sequence[str]) -> DataFrame:
