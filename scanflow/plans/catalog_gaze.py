@@ -8,6 +8,7 @@ from scanflow.functions import geometry, text, timecode
 from scanflow.operators import folds, frames, intervals, joins, ordered, segments
 from scanflow.plans import standins as S
 from scanflow.plans.catalog import query, r4, r6
+from scanflow.session import cut
 
 
 
@@ -176,7 +177,7 @@ _WALK = """, nxt AS (SELECT g.session_id, g.frame_idx AS a, min(h.frame_idx) AS
     r6(cy) AS center_y, n FROM st WHERE end_s - start_s >= 0.12""",
 )
 def fixations(spark, sf):
-    out = folds.fixations(S.gaze(spark, sf), radius=0.5, min_duration=0.12, gap=0.01, size=S.FRAMES_PER_CHUNK)
+    out = folds.fixations(stored(spark, sf), radius=0.5, min_duration=0.12, gap=0.01, size=S.FRAMES_PER_CHUNK)
     return out.select("session_id", r6("start_s"), r6("end_s"), r6("center_x"), r6("center_y"), "n")
 
 
@@ -188,7 +189,7 @@ def fixations(spark, sf):
     FROM st GROUP BY 1""",
 )
 def fixations_in_chunks(spark, sf):
-    out = folds.anchored_segments(S.gaze(spark, sf), radius=0.5, gap=0.01, size=48)
+    out = folds.anchored_segments(stored(spark, sf), radius=0.5, gap=0.01, size=48)
     return out.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n_segments"),
         F.sum("n").alias("n_frames"),
@@ -209,6 +210,11 @@ def _move_sql(v, d, disp):
     """
 
 
+def stored(spark, sf):
+    """The stand-in frames as a stored table: runs and folds read them more than once."""
+    return cut(S.gaze(spark, sf))
+
+
 _SEG_COLS = """session_id, r6(start_s) AS start_s, r6(end_s) AS end_s, r6(cx) AS center_x,
     r6(cy) AS center_y, n, r6(dispersion) AS dispersion"""
 
@@ -222,13 +228,13 @@ def _segment_columns(df):
 @query("movements", S.with_views("gaze") + _move_sql(8, 0.15, 0.5) + f"SELECT {_SEG_COLS} FROM kept")
 def movements(spark, sf):
     return _segment_columns(
-        segments.movements(S.gaze(spark, sf), velocity=8, min_duration=0.15, dispersion=0.5, size=S.FRAMES_PER_CHUNK)
+        segments.movements(stored(spark, sf), velocity=8, min_duration=0.15, dispersion=0.5, size=S.FRAMES_PER_CHUNK)
     )
 
 
 @query("confusions", S.with_views("gaze") + _move_sql(0.01, 2.5, 0.1) + f"SELECT {_SEG_COLS} FROM kept")
 def confusions(spark, sf):
-    return _segment_columns(segments.confusions(S.gaze(spark, sf), size=S.FRAMES_PER_CHUNK))
+    return _segment_columns(segments.confusions(stored(spark, sf), size=S.FRAMES_PER_CHUNK))
 
 
 @query(
@@ -239,10 +245,11 @@ def confusions(spark, sf):
     FROM kept k LEFT JOIN actions a ON a.session_id = k.session_id AND NOT (k.end_s < a.start_s OR k.start_s > a.end_s)""",
 )
 def movement_actions(spark, sf):
+    frames_table = stored(spark, sf)
     moved = segments.movements(
-        S.gaze(spark, sf), velocity=8, min_duration=0.15, dispersion=0.5, size=S.FRAMES_PER_CHUNK
+        frames_table, velocity=8, min_duration=0.15, dispersion=0.5, size=S.FRAMES_PER_CHUNK
     ).select("session_id", "start_s", "end_s")
-    out = joins.overlap_join(moved, S.actions(spark, sf), ["session_id"], width=60.0, key="start_s")
+    out = joins.overlap_join(moved, S.purchases(frames_table), ["session_id"], width=60.0, key="start_s")
     return out.select(
         "session_id", r6("start_s"), r6("end_s"), F.col("match.pos").alias("pos"), F.col("match.text").alias("text")
     )

@@ -432,5 +432,5 @@ def _gap_merge_sql(source: str, keys: str) -> str:
     + _gap_merge_sql("ap", "session_id, object"),
 )
 def alert_intervals(spark, sf):
-    entries = kitchen_entries(spark, sf)
+    entries = cut(kitchen_entries(spark, sf))
     return Q.alert_intervals(entries, Q.alert_target(entries), "fov", chunk=S.DAY)

@@ -13,6 +13,7 @@ from scanflow.plans import sqltext as T
 from scanflow.plans import standins as S
 from scanflow.plans.catalog import query, r6
 from scanflow.plans.catalog_questions import RECALL_CTES, _gap_merge_sql, merged_entries
+from scanflow.session import cut
 
 BY = ["session_id"]
 
@@ -56,8 +57,17 @@ _EPISODE_CTES = {
 }
 
 
+def stored(spark, sf):
+    """The stand-in timeline as a stored table: operators with several scans read it more than once."""
+    return cut(S.timeline(spark, sf))
+
+
+def stored_entries(spark, sf):
+    return cut(timeline.with_position(S.timeline(spark, sf), chunk=S.DAY))
+
+
 def _members(spark, sf):
-    segments = S.timeline(spark, sf).select(
+    segments = stored(spark, sf).select(
         "*", (F.size("fov") * 0.3).alias("center_x"), (F.size("outside") * 0.2).alias("center_y")
     )
     return intervals.episode_members(segments, space=0.9, time=60.0, chunk=S.DAY)
@@ -185,13 +195,13 @@ def field_objects(spark, sf):
     + _gap_merge_sql("ap", "session_id, object"),
 )
 def merged_appearances(spark, sf):
-    seen = intervals.appearances(S.timeline(spark, sf), "outside")
+    seen = intervals.appearances(stored(spark, sf), "outside")
     return intervals.merge_intervals(seen, [*BY, "object"], gap=10.0, chunk=S.DAY)
 
 
 @query("session_coverage", S.with_views("timeline") + _gap_merge_sql("timeline", "session_id"))
 def session_coverage(spark, sf):
-    return intervals.merge_intervals(S.timeline(spark, sf), BY, gap=10.0, chunk=S.DAY)
+    return intervals.merge_intervals(stored(spark, sf), BY, gap=10.0, chunk=S.DAY)
 
 
 @query(
@@ -230,7 +240,7 @@ def next_new_objects(spark, sf):
     WHERE len(fov) > 0 AND len(f1) > 0 AND len(f2) > 0""",
 )
 def gaze_triples(spark, sf):
-    placed = timeline.with_position(S.timeline(spark, sf), chunk=S.DAY)
+    placed = stored_entries(spark, sf)
     near = timeline.neighbours(placed, ["fov"], after=2)
     full = near.where((F.size("fov") > 0) & (F.size("next1.fov") > 0) & (F.size("next2.fov") > 0))
     groups = F.array("fov", "next1.fov", "next2.fov")
@@ -283,7 +293,7 @@ def scene_minus_gazed(spark, sf):
     ON s.session_id = e.session_id AND s.gazed AND s.first_gaze <= e.start_s GROUP BY 1, 2""",
 )
 def gazed_so_far(spark, sf):
-    placed = timeline.with_position(S.timeline(spark, sf), chunk=S.DAY)
+    placed = stored_entries(spark, sf)
     out = timeline.gazed_so_far(placed.select("session_id", "pos", "start_s"), objects.gaze_summary(placed), chunk=S.DAY)
     return out.select("session_id", "pos", "n_gazed")
 
@@ -306,7 +316,7 @@ def gaze_order(spark, sf):
     FROM entries e JOIN al USING (session_id)""",
 )
 def not_visible_now(spark, sf):
-    placed = timeline.with_position(S.timeline(spark, sf), chunk=S.DAY)
+    placed = stored_entries(spark, sf)
     every = placed.select("session_id", F.explode("outside").alias("o")).distinct().groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -406,7 +416,7 @@ def occurrence_ids(spark, sf):
     + "SELECT session_id, pos, array_to_string(drawn, ',') AS drawn FROM dr",
 )
 def wrong_option_draws(spark, sf):
-    placed = timeline.with_position(S.timeline(spark, sf), chunk=S.DAY)
+    placed = stored_entries(spark, sf)
     names = placed.select("session_id", F.explode(F.concat("fov", "outside")).alias("object"))
     pool = draws.ranked_pool(names, BY, "demo")
     out = draws.draw_from_pool(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scanflow.functions import text
 from scanflow.functions.timecode import clock_short, mmss, range_text
 from scanflow.operators import draws, intervals, joins, objects, timeline
+from scanflow.session import cut
 
 BY = ["session_id"]
 KEY = ["session_id", "pos"]
@@ -72,7 +73,7 @@ def never_gazed(entries: DataFrame, chunk: float = 600.0, per_session: int = 3,
     may also be a name first in view after the question.
     """
     looked = entries.where(F.col("kind") == "objects")
-    summary = objects.gaze_summary(looked)
+    summary = cut(objects.gaze_summary(looked))  # read by the pool, the prefix count and the order
     counted = timeline.gazed_so_far(looked.select(*KEY, "start_s"), summary, chunk=chunk)
     ready = counted.where((F.col("pos") >= 2) & (F.col("n_gazed") >= 3))
     if prefix_pool:

@@ -70,7 +70,11 @@ def gaze_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases as labelled intervals of 0.2 s."""
-    return gaze(spark, sf_dir).where(F.col("event_type") == "purchase").select(
+    return purchases(gaze(spark, sf_dir))
+
+
+def purchases(frames: DataFrame) -> DataFrame:
+    return frames.where(F.col("event_type") == "purchase").select(
         "session_id",
         F.col("frame_idx").alias("pos"),
         F.col("time_seconds").alias("start_s"),
