@@ -92,7 +92,7 @@ def gaze_types(spark, sf):
     "frame_average",
     S.with_views("clicks")
     + """, s AS (SELECT session_id, us // 432000000000 AS frame_idx, us, event_id, value, k, event_type
-      FROM clicks WHERE k % 10 <> 3),
+      FROM clicks WHERE event_type <> 'error'),
     p AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY session_id, frame_idx) AS n FROM s
       WINDOW w AS (PARTITION BY session_id, frame_idx ORDER BY event_id))
     SELECT session_id, CAST(frame_idx AS BIGINT) AS frame_idx,
@@ -105,7 +105,7 @@ def frame_average(spark, sf):
         "session_id",
         F.floor(F.col("us") / F.lit(432_000_000_000)).cast("long").alias("frame_idx"),
         "event_id",
-        F.when(F.col("k") % 10 != 3, F.col("value")).alias("px"),
+        F.when(F.col("event_type") != "error", F.col("value")).alias("px"),
         F.col("k").cast("double").alias("py"),
         "event_type",
     )
@@ -116,14 +116,14 @@ def frame_average(spark, sf):
 @query(
     "dense_frames",
     S.with_views("gaze")
-    + """, g AS (SELECT session_id, frame_idx, px, py, gaze_type FROM gaze WHERE k % 3 <> 0),
+    + """, g AS (SELECT session_id, frame_idx, px, py, gaze_type FROM gaze WHERE event_type <> 'error'),
     n AS (SELECT session_id, max(frame_idx) AS m FROM g GROUP BY 1),
     e AS (SELECT session_id, unnest(range(0, m + 1)) AS frame_idx FROM n)
     SELECT e.session_id, e.frame_idx, r6(coalesce(px, 0)) AS px, r6(coalesce(py, 0)) AS py,
     coalesce(gaze_type, 0) AS gaze_type FROM e LEFT JOIN g USING (session_id, frame_idx)""",
 )
 def dense_frames(spark, sf):
-    sparse = S.gaze(spark, sf).where(F.col("k") % 3 != 0).select("session_id", "frame_idx", "px", "py", "gaze_type")
+    sparse = S.gaze(spark, sf).where(F.col("event_type") != "error").select("session_id", "frame_idx", "px", "py", "gaze_type")
     out = frames.densify(sparse, ["session_id"], {"px": 0.0, "py": 0.0, "gaze_type": 0})
     return out.select("session_id", "frame_idx", r6("px"), r6("py"), "gaze_type")
 

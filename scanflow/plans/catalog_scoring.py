@@ -136,7 +136,7 @@ def score_latency(spark, sf):
     "score_overall",
     S.with_views("predictions")
     + """, q AS (SELECT nullif(item_id // 3, 5) AS id, arg_max(CASE WHEN upper(substr(reply, 1, 1)) = truth AND truth <> ''
-        THEN 1.0 ELSE 0.0 END, item_id) AS text_score FROM predictions WHERE item_id % 7 <> 0 GROUP BY 1),
+        THEN 1.0 ELSE 0.0 END, item_id) AS text_score FROM predictions WHERE reply IS NOT NULL GROUP BY 1),
     t AS (SELECT nullif(item_id // 3, 5) AS id, task, CASE WHEN seconds BETWEEN window_start AND window_end + 3 THEN 1.0
         ELSE 0.0 END AS tm FROM predictions),
     b AS (SELECT task, tm::DOUBLE AS tm, text_score::DOUBLE AS tx, (tm * 0.5 + text_score * 0.5)::DOUBLE AS ov FROM t
@@ -148,10 +148,10 @@ def score_latency(spark, sf):
 def score_overall(spark, sf):
     key = F.floor(F.col("item_id") / 3)
     rows = scoring.timed(S.predictions(spark, sf)).withColumn("id", F.when(key != 5, key))
-    quality = rows.where(F.col("item_id") % 7 != 0).select(
+    quality = rows.where(F.col("reply").isNotNull()).select(
         "id",
         "item_id",
-        text.text_score(F.coalesce("reply", F.lit("")), F.col("truth"), "first_char").alias("text_score"),
+        text.text_score(F.col("reply"), F.col("truth"), "first_char").alias("text_score"),
     )
     out = scoring.score_overall(rows.select("id", "task", "on_time"), quality, "id", "item_id", "task")
     stats = [f"{c}_{s}" for c in ("timing", "text", "overall") for s in ("mean", "std")]

@@ -32,7 +32,7 @@ from scanflow.streaming.runs import run_to_end, scratch
     "gaze_csv_frames",
     S.with_views("clicks")
     + """, s AS (SELECT event_id // 1000 AS part, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS i,
-      event_id, event_id % 1000 / 100.0::DOUBLE AS t, CASE WHEN k % 9 = 0 THEN NULL ELSE value / 500.0 END AS x,
+      event_id, event_id % 1000 / 100.0::DOUBLE AS t, CASE WHEN event_type = 'error' THEN NULL ELSE value / 500.0 END AS x,
       k / 100.0::DOUBLE AS y, 1 - k / 100.0::DOUBLE AS c FROM clicks),
     f AS (SELECT part, CAST(floor(t * 24) AS BIGINT) AS frame_idx, event_id, x, y, c FROM s WHERE x IS NOT NULL),
     p AS (SELECT *, row_number() OVER (PARTITION BY part, frame_idx ORDER BY event_id) AS i,
@@ -47,7 +47,7 @@ def gaze_csv_frames(spark, sf):
     rows = S.clicks(spark, sf).select(
         F.floor(e / 1000).alias("part"),
         ((e % 1000) / 100).alias("canonical_timestamp_s"),
-        F.when(F.col("k") % 9 != 0, F.col("value") / 500).alias("norm_pos_x"),
+        F.when(F.col("event_type") != "error", F.col("value") / 500).alias("norm_pos_x"),
         (F.col("k") / 100).alias("norm_pos_y"),
         (F.lit(1) - F.col("k") / 100).alias("confidence"),
     )
@@ -249,15 +249,14 @@ def stream_fixations_query(spark, sf):
 @query(
     "stream_alerts",
     S.with_views("sightings")
-    + """SELECT DISTINCT session_id, object FROM sightings WHERE in_fov AND object LIKE 'red%' AND session_id % 3 = 0""",
+    + """SELECT DISTINCT session_id, object FROM sightings WHERE in_fov AND object LIKE 'red%'""",
 )
 def stream_alerts_query(spark, sf):
     path = scratch(spark, "sightings")
     at = F.timestamp_seconds(F.col("start_s"))
     seen = S.sightings(spark, sf).where("in_fov").select("session_id", at.alias("at"), "object")
     seen.write.parquet(path)
-    targets = S.sightings(spark, sf).where(
-        F.col("object").startswith("red") & (F.col("session_id") % 3 == 0)
-    ).select("session_id", "object").distinct()
+    wanted = S.sightings(spark, sf).where(F.col("object").startswith("red"))
+    targets = wanted.select("session_id", "object").distinct()
     source = spark.readStream.schema(seen.schema).parquet(path)
     return run_to_end(stream_alerts(source, targets, "3000 seconds"), "alerts").select("session_id", "object").distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scanflow.functions import text
 from scanflow.functions.timecode import clock_short, mmss, range_text
-from scanflow.operators import draws, intervals, joins, objects, timeline
+from scanflow.operators import draws, intervals, joins, objects, segments, timeline
 from scanflow.session import cut
 
 BY = ["session_id"]
@@ -256,6 +256,12 @@ def range_text_rounded(start: Column, end: Column) -> Column:
     return F.concat(F.lit("["), clock_short(start), F.lit(" - "), clock_short(end), F.lit("]"))
 
 
+def askable(episodes: DataFrame) -> DataFrame:
+    """Episodes with bounds, a named object and, where the column exists, a caption."""
+    out = segments.require_valid_interval(episodes, "object").where(F.trim("object") != "")
+    return out.where(F.trim("caption") != "") if "caption" in episodes.columns else out
+
+
 def identify_easy(episodes: DataFrame) -> DataFrame:
     """Name the gazed object; wrong options are session names never seen close to the gaze."""
     flat = objects.fields_of_objects(episodes, BY)
@@ -265,7 +271,7 @@ def identify_easy(episodes: DataFrame) -> DataFrame:
         .where(~F.col("near"))
     )
     pool = draws.ranked_pool(usable, BY, "identify")
-    items = episodes.select(*KEY, "object", "start_s", "end_s")
+    items = askable(episodes).select(*KEY, "object", "start_s", "end_s")
     own = F.array(F.lower("object"))
     drawn = draws.draw_from_pool(items, pool, BY, KEY, 3, "identify", exclude=own, keep_unmatched=True)
     spare = F.filter(
@@ -281,7 +287,7 @@ def identify_hard(episodes: DataFrame) -> DataFrame:
     """Name the gazed object; wrong options are outside the view at that moment."""
     others = F.filter("outside", lambda o: F.lower(F.trim(o)) != F.lower("object"))
     filled = (
-        episodes.withColumn("_o", text.distinct_ci(F.transform(others, F.lower)))
+        askable(episodes).withColumn("_o", text.distinct_ci(F.transform(others, F.lower)))
         .where(F.size("_o") >= 3)
         .withColumn("wrong", draws.draw_from_array(F.col("_o"), 3, "hard", *[F.col(k) for k in KEY]))
     )

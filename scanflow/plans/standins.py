@@ -133,12 +133,12 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third order as an action entry; half of them collide with an object entry."""
+    """Fulfilled orders as action entries; half of them collide with an object entry."""
     start = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("double")
     shift = F.when(F.col("o_orderkey") % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0))
     return (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderkey") % 3 == 0)
+        .where(F.col("o_orderstatus") == "F")
         .select(
             F.col("o_custkey").alias("session_id"),
             (start + shift).alias("start_s"),
@@ -275,7 +275,7 @@ _CTE = {
         f"""SELECT o_custkey AS session_id, {_DAYS} + CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0 END AS start_s,
         {_DAYS} + o_orderkey % 30 + 1 + CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0 END AS end_s,
         'use ' || ['anvil', 'tool', 'plate', 'bolt'][o_orderkey % 4 + 1] || ' ' || CAST(o_orderkey % 11 AS VARCHAR) AS action, o_orderkey AS pos
-        FROM orders WHERE o_orderkey % 3 = 0""",
+        FROM orders WHERE o_orderstatus = 'F'""",
     ),
     "merged": (
         ["timeline", "order_actions"],
