@@ -166,12 +166,13 @@ def identify(items: DataFrame) -> DataFrame:
     named = items.withColumn("object", text.norm_name(F.col("object"))).withColumn(
         "options", _renamed_options(F.col("options"))
     )
-    texts = values(F.col("options"))
+    # each step is a column of its own: lambdas read it instead of computing it per element
+    texts = F.col("_texts")
     plurals = F.create_map(*[F.lit(w) for one, many in text.SINGULAR_PLURAL for w in (many, one)])
     extra = F.filter(texts, lambda v: F.array_contains(texts, F.try_element_at(plurals, v)))
-    truth = F.get(texts, F.ascii("answer") - 65)
-    left = F.filter(texts, lambda v: ~F.array_contains(extra, v))
-    prepared = named.select("*", extra.alias("_extra"), truth.alias("_truth"), left.alias("_left"))
+    left = F.filter(texts, lambda v: ~F.array_contains(F.col("_extra"), v))
+    prepared = named.withColumn("_texts", values(F.col("options"))).withColumn("_extra", extra)
+    prepared = prepared.withColumn("_left", left).withColumn("_truth", F.get(texts, F.ascii("answer") - 65))
     paired = F.size("_extra") > 0
     gone = paired & ((F.size("_left") < 4) | F.array_contains("_extra", F.col("_truth")))
     reason = reasons(
@@ -187,7 +188,7 @@ def identify(items: DataFrame) -> DataFrame:
         prepared.withColumn("reason", reason)
         .withColumn("answer", F.when(repair, letter).otherwise(F.col("answer")))
         .withColumn("options", F.when(repair, draws.lettered(F.col("_left"))).otherwise(F.col("options")))
-        .drop("_extra", "_truth", "_left")
+        .drop("_texts", "_extra", "_truth", "_left")
     )
 
 
