@@ -4,8 +4,8 @@ Such a fold is sequential within a session, yet a session may be far too long fo
 task. Every chunk is therefore folded on its own, as if a segment began at its first
 row, and the open segment at the end of a chunk is handed to the next one. A chunk whose
 assumed entry differs from what the previous chunk hands over is folded again. Breaks
-re-anchor the fold, so corrections die out after a chunk or two; rounds go on until no
-chunk's entry changes, which makes the result exact. Quiet chunks, which no break
+re-anchor the fold, so corrections tend to die out soon; rounds go on until no chunk's
+entry changes, which makes the result exact. Quiet chunks, which no break
 touches, are crossed by adding their totals, without a round each.
 """
 
