@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanflow.llm import suffix_dedup
+from scanflow.llm import decontaminate, mixing, quality_rules, ranking, sharding, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,3 +32,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from each document because a 100-byte string around them starts earlier."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains a benchmark item, with the item and the share of it found."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_source_mixing")
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources by weights 1, 2, 3 takes from each document."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the url query.
+URL_RULES = (
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+)
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page url."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics, the base rule and the learned decision list for every document."""
+    docs = table(spark, sf_dir, "documents")
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"]
+    return quality_rules.judge(docs, rules).select(*columns)
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among 16 shards, and its shard among 17."""
+    return sharding.assign(table(spark, sf_dir, "documents"), 16)
+
+
+@query("op10_pairwise_ranking")
+def op10_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels outside the held-out third."""
+    return ranking.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
