@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanflow.llm import decontaminate, mixing, quality_rules, ranking, sharding, suffix_dedup, url_filter
+from scanflow.llm import decontaminate, mixing, near_dedup, quality_rules, ranking, sharding, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+@query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document: 3-word shingles, similarity of 0.85 or more."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the url query.
 URL_RULES = (
     url_filter.Rule("org", "/", "allow"),
