@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanflow.llm import decontaminate, mixing, near_dedup, quality_rules, ranking, sharding, suffix_dedup, url_filter
+from scanflow.llm import (
+    decontaminate,
+    extract,
+    mixing,
+    near_dedup,
+    quality_rules,
+    ranking,
+    sharding,
+    suffix_dedup,
+    surrogates,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +57,18 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
+@query("op4_surrogates")
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with keyed surrogates in place of personal data, and where they stand."""
+    return surrogates.replace(table(spark, sf_dir, "documents"), key="corpus-surrogates")
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op6_near_dedup")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document: 3-word shingles, similarity of 0.85 or more."""
