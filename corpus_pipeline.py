@@ -6,6 +6,7 @@ Each stage reads what the stage before has kept. All but the last return the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scanflow.llm import decontaminate, mixing, near_dedup, ranking, sharding
 from scanflow.session import cut
@@ -35,7 +36,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources brought to weights 1, 2, 3: each document with the words the mix reads of it."""
-    return mixing.mix_texts(docs)
+    mixed = mixing.mix_texts(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

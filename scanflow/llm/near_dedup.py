@@ -11,8 +11,8 @@
 * **Rest.** Two classes of one star can be linked although their centre is not. Stars whose members lie in
   several components are checked again, on full sets: only members outside the centre's component are
   compared, with the members of other components, in blocks of bounded size. No link between members of a star
-  is lost; what the bands can miss is a pair at the threshold that shares none of them, 2.3e-7 of such pairs
-  with 8 rows, 48 bands and 0.85.
+  is lost; what the bands can miss is a pair at the threshold that shares none of them. There are as many
+  bands as make that rarer than ``miss`` (42 for 0.85 and 1e-7).
 
 Texts travel to the two verifications only for classes with candidates. Nothing is collected: edges, stars and
 components are tables.
@@ -38,14 +38,21 @@ from scanflow.session import cut
 
 SHINGLE = 3
 PERCENT = 85
-ROWS = 8
-BANDS = 48
+ROWS = 7
+MISS = 1e-7
 BLOCK = 256
 TRIES = 400
 SLAB = 1 << 20
 LAST = (1 << 63) - 1
 
 
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands so that a pair at the threshold shares none with a chance of at most ``miss``."""
+    if percent >= 100:
+        return 1
+    return int(np.ceil(np.log(miss) / np.log1p(-((percent / 100) ** rows))))
+
+
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all rows, sorted by (row, hash), and their rows."""
     lowered = tb.lower_ascii(data)
@@ -269,10 +276,10 @@ def _named(c: str) -> Column:
 
 def near_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-    rows: int = ROWS, bands: int = BANDS, block: int = BLOCK,
+    rows: int = ROWS, miss: float = MISS, block: int = BLOCK,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    found = _groups(docs, doc_id, text, shingle, percent, rows, bands, block)
+    found = _groups(docs, doc_id, text, shingle, percent, rows, bands_for(percent, rows, miss), block)
     return found.select(
         _named("doc").alias(doc_id), F.col("n").alias("n_shingles"), _named("least").alias("component_id"),
         (F.col("doc") == F.col("least")).alias("kept"),
@@ -281,10 +288,10 @@ def near_groups(
 
 def one_per_group(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-    rows: int = ROWS, bands: int = BANDS, block: int = BLOCK,
+    rows: int = ROWS, miss: float = MISS, block: int = BLOCK,
 ) -> DataFrame:
     """The row of least id of each group, with all its columns. Rows equal in id and text stay together."""
-    found = _groups(docs, doc_id, text, shingle, percent, rows, bands, block)
+    found = _groups(docs, doc_id, text, shingle, percent, rows, bands_for(percent, rows, miss), block)
     stay = found.where(F.col("doc") == F.col("least")).select(F.col("doc").alias("_doc"), F.col("print").alias("_print")).distinct()
     keyed = docs.withColumns(
         {"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_print": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}

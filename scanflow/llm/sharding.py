@@ -127,7 +127,7 @@ def place(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", tree: Tree
     kept = docs.drop("shard", "slot")
     order = [c for c, kind in kept.dtypes if c != doc_id and not kind.startswith(("map", "variant"))]
     shard = placed(F.col(doc_id), tree or even_tree(shards))["shard"]
-    return with_slots(kept.withColumn("shard", shard), "shard", doc_id, order)
+    return with_slots(kept.withColumn("shard", shard), "shard", doc_id, order).select(*kept.columns, "shard", "slot")
 
 
 def write_shards(placed_docs: DataFrame, path: str, files: int = 1) -> None:

@@ -83,12 +83,12 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, starts - (starts[0] if len(starts) else 0)
 
 
-def row_groups(offsets: np.ndarray, size: int):
-    """Ranges of whole rows of about ``size`` bytes each (one row at least)."""
+def row_groups(offsets: np.ndarray, size: int, most: int = 2048):
+    """Ranges of whole rows of about ``size`` bytes and at most ``most`` rows each (one row at least)."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
-        last = min(n, max(last, first + 1))
+        last = min(n, max(last, first + 1), first + most)
         yield first, last
         first = last
 
