@@ -183,7 +183,8 @@ def _read_pieces(docs: DataFrame, doc_id: str, text: str, source: str, weights:
     sources = targets(sized, weights, repeats)
     pieces = _pieces(_offsets(sized, sources, CHUNKS), block)
     times = slots(sources, block, seed=seed).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-    return pieces.join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    # both sides grow with the words, though a planner sees the slots come from a few source rows
+    return pieces.join(times.hint("merge"), ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
 
 def mix_sizes(
