@@ -220,7 +220,7 @@ def _rest_links(edges: DataFrame, roots: DataFrame, texts: DataFrame, shingle: i
     other = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select("hub", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "comp", "rest", "doc", "print")
     return (
-        pairs.join(texts, ["doc", "print"])
+        texts.join(pairs.hint("merge"), ["doc", "print"])
         .select("hub", "low", "high", "comp", "rest", "text")
         .groupBy("hub", "low", "high")
         .applyInArrow(_block_links(shingle, percent), "u long, v long")
