@@ -1,0 +1,159 @@
+"""Surrogates and main text."""
+
+import html
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import ODD_SCHEMA, odd_rows
+from scanflow.llm import extract, surrogates
+
+KEY = b"k" * 32
+PRIVATE = re.compile(r"\S+@\S+\.com|\+1 \(\d{3}\) 555-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{16}\b|\b[0-9a-fA-F]{40}\b")
+
+
+def read(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new(text):
+    return surrogates.rewrite(text, KEY)[0]
+
+
+def test_private_data_of_a_table_is_replaced(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    old = dict(docs.select("doc_id", "text").collect())
+    replaced = surrogates.replace(docs, "key")
+    rows = replaced.collect()
+    assert len(rows) == len(old) and sum(r.n_entities for r in rows) > 20
+    for r in rows:
+        found = set(PRIVATE.findall(old[r.doc_id]))
+        assert not any(f in r.text for f in found)
+        assert (r.n_entities == 0) == (not found) and (found or r.text == old[r.doc_id])
+        assert [len(w) for w in r.text.split("\n")] == [len(w) for w in old[r.doc_id].split("\n")] or found
+    assert surrogates.collisions(docs, replaced).count() == 0
+    other = surrogates.replace(docs, "another key").where("n_entities > 0").first()
+    assert other.text != next(r.text for r in rows if r.doc_id == other.doc_id)
+
+
+def test_collisions_are_seen(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com"), (2, "mail c@d.com")], "doc_id long, text string")
+    same = surrogates.replace(docs, "key").withColumn("spans", F.transform("spans", lambda s: s.withField("surrogate", F.lit("x@y.com"))))
+    assert [tuple(r) for r in surrogates.collisions(docs, same).collect()] == [("email", "x@y.com", 2)]
+
+
+@pytest.mark.parametrize("text", ["und.34@mail7.example.com", "+1 (017) 555-7713", "97.51.17.173", "4845168114407329", "A1.B2@MAIL.ORG", "4111 1111 1111 1111"])
+def test_format_is_kept(text):
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s)))
+    got = new(text)
+    assert got != text and new(f"see {text}, or {text}!") == f"see {got}, or {got}!"
+    assert shape(got) == shape(text) if "." not in text or "@" in text else re.fullmatch(r"\d+(\.\d+){3}", got)
+
+
+def test_types_are_kept():
+    assert surrogates._luhn(new("4111111111111111")) and not surrogates._luhn(new("4111111111111112"))
+    assert new("10.0.0.7").startswith("10.") and new("192.168.1.9").startswith("192.168.") and surrogates._range(0x08080808) == "public"
+    assert new("token = \"" + "ab12" * 10 + "\"").startswith('token = "') and re.search(r'"[0-9a-f]{40}"$', new("token = \"" + "ab12" * 10 + "\""))
+    assert new("+1 (017) 555-7713").replace(" ", "").startswith("+1(")
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(new("+1 (017) 555-7713")) == digits(new("+1 017 555 7713"))
+
+
+def test_names_keep_gender_script_and_identity():
+    women, men = (set(surrogates.GIVEN["latin", g]) for g in "fm")
+    first = lambda s: s.split(" ")[1].lower()
+    assert first(new("Mrs Anna Smith")) in women - {"anna"} and first(new("Mr. John Smith").replace("Mr. ", "Mr ")) in men - {"john"}
+    assert new("Mrs Anna Smith").split(" ")[2] == new("Mr John Smith").split(" ")[2] != "Smith"
+    assert new("Госпожа Мария Петрова").split(" ")[1].lower() in surrogates.GIVEN["cyrillic", "f"]
+    assert new("Dr Anna").split(" ")[1].lower() in women
+    assert len({new(f"Mr {n.title()}") for n in men}) == len(men)
+    assert new("a mister without capitals, Mr nobody") == "a mister without capitals, Mr nobody"
+
+
+def test_permutations_are_one_to_one():
+    for n in (1, 2, 7, 100, 1000):
+        assert sorted(surrogates.permute(v, n, KEY, b"t") for v in range(n)) == list(range(n))
+    wide = 10**400
+    assert surrogates.permute(5, wide, KEY, b"t") != surrogates.permute(6, wide, KEY, b"t") < wide
+    assert len({new(f"u{k:03d}@x.org") for k in range(500)}) == 500
+
+
+def test_plain_text_stays():
+    for text in ("Version 2.0. CC BY-NC 4.0", "In 1999, 3.5 % of 12,000", "a=b; c: d", "x" * 200_000, "1.2.3.4.5", "@home", "Der. Mr. "):
+        assert new(text) == text
+
+
+def test_surrogates_of_odd_rows(spark):
+    df = spark.createDataFrame(odd_rows(None, "", "a@b.org", "a@b.org", "long " * 50_000 + "a@b.org"), ODD_SCHEMA)
+    rows = {r.doc_id: r for r in surrogates.replace(df, "k").collect()}
+    assert rows[0].text is None and rows[1].text == "" and rows[2].text == rows[3].text != "a@b.org"
+    assert rows[4].text.endswith(" " + rows[2].text) and [r.n_entities for r in rows.values()].count(1) == 3
+    assert surrogates.replace(df.limit(0), "k").count() == 0
+
+
+# ---- main text ----
+
+
+def plain_article(page):
+    """Blocks of the article element of the generated pages."""
+    begin, end = page.find("<article>") + 9, page.find("</article>")
+    inner = page[begin : end if end >= 0 else len(page)]
+    parts = re.split(r"</?(?:p|h1)>", inner)
+    blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"</?b>|<[^>]*$", "", p.replace("<br>", " ")))).strip() for p in parts]
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_articles_of_a_table(spark):
+    pages = read(spark, "/root/testdata/sf0.01", "pages")
+    source = {r.page_id: r.html for r in pages.collect()}
+    rows = extract.extract(pages).collect()
+    assert len(rows) == len(source)
+    assert all(r.text == plain_article(source[r.page_id]) and r.n_chars == len(r.text) for r in rows)
+
+
+TEXT = "A sentence of the article, with a comma, that says something of interest to its readers. "
+
+
+def test_parts_outside_the_article_go():
+    page = f"""<html><head><title>T</title><style>p {{}}</style></head><body>
+    <header><a href=/>Home</a> Site name</header><div id=cookie-notice>{TEXT * 3}</div>
+    <div class="nav menu"><ul><li><a href=a>One, two</a></li></ul></div>
+    <div class=layout><div class="post-content"><h2>Head &amp; tail</h2><p>{TEXT}</p><div class="ad">{TEXT}</div>
+    <p>Short.</p><form><p>{TEXT}</p></form><ul><li>item one</li><li>item <i>two</i></ul><script>var a = "<p>";</script></div>
+    <div class="sidebar"><p>{TEXT * 2}</p></div><div id="comments"><p>{TEXT * 9}</p></div></div><footer>{TEXT}</footer></body></html>"""
+    assert extract.main_text(page).split("\n\n") == ["Head & tail", TEXT.strip(), "Short.", "item one", "item two"]
+
+
+def test_siblings_and_links():
+    page = f"<div><div><p>{TEXT * 2}</p></div><p>{TEXT}</p><p><a href=x>{TEXT}</a></p></div>"
+    got = extract.main_text(page).split("\n\n")
+    assert got == [(TEXT * 2).strip(), TEXT.strip()]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (None, ""), ("", ""), ("<p></p>", ""), ("plain text", "plain text"), ("<article>a<b>b</b>c<br>d</article>", "abc d"),
+        ("<p>one<p>two", "one\n\ntwo"), ("<article><p>x &lt;y&gt; &eacute;&#233;&#x41;&nbsp;z</p><p", "x <y> ééA z"),
+        ("<article><p>1 < 2 and <3</p></article>", "1 < 2 and <3"), ("<article><p title='a>b'>t</p><!-- <p>no</p> --></article>", "t"),
+        ("<main><table><tr><td>a<td>b<tr><td>c</table></main>", "a\n\nb\n\nc"), ("<article><P CLASS=x>U</P></ARTICLE>", "U"),
+        ("<script><p>never</p>", ""), ("<article><p>kept</p><script>lost", "kept"), ("</p></div>", ""),
+    ],
+)
+def test_small_pages(page, want):
+    assert extract.main_text(page) == want
+
+
+def test_deep_and_long_pages():
+    assert extract.main_text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    long_ = "<article>" + "<p>block of text</p>" * 20_000 + "</article>"
+    assert extract.main_text(long_).count("\n\n") == 19_999
+
+
+def test_pages_with_odd_rows(spark):
+    rows = [(1, None, None, "x"), (None, "u", "<article>a</article>", None), (2, "u", "<article>a</article>", "y"), (2, "u", "<article>a</article>", "y")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in extract.extract(df).collect())
+    assert got == [(0, "a", 1), (1, "", 0), (2, "a", 1), (2, "a", 1)]
+    assert extract.extract(df.limit(0)).count() == 0
