@@ -8,8 +8,11 @@ records by format; ingest those once and keep the result as Parquet.
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -97,7 +100,7 @@ def read_gaze_csv(spark: SparkSession, path: str) -> DataFrame:
     """Timestamped normalised samples with a confidence."""
     schema = "canonical_timestamp_s double, norm_pos_x double, norm_pos_y double, confidence double"
     return _csv(spark, path, schema).select(
-        session_of(F.col("_metadata.file_path")).alias("session_id"),
+        session_of(F.col("_file")).alias("session_id"),
         F.col("canonical_timestamp_s").alias("t"),
         F.col("norm_pos_x").alias("x"),
         F.col("norm_pos_y").alias("y"),
@@ -105,14 +108,66 @@ def read_gaze_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
-    return spark.read.schema(schema).options(header="true", enforceSchema="false", **options).csv(path)
+_LAST = "\ue000"
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` and ``header``, the first line of each file."""
+    first = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_nr"), "value",
+    )
+    return first.where("_block = 0").groupBy("file").agg(F.min_by("value", "_nr").alias("header"))
+
+
+def _csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
+    """Delimited files with a header each, their columns taken by name; ``_file`` is the file of a row.
+
+    Files may order, add and lack columns as they like. A line with too few fields has nulls at its end, a
+    value that does not fit its type is null, blank lines are no rows, and only lines with more fields than
+    their header are left out (``csv_drops`` counts them). The kinds of header, not the files, are known to
+    the driver. A line equal to its file's header is not data.
+    """
+    fields = T._parse_datatype_string(schema).fields
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
+    headers = _headers(spark, path).select(F.col("file").alias("_file"), F.col("header").alias("_header"))
+    parts = []
+    for (header,) in headers.select("_header").distinct().orderBy("_header").collect():
+        names = [n.strip().strip('"').lstrip("\ufeff") for n in next(csv.reader([header], delimiter=sep, skipinitialspace=True), [])]
+        row = ", ".join(f"f{i} string" for i in range(len(names) + 1))
+        # a mark after the last field tells how many there are: it is out of sight on long lines only
+        options = {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true"}
+        own = lines.join(headers.where(F.col("_header").eqNullSafe(F.lit(header))).select("_file"), "_file")
+        body = own.where((F.trim("value") != "") & (F.col("value") != F.lit(header)))
+        marked = body.withColumn("r", F.from_csv(F.concat("value", F.lit(sep + _LAST)), row, options))
+        kept = marked.where(reduce(Column.__or__, (F.col(f"r.f{i}").eqNullSafe(_LAST) for i in range(len(names) + 1))))
+        place = {n: i for i, n in reversed(list(enumerate(names)))}
+
+        def field(f: T.StructField, place=place) -> Column:
+            if f.name not in place:
+                return F.lit(None).cast(f.dataType).alias(f.name)
+            text = F.col(f"r.f{place[f.name]}")
+            return F.when((F.trim(text) != "") & (text != _LAST), text.try_cast(f.dataType)).alias(f.name)
+
+        parts.append(kept.select(*map(field, fields), "_file"))
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, _file string")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def csv_drops(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """``file`` and ``dropped``: lines with more fields than their header."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    # separators outside quotes
+    count = lambda c: F.regexp_count(F.regexp_replace(c, '"[^"]*"', ""), F.lit(re.escape(sep)))
+    long_ = lines.join(_headers(spark, path), "file").where((F.trim("value") != "") & (count(F.col("value")) > count(F.col("header"))))
+    return long_.groupBy("file").agg(F.count(F.lit(1)).alias("dropped"))
 
 
 def read_gaze_2d(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
     """Projected gaze: normalised point (centre when missing) and type per frame."""
     schema = "frame_idx long, timestamp_sec double, u double, v double, valid boolean, in_frame boolean"
-    raw = _csv(spark, path, schema).withColumn("session_id", session_of(F.col("_metadata.file_path")))
+    raw = _csv(spark, path, schema).withColumn("session_id", session_of(F.col("_file")))
     missing = F.col("u").isNull() | F.col("v").isNull()
     return raw.select(
         "session_id",
@@ -225,7 +280,7 @@ def read_fine_annotations(
     spark: SparkSession, path: str, schema: str, scene: str | None = None, sessions: DataFrame | None = None
 ) -> DataFrame:
     """Narrated intervals of one scene, or of the listed sessions."""
-    rows = spark.read.schema(schema).options(header="true", quote='"', escape='"').csv(path)
+    rows = _csv(spark, path, schema)
     if scene is not None:
         rows = rows.where(F.col("scene") == scene)
     if sessions is not None:
@@ -274,26 +329,22 @@ def read_nested_annotations(spark: SparkSession, path: str, label: str = "Fine g
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted CSV; rows that do not fit the schema are skipped, leading blanks cut."""
-    return spark.read.schema(schema).options(
-        header="true", mode="DROPMALFORMED", ignoreLeadingWhiteSpace="true", quote='"', escape='"', multiLine="false"
-    ).csv(path)
+    """Quoted CSV by column name: every line is a row, but for lines with too many fields."""
+    return _csv(spark, path, schema).drop("_file")
 
 
 def union_session_files(spark: SparkSession, pattern: str, fallback: str | None, schema: str) -> DataFrame:
     """Per-session CSVs as one table with ``session_name`` (their folder) and ``source_file``.
 
-    Files without rows add nothing. ``fallback`` is read when ``pattern`` matches no file.
+    Files without rows add nothing, columns a file lacks are null. ``fallback`` is read when ``pattern``
+    matches no file.
     """
     path = pattern
     if fallback is not None and not _matches(spark, pattern):
         path = fallback
-    rows = read_csv_tolerant(spark, path, schema)
-    return rows.select(
-        "*",
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("session_name"),
-        F.col("_metadata.file_path").alias("source_file"),
-    )
+    return _csv(spark, path, schema).withColumns(
+        {"session_name": F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1), "source_file": F.col("_file")}
+    ).drop("_file")
 
 
 def _matches(spark: SparkSession, pattern: str) -> bool:

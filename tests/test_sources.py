@@ -176,3 +176,29 @@ def test_sinks(spark, tmp_path):
     assert "written_at" in spark.read.json(str(tmp_path / "sum")).columns
     sinks.write_report({"all": df}, str(tmp_path / "rep"))
     assert spark.read.option("header", True).csv(str(tmp_path / "rep/all")).count() == 10
+
+
+def test_csv_columns_go_by_name_and_no_row_is_lost(spark, tmp_path):
+    root = tmp_path / "by-name"
+    write(root / "a" / "f.csv", "id,name,score\n1,x,0.5\n2,y\n3,z,bad\n")
+    write(root / "b" / "f.csv", 'name,id,score\n"p, q",4,1.5\n\n r,5,2\n')
+    write(root / "c" / "f.csv", "score,id,extra,name\n3,6,e,s\n1,7,e,t,too,many\n")
+    write(root / "d" / "f.csv", "id,name\n8,u\n9,\n10,w,\n")
+    write(root / "e" / "f.csv", "id,name,score\n")
+    read = readers.union_session_files(spark, f"{root}/*/f.csv", None, "id long, name string, score double")
+    rows = sorted((r.id, r.name, r.score, r.session_name) for r in read.collect())
+    assert rows == [
+        (1, "x", 0.5, "a"), (2, "y", None, "a"), (3, "z", None, "a"), (4, "p, q", 1.5, "b"), (5, "r", 2.0, "b"),
+        (6, "s", 3.0, "c"), (8, "u", None, "d"), (9, None, None, "d"),
+    ]
+    assert read.count() == len(rows) == read.select("score").count()
+    drops = {r.file.split("/")[-2]: r.dropped for r in readers.csv_drops(spark, f"{root}/*/f.csv").collect()}
+    assert drops == {"c": 1, "d": 1}
+
+
+def test_gaze_csvs_take_columns_by_name(spark, tmp_path):
+    path = write(tmp_path / "s.csv", "confidence,extra,norm_pos_y,norm_pos_x,canonical_timestamp_s\n0.9,1,0.3,0.2,0.1\n")
+    assert [tuple(r) for r in readers.read_gaze_csv(spark, path).collect()] == [("s", 0.1, 0.2, 0.3, 0.9)]
+    path = write(tmp_path / "t.csv", "u,v,frame_idx,in_frame,valid\n448,252,7,True,True\n")
+    (row,) = readers.read_gaze_2d(spark, path, 896, 504).collect()
+    assert (row.frame_idx, row.px, row.gaze_type) == (7, 0.5, 1)
