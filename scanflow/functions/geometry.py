@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -25,19 +22,22 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def camera_point(pose: pd.Series, px: pd.Series, py: pd.Series, pz: pd.Series) -> pd.Series:
-    """World point in camera axes: one batched 4x4 inverse per Arrow batch."""
-    out = np.empty(len(pose), dtype=object)
-    known = (pose.notna() & px.notna() & py.notna() & pz.notna()).to_numpy()
-    if known.any():
-        matrices = np.stack(pose[known].map(np.asarray).to_list()).reshape(-1, 4, 4)
-        points = np.stack([px[known], py[known], pz[known], np.ones(int(known.sum()))], axis=1)
-        cam = np.einsum("nij,nj->ni", np.linalg.inv(matrices), points)
-        # axis change of the headset camera: (x, y, z) -> (-y, -z, x)
-        for row, point in zip(np.flatnonzero(known), np.stack([-cam[:, 1], -cam[:, 2], cam[:, 0]], axis=1)):
-            out[row] = point
-    return pd.Series(out, index=pose.index)
+def _minor(m: list[list[Column]], row: int, col: int) -> Column:
+    """Determinant of a 4x4 matrix without one row and column."""
+    (a, b, c), (d, e, f), (g, h, i) = [[x for k, x in enumerate(r) if k != col] for j, r in enumerate(m) if j != row]
+    return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+
+
+def camera_point(pose: Column, px: Column, py: Column, pz: Column) -> Column:
+    """World point in camera axes by the pose's inverse; null for a pose that has none."""
+    m = [[F.get(pose, 4 * r + c) for c in range(4)] for r in range(4)]
+    point = [px, py, pz, F.lit(1.0)]
+    cofactor = [[_minor(m, r, c) * (-1.0 if (r + c) % 2 else 1.0) for c in range(4)] for r in range(4)]
+    det = sum((m[0][c] * cofactor[0][c] for c in range(1, 4)), m[0][0] * cofactor[0][0])
+    whole = F.when(det != 0, det)
+    x, y, z = (sum((cofactor[r][c] * point[r] for r in range(1, 4)), cofactor[0][c] * point[0]) / whole for c in range(3))
+    # axis change of the headset camera: (x, y, z) -> (-y, -z, x)
+    return F.when(whole.isNotNull() & px.isNotNull() & py.isNotNull() & pz.isNotNull(), F.array(-y, -z, x))
 
 
 def ray_point(origin: Column, direction: Column, reach: float) -> Column:

@@ -48,6 +48,7 @@ CONFUSING_PAIRS = {
     ],
 }
 SINGULAR_PLURAL = [
+    ("counter", "countertop"), ("tomato", "tomatoes"), ("onion", "onions"),
     ("pepper", "peppers"), ("knife", "knives"), ("plate", "plates"), ("bowl", "bowls"),
     ("spoon", "spoons"), ("fork", "forks"), ("cup", "cups"),
 ]
@@ -82,9 +83,9 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def light_norm(text: Column) -> Column:
-    """NFKC, trimmed, blanks collapsed; plain ASCII never leaves the JVM."""
+    """NFKC, trimmed, blanks collapsed. The Python function is handed null for plain ASCII text."""
     value = F.coalesce(text, F.lit(""))
-    plain = F.when(value.rlike(r"[^\x00-\x7F]"), nfkc(value)).otherwise(value)
+    plain = F.coalesce(nfkc(F.when(value.rlike(r"[^\x00-\x7F]"), value)), value)
     return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
 
 
@@ -211,11 +212,11 @@ def _literal_as_json(text: pd.Series) -> pd.Series:
 def parse_literal(text: Column, schema: str) -> Column:
     """JSON or Python-literal text as typed data, null when it is neither.
 
-    Most values parse inside the JVM (single quotes allowed). Only rows carrying Python
-    constants or quotes inside words go through the Arrow batch parser.
+    Most values parse inside the JVM (single quotes allowed). The Arrow batch parser is handed
+    null for all but values with Python constants or quotes inside words.
     """
     python_like = text.rlike(r"\b(None|True|False)\b") | text.rlike(r"\w'\w")
-    repaired = F.when(python_like, _literal_as_json(text)).otherwise(text)
+    repaired = _literal_as_json(F.when(python_like, text))
     return F.from_json(F.coalesce(repaired, text), schema, {"allowSingleQuotes": "true"})
 
 

@@ -45,7 +45,7 @@ def draw_from_pool(
     pool: DataFrame,
     by: Sequence[str],
     key: Sequence[str],
-    k: int,
+    k: int | Column,
     seed: str,
     exclude: Column | None = None,
     name: str = "object",
@@ -70,10 +70,11 @@ def draw_from_pool(
     held = [F.col(c) for c in items.columns if c not in by]
     ids = [f"_k{i}" for i in range(len(key))]
     wanted = F.lit(True) if needed is None else needed
-    reads = F.when(F.col("_needed"), F.least(F.col("_n"), F.lit(k) + F.size("_banned")))
+    want = F.lit(k) if isinstance(k, int) else k
+    reads = F.when(F.col("_needed"), F.least(F.col("_n"), F.col("_want") + F.size("_banned")))
     steps = F.when(reads > 0, F.sequence(F.lit(0).cast("long"), reads - 1))
     probes = (
-        items.select(*by, F.struct(*held).alias("_item"), banned.alias("_banned"), wanted.alias("_needed"))
+        items.select(*by, F.struct(*held).alias("_item"), banned.alias("_banned"), wanted.alias("_needed"), want.alias("_want"))
         .join(sizes, by, how)
         .withColumns({i: _held(c, by) for i, c in zip(ids, key)})
         .withColumn("_begin", F.pmod(hash60(seed, *[F.col(i) for i in ids]), F.col("_n")))
@@ -86,7 +87,7 @@ def draw_from_pool(
         *ids,
         "_step",
         F.pmod(F.col("_begin") + F.col("_step"), F.col("_n")).alias("rank"),
-        F.when(once, F.struct("_item", "_banned")).alias("_once"),
+        F.when(once, F.struct("_item", "_banned", "_want")).alias("_once"),
     )
     found = probes.join(pool.select(*by, "rank", name), [*by, "rank"], how)
     read = F.when(F.col(name).isNotNull(), F.struct("_step", F.col(name).alias("v")))
@@ -95,7 +96,7 @@ def draw_from_pool(
         F.first("_once", ignorenulls=True).alias("_once"), F.array_sort(F.collect_list(read)).alias("_found")
     )
     free = F.filter("_found", lambda s: ~F.array_contains(F.col("_once._banned"), s["v"]))
-    drawn = F.transform(F.slice(free, 1, k), lambda s: s["v"])
+    drawn = F.transform(F.slice(free, 1, F.col("_once._want")), lambda s: s["v"])
     return grouped.select(*by, "_once._item.*", drawn.alias(out))
 
 

@@ -52,18 +52,14 @@ def episode_bounds(members: DataFrame, by: Sequence[str] = ("session_id",)) -> D
 
 
 def member_lists(
-    members: DataFrame, by: Sequence[str], cols: Sequence[str], size: int = 10_000
+    members: DataFrame, by: Sequence[str], cols: Sequence[str]
 ) -> DataFrame:
-    """Nested form for file output: ordered lists of member values per episode.
+    """Nested form for file output: one row per episode with ordered lists of member values.
 
-    An episode may run through a whole recording, so lists are cut every ``size`` members:
-    ``part`` numbers the lists of an episode, and nearly all episodes have only part 0.
+    A list holds a whole episode. Members as rows (``members`` itself) are the form for further work.
     """
-    part = F.floor((F.col("nr") - F.col("episode")) / F.lit(size)).cast("long")
-    nested = members.groupBy(*by, "episode", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("nr", *cols))).alias("_m")
-    )
-    return nested.select(*by, "episode", "part", *[F.col(f"_m.{c}").alias(c) for c in cols])
+    nested = members.groupBy(*by, "episode").agg(F.array_sort(F.collect_list(F.struct("nr", *cols))).alias("_m"))
+    return nested.select(*by, "episode", *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
 def merge_intervals(
@@ -104,7 +100,11 @@ def longest_per_object(episodes: DataFrame, by: Sequence[str], name: str, pos: S
     return best.select(*by, name, "_b.*")
 
 
-def alert_points(first: Column, question: Column, offsets=(-20, -10, 0, 10, 20), horizon: float = 300.0) -> Column:
+#: Seconds around a first appearance at which an alert is tested.
+ALERT_OFFSETS = (-20, -10, 0, 10, 20)
+
+
+def alert_points(first: Column, question: Column, offsets: Sequence[float] = ALERT_OFFSETS, horizon: float = 300.0) -> Column:
     """Evaluation times around a first appearance that lie in [question, question + horizon]."""
     times = F.array(*[first + F.lit(float(o)) for o in offsets])
     return F.filter(times, lambda t: (t >= question) & (t <= question + F.lit(horizon)))

@@ -137,9 +137,11 @@ def window_totals(
     """Count and sum of the samples inside each request's window ``[low, high]``.
 
     A request turns into two probes whose running totals are subtracted, so a prefix
-    window costs two rows however long the prefix is.
+    window costs two rows however long the prefix is. Totals are decimals, so nothing is lost when large
+    values outside a window cancel out; values have up to 12 decimal places and 26 digits before them.
     """
     by = list(by)
+    exact = "decimal(38,12)"
     probes = requests.select(
         *by,
         key,
@@ -153,7 +155,7 @@ def window_totals(
     # the lower probe sorts before samples at its time, the upper one after them
     stream = probes.withColumn("_side", F.col("_sign")).unionByName(
         samples.select(
-            *by, F.col("t").cast("double").alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_v"),
+            *by, F.col("t").cast("double").alias("_at"), F.lit(0).alias("_side"), F.col(value).cast(exact).alias("_v"),
             F.lit(1).alias("_one"),
         ),
         allowMissingColumns=True,
@@ -164,11 +166,11 @@ def window_totals(
         ["_at", "_side"],
         ordered.bucket(F.col("_at"), chunk),
         _n=ordered.running_sum(F.coalesce(F.col("_one"), F.lit(0))),
-        _s=ordered.running_sum(F.coalesce(F.col("_v"), F.lit(0.0))),
+        _s=ordered.running_sum(F.coalesce(F.col("_v"), F.lit(0).cast(exact))),
     ).where(F.col("_side") != 0)
     return totals.groupBy(*by, key).agg(
         F.sum(F.col("_n") * F.col("_sign")).alias("n_visible"),
-        F.sum(F.col("_s") * F.col("_sign")).alias("sum_visible"),
+        F.sum(F.when(F.col("_sign") > 0, F.col("_s")).otherwise(-F.col("_s"))).cast("double").alias("sum_visible"),
     )
 
 
@@ -179,11 +181,14 @@ def equi_join_last(left: DataFrame, right: DataFrame, key: str, seq: str) -> Dat
     return left.join(last, F.col(key).eqNullSafe(F.col("_key"))).select(*left.columns, "_row.*")
 
 
-def zip_positions(questions: DataFrame, predictions: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Array elements paired by position, cut to the shorter array."""
-    q = questions.select(key, F.posexplode(left).alias("pos", left))
-    p = predictions.select(key, F.posexplode(right).alias("pos", right))
-    return q.join(p, [key, "pos"])
+def zip_positions(items: DataFrame, left: str, right: str, keep: Sequence[str]) -> DataFrame:
+    """Elements of two arrays of a row paired by position, cut to the shorter array; no shuffle."""
+    n = F.least(F.size(left), F.size(right))
+    cut = [F.slice(c, 1, n).alias(c) for c in (left, right)]
+    whole = items.where((F.size(left) > 0) & (F.size(right) > 0)).select(*keep, *cut)
+    return whole.select(*keep, F.posexplode(F.arrays_zip(left, right)).alias("pos", "_pair")).select(
+        *keep, "pos", F.col(f"_pair.{left}").alias(left), F.col(f"_pair.{right}").alias(right)
+    )
 
 
 def attach_results(requests: DataFrame, results: DataFrame, key: str) -> DataFrame:

@@ -41,25 +41,30 @@ def scanpath(episodes: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFr
 def timeline_merge(objects: DataFrame, actions: DataFrame, by: Sequence[str] = ("session_id",)) -> DataFrame:
     """One entry per (start, end): object entries win over an action with the same bounds.
 
-    Of several actions with equal bounds the first by ``pos`` stays.
+    Object entries with equal bounds become one with the names of all, in the order of their lists; of
+    several actions with equal bounds the first by ``pos`` stays.
     """
     by = list(by)
     both = objects.select(*by, "start_s", "end_s", F.struct("fov", "outside").alias("_objects")).unionByName(
         actions.select(*by, "start_s", "end_s", F.struct("pos", "action").alias("_action")), allowMissingColumns=True
     )
     merged = both.groupBy(*by, "start_s", "end_s").agg(
-        F.first("_objects", ignorenulls=True).alias("_objects"),
+        F.sort_array(F.collect_list("_objects")).alias("_objects"),
         F.min("_action").alias("_action"),
     )
     empty = F.array().cast("array<string>")
-    is_object = F.col("_objects").isNotNull()
+    is_object = F.size("_objects") > 0
+
+    def names(side: str) -> Column:
+        return F.array_distinct(F.flatten(F.transform("_objects", lambda o: F.coalesce(o[side], empty))))
+
     return merged.select(
         *by,
         "start_s",
         "end_s",
         F.when(is_object, "objects").otherwise("action").alias("kind"),
-        F.coalesce("_objects.fov", empty).alias("fov"),
-        F.coalesce("_objects.outside", empty).alias("outside"),
+        names("fov").alias("fov"),
+        names("outside").alias("outside"),
         F.when(~is_object, F.col("_action.action")).alias("action"),
     )
 

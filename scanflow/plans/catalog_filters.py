@@ -120,23 +120,28 @@ def filter_alert_gaze(spark, sf):
     return out.select("session_id", F.array_join(types, ",").alias("types"), "n_changed", "n_skipped")
 
 
-_SWAP = [("gizmo", "Cup"), ("gear", "cups"), ("rod", "Left_Hand")]
+_SWAP = [
+    ("gizmo", "Cup"), ("gear", "cups"), ("rod", "Left_Hand"), ("ring", "onion"), ("bolt", "Onions"),
+    ("(red|hot|cold) widget", "Tomato"), ("widget", "counter"), ("anvil", "Countertop"), ("plate", "tomatoes"),
+]
 
 
 def _swapped(col):
     for word, name in _SWAP:
-        col = F.regexp_replace(col, f"[a-z]+ {word}$", name)
+        col = F.regexp_replace(col, f"{'' if word[0] == '(' else '[a-z]+ '}{word}$", name)
     return col
 
 
 def _swap_sql(x: str) -> str:
     for word, name in _SWAP:
-        x = f"regexp_replace({x}, '[a-z]+ {word}$', '{name.lower().replace('_', ' ')}')"
+        first = "" if word[0] == "(" else "[a-z]+ "
+        x = f"regexp_replace({x}, '{first}{word}$', '{name.lower().replace('_', ' ')}')"
     return x
 
 
-_PLURALS = _list(m for _, m in text.SINGULAR_PLURAL)
-_SINGULARS = _list(s for s, _ in text.SINGULAR_PLURAL)
+# Fixed values, written out a second time so that the twin does not follow the code.
+_PLURALS = _list("countertop tomatoes onions peppers knives plates bowls spoons forks cups".split())
+_SINGULARS = _list("counter tomato onion pepper knife plate bowl spoon fork cup".split())
 IDENTIFY_RULES = {
     **EASY_CTES,
     "tx": f"""SELECT session_id, pos, {_swap_sql('object')} AS object, list_position(mixed, object) AS at_,

@@ -86,14 +86,14 @@ def episodes(spark, sf):
 @query(
     "episode_lists",
     S.with_views("timeline", **_EPISODE_CTES)
-    + """SELECT session_id, episode, (nr - episode) // 10000 AS part,
+    + """SELECT session_id, episode,
     string_agg(CAST(nr AS VARCHAR), ',' ORDER BY nr) AS fixation_ids,
-    string_agg(CAST(CAST(start_s AS BIGINT) AS VARCHAR), ',' ORDER BY nr) AS starts FROM mem GROUP BY 1, 2, 3""",
+    string_agg(CAST(CAST(start_s AS BIGINT) AS VARCHAR), ',' ORDER BY nr) AS starts FROM mem GROUP BY 1, 2""",
 )
 def episode_lists(spark, sf):
     whole = _members(spark, sf).withColumn("begun", F.col("start_s").cast("long").cast("string"))
     out = intervals.member_lists(whole.withColumn("id", F.col("nr").cast("string")), BY, ["id", "begun"])
-    return out.select("session_id", "episode", "part", _joined("id", "fixation_ids"), _joined("begun", "starts"))
+    return out.select("session_id", "episode", _joined("id", "fixation_ids"), _joined("begun", "starts"))
 
 
 @query(

@@ -93,9 +93,11 @@ def alert_gaze(items: DataFrame, verdicts: DataFrame, key: Sequence[str]) -> Dat
 
 
 def _clip_seconds(items: DataFrame, default: float) -> Column:
-    if "clip" not in items.columns:
+    """Length of the clip; read items name it ``input_video_clip``."""
+    name = next((c for c in ("clip", "input_video_clip") if c in items.columns), None)
+    if name is None:
         return F.lit(default)
-    return F.coalesce(F.col("clip")[1] - F.col("clip")[0], F.lit(default))
+    return F.coalesce(F.get(name, F.lit(1)) - F.get(name, F.lit(0)), F.lit(default))
 
 
 def _renamed_options(options: Column) -> Column:
@@ -248,7 +250,7 @@ def next_after_group(items: DataFrame, key: Sequence[str], verdicts: DataFrame |
     close = flagged.withColumn("_all", F.lit(0))
     banned = F.array_union(F.array_union("_texts", "object_group"), F.array("answer_object"))
     spare = draws.draw_from_pool(
-        close, pool, ["_all"], key, 6, "repair", exclude=banned, out="_spare", keep_unmatched=True, one_pool=True,
+        close, pool, ["_all"], key, F.size("_pairs"), "repair", exclude=banned, out="_spare", keep_unmatched=True, one_pool=True,
         needed=F.size("_pairs") > 0,
     ).drop("_all")
     if verdicts is not None:

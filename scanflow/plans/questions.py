@@ -6,7 +6,7 @@ decided by md5 of the item key, so reruns and repartitioning give the same quest
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -370,23 +370,24 @@ def next_action(
     )
 
 
-def _alerts(entries: DataFrame, targets: DataFrame, side: str, task: str, wording: tuple[str, str]) -> DataFrame:
+def _alerts(entries: DataFrame, targets: DataFrame, side: str, task: str, wording: tuple[str, str],
+            offsets: Sequence[float] = intervals.ALERT_OFFSETS) -> DataFrame:
     """Alert questions for (session, object, first_s) targets with labelled evaluation points."""
     begun = (
         entries.where((F.size("fov") > 0) | (F.size("outside") > 0))
         .groupBy(*BY)
         .agg(F.min("start_s").alias("question_s"))
     )
-    asked = targets.join(begun, BY).withColumn("points", intervals.alert_points(F.col("first_s"), F.col("question_s")))
+    asked = targets.join(begun, BY).withColumn("points", intervals.alert_points(F.col("first_s"), F.col("question_s"), offsets))
     asked = asked.where(F.size("points") > 0)
     seen = intervals.appearances(entries, side).join(asked, [*BY, "object"])
     # one flag per possible point, or-ed over the appearances with a map-side partial
     hits = [
         F.max((F.col("start_s") <= p) & (p <= F.col("end_s"))).alias(f"_h{i}")
-        for i, p in enumerate([F.get("points", i) for i in range(5)])
+        for i, p in enumerate([F.get("points", i) for i in range(len(offsets))])
     ]
     labelled = seen.groupBy(*BY, "object", "first_s", "question_s", "points").agg(*hits)
-    flags = F.array(*[f"_h{i}" for i in range(5)])
+    flags = F.array(*[f"_h{i}" for i in range(len(offsets))])
     info = F.transform(
         "points",
         lambda p, i: F.struct(

@@ -40,9 +40,8 @@ def score_choice(replies: DataFrame, by: Sequence[str], truth: str = "truth", re
 
 def score_result_items(items: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Items with parallel ``answers`` and ``replies`` arrays, paired by position."""
-    heads = items.select(key, *by)
-    pairs = joins.zip_positions(items, items, key, "answers", "replies")
-    return score_choice(pairs.join(heads, key), by, "answers", "replies")
+    pairs = joins.zip_positions(items, "answers", "replies", [key, *by])
+    return score_choice(pairs, by, "answers", "replies")
 
 
 def score_alert(points: DataFrame, by: Sequence[str], strict: bool = False) -> DataFrame:

@@ -165,7 +165,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             "end_s",
             (F.col("end_s") - F.col("start_s")).alias("duration"),
             F.col("fov")[0].alias("object"),
-            F.slice("fov", 2, 10_000).alias("cropped"),
+            F.slice("fov", 2, F.size("fov")).alias("cropped"),
             "outside",
         )
     )
