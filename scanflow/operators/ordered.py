@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+SESSION = "_session"
 TILE = "_tile"
 HOME = "_home"
 
@@ -75,9 +76,11 @@ def scan(
     **specs: Spec,
 ) -> DataFrame:
     """Add one column per spec, each computed along ``order`` within ``by``."""
-    by, order = list(by), list(order)
-    keys = [*by, CHUNK]
-    base = df.withColumn(CHUNK, chunk)
+    session, order = list(by), list(order)
+    # one struct as the key: a null session is a session of its own, in windows and in the join alike
+    by = [SESSION]
+    keys = [SESSION, CHUNK]
+    base = df.withColumns({CHUNK: chunk, SESSION: F.struct(*session) if session else F.lit(0)})
     ahead = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
     back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     first, here = Window.unboundedPreceding, Window.currentRow

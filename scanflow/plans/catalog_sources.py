@@ -52,15 +52,14 @@ def gaze_csv_frames(spark, sf):
         (F.lit(1) - F.col("k") / 100).alias("confidence"),
     )
     sinks.write_table(rows, path, ["part"], fmt="csv")
-    read = spark.read.option("header", "true").schema(
-        "canonical_timestamp_s double, norm_pos_x double, norm_pos_y double, confidence double, part long"
-    ).csv(path)
+    # each part is a recording: its folder names it
+    read = readers.read_gaze_csv(spark, f"{path}/*/*.csv", session=r"part=(\d+)/")
     samples = read.select(
-        "part",
-        F.round(F.col("canonical_timestamp_s") * 100).cast("long").alias("seq"),
-        frame_index(F.col("canonical_timestamp_s"), 24.0).alias("frame_idx"),
-        F.col("norm_pos_x").alias("x"),
-        F.col("norm_pos_y").alias("y"),
+        F.col("session_id").cast("long").alias("part"),
+        F.round(F.col("t") * 100).cast("long").alias("seq"),
+        frame_index(F.col("t"), 24.0).alias("frame_idx"),
+        "x",
+        "y",
         "confidence",
     )
     out = frames.frame_average(samples, ["part", "frame_idx"], "seq", ["x", "y"], last="confidence")
@@ -94,15 +93,19 @@ def actions_file(spark, sf):
 @query(
     "question_files",
     S.with_views("merged_pos", **RECALL_CTES)
-    + f"""SELECT 'past_scene_reconstruction' AS task_type, {T.mmss('start_s')} AS time_stamp, truth AS answer_object,
-    {T.answer('mixed', 'truth')} AS answer, count(*) AS n FROM mx GROUP BY 1, 2, 3, 4""",
+    + f"""SELECT session_id, 'orders' AS video_categories, 'episodic_memory' AS required_ability,
+    'past_scene_reconstruction' AS task_type, {T.mmss('start_s')} AS time_stamp, truth AS answer_object,
+    {T.answer('mixed', 'truth')} AS answer FROM mx""",
 )
 def question_files(spark, sf):
     path = scratch(spark, "questions")
     made = Q.scene_recall(merged_entries(spark, sf))
-    sinks.write_questions(sinks.question_items(made, ["answer_object"]), path)
-    flat = readers.flat_questions(spark.read.schema(readers.QUESTION_SCHEMA).json(path))
-    return flat.groupBy("task_type", "time_stamp", "answer_object", "answer").agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_questions(sinks.question_items(made, ["answer_object"], video="clips/{}.mp4", category="orders"), path)
+    flat = readers.flat_questions(readers.read_questions(spark, path))
+    return flat.select(
+        F.regexp_extract("video", r"clips/(-?\d+)\.mp4$", 1).cast("long").alias("session_id"), "video_categories",
+        "required_ability", "task_type", "time_stamp", "answer_object", "answer",
+    )
 
 
 @query(
@@ -151,11 +154,7 @@ def latency_files(spark, sf):
         F.to_json(F.array(F.create_map(F.col("item_id").cast("string"), pair))).alias("value"),
     )
     entries.write.partitionBy("task").text(path)
-    lines = spark.read.schema("value string, task string").text(path)
-    flat = lines.select("task", F.explode(F.from_json("value", "array<map<string,array<string>>>")).alias("e"))
-    replies = flat.select("task", F.explode("e").alias("name", "pair")).select(
-        "task", F.get("pair", 1).cast("double").alias("seconds")
-    )
+    replies = readers.read_latency_map(spark, path, task=r"task=([^/]+)/", lines=True).select("task", "seconds")
     out = scoring.score_latency(replies, "task")
     return out.select("task", "n", r4("mean"), r4("median"))
 
@@ -260,3 +259,62 @@ def stream_alerts_query(spark, sf):
     targets = wanted.select("session_id", "object").distinct()
     source = spark.readStream.schema(seen.schema).parquet(path)
     return run_to_end(stream_alerts(source, targets, "3000 seconds"), "alerts").select("session_id", "object").distinct()
+
+
+@query(
+    "mixed_session_files",
+    S.with_views("episodes")
+    + """SELECT session_id % 4 AS shard, session_id AS id, CASE WHEN session_id % 4 <> 2 THEN duration END AS seconds,
+    CASE session_id % 4 WHEN 0 THEN 'n' || CAST(session_id AS VARCHAR) WHEN 1 THEN 'a, b' WHEN 2 THEN NULL ELSE 'x' END AS name
+    FROM episodes""",
+)
+def mixed_session_files(spark, sf):
+    """Files that order, add and lack columns, with short lines, bad numbers and lines that are too long."""
+    path = scratch(spark, "mixed-sessions")
+    e = S.episodes(spark, sf).select("session_id", F.col("duration").cast("string").alias("d"), (F.col("session_id") % 4).alias("shard"))
+    i = F.col("session_id").cast("string")
+    line = (
+        F.when(F.col("shard") == 0, F.concat_ws(",", i, F.concat(F.lit("n"), i), "d"))
+        .when(F.col("shard") == 1, F.concat_ws(",", "d", F.lit('"a, b"'), F.lit("z"), i))
+        .when(F.col("shard") == 2, F.concat_ws(",", i, F.lit("bad")))
+        .otherwise(F.concat_ws(",", F.lit("x"), i, "d"))
+    )
+    heads = {0: "id,name,seconds", 1: "seconds,name,more,id", 2: "id,seconds,name", 3: "name,id,seconds"}
+    rows = e.select("shard", F.lit(1).alias("nr"), line.alias("value"))
+    extra = [(s, 0, h) for s, h in heads.items()] + [(s, 2, "1,2,3,4,5,6") for s in heads] + [(s, 3, "") for s in heads]
+    whole = rows.unionByName(spark.createDataFrame(extra, "shard long, nr int, value string"))
+    whole.repartition("shard").sortWithinPartitions("shard", "nr").drop("nr").write.partitionBy("shard").text(path)
+    read = readers.union_session_files(spark, f"{path}/*/*.txt", None, "id long, name string, seconds double")
+    shard = F.regexp_extract("session_name", r"(\d+)$", 1).cast("long")
+    return read.select(shard.alias("shard"), "id", "name", "seconds")
+
+
+@query(
+    "result_chain",
+    S.with_views("merged_pos", **RECALL_CTES)
+    + f""", kept AS (SELECT {T.answer('mixed', 'truth')} AS answer FROM mx),
+    t AS (SELECT unnest({list(scoring.TASK_NAMES)}) AS task)
+    SELECT 'echo_results' AS model, task, CASE WHEN task = 'past_scene_recall' THEN (SELECT count(*) FROM kept) ELSE 0 END AS n_total,
+    CASE WHEN task = 'past_scene_recall' THEN (SELECT count(*) FROM kept WHERE answer = 'B') ELSE 0 END AS n_correct
+    FROM t WHERE task NOT LIKE 'proactive%'""",
+)
+def result_chain(spark, sf):
+    """Questions written, read, answered, written as results, read, routed to their score, and put into the grid."""
+    path = scratch(spark, "chain")
+    entries = merged_entries(spark, sf)
+    recall = sinks.question_items(Q.scene_recall(entries), ["answer_object"], video="clips/{}.mp4")
+    sinks.write_questions(recall, f"{path}/questions")
+    items = readers.read_questions(spark, f"{path}/questions/*/*.json")
+    reply = F.struct(F.lit("B. the second").alias("model_prediction"))
+    answered = items.withColumn("model_predictions", F.array(reply)).withColumn("task", F.lit("past_scene_recall"))
+    alerts = sinks.question_items(Q.alert_gaze(entries), ["test_info"], video="clips/{}.mp4").withColumn(
+        "questions",
+        F.transform("questions", lambda q: q.withField(
+            "test_info", F.transform(q["test_info"], lambda p: p.withField("response", F.lit("yes"))))),
+    )
+    sinks.write_results(answered, path, "echo", ["past_scene_recall"])
+    sinks.write_results(alerts.withColumn("task", F.lit("proactive_gaze_triggered_alert")), path, "echo", ["proactive_gaze_triggered_alert"])
+    results = readers.read_results(spark, path, ["echo", "absent"])
+    grid = scoring.result_grid(results.select("model").distinct(), scoring.score_results(results), scoring.TASK_NAMES)
+    return grid.where(~F.col("task").startswith("proactive")).select("model", "task", "n_total", "n_correct")
+

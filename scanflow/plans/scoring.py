@@ -44,11 +44,33 @@ def score_result_items(items: DataFrame, by: Sequence[str], key: str) -> DataFra
     return score_choice(pairs, by, "answers", "replies")
 
 
+def score_results(items: DataFrame, strict: bool = False) -> DataFrame:
+    """Accuracy per (model, task) of result items: files whose questions hold test points are scored as
+    alerts, the others as choices.
+
+    A blank truth does not count; a task without counted replies has accuracy 0.
+    """
+    by = ["model", "task"]
+    first = F.get("questions", F.lit(0))
+    kinds = items.groupBy(*by).agg(F.max(F.coalesce(first["test_info"].isNotNull(), F.lit(False))).alias("_alert"))
+    known = items.join(kinds, by)
+    points = known.where("_alert").select(*by, F.explode("questions").alias("q")).select(*by, F.inline("q.test_info"))
+    choices = known.where("not _alert").select(
+        *by,
+        F.transform("questions", lambda q: q["answer"]).alias("answers"),
+        F.transform("model_predictions", lambda p: p["model_prediction"]).alias("replies"),
+    )
+    found = score_choice(joins.zip_positions(choices, "answers", "replies", by), by, "answers", "replies")
+    columns = [*by, "n_correct", "n_total", "accuracy"]
+    return found.select(*columns).unionByName(score_alert(points, by, strict).select(*columns))
+
+
 def score_alert(points: DataFrame, by: Sequence[str], strict: bool = False) -> DataFrame:
     """Alert accuracy per test point (``type`` 1 or 0, ``response``) with precision, recall and F1.
 
     A point is right when YES (NO) occurs in the reply, so "unknown" counts as NO; with
-    ``strict`` the word must stand alone.
+    ``strict`` the word must stand alone. A null reply is a missing one and right for neither type; a writer
+    that puts a null as the text ``None`` makes it hold NO.
     """
     up = F.upper(F.trim(F.coalesce("response", F.lit(""))))
     says = {w: up.rlike(rf"\b{w}\b") if strict else up.contains(w) for w in ("YES", "NO")}

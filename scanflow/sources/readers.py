@@ -96,11 +96,14 @@ def read_gaze_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_gaze_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Timestamped normalised samples with a confidence."""
+def read_gaze_csv(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
+    """Timestamped normalised samples with a confidence.
+
+    A session is its file's name without ending, or what the pattern ``session`` finds in the path.
+    """
     schema = "canonical_timestamp_s double, norm_pos_x double, norm_pos_y double, confidence double"
     return _csv(spark, path, schema).select(
-        session_of(F.col("_file")).alias("session_id"),
+        (session_of(F.col("_file")) if session is None else F.regexp_extract("_file", session, 1)).alias("session_id"),
         F.col("canonical_timestamp_s").alias("t"),
         F.col("norm_pos_x").alias("x"),
         F.col("norm_pos_y").alias("y"),
@@ -111,15 +114,30 @@ def read_gaze_csv(spark: SparkSession, path: str) -> DataFrame:
 _LAST = "\ue000"
 
 
-def _headers(spark: SparkSession, path: str) -> DataFrame:
+def _headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``file`` and ``header``, the first line of each file."""
-    first = spark.read.text(path).select(
+    first = spark.read.text(path if isinstance(path, str) else list(path)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_nr"), "value",
     )
     return first.where("_block = 0").groupBy("file").agg(F.min_by("value", "_nr").alias("header"))
 
 
+def _json(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
+    """Records of JSON files with ``_file``: arrays and records over several lines are read whole, lines one by one.
+
+    The driver sees the files' names and their first lines' ends.
+    """
+    kinds = _headers(spark, path).select("file", F.trim("header").rlike(r"^\{.*\}$").alias("lines")).collect()
+    parts = []
+    for lines in (True, False):
+        files = sorted(r.file for r in kinds if r.lines == lines)
+        if files:
+            read = spark.read.schema(schema).json(files, multiLine=not lines)
+            parts.append(read.select("*", F.col("_metadata.file_path").alias("_file")))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{schema}, _file string")
+
+
 def _csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """Delimited files with a header each, their columns taken by name; ``_file`` is the file of a row.
 
@@ -290,10 +308,10 @@ def read_fine_annotations(
 
 def read_annotation_json(spark: SparkSession, path: str) -> DataFrame:
     """One JSON array of labelled intervals per session; blank labels are dropped."""
-    rows = spark.read.schema("start double, end double, textAttribute_en string").json(path, multiLine=True)
+    rows = _json(spark, path, "start double, end double, textAttribute_en string")
     label = F.trim("textAttribute_en")
     return rows.where(F.coalesce(label, F.lit("")) != "").select(
-        session_of(F.col("_metadata.file_path")).alias("session_id"),
+        session_of(F.col("_file")).alias("session_id"),
         F.coalesce("start", F.lit(0.0)).alias("start_s"),
         F.coalesce("end", F.lit(0.0)).alias("end_s"),
         label.alias("action"),
@@ -310,7 +328,7 @@ def read_nested_annotations(spark: SparkSession, path: str, label: str = "Fine g
         "video_name string, events array<struct<label:string, start:double, end:double, "
         "attributes:struct<Verb:string, Noun:string>>>"
     )
-    events = spark.read.schema(schema).json(path, multiLine=True).select(
+    events = _json(spark, path, schema).select(
         F.col("video_name").alias("session_id"), F.posexplode("events").alias("pos", "e")
     )
     verb, noun = F.col("e.attributes.Verb"), F.col("e.attributes.Noun")
@@ -356,7 +374,7 @@ def _matches(spark: SparkSession, pattern: str) -> bool:
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question items of JSON array or JSON line files, with their video under one key."""
-    rows = spark.read.schema(QUESTION_SCHEMA).json(path, multiLine=True)
+    rows = _json(spark, path, QUESTION_SCHEMA).drop("_file")
     return rows.withColumn("video", F.coalesce("video", "video_path")).drop("video_path")
 
 
@@ -372,14 +390,11 @@ def read_results(spark: SparkSession, root: str, models: Sequence[str], variants
     present = [p for p in paths if _matches(spark, p)]
     if not present:
         return spark.createDataFrame([], f"model string, task string, {QUESTION_SCHEMA}")
-    rows = spark.read.schema(QUESTION_SCHEMA).json(present, multiLine=True)
-    file = F.col("_metadata.file_path")
-    return rows.select(
-        F.concat_ws("_", F.regexp_extract(file, r"([^/]+)/[^/]+/[^/]+$", 1), F.regexp_extract(file, r"([^/]+)/[^/]+$", 1))
-        .alias("model"),
-        F.regexp_extract(file, r"([^/]+)_output\.json$", 1).alias("task"),
-        "*",
-    )
+    # a result is one file, or a folder of part files
+    rows = _json(spark, present, QUESTION_SCHEMA)
+    found = rows.withColumn("_p", F.regexp_extract("_file", r"([^/]+/[^/]+/[^/]+)_output\.json(?:/[^/]*)?$", 1))
+    part = F.split("_p", "/")
+    return found.select(F.concat_ws("_", part[0], part[1]).alias("model"), part[2].alias("task"), *rows.drop("_file").columns)
 
 
 def read_prediction_chunks(spark: SparkSession, folder: str, n: int) -> DataFrame:
@@ -389,10 +404,13 @@ def read_prediction_chunks(spark: SparkSession, folder: str, n: int) -> DataFram
     return spark.read.schema(schema).json(path)
 
 
-def read_latency_map(spark: SparkSession, path: str) -> DataFrame:
-    """Entries ``{name: [response, seconds]}``; the task is taken from the file name."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_replace(stem(F.col("_metadata.file_path")), "_output$", "").alias("task"),
+def read_latency_map(spark: SparkSession, path: str, task: str | None = None, lines: bool = False) -> DataFrame:
+    """Entries ``{name: [response, seconds]}``; the task is taken from the file name, or by a pattern from
+    the path. With ``lines`` every line is an array of entries, else the file is one."""
+    file = F.col("_metadata.file_path")
+    named = F.regexp_replace(stem(file), "_output$", "") if task is None else F.regexp_extract(file, task, 1)
+    files = spark.read.text(path, wholetext=not lines).select(
+        named.alias("task"),
         F.explode(F.from_json("value", "array<map<string,array<string>>>")).alias("entry"),
     )
     return files.select("task", F.explode("entry").alias("name", "pair")).select(

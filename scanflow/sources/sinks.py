@@ -20,11 +20,41 @@ def write_questions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("task").json(path)
 
 
-def question_items(questions: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Flat questions as items with a nested ``questions`` array, the exchange form."""
-    fields = ["question", "time_stamp", "answer", "options", *extra]
+def write_results(items: DataFrame, root: str, model: str, tasks: Sequence[str], variant: str = "results") -> None:
+    """One ``<model>/<variant>/<task>_output.json`` folder of JSON lines per task."""
+    for task in tasks:
+        one = items.where(F.col("task") == task).drop("task", "model")
+        one.write.mode("overwrite").json(f"{root}/{model}/{variant}/{task}_output.json")
+
+
+#: What a task asks of a reader.
+ABILITIES = {
+    "past_next_after_group": "scanpath_reasoning", "past_never_gazed": "scanpath_reasoning",
+    "past_transition_pattern": "temporal_reasoning", "past_scene_reconstruction": "episodic_memory",
+    "present_ident_easy": "object_grounding", "present_ident_hard": "object_grounding", "present_attr": "object_grounding",
+    "future_action": "predictive_reasoning", "future_remind_easy": "object_tracking", "future_remind_hard": "object_tracking",
+}
+
+
+def question_items(
+    questions: DataFrame, extra: Sequence[str] = (), session: str = "session_id", video: str = "{}.mp4", category: str = ""
+) -> DataFrame:
+    """Flat questions as items with a nested ``questions`` array, the exchange form.
+
+    An item names its recording (``video``, the pattern filled with the session) and the recording's
+    category, and each question the ability it asks for.
+    """
+    ability = F.create_map(*[F.lit(v) for pair in ABILITIES.items() for v in pair])
+    fields = [c for c in ("question", "time_stamp", "answer", "options", *extra) if c in questions.columns]
+    path = F.regexp_replace(F.lit(video), r"\{\}", F.col(session).cast("string"))
     return questions.select(
-        "task", "response_time", F.array(F.struct(F.col("task").alias("task_type"), *fields)).alias("questions")
+        "task",
+        "response_time",
+        path.alias("video"),
+        F.lit(category).alias("video_categories"),
+        F.array(
+            F.struct(F.col("task").alias("task_type"), *fields, ability[F.col("task")].alias("required_ability"))
+        ).alias("questions"),
     )
 
 

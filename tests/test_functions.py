@@ -192,3 +192,22 @@ def test_groups(spark):
     same = F.array(strings("a", "b"), strings("b", "a"))
     other = F.array(strings("a"), strings("b"), strings("a"))
     assert one(spark, objects.has_identical_neighbours(same), objects.has_identical_neighbours(other), objects.has_identical_neighbours(F.array(strings("a")))) == (True, False, False)
+
+
+def test_python_sees_only_the_rows_that_need_it(spark, monkeypatch):
+    def refuse(s):
+        if s.notna().any():
+            raise ValueError("a plain text reached Python")
+        return s
+
+    strict = F.pandas_udf(lambda s: refuse(s), "string")
+    monkeypatch.setattr(X, "nfkc", strict)
+    monkeypatch.setattr(X, "_literal_as_json", strict)
+    df = spark.createDataFrame([("plain  text",), ("{'a': 1}",)], "t string")
+    got = df.select(X.light_norm(F.col("t")), X.parse_literal(F.col("t"), "a int")).collect()
+    assert got[0][0] == "plain text" and got[1][1].a == 1
+
+
+def test_a_pose_without_inverse_gives_null(spark):
+    flat = F.array(*[F.lit(0.0)] * 16)
+    assert one(spark, G.camera_point(flat, F.lit(1.0), F.lit(1.0), F.lit(1.0))) == (None,)

@@ -90,3 +90,10 @@ def test_overlap_equals_cross_check(spark, width):
         "left",
     ).select("a", "b")
     assert rows(got, "a", "b") == rows(want, "a", "b")
+
+
+def test_null_sessions_are_numbered_like_any_other(spark):
+    rows = [(s, i) for s in (None, 1) for i in range(6)]
+    df = spark.createDataFrame(rows, "session_id long, t long")
+    got = ordered.numbered(df, ["session_id"], ["t"], ordered.bucket(F.col("t"), 2.0)).collect()
+    assert sorted((r.session_id or 0, r.t, r.pos) for r in got) == [(s, i, i) for s in (0, 1) for i in range(6)]

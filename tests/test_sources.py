@@ -202,3 +202,31 @@ def test_gaze_csvs_take_columns_by_name(spark, tmp_path):
     path = write(tmp_path / "t.csv", "u,v,frame_idx,in_frame,valid\n448,252,7,True,True\n")
     (row,) = readers.read_gaze_2d(spark, path, 896, 504).collect()
     assert (row.frame_idx, row.px, row.gaze_type) == (7, 0.5, 1)
+
+
+def test_results_are_routed_by_their_questions(spark, tmp_path):
+    from scanflow.plans import scoring
+
+    points = [{"realtime": "00:10", "type": 1, "response": "Yes."}, {"realtime": "00:20", "type": 0, "response": None}]
+    alert = [{"video": "a", "questions": [{"question": "q", "test_info": points}]}]
+    choice = [{"video": "a", "questions": [{"answer": "B"}, {"answer": "A"}], "model_predictions": [{"model_prediction": "b."}, {"model_prediction": "C"}]}]
+    write(tmp_path / "M" / "results" / "proactive_gaze_triggered_alert_output.json", json.dumps(alert, indent=1))
+    write(tmp_path / "M" / "results" / "past_scene_recall_output.json" / "part-0.json", json.dumps(choice[0]) + "\n" + json.dumps(choice[0]) + "\n")
+    scores = scoring.score_results(readers.read_results(spark, str(tmp_path), ["M"]))
+    got = {r.task: (r.n_correct, r.n_total) for r in scores.collect()}
+    assert got == {"proactive_gaze_triggered_alert": (1, 2), "past_scene_recall": (2, 4)}
+
+
+def test_items_know_their_recording(spark):
+    rows = spark.createDataFrame([(7, "past_never_gazed", "[00:00 - 00:09]", "q", "00:01", "A", ["A. x"])], "session_id long, task string, response_time string, question string, time_stamp string, answer string, options array<string>")
+    (item,) = sinks.question_items(rows, video="v/{}.mp4", category="kitchen").collect()
+    assert (item.video, item.video_categories, item.questions[0].required_ability) == ("v/7.mp4", "kitchen", "scanpath_reasoning")
+
+
+def test_clip_rule_fires_on_read_questions(spark, tmp_path):
+    from scanflow.plans import filters
+
+    item = {"video": "v", "questions": [{"task_type": "t", "options": ["A. x"], "gazed_objects": [], "input_video_clip": [1.0, 3.0]}]}
+    path = write(tmp_path / "q.json", json.dumps([item]))
+    flat = readers.flat_questions(readers.read_questions(spark, path))
+    assert [r.reason for r in filters.scene_recall(flat).collect()] == ["short_clip"]
