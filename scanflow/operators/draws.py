@@ -2,9 +2,10 @@
 
 Every draw is decided by md5, so it does not depend on partitioning. A draw from a
 session-wide pool never pairs items with the whole pool: the pool's names get a dense
-rank in an md5 permutation of their session, an item hashes to a rank, and reads only as
-many following ranks as it can need (k plus its own exclusions). Each read is an equi-join
-on (session, rank), which spreads the items and pool of a large session over all tasks.
+rank in an md5 permutation of their session, and an item reads only as many ranks as it can
+need (k plus its own exclusions), each chosen by a hash of its own, so every subset of the pool
+can be drawn. Each read is an equi-join on (session, rank), which spreads the items and pool of a
+large session over all tasks.
 """
 
 from __future__ import annotations
@@ -27,15 +28,16 @@ def hash60(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(digest(seed, *parts), 1, 15), 16, 10).cast("long")
 
 
-def ranked_pool(names: DataFrame, by: Sequence[str], seed: str, name: str = "object") -> DataFrame:
+def ranked_pool(names: DataFrame, by: Sequence[str], seed: str, name: str = "object", digits: int = 1) -> DataFrame:
     """Distinct names of a session with a dense 0-based ``rank`` in md5 order and the pool size ``n_pool``.
 
-    Draws read the pool twice, for its sizes and by rank, so it is written to the shared folder once.
+    The order is scanned in 16 to the power of ``digits`` chunks per session. Draws read the pool twice, for
+    its sizes and by rank, so it is written to the shared folder once.
     """
     by = list(by)
     hashed = names.select(*by, name).distinct().withColumn("_h", digest(seed, *[F.col(c) for c in by], F.col(name)))
     ranked = ordered.scan(
-        hashed, by, ["_h", name], F.substring("_h", 1, 1), rank=ordered.row_number(), n_pool=ordered.total(F.lit(1))
+        hashed, by, ["_h", name], F.substring("_h", 1, digits), rank=ordered.row_number(), n_pool=ordered.total(F.lit(1))
     )
     return cut(ranked.select(*by, name, (F.col("rank") - 1).alias("rank"), "n_pool"))
 
@@ -71,14 +73,20 @@ def draw_from_pool(
     ids = [f"_k{i}" for i in range(len(key))]
     wanted = F.lit(True) if needed is None else needed
     want = F.lit(k) if isinstance(k, int) else k
-    reads = F.when(F.col("_needed"), F.least(F.col("_n"), F.col("_want") + F.size("_banned")))
-    steps = F.when(reads > 0, F.sequence(F.lit(0).cast("long"), reads - 1))
+    reads = F.col("_want") + F.size("_banned")
+    # hashed ranks first, then neighbours in case too few of them differ
+    hashed = F.transform(
+        F.sequence(F.lit(0), 2 * reads - 1), lambda s: F.pmod(hash60(seed, *[F.col(i) for i in ids], s), F.col("_n"))
+    )
+    nearby = F.transform(F.sequence(F.lit(0), 3 * reads - 1), lambda s: F.pmod(F.col("_begin") + s, F.col("_n")))
+    ranks = F.slice(F.array_distinct(F.concat(hashed, nearby)), 1, F.least(F.col("_n"), reads).cast("int"))
+    steps = F.when(F.col("_needed") & (reads > 0) & (F.col("_n") > 0), ranks)
     probes = (
         items.select(*by, F.struct(*held).alias("_item"), banned.alias("_banned"), wanted.alias("_needed"), want.alias("_want"))
         .join(sizes, by, how)
         .withColumns({i: _held(c, by) for i, c in zip(ids, key)})
         .withColumn("_begin", F.pmod(hash60(seed, *[F.col(i) for i in ids]), F.col("_n")))
-        .withColumn("_step", F.explode_outer(steps) if keep_unmatched else F.explode(steps))
+        .select("*", (F.posexplode_outer(steps) if keep_unmatched else F.posexplode(steps)).alias("_step", "rank"))
     )
     # of an item's probes only the first one carries the item itself
     once = F.coalesce(F.col("_step") == 0, F.lit(True))
@@ -86,7 +94,7 @@ def draw_from_pool(
         *by,
         *ids,
         "_step",
-        F.pmod(F.col("_begin") + F.col("_step"), F.col("_n")).alias("rank"),
+        "rank",
         F.when(once, F.struct("_item", "_banned", "_want")).alias("_once"),
     )
     found = probes.join(pool.select(*by, "rank", name), [*by, "rank"], how)

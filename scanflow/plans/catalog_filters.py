@@ -189,9 +189,7 @@ GROUP_RULES = {
     "gn": """SELECT 0 AS session_id, unnest(list_concat(texts, grp, [truth])) AS object FROM tx""",
     "gp": T.pool("gn", "repair"),
     "gi": """SELECT 0 AS session_id, session_id AS sid, pos, texts, grp, truth, pairs FROM hm JOIN cl USING (session_id, pos)""",
-    "gs": T.drawn("gi", "gp", 6, "repair", "list_concat(i.texts, i.grp, [i.truth])", ["sid", "pos"]).replace(
-        "+ len(list_concat(i.texts, i.grp, [i.truth]))", "+ len(list_distinct(list_concat(i.texts, i.grp, [i.truth])))"
-    ),
+    "gs": T.drawn("gi", "gp", "len(i.pairs)", "repair", "list_distinct(list_concat(i.texts, i.grp, [i.truth]))", ["sid", "pos"]),
     "fold": """SELECT sid, pos, truth, pairs, drawn, texts AS original, texts, 0::BIGINT AS nr, 0::BIGINT AS n_fixed FROM gs
         UNION ALL SELECT sid, pos, truth, pairs, drawn, original,
           CASE WHEN new IS NULL THEN texts ELSE list_transform(texts, lambda t, i: CASE WHEN i = at_ THEN new ELSE t END) END,

@@ -217,12 +217,13 @@ def similar_pairs(options: Column) -> Column:
     return F.filter(every, close)
 
 
-def next_after_group(items: DataFrame, key: Sequence[str], verdicts: DataFrame | None = None) -> DataFrame:
+def next_after_group(items: DataFrame, key: Sequence[str], verdicts: DataFrame | None = None, pool_digits: int = 2) -> DataFrame:
     """Human rule; one member of each similar option pair is replaced.
 
     The replacement of pair number ``nr`` is a verdict (key, nr, replacement) or else a name
     drawn from all names of the data set that the question does not use yet. The pool is
-    ranked once and read by equi-join, so no question meets the whole pool.
+    ranked once, in 16 to the power of ``pool_digits`` chunks, and read by equi-join, so no question meets the
+    whole pool.
     """
     key = list(key)
 
@@ -245,7 +246,7 @@ def next_after_group(items: DataFrame, key: Sequence[str], verdicts: DataFrame |
         F.lit(0).alias("_all"),
         F.explode(F.concat("_texts", F.array("answer_object"), "object_group")).alias("object"),
     )
-    pool = draws.ranked_pool(names, ["_all"], "repair")
+    pool = draws.ranked_pool(names, ["_all"], "repair", digits=pool_digits)
     # no filter on the pairs: pushed down, it would compare all names a second time
     close = flagged.withColumn("_all", F.lit(0))
     banned = F.array_union(F.array_union("_texts", "object_group"), F.array("answer_object"))

@@ -31,15 +31,20 @@ def pool(source: str, seed: str, name: str = "object") -> str:
       count(*) OVER (PARTITION BY session_id) AS n_pool FROM (SELECT DISTINCT session_id, {name} FROM {source})"""
 
 
-def drawn(items: str, pool_cte: str, k: int, seed: str, banned: str, ids: list[str], keep: bool = False) -> str:
+def drawn(items: str, pool_cte: str, k: int | str, seed: str, banned: str, ids: list[str], keep: bool = False) -> str:
     """Per item the list ``drawn``; ``banned`` is an expression over alias ``i``."""
-    begin = f"{hash60(seed, *['i.' + c for c in ids])} % s.n"
+    begin = hash60(seed, *["i." + c for c in ids])
+    each = hash60(seed, *["i." + c for c in ids], "st")
     key = ", ".join(f"i.{c}" for c in ids)
+    need = f"({k} + len({banned}))"
+    sizes = f"(SELECT session_id, max(n_pool) AS n FROM {pool_cte} GROUP BY 1)"
     inner = f"""SELECT {key}, list(p.object ORDER BY st) AS found FROM (
-        SELECT i.*, s.n, unnest(range(0, least(s.n, {k} + len({banned})))) AS st
-        FROM {items} i JOIN (SELECT session_id, max(n_pool) AS n FROM {pool_cte} GROUP BY 1) s USING (session_id)) i
-      JOIN (SELECT session_id, max(n_pool) AS n FROM {pool_cte} GROUP BY 1) s ON s.session_id = i.session_id
-      JOIN {pool_cte} p ON p.session_id = i.session_id AND p."rank" = ({begin} + st) % s.n
+        SELECT i.*, unnest(range(1, len(ranks) + 1)) AS st, unnest(ranks) AS rk FROM (
+          SELECT i.*, list_filter(raw, lambda x, at_: list_position(raw, x) = at_)[1:least(n, {need})] AS ranks FROM (
+            SELECT i.*, s.n, list_concat(list_transform(range(0, 2 * {need}), lambda st: {each} % s.n),
+              list_transform(range(0, 3 * {need}), lambda st: ({begin} % s.n + st) % s.n)) AS raw
+            FROM {items} i JOIN {sizes} s USING (session_id)) i) i) i
+      JOIN {pool_cte} p ON p.session_id = i.session_id AND p."rank" = rk
       WHERE NOT list_contains({banned}, p.object) GROUP BY {key}"""
     join = "LEFT JOIN" if keep else "JOIN"
     on = " AND ".join(f"d.{c} = i.{c}" for c in ids)

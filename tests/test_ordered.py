@@ -97,3 +97,35 @@ def test_null_sessions_are_numbered_like_any_other(spark):
     df = spark.createDataFrame(rows, "session_id long, t long")
     got = ordered.numbered(df, ["session_id"], ["t"], ordered.bucket(F.col("t"), 2.0)).collect()
     assert sorted((r.session_id or 0, r.t, r.pos) for r in got) == [(s, i, i) for s in (0, 1) for i in range(6)]
+
+
+def test_draws_reach_nearly_every_subset(spark):
+    from scanflow.operators import draws
+
+    names = spark.createDataFrame([(1, f"n{i}") for i in range(12)], "session_id long, object string")
+    items = spark.range(2000).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("pos"))
+    pool = draws.ranked_pool(names, ["session_id"], "t")
+    got = draws.draw_from_pool(items, pool, ["session_id"], ["session_id", "pos"], 3, "t").collect()
+    assert len(got) == 2000 and all(len(set(r.drawn)) == 3 for r in got)
+    assert len({tuple(sorted(r.drawn)) for r in got}) >= 200
+    few = draws.draw_from_pool(items.limit(50), pool, ["session_id"], ["session_id", "pos"], 20, "t", exclude=F.array(F.lit("n3"))).collect()
+    assert all(sorted(r.drawn) == sorted(f"n{i}" for i in range(12) if i != 3) for r in few)
+
+
+def test_window_totals_keep_small_values_between_large_ones(spark):
+    samples = spark.createDataFrame([(1, 0.0, 1e17), (1, 1.0, 0.25), (1, 2.0, 0.5)], "session_id long, t double, v double")
+    asked = spark.createDataFrame([(1, 7, 0.5, 3.0)], "session_id long, id long, low double, high double")
+    (row,) = joins.window_totals(asked, samples, ["session_id"], "id", F.col("low"), F.col("high"), "v", chunk=1.0).collect()
+    assert (row.n_visible, row.sum_visible) == (2, 0.75)
+
+
+def test_object_entries_with_equal_bounds_keep_all_names(spark):
+    from scanflow.operators import timeline
+
+    objects = spark.createDataFrame(
+        [(1, 0.0, 1.0, ["b"], ["y"]), (1, 0.0, 1.0, ["a"], ["x", "y"])],
+        "session_id long, start_s double, end_s double, fov array<string>, outside array<string>",
+    )
+    actions = spark.createDataFrame([], "session_id long, start_s double, end_s double, pos long, action string")
+    (row,) = timeline.timeline_merge(objects, actions).collect()
+    assert (row.fov, row.outside) == (["a", "b"], ["x", "y"])
