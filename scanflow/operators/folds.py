@@ -203,6 +203,19 @@ def fixations(
     return anchored_segments(frames, by, radius, gap, size).where(F.col("duration") >= min_duration)
 
 
+#: Radius (a share of the width, or pixels), least duration and gap in seconds, by data set.
+FIXATION_PARAMETERS = {
+    "egtea": (0.15, 2.0, 0.01), "ego4d": (0.088, 2.0, 0.01), "egoexo": ("96 px", 2.0, 0.01), "holoassist": ("96 px", 2.0, 0.01),
+}
+
+
+def fixation_parameters(source: str, width: int) -> dict[str, float]:
+    """Arguments of ``fixations`` for recordings of a data set with images ``width`` pixels wide."""
+    radius, duration, gap = FIXATION_PARAMETERS[source.lower()]
+    share = float(radius.split()[0]) / width if isinstance(radius, str) else radius
+    return {"radius": share, "min_duration": duration, "gap": gap}
+
+
 def _scores_high(hists: list, threshold: float) -> bool:
     """Whether all consecutive histograms correlate at least ``threshold``; true below two readable ones."""
     readable = [np.asarray(h, dtype=float) for h in hists if h is not None]

@@ -76,6 +76,12 @@ def frame_count(last_time: Column, fps: float) -> Column:
     return frame_index(last_time, fps) + 1
 
 
+def drop_late(samples: DataFrame, by: Sequence[str], seq: str, t: str, fps: float) -> DataFrame:
+    """Samples within the frames that the last sample of a session (by ``seq``) reaches."""
+    ends = samples.groupBy(*by).agg(frame_count(F.max_by(t, seq), fps).alias("_frames"))
+    return samples.join(ends, list(by)).where(frame_index(F.col(t), fps) < F.col("_frames")).drop("_frames")
+
+
 def frame_average(
     samples: DataFrame, by: Sequence[str], seq: str, values: Sequence[str], last: str | None = None
 ) -> DataFrame:

@@ -4,6 +4,7 @@ from scanflow.plans import (  # noqa: F401
     catalog_filters,
     catalog_gaze,
     catalog_questions,
+    catalog_readers,
     catalog_scoring,
     catalog_sources,
     catalog_timeline,

@@ -55,11 +55,12 @@ def numbered_lines(spark: SparkSession, path: str, block: int | None = None) ->
     return out.drop("_block", "_nr")
 
 
-def session_of(file: Column) -> Column:
-    return stem(file)
+def session_of(file: Column, pattern: str | None = None) -> Column:
+    """The file's name without ending, or what ``pattern`` finds in its path."""
+    return stem(file) if pattern is None else F.regexp_extract(file, pattern, 1)
 
 
-def read_gaze_text(spark: SparkSession, path: str) -> DataFrame:
+def read_gaze_text(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
     """Vendor gaze text in either version: session, seq, pixel x and y, frame, gaze type.
 
     The sample-count line sits on the tenth header line in version 1 and later in version
@@ -73,7 +74,7 @@ def read_gaze_text(spark: SparkSession, path: str) -> DataFrame:
     )
     body = lines.where(F.col("line") >= HEADER_LINES).join(versions, "file")
     parts = F.split(F.trim("value"), r"\s+")
-    rows = body.select(session_of(F.col("file")).alias("session_id"), F.col("line").alias("seq"), "version", parts.alias("p"))
+    rows = body.select(session_of(F.col("file"), session).alias("session_id"), F.col("line").alias("seq"), "version", parts.alias("p"))
     shape = F.when((F.col("version") == 1) & (F.size("p") == FIELDS_V1), 1).when(
         (F.col("version") == 2) & (F.size("p") == FIELDS_V2), 2
     )
@@ -103,7 +104,7 @@ def read_gaze_csv(spark: SparkSession, path: str, session: str | None = None) ->
     """
     schema = "canonical_timestamp_s double, norm_pos_x double, norm_pos_y double, confidence double"
     return _csv(spark, path, schema).select(
-        (session_of(F.col("_file")) if session is None else F.regexp_extract("_file", session, 1)).alias("session_id"),
+        session_of(F.col("_file"), session).alias("session_id"),
         F.col("canonical_timestamp_s").alias("t"),
         F.col("norm_pos_x").alias("x"),
         F.col("norm_pos_y").alias("y"),
@@ -182,10 +183,10 @@ def csv_drops(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return long_.groupBy("file").agg(F.count(F.lit(1)).alias("dropped"))
 
 
-def read_gaze_2d(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
+def read_gaze_2d(spark: SparkSession, path: str, width: int, height: int, session: str | None = None) -> DataFrame:
     """Projected gaze: normalised point (centre when missing) and type per frame."""
     schema = "frame_idx long, timestamp_sec double, u double, v double, valid boolean, in_frame boolean"
-    raw = _csv(spark, path, schema).withColumn("session_id", session_of(F.col("_file")))
+    raw = _csv(spark, path, schema).withColumn("session_id", session_of(F.col("_file"), session))
     missing = F.col("u").isNull() | F.col("v").isNull()
     return raw.select(
         "session_id",
@@ -228,7 +229,7 @@ def _sync_rows(spark: SparkSession, path: str, folder: str) -> DataFrame:
     blank = F.trim("value") == ""
     ends = lines.where(blank).groupBy("file").agg(F.min("line").alias("_end"))
     body = lines.join(ends, "file", "left").where(F.col("_end").isNull() | (F.col("line") < F.col("_end")))
-    numbers = F.transform(F.split(F.trim("value"), "\t"), lambda v: v.cast("double"))
+    numbers = F.transform(F.split(F.trim("value"), "\t"), lambda v: v.try_cast("double"))
     return body.select(
         F.regexp_extract("file", rf"([^/]+)/{folder}/[^/]+$", 1).alias("session_id"), "line", numbers.alias("n")
     )
@@ -306,12 +307,12 @@ def read_fine_annotations(
     return rows.select("session_id", "start_s", "end_s", F.col("narration").alias("text"))
 
 
-def read_annotation_json(spark: SparkSession, path: str) -> DataFrame:
+def read_annotation_json(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
     """One JSON array of labelled intervals per session; blank labels are dropped."""
     rows = _json(spark, path, "start double, end double, textAttribute_en string")
     label = F.trim("textAttribute_en")
     return rows.where(F.coalesce(label, F.lit("")) != "").select(
-        session_of(F.col("_file")).alias("session_id"),
+        session_of(F.col("_file"), session).alias("session_id"),
         F.coalesce("start", F.lit(0.0)).alias("start_s"),
         F.coalesce("end", F.lit(0.0)).alias("end_s"),
         label.alias("action"),
