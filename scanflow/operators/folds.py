@@ -3,15 +3,16 @@
 Such a fold is sequential within a session, yet a session may be far too long for one
 task. Every chunk is therefore folded on its own, as if a segment began at its first
 row, and the open segment at the end of a chunk is handed to the next one. A chunk whose
-assumed entry differs from what the previous chunk hands over is folded again. Breaks
-re-anchor the fold, so corrections tend to die out soon; rounds go on until no chunk's
-entry changes, which makes the result exact. Quiet chunks, which no break
-touches, are crossed by adding their totals, without a round each.
+assumed entry differs from what the previous chunk hands over is folded again, together
+with the chunks after it in its block; blocks double in length each round. Rounds go on
+until no chunk's entry changes, which makes the result exact, and their number grows with the
+logarithm of a session's chunks. A block is a stream: a task holds one chunk of it at a time.
+Quiet chunks, which no break touches, are crossed by adding their totals.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from scanflow.operators import joins, ordered, segments
 from scanflow.session import cut
 
 _STATE = "start_s double, anchor_x double, anchor_y double, end_s double, n long, sum_x double, sum_y double"
+_BLOCK = "_block"
 _FIELDS = ["start_s", "anchor_x", "anchor_y", "end_s", "n", "sum_x", "sum_y"]
 
 
@@ -73,7 +75,12 @@ def _fold_chunk(t, x, y, entry: list | None, radius: float, gap: float) -> list[
 
 
 def _run(frames: DataFrame, by: list[str], radius: float, gap: float) -> DataFrame:
-    """Fold every (session, chunk) group of ``frames``; entry columns are null for a fresh start."""
+    """Fold the chunks of every (session, block) in order; only one chunk is held at a time.
+
+    A block's first chunk takes its entry from the columns ``e_*`` (null: its first row starts a segment),
+    each following one the segment that the chunk before leaves open.
+    """
+    group = [*by, _BLOCK]
     keys = [*by, ordered.CHUNK]
     totals = ["low_x", "high_x", "low_y", "high_y", "sx_chunk", "sy_chunk", "last_s"]
     schema = T.StructType(
@@ -82,23 +89,56 @@ def _run(frames: DataFrame, by: list[str], radius: float, gap: float) -> DataFra
         + list(T._parse_datatype_string("open boolean, e_start_s double, n_chunk long").fields)
         + [T.StructField(c, T.DoubleType()) for c in totals]
     )
+    arrow_schema = to_arrow_schema(schema)
 
-    def fold(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["frame_idx"].to_numpy(), kind="stable")
-        t, x, y = (table[c].to_numpy()[order] for c in ("time_seconds", "px", "py"))
-        first = table.slice(0, 1).to_pylist()[0]
-        entry = None if first["e_start_s"] is None else [first[f"e_{f}"] for f in _FIELDS]
-        pieces = _fold_chunk(t, x, y, entry, radius, gap)
+    def table_of(first: dict, t, x, y, entry: list | None) -> tuple[pa.Table, list]:
+        start = None if entry is None else entry[0]
+        pieces = _fold_chunk(t, x, y, None if entry is None else list(entry), radius, gap)
         n = len(pieces)
         columns = {k: [first[k]] * n for k in keys}
         columns |= {f: [p[i] for p in pieces] for i, f in enumerate(_FIELDS)}
-        columns |= {"open": [False] * (n - 1) + [True], "e_start_s": [first["e_start_s"]] * n, "n_chunk": [len(t)] * n}
+        columns |= {"open": [False] * (n - 1) + [True], "e_start_s": [start] * n, "n_chunk": [len(t)] * n}
         for name, value in zip(totals, (x.min(), x.max(), y.min(), y.max(), x.sum(), y.sum(), t[-1])):
             columns[name] = [float(value)] * n
-        return pa.table(columns, schema=arrow_schema)
-
-    arrow_schema = to_arrow_schema(schema)
-    return spread(frames, keys).groupBy(*keys).applyInArrow(fold, schema)
+        return pa.table(columns, schema=arrow_schema), pieces[-1]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, parts, held = None, [], None  # of the chunk being read; the open segment and its block
+
+        def close():
+            nonlocal held
+            t, x, y = (np.concatenate(c) for c in zip(*parts))
+            own = tuple(first[k] for k in group)
+            if held is not None and held[0] == own:
+                entry = held[1]
+            else:
+                entry = None if first["e_start_s"] is None else [first[f"e_{f}"] for f in _FIELDS]
+            table, last = table_of(first, t, x, y, entry)
+            held = (own, last)
+            return table.to_batches()
+
+        for batch in batches:
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in [*group, ordered.CHUNK]]
+            change = np.zeros(batch.num_rows, dtype=bool)
+            for c in codes:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            columns = [batch.column(c).to_numpy() for c in ("time_seconds", "px", "py")]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                head = batch.slice(low, 1).to_pylist()[0]
+                if first is not None and any(head[k] != first[k] for k in [*group, ordered.CHUNK]):
+                    yield from close()
+                    first, parts = None, []
+                if first is None:
+                    first = head
+                parts.append([c[low:high] for c in columns])
+        if first is not None:
+            yield from close()
+
+    dealt = spread(frames, group).sortWithinPartitions(*group, ordered.CHUNK, "frame_idx")
+    return dealt.mapInArrow(fold, schema)
 
 
 def _expected_entries(pieces: DataFrame, by: list[str], radius: float) -> DataFrame:
@@ -165,19 +205,34 @@ def anchored_segments(
     """
     by = list(by)
     keys = [*by, ordered.CHUNK]
+    group = [*by, _BLOCK]
     base = frames.select(*by, "frame_idx", "time_seconds", "px", "py").withColumn(
         ordered.CHUNK, ordered.bucket(F.col("frame_idx"), size)
     )
     entry = [F.lit(None).cast("long" if f == "n" else "double").alias(f"e_{f}") for f in _FIELDS]
-    pieces = cut(_run(base.select("*", *entry), by, radius, gap))
+    span = 1
+    pieces = cut(_run(base.withColumn(_BLOCK, F.col(ordered.CHUNK)).select("*", *entry), by, radius, gap))
     while True:
         expected = _expected_entries(pieces, by, radius)
         changed = expected.where(~F.col("_entry.start_s").eqNullSafe(F.col("e_start_s")))
-        if changed.isEmpty():
+        span *= 2
+        block = F.floor(F.col(ordered.CHUNK) / span).cast("long")
+        # from the first wrong entry of a block on, all its chunks are folded in one go
+        redo = cut(
+            changed.withColumn(_BLOCK, block)
+            .groupBy(*group)
+            .agg(F.min(ordered.CHUNK).alias("_from"), F.min_by("_entry", ordered.CHUNK).alias("_entry"))
+        )
+        if redo.isEmpty():
             break
-        redo = changed.select(*keys, *[F.col(f"_entry.{f}").alias(f"e_{f}") for f in _FIELDS])
-        again = _run(base.join(redo, keys), by, radius, gap)
-        pieces = cut(pieces.join(redo.select(*keys), keys, "left_anti").unionByName(again))
+        handed = [
+            F.when(F.col(ordered.CHUNK) == F.col("_from"), F.col(f"_entry.{f}")).alias(f"e_{f}") for f in _FIELDS
+        ]
+        rows = base.withColumn(_BLOCK, block).join(redo, group).where(F.col(ordered.CHUNK) >= F.col("_from"))
+        again = _run(rows.select(*base.columns, _BLOCK, *handed), by, radius, gap)
+        stay = pieces.withColumn(_BLOCK, block).join(redo.select(*group, "_from"), group, "left")
+        stay = stay.where(F.col("_from").isNull() | (F.col(ordered.CHUNK) < F.col("_from"))).select(*pieces.columns)
+        pieces = cut(stay.unionByName(again))
     last = pieces.groupBy(*by).agg(F.max(ordered.CHUNK).alias("_last"))
     done = pieces.join(last, by).where(~F.col("open") | (F.col(ordered.CHUNK) == F.col("_last")))
     return done.select(

@@ -81,3 +81,18 @@ def test_similar_episodes_equal_loop(spark, width):
     got = folds.drop_consecutive_similar(table, features, fps=2.0, threshold=0.4, width=width)
     assert sorted(r.pos for r in got.collect()) == kept
     assert 1 < len(kept) < len(episodes)
+
+
+def test_steady_drift_needs_few_rounds(spark, monkeypatch):
+    n, size = 64 * 30, 30
+    t = np.arange(n) / 24
+    x = 0.013 * np.arange(n)  # breaks every eighth row: no chunk begins where a segment does
+    y = np.zeros(n)
+    df = spark.createDataFrame(pd.DataFrame({"session_id": 1, "frame_idx": range(n), "time_seconds": t, "px": x, "py": y}))
+    calls = []
+    plain = folds.cut
+    monkeypatch.setattr(folds, "cut", lambda d: calls.append(1) or plain(d))
+    got = folds.anchored_segments(df, radius=0.1, gap=0.01, size=size).collect()
+    want = [(round(a, 6), round(b, 6), c) for a, b, c in loop(t, x, y, 0.1, 0.01)]
+    assert sorted((round(r.start_s, 6), round(r.end_s, 6), r.n) for r in got) == sorted(want)
+    assert len(calls) <= 2 + 2 * 8
