@@ -10,8 +10,10 @@ The order of the corpus' suffixes by their first ``window`` bytes comes from two
 * *Parse*: occurrences of phrases, ordered by (trigger, phrase, document, position). An occurrence after
   the first of its phrase holds only windows that start earlier, so all of them are marked by rank alone.
 * *Dictionary*: the first occurrence of each phrase. A phrase that is alone with its trigger cannot share
-  a window with another one. Only the other phrases give their suffixes (windows), which are ordered by
-  (content, document, position); equal neighbours are repeats.
+  a window with another one. A window that reaches half of its free bytes to the left (right) of the trigger
+  can only be shared by phrases with those bytes in common, so phrases are split by what stands left and
+  right. Only what is left then gives its suffixes (windows), which are ordered by (content, document,
+  position); equal neighbours are repeats.
 
 Each Arrow batch keeps the first of equal phrases (and of equal windows) before the shuffle. A passage that
 stands in a third of all rows therefore reaches a task once per batch, not once per row. Texts are shuffled
@@ -39,7 +41,7 @@ WINDOW = 100
 GRAM = 32
 SLAB = 1 << 19
 
-PIECE = "trigger long, phrase long, doc long, pos long"
+PIECE = "trigger long, phrase long, sides long, doc long, pos long"
 
 
 def _identity(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -73,7 +75,11 @@ def _segments(offsets: np.ndarray, window: int, slab: int) -> Iterator[list[tupl
 
 
 def _parse(data: np.ndarray, starts: np.ndarray, window: int, gram: int):
-    """Trigger, phrase hash, begin and number of windows of the phrases in a slab of pieces."""
+    """Begin, number of windows, trigger, phrase hash and sides of the phrases in a slab of pieces.
+
+    ``sides`` holds 24-bit hashes of the half free bytes left and right of the trigger and, in the low byte,
+    the trigger's distance from the begin.
+    """
     roll = tb.Rolling(data)
     n = len(data)
     grams = roll.grams(gram)
@@ -93,9 +99,15 @@ def _parse(data: np.ndarray, starts: np.ndarray, window: int, gram: int):
     begin = np.flatnonzero(fresh)
     seen = np.concatenate([[0], np.cumsum(valid)])
     count = seen[np.append(begin[1:], len(anchor))] - seen[begin]
-    trigger = grams[anchor[begin]]
+    at = anchor[begin]
     phrase = roll.of(begin, begin + count + window - 1)
-    return trigger, phrase, begin, count
+    half = (window - gram) // 2
+    # bytes beyond the piece belong to no window of the phrase, so any value will do for them
+    left = roll.of(np.maximum(at - half, 0), at)
+    right = roll.of(np.minimum(at + gram, n), np.minimum(at + gram + half, n))
+    bits = np.uint64((1 << 24) - 1)
+    sides = (left & bits) << np.uint64(32) | (right & bits) << np.uint64(8) | (at - begin).astype(np.uint64)
+    return begin, count, grams[at], phrase, sides
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -109,7 +121,7 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return ~same
 
 
-def _settle(doc, pos, count, trigger, phrase) -> pa.RecordBatch:
+def _settle(doc, pos, count, trigger, phrase, sides) -> pa.RecordBatch:
     """Pieces of a batch, which stand in document order: the first of equal ones stay open (odd trigger).
 
     The others are repeats already. Neighbouring ones are joined to one run of windows; such a run has an
@@ -126,10 +138,11 @@ def _settle(doc, pos, count, trigger, phrase) -> pa.RecordBatch:
     columns = [
         np.concatenate([trigger[first] | np.uint64(1), spread]).view(np.int64),
         np.concatenate([low.view(np.int64), runs.astype(np.int64)]),
+        np.concatenate([sides[first].view(np.int64), np.zeros(len(head), dtype=np.int64)]),
         np.concatenate([doc[first], doc[head]]),
         np.concatenate([pos[first], pos[head]]),
     ]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["trigger", "phrase", "doc", "pos"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["trigger", "phrase", "sides", "doc", "pos"])
 
 
 def _in_order(batch: pa.RecordBatch) -> np.ndarray:
@@ -158,11 +171,11 @@ def _parser(window: int, gram: int, slab: int):
             doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
             parts = []
             for buf, starts, rows, inner in _slabs(batch, window, slab):
-                trigger, phrase, begin, count = _parse(buf, starts, window, gram)
+                begin, count, trigger, phrase, sides = _parse(buf, starts, window, gram)
                 piece = np.searchsorted(starts, begin, side="right") - 1
                 row = rows[piece]
                 pos = tag[row] + inner[piece] + begin - starts[piece]
-                parts.append((doc[row], pos, count, trigger, phrase))
+                parts.append((doc[row], pos, count, trigger, phrase, sides))
             if parts:
                 yield _settle(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -209,7 +222,7 @@ def _suffixes(window: int):
                     content = roll.of(start, start + window)
                     half = roll.of(start, start + window // 2)
                     one = np.ones(len(start), dtype=np.int64)
-                    parts.append((one * doc[row], tag[row] + low + start, one, content, half))
+                    parts.append((one * doc[row], tag[row] + low + start, one, content, half, np.zeros_like(half)))
             if parts:
                 yield _settle(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -277,18 +290,47 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _packed() -> Column:
-    place = F.col("pos").bitwiseAND(F.lit((1 << 32) - 1))
+def _placed(pieces: DataFrame) -> DataFrame:
+    """Pieces as doc, tag, begin, count (of windows) with ``again`` and what narrowing needs."""
     settled = F.col("trigger").bitwiseAND(F.lit(1)) == 0
-    count = F.when(settled, F.col("phrase")).otherwise(F.col("phrase").bitwiseAND(F.lit(127)))
-    return F.shiftleft(place, 32).bitwiseOR(count)
+    return pieces.select(
+        "doc",
+        F.shiftleft(F.shiftright("pos", 32), 32).alias("tag"),
+        F.col("pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("begin"),
+        F.when(settled, F.col("phrase")).otherwise(F.col("phrase").bitwiseAND(F.lit(127))).alias("count"),
+        "again", "trigger", "phrase", "sides",
+    )
+
+
+def _narrowed(placed: DataFrame, window: int, gram: int) -> DataFrame:
+    """Repeats as they are, and open phrases cut to the windows that another phrase may share.
+
+    A window that begins ``half`` or more before the trigger holds all of the left side, one that begins
+    ``half`` or less before it all of the right side (of ``half`` bytes each).
+    """
+    half = (window - gram) // 2
+    left, right = F.shiftright("sides", 32), F.shiftright("sides", 8).bitwiseAND(F.lit((1 << 24) - 1))
+    there = F.col("sides").bitwiseAND(F.lit(255))
+
+    def several(side: Column) -> Column:
+        group = Window.partitionBy("trigger", side)
+        fresh = F.when(~F.col("again"), F.col("phrase"))
+        return F.coalesce(F.min(fresh).over(group) != F.max(fresh).over(group), F.lit(False))
+
+    split = placed.withColumns({"_left": left, "_right": right})
+    known = split.withColumn("_on_left", several(F.col("_left"))).withColumn("_on_right", several(F.col("_right")))
+    whole = F.col("again")
+    low = F.when(whole | F.col("_on_left"), F.lit(0)).otherwise(F.greatest(F.lit(0), there - half))
+    high = F.when(whole | F.col("_on_right"), F.col("count")).otherwise(F.least(F.col("count"), there - half + 1))
+    cut_ = known.where("again or _on_left or _on_right").withColumns({"_low": low, "_high": high}).where("_high > _low")
+    return cut_.select("doc", "tag", (F.col("begin") + F.col("_low")).alias("begin"), (F.col("_high") - F.col("_low")).alias("count"), "again")
 
 
-def _by_document(pieces: DataFrame, **kinds) -> DataFrame:
+def _by_document(placed: DataFrame, **kinds) -> DataFrame:
     """One row per document: packed repeats or open phrases. A list is bounded by its document."""
-    tag = F.shiftleft(F.shiftright("pos", 32), 32)
-    return pieces.groupBy("doc", tag.alias("tag")).agg(
-        *(F.collect_list(F.when(cond, _packed())).alias(name) for name, cond in kinds.items())
+    packed = F.shiftleft(F.col("begin"), 32).bitwiseOR(F.col("count"))
+    return placed.groupBy("doc", "tag").agg(
+        *(F.collect_list(F.when(cond, packed)).alias(name) for name, cond in kinds.items())
     )
 
 
@@ -307,11 +349,12 @@ def remove_repeats(
         raise ValueError("need 2 <= gram <= window <= gram + 126")
     base = _identity(docs, doc_id, text)
     pieces = base.mapInArrow(_parser(window, gram, slab), PIECE)
-    by_doc = cut(_by_document(_ranked(pieces), closed=F.col("again"), open=~F.col("again")))
+    known = _narrowed(_placed(_ranked(pieces)), window, gram)
+    by_doc = cut(_by_document(known, closed=F.col("again"), open=~F.col("again")))
     named = base.repartition("doc", "tag")
     opened = named.join(by_doc.where(F.size("open") > 0).select("doc", "tag", "open"), ["doc", "tag"])
     windows = _ranked(opened.select("doc", "tag", "text", "open").mapInArrow(_suffixes(window), PIECE))
-    again = _by_document(windows.where("again"), again=F.col("again"))
+    again = _by_document(_placed(windows.where("again")), again=F.col("again"))
     none = F.array().cast("array<long>")
     whole = (
         named.join(by_doc.select("doc", "tag", "closed"), ["doc", "tag"], "left")
