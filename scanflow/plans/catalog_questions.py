@@ -10,7 +10,7 @@ from scanflow.operators import timeline
 from scanflow.plans import questions as Q
 from scanflow.plans import sqltext as T
 from scanflow.plans import standins as S
-from scanflow.plans.catalog import query
+from scanflow.plans.catalog import ORACLES, query
 from scanflow.session import cut
 
 ID = ["session_id", "pos"]
@@ -434,3 +434,31 @@ def _gap_merge_sql(source: str, keys: str) -> str:
 def alert_intervals(spark, sf):
     entries = cut(kitchen_entries(spark, sf))
     return Q.alert_intervals(entries, Q.alert_target(entries), "fov", chunk=S.DAY)
+
+
+@query(
+    "ask_next_action_natural",
+    S.with_views(
+        "merged_pos",
+        told="SELECT * REPLACE ('The user will ' || action AS action) FROM merged_pos",
+        **{k: v.replace("merged_pos", "told") for k, v in ACTION_CTES.items()},
+    )
+    + _finish("session_id, pos, truth AS answer_action", "mx"),
+)
+def ask_next_action_natural(spark, sf):
+    made = Q.next_action(merged_entries(spark, sf), natural=lambda s: s.map(lambda a: a and f"The user will {a}"), chunk=S.DAY)
+    return joined(made, "options").select(*ID, "answer_action", "answer", "options")
+
+
+@query(
+    "ask_alert_with_intervals",
+    "SELECT session_id, object AS target_object, string_agg(printf('%02d:%02d-%02d:%02d', CAST(floor(start_s / 60) AS BIGINT), "
+    "CAST(floor(start_s % 60) AS BIGINT), CAST(floor(end_s / 60) AS BIGINT), CAST(floor(end_s % 60) AS BIGINT)), ' ' "
+    "ORDER BY start_s) AS spans FROM (" + ORACLES["alert_intervals"] + ") GROUP BY 1, 2",
+)
+def ask_alert_with_intervals(spark, sf):
+    entries = cut(kitchen_entries(spark, sf))
+    asked = Q.alert_target(entries).select("session_id", F.col("object").alias("target_object"))
+    told = Q.with_intervals(asked, entries, "fov", chunk=S.DAY)
+    each = F.transform("fixation_intervals", lambda s: F.concat(s["start"], F.lit("-"), s["end"]))
+    return told.select("session_id", "target_object", F.array_join(each, " ").alias("spans"))

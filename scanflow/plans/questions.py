@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanflow.functions import text
 from scanflow.functions.timecode import clock_short, mmss, range_text
 from scanflow.operators import draws, intervals, joins, objects, segments, timeline
+from scanflow.plans.requests import rewrite_distinct
 from scanflow.session import cut
 
 BY = ["session_id"]
@@ -330,8 +332,15 @@ def next_action(
     high: float = 120.0,
     chunk: float = 600.0,
     size: int = timeline.ENTRIES_PER_TILE,
+    natural: Callable[[pd.Series], pd.Series] | None = None,
 ) -> DataFrame:
-    """Which action follows the recently seen names."""
+    """Which action follows the recently seen names.
+
+    ``natural`` rewrites the actions as sentences, once per distinct action; options and answer hold those.
+    """
+    if natural is not None:
+        entries = rewrite_distinct(entries, "action", natural, "_natural")
+        entries = entries.withColumn("action", F.coalesce("_natural", "action")).drop("_natural")
     acts = entries.where(F.col("kind") == "action")
     rich = acts.groupBy(*BY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
     pool = draws.ranked_pool(acts.select(*BY, F.col("action").alias("object")), BY, "action")
@@ -430,6 +439,17 @@ def alert_appear(entries: DataFrame, fixture: Callable[[Column], Column] = text.
     return _alerts(entries, rest, "outside", "future_remind_hard", wording)
 
 
+def with_intervals(asked: DataFrame, entries: DataFrame, side: str, chunk: float = 600.0) -> DataFrame:
+    """Alert questions with ``fixation_intervals``, the merged spans of their name in order."""
+    names = asked.select(*BY, F.col("target_object").alias("object")).distinct()
+    merged = alert_intervals(entries, names, side, chunk)
+    nested = merged.groupBy(*BY, F.col("object").alias("target_object")).agg(
+        F.sort_array(F.collect_list(F.struct("start_s", "end_s"))).alias("_spans")
+    )
+    spans = F.transform("_spans", lambda s: F.struct(mmss(s["start_s"]).alias("start"), mmss(s["end_s"]).alias("end")))
+    return asked.join(nested, [*BY, "target_object"], "left").withColumn("fixation_intervals", spans).drop("_spans")
+
+
 def alert_intervals(entries: DataFrame, targets: DataFrame, side: str, chunk: float = 600.0) -> DataFrame:
     """Merged intervals of the alert names, flat (session, object, start, end) rows."""
     seen = intervals.appearances(entries, side).join(targets.select(*BY, "object"), [*BY, "object"], "left_semi")
