@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from scanflow.plans import filters as G
 from scanflow.plans import questions as Q
 from scanflow.plans import sqltext as T
 from scanflow.plans import standins as S
-from scanflow.plans.catalog import query
+from scanflow.plans.catalog import ORACLES, QUERIES, query
 from scanflow.session import cut
 from scanflow.plans.catalog_questions import (
     ACTION_CTES,
@@ -325,11 +327,19 @@ def drop_log(spark, sf):
 
 @query(
     "questions_per_task",
-    S.with_views("merged_pos", "episodes", **RECALL_CTES)
-    + """SELECT 'past_scene_reconstruction' AS task, count(*) AS n FROM mx UNION ALL
-    SELECT 'present_ident_easy', count(*) FROM episodes""",
+    "SELECT 'past_scene_reconstruction' AS task, count(*) AS n FROM (" + ORACLES["ask_scene_recall"]
+    + ") UNION ALL SELECT 'past_next_after_group', count(*) FROM (" + ORACLES["ask_next_after_group"]
+    + ") UNION ALL SELECT 'past_transition_pattern', count(*) FROM (" + ORACLES["ask_transition_pattern"]
+    + ") UNION ALL SELECT 'past_never_gazed', count(*) FROM (" + ORACLES["ask_never_gazed"]
+    + ") UNION ALL SELECT 'present_ident_easy', count(*) FROM (" + ORACLES["ask_identify_easy"]
+    + ") UNION ALL SELECT 'future_action', count(*) FROM (" + ORACLES["ask_next_action"]
+    + ") UNION ALL SELECT 'future_remind_easy', count(*) FROM (" + ORACLES["ask_alert_gaze"] + ")",
 )
 def questions_per_task(spark, sf):
-    past = Q.scene_recall(merged_entries(spark, sf)).select("task")
-    present = Q.identify_easy(positioned_episodes(spark, sf)).select("task")
-    return past.unionByName(present).groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    """Every builder whose input is a timeline or its episodes."""
+    entries = merged_entries(spark, sf)
+    made = [Q.scene_recall(entries), Q.next_after_group(entries), Q.transition_pattern(entries), Q.never_gazed(entries, chunk=S.DAY)]
+    made += [Q.identify_easy(positioned_episodes(spark, sf)), Q.next_action(entries, chunk=S.DAY)]
+    made += [QUERIES["ask_alert_gaze"](spark, sf).withColumn("task", F.lit("future_remind_easy"))]
+    tasks = reduce(DataFrame.unionByName, (m.select("task") for m in made))
+    return tasks.groupBy("task").agg(F.count(F.lit(1)).alias("n"))

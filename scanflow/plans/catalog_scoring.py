@@ -212,16 +212,14 @@ _GRID_CTES = {
     "sc": _SCORED,
     "sco": """SELECT model, task, count(*) FILTER (WHERE want <> '' AND want = got) AS n_correct,
         count(*) FILTER (WHERE want <> '') AS n_total, count(*) FILTER (WHERE want <> '' AND want = got) * 100.0
-        / count(*) FILTER (WHERE want <> '') AS accuracy FROM sc WHERE NOT (model = 'P' AND task = '5-LOW') GROUP BY 1, 2""",
+        / count(*) FILTER (WHERE want <> '') AS accuracy FROM sc GROUP BY 1, 2""",
     "grid": _GRID,
 }
 
 
 def _grid(spark, sf):
     rows = S.predictions(spark, sf)
-    scores = scoring.score_choice(
-        rows.where(~((F.col("model") == "P") & (F.col("task") == "5-LOW"))), ["model", "task"]
-    )
+    scores = scoring.score_choice(rows, ["model", "task"])
     return scoring.result_grid(rows.select("model").distinct(), scores, _PRIORITIES)
 
 
@@ -398,12 +396,12 @@ def frame_codes(spark, sf):
 
 @query(
     "normal_names",
-    """SELECT doc_id, lang, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n_plain,
+    """SELECT doc_id, lang, length(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS n_plain,
     regexp_matches(lower(text), 'hand|hands|finger|fingers|arm|arms|foot|feet|leg|legs|body|face|head|person') AS human,
-    md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""",
+    md5(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS digest FROM documents""",
 )
 def normal_names(spark, sf):
-    plain = S.table(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    plain = S.table(spark, sf, "documents")
     clean = text.light_norm(F.col("text"))
     return plain.select(
         "doc_id", "lang", F.length(clean).cast("long").alias("n_plain"), text.is_human(F.col("text")).alias("human"),
@@ -413,13 +411,14 @@ def normal_names(spark, sf):
 
 @query(
     "normal_names_unicode",
-    """SELECT doc_id, trim(regexp_replace(nfc_normalize(lang || ' ' || source), '\\s+', ' ', 'g')) AS name,
+    """SELECT doc_id, trim(regexp_replace(nfc_normalize(lang || ' ' || source), '\\s+', ' ', 'g')) || ' fit 12 km' AS name,
     CAST(regexp_matches(lower(source), 'hand|arm|face|head') AS BOOLEAN) AS human FROM documents""",
 )
 def normal_names_unicode(spark, sf):
     return S.table(spark, sf, "documents").select(
         "doc_id",
-        text.light_norm(F.concat_ws("  ", "lang", "source")).alias("name"),
+        # compatibility forms: a ligature, wide digits, an ideographic space, a squared unit
+        text.light_norm(F.concat(F.concat_ws("  ", "lang", "source"), F.lit(" \ufb01t\u3000\uff11\uff12 \u339e "))).alias("name"),
         text.any_word(F.col("source"), ["hand", "arm", "face", "head"]).alias("human"),
     )
 

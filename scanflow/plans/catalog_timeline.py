@@ -393,13 +393,12 @@ def work_chunks(spark, sf):
 @query(
     "occurrence_ids",
     """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) - 1 AS nr, k FROM (
-      SELECT l_orderkey, CAST(l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS BIGINT) AS k FROM lineitem
-      GROUP BY ALL)""",
+      SELECT l_orderkey, CAST(l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS BIGINT) AS k FROM lineitem)""",
 )
 def occurrence_ids(spark, sf):
     rows = S.table(spark, sf, "lineitem").select(
         "l_orderkey", (F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("k")
-    ).distinct()
+    )
     out = timeline.occurrence_number(rows, "l_orderkey", "k", width=1e9)
     return out.select("l_orderkey", F.substring_index("unique_id", "_", -1).cast("long").alias("nr"), "k")
 
