@@ -265,9 +265,15 @@ def _groups(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
     )
     # a class that only the second check links is no vertex of the first graph
     late = more.join(roots, "u", "left_anti").select(F.col("u").alias("v"), F.col("root").alias("top"))
-    of_class = signed.select("doc", "print", "v", "n").join(vertex.unionByName(late), "v", "left").withColumn("top", F.coalesce("top", "v"))
-    first = of_class.where("v is not null").groupBy("top").agg(F.min("doc").alias("least"))
-    return of_class.join(first, "top", "left").select("doc", "print", "n", F.coalesce("least", "doc").alias("least"))
+    # each table below is written, so that a class or a component with a large share of all rows meets its
+    # label in a plain join of two shuffled tables, whose large partitions Spark splits
+    first = signed.where("v is not null").groupBy("v").agg(F.min("doc").alias("first"))
+    tops = cut(vertex.unionByName(late).join(first, "v"))
+    least_of = cut(tops.groupBy("top").agg(F.min("first").alias("least")))
+    named = tops.join(least_of, "top").select("v", "least")
+    label = cut(first.join(named, "v", "left").select("v", F.coalesce("least", "first").alias("least")))
+    rows_ = signed.select("doc", "print", "v", "n").join(label, "v", "left")
+    return rows_.select("doc", "print", "n", F.coalesce("least", "doc").alias("least"))
 
 
 def _named(c: str) -> Column:
