@@ -11,6 +11,7 @@ from scanflow.llm import (
     extract,
     mixing,
     near_dedup,
+    oracles,
     quality_rules,
     ranking,
     sharding,
@@ -39,13 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_suffix_dedup")
+@query("op1_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from each document because a 100-byte string around them starts earlier."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
-@query("op2_decontamination")
+@query("op2_decontamination", oracles.DECONTAMINATION)
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that contains a benchmark item, with the item and the share of it found."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -69,7 +70,7 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
-@query("op6_near_dedup")
+@query("op6_near_dedup", oracles.NEAR_DEDUP)
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document: 3-word shingles, similarity of 0.85 or more."""
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
