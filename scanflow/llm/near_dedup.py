@@ -209,7 +209,8 @@ def _rest_links(edges: DataFrame, roots: DataFrame, texts: DataFrame, shingle: i
     hubs = edges.select("hub", F.col("hub").alias("v"), F.col("hub_doc").alias("doc"), F.col("hub_print").alias("print")).distinct()
     members = edges.select("hub", "v", "doc", "print").unionByName(hubs)
     known = members.join(roots.withColumnRenamed("u", "v"), "v", "left").withColumn("comp", F.coalesce("root", "v")).drop("root")
-    stars = (
+    # written, so that a hub with a large share of all members is joined as two plain tables
+    stars = cut(
         known.groupBy("hub")
         .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("v") == F.col("hub"), F.col("comp"))).alias("centre"))
         .where("size > 2 and low <> high")
