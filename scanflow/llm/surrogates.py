@@ -1,7 +1,7 @@
 """Surrogates for personal data: keyed, type-consistent, distinct.
 
 Entities are found by kind: e-mail addresses, phone numbers, IP addresses, card or account numbers, secrets
-after a key word, and names after a form of address. Each is replaced by a surrogate of its own kind and format:
+after a key word or a known prefix, and names after a form of address. Each is replaced by a surrogate of its own kind and format:
 
 * the same length, punctuation, letter case, script and character classes;
 * a card number that passes the checksum keeps passing it, another keeps failing it;
@@ -67,11 +67,19 @@ _PHONE = re.compile(
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)")
-_CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w])")
+_CARD = re.compile(
+    r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{5})(?![\w]|[.-]\d)"
+)
 _SECRET = re.compile(
     r"(?<![^\W_])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_=.-]{12,})",
     re.I,
 )
+#: Public prefixes of access keys; what follows is the secret.
+KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sk-", "xoxa-", "xoxb-", "xoxp-", "eyJ")
+_KEY = re.compile(
+    r"(?<![^\W_])(?:(?:AKIA|ASIA)([A-Z0-9]{16})|AIza([\w-]{35})|gh[pousr]_([A-Za-z0-9]{30,})|glpat-([\w-]{20,})"
+    r"|sk-([A-Za-z0-9_-]{20,})|xox[abp]-([A-Za-z0-9-]{10,})|eyJ([\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}))(?![\w-])"
+)
 _BARE_HEX = re.compile(r"(?<![^\W_])(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?![^\W_])")
 _NAME = re.compile(rf"(?<![^\W_])({'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ]((?!\W){_LETTER}+(?:[-’']{_LETTER}+)*(?:[ ]{_LETTER}+(?:[-’']{_LETTER}+)*){{0,2}})")
 _DIGIT = re.compile(r"\d")
@@ -247,6 +255,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "ip", "") for m in _IP.finditer(text)]
         found += [(m.start(), m.end(), "card", "") for m in _CARD.finditer(text)]
         found += [(m.start(), m.end(), "secret", "") for m in _BARE_HEX.finditer(text)]
+    if any(p in text for p in KEY_PREFIXES):
+        found += [(m.start(m.lastindex), m.end(m.lastindex), "secret", "") for m in _KEY.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "secret", "") for m in _SECRET.finditer(text)]
     for m in _NAME.finditer(text):
