@@ -50,7 +50,8 @@ def nearest_join(
 
 
 def overlap_join(
-    segments: DataFrame, intervals: DataFrame, by: Sequence[str], width: float, key: str | None = None
+    segments: DataFrame, intervals: DataFrame, by: Sequence[str], width: float, key: str | None = None,
+    levels: int = 1, factor: int = 32,
 ) -> DataFrame:
     """Closed-interval overlaps of ``start_s``..``end_s``, one row per pair.
 
@@ -58,22 +59,31 @@ def overlap_join(
     over tasks. A pair is emitted only in the bucket where the later of both starts lies.
     Interval columns come back as the struct ``match``. With ``key``, the column that
     identifies a segment within ``by``, segments without a match stay with a null match.
+
+    Where some intervals are far longer than ``width``, ``levels`` above 1 keeps their copies few: a level's
+    buckets are ``factor`` times as wide as the level's below, an interval lives on the first level where it
+    spans two buckets at most, and a pair meets on the higher of both levels.
     """
     by = list(by)
 
     def cut(df: DataFrame, payload: str) -> DataFrame:
-        low, high = (ordered.bucket(F.col(c), width) for c in ("start_s", "end_s"))
-        return df.where(F.col("end_s") >= F.col("start_s")).select(
+        length = (F.col("end_s") - F.col("start_s")) / F.lit(float(width))
+        own = sum((F.when(length > float(factor**k), 1).otherwise(0) for k in range(levels - 1)), F.lit(0))
+        placed = df.where(F.col("end_s") >= F.col("start_s")).select(
             *by,
             F.struct(*df.columns).alias(payload),
-            low.alias(f"{payload}_low"),
-            F.explode(F.sequence(low, high)).alias("_bucket"),
+            own.alias(f"{payload}_own"),
+            F.explode(F.sequence(own, F.lit(levels - 1))).alias("_level"),
         )
+        wide = F.lit(float(width)) * F.pow(F.lit(float(factor)), F.col("_level"))
+        low, high = (F.floor(F.col(f"{payload}.{c}") / wide).cast("long") for c in ("start_s", "end_s"))
+        return placed.withColumn(f"{payload}_low", low).withColumn("_bucket", F.explode(F.sequence(low, high)))
 
     left, right = cut(segments, "_l"), cut(intervals, "_r")
-    pairs = left.join(right, [*by, "_bucket"]).where(
+    pairs = left.join(right, [*by, "_level", "_bucket"]).where(
         (F.col("_l.end_s") >= F.col("_r.start_s"))
         & (F.col("_l.start_s") <= F.col("_r.end_s"))
+        & (F.col("_level") == F.greatest("_l_own", "_r_own"))
         & (F.col("_bucket") == F.greatest("_l_low", "_r_low"))
     )
     matched = pairs.select("_l.*", F.col("_r").alias("match"))

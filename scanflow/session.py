@@ -58,9 +58,34 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a stage of its own, without lineage.
 
     Parquet rather than a row checkpoint, so that later reads load only their columns and
-    joins know the size. The folder lives as long as the shared folder does.
+    joins know the size. The folder stays until ``release``, since the caller may read its result at any time.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = stage_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_stages: list[str] = []
+
+
+def stage_path(spark: SparkSession, name: str = "stage") -> str:
+    """A new folder below the shared one, known to ``release``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stages.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the stages that this process has written; returns their number.
+
+    Call it when the results built so far have been written or collected: tables that still read a stage
+    cannot be read afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _stages:
+        path = jvm.org.apache.hadoop.fs.Path(_stages.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

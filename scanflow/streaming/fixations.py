@@ -28,7 +28,8 @@ class AnchoredSegments(StatefulProcessor):
     """Buffers samples until the watermark passes them, folds them in time order.
 
     The buffer holds at most the samples of one watermark delay, the fold one open segment.
-    A session ends when no sample arrives for ``idle_ms`` of event time.
+    A session ends when no sample arrives for ``idle_ms`` of event time, and its open segment with it. The batch
+    fold has no such rule: there a segment goes on over any gap if the next sample lies within the radius.
     """
 
     def __init__(self, radius: float, gap: float, min_duration: float, idle_ms: int):

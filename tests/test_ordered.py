@@ -129,3 +129,24 @@ def test_object_entries_with_equal_bounds_keep_all_names(spark):
     actions = spark.createDataFrame([], "session_id long, start_s double, end_s double, pos long, action string")
     (row,) = timeline.timeline_merge(objects, actions).collect()
     assert (row.fov, row.outside) == (["a", "b"], ["x", "y"])
+
+
+@pytest.mark.parametrize("levels", [1, 3])
+def test_overlaps_of_short_and_very_long_intervals(spark, levels):
+    import random
+
+    rng = random.Random(2)
+
+    def some(n):
+        rows = []
+        for i in range(n):
+            a = rng.uniform(0, 2000)
+            rows.append((1, i, a, a + rng.choice([0.0, 0.5, 3.0, 70.0, 1500.0])))
+        return rows
+
+    a, b = some(60), some(60)
+    schema = "session_id long, id long, start_s double, end_s double"
+    got = joins.overlap_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["session_id"], width=1.0, levels=levels, factor=8)
+    want = {(x[1], y[1]) for x in a for y in b if x[3] >= y[2] and x[2] <= y[3]}
+    pairs = [(r.id, r.match.id) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want

@@ -25,3 +25,14 @@ def test_queries_run_from_another_folder(tmp_path):
     lines = [x.split() for x in done.stdout.splitlines() if " " in x]
     assert done.returncode == 0, done.stderr[-2000:]
     assert len([x for x in lines if x[-1].isdigit() and int(x[-1]) > 0]) == 4
+
+
+def test_stages_of_finished_work_can_be_released(spark, monkeypatch):
+    from scanflow import session
+
+    monkeypatch.setattr(session, "_stages", [])
+    kept = session.cut(spark.range(5))
+    assert kept.count() == 5 and len(session._stages) == 1
+    path = session._stages[0]
+    assert session.release(spark) == 1 and session.release(spark) == 0
+    assert not os.path.exists(path.removeprefix("file:"))
