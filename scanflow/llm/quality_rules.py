@@ -223,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # bounded by max_rows, hence small enough to send to every executor
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
     sample = statistics(texts.join(F.broadcast(picked), "_id"))
-    rows = sample.select("_label", base_failed(), *names).collect()
+    # rows that share a labelled id add to the sample, never beyond its bound
+    rows = sample.select("_label", base_failed(), *names).orderBy("_label", *names).limit(max_rows).collect()
     table = np.array([(r[0], *r[2:]) for r in rows if not r[1]], dtype=float).reshape(-1, 1 + len(names))
     table = table[np.lexsort(table.T[::-1])]
     bad = table[:, 0] == 0

@@ -161,7 +161,8 @@ def fit(
     texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(picked), "_id").select("label", "text")
     schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    rows = sample.mapInArrow(_measure, schema).collect()
+    # rows that share a labelled id add to the sample, never beyond its bound
+    rows = sample.mapInArrow(_measure, schema).orderBy("label", *FEATURES).limit(max_rows).collect()
     table = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), 1 + len(FEATURES))
     table = table[np.lexsort(table.T[::-1])]
     return fit_pairs(table[:, 1:], table[:, 0])

@@ -22,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanflow.session import cut
+
 MAX_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -111,9 +113,13 @@ def _lexical(df: DataFrame, url: str) -> DataFrame:
     return split.withColumns(typed).withColumn("_suffix", suffix).drop("_u")
 
 
-def _with_suffixes(df: DataFrame, labelled: DataFrame) -> DataFrame:
+def _suffix_counts(labelled: DataFrame) -> DataFrame:
+    # written, so that a suffix with a large share of all urls is joined as two plain tables
+    return cut(labelled.groupBy("_suffix").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_blocked").alias("_hits")))
+
+
+def _with_suffixes(df: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds the share of blocked urls (smoothed to the half) and the log count per suffix."""
-    counts = labelled.groupBy("_suffix").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_blocked").alias("_hits"))
     rows, hits = F.coalesce("_rows", F.lit(0)), F.coalesce("_hits", F.lit(0))
     return (
         df.join(counts, "_suffix", "left")
@@ -203,12 +209,12 @@ def boost(x: np.ndarray, y: np.ndarray, names: tuple[str, ...] = FEATURES, round
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "verdict", max_rows: int = MAX_ROWS) -> tuple[Trees, DataFrame]:
-    """Trees from at most ``max_rows`` labelled urls (in the order of a hash of the url), and the labelled
-    suffixes. ``label`` holds ``block`` or ``allow``; other rows are left out."""
+    """Trees from at most ``max_rows`` labelled urls (in the order of a hash of the url), and the counts
+    of labelled suffixes. ``label`` holds ``block`` or ``allow``; other rows are left out."""
     known = labelled.where(F.col(label).isin("block", "allow")).select(F.col(url).alias("url"), (F.col(label) == "block").cast("int").alias("_blocked"))
     host, _ = split_url(F.col("url"))
     suffix = F.regexp_extract(F.coalesce(host, F.lit("")), r"([^.]*\.?[^.]*)$", 1)
-    suffixes = known.select(suffix.alias("_suffix"), "_blocked")
+    suffixes = _suffix_counts(known.select(suffix.alias("_suffix"), "_blocked"))
     picked = known.orderBy(F.xxhash64("url"), "url", "_blocked").limit(max_rows)
     measured = _with_suffixes(_lexical(picked, "url"), suffixes)
     rows = measured.select("_blocked", *FEATURES).collect()
