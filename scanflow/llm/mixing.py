@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanflow.llm import textbytes as tb
+from scanflow.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -83,17 +84,17 @@ def _offsets(sized: DataFrame, sources: DataFrame, chunks: int) -> DataFrame:
         sources.withColumnRenamed("source", "_s"), sized["source"].eqNullSafe(F.col("_s")), "inner"
     ).drop("_s", "_words")
     chunk = F.pmod(F.xxhash64(F.coalesce(F.col("doc").cast("string"), F.lit(""))), F.lit(chunks)).cast("int")
-    cut = joined.withColumn("_chunk", chunk)
+    parts = joined.withColumn("_chunk", chunk)
     along = Window.partitionBy("src").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        cut.groupBy("src", "_chunk")
+        parts.groupBy("src", "_chunk")
         .agg(F.sum("size").alias("_size"))
         .withColumn("_before", F.coalesce(F.sum("_size").over(along), F.lit(0)))
         .drop("_size")
     )
     inner = Window.partitionBy("src", "_chunk").orderBy("doc", "size", "print").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        cut.withColumn("_inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+        parts.withColumn("_inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
         .join(before, ["src", "_chunk"])
         .withColumn("off", F.col("_before") + F.col("_inner"))
         .drop("_chunk", "_before", "_inner")
@@ -179,7 +180,8 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 def _read_pieces(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], repeats: int, block: int, seed: int) -> DataFrame:
     """Pieces of all documents with ``times``, how often their block is read."""
-    sized = _sized(docs, doc_id, text, source)
+    # texts are counted once; totals, offsets and targets read the counts
+    sized = cut(_sized(docs, doc_id, text, source))
     sources = targets(sized, weights, repeats)
     pieces = _pieces(_offsets(sized, sources, CHUNKS), block)
     times = slots(sources, block, seed=seed).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
