@@ -17,7 +17,8 @@ The order of the corpus' suffixes by their first ``window`` bytes comes from two
 
 Each Arrow batch keeps the first of equal phrases (and of equal windows) before the shuffle. A passage that
 stands in a third of all rows therefore reaches a task once per batch, not once per row. Texts are shuffled
-by document only. Phrases compare by 64-bit hashes within one 64-bit trigger.
+by document only. Phrases compare by 57-bit hashes within one 64-bit trigger. A trigger that very many different
+phrases share is the one group that a single task sorts; its rows are five numbers each, and the sort spills.
 
 Rows: null text counts as empty. Rows that share a doc_id are told apart by a hash of their text, in whose
 order they count; rows equal in both are one document, each gets that document's result. A null doc_id
@@ -146,8 +147,12 @@ def _settle(doc, pos, count, trigger, phrase, sides) -> pa.RecordBatch:
 
 
 def _in_order(batch: pa.RecordBatch) -> np.ndarray:
-    """Rows of a batch in the order of their documents."""
-    return np.lexsort((batch.column("tag").to_numpy(), batch.column("doc").to_numpy()))
+    """Rows of a batch in the order of their documents; of rows that are one document only the first."""
+    doc, tag = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+    order = np.lexsort((tag, doc))
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (doc[order[1:]] != doc[order[:-1]]) | (tag[order[1:]] != tag[order[:-1]])
+    return order[fresh]
 
 
 def _slabs(batch: pa.RecordBatch, window: int, slab: int):
@@ -283,8 +288,11 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     order = Window.partitionBy("trigger").orderBy("phrase", "doc", "pos")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     settled = F.col("trigger").bitwiseAND(F.lit(1)) == 0
+    # equal rows in different batches bring the same piece of the same document twice
+    itself = (F.lag("doc").over(order) == F.col("doc")) & (F.lag("pos").over(order) == F.col("pos"))
+    repeat = (F.lag("phrase").over(order) == F.col("phrase")) & ~itself
     return (
-        pieces.withColumn("again", settled | F.coalesce(F.lag("phrase").over(order) == F.col("phrase"), F.lit(False)))
+        pieces.withColumn("again", settled | F.coalesce(repeat, F.lit(False)))
         .withColumn("shared", F.first("phrase").over(whole) != F.last("phrase").over(whole))
         .where("again or shared")
     )

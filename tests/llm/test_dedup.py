@@ -59,6 +59,17 @@ def test_repeats_with_shared_ids(spark):
     assert sorted((r.doc_id is not None, r.n_removed) for r in got) == [(False, 0)] + [(True, len(LINE))] * 3
 
 
+@pytest.mark.parametrize("batch", ["10000", "1"])
+def test_equal_rows_are_one_document(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame([(1, LINE), (1, LINE), (2, LINE), (2, LINE), (3, "x")], "doc_id long, text string").repartition(4)
+        got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect())
+        assert got == [(1, 0), (1, 0), (2, len(LINE)), (2, len(LINE)), (3, 0)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def check_groups(df, shingle=3, percent=85):
     want, sets = groups([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], shingle, percent)
     got = near_dedup.near_groups(df, shingle=shingle, percent=percent).collect()
