@@ -508,3 +508,13 @@ def object_labels(spark, sf):
         text.object_or_caption(identity, caption).alias("label"),
         text.norm_name(F.concat_ws("_", "p_type", "p_brand")).alias("name"),
     )
+
+
+@query(
+    "polish_flags",
+    """SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda o: length(o) > 200
+    OR (length(o) > 100 AND NOT regexp_matches(trim(o), '[.!?,;]$')))) > 0 AS needs_polish FROM documents""",
+)
+def polish_flags(spark, sf):
+    """Lines of documents as options: many are long, some of them without an end mark."""
+    return S.table(spark, sf, "documents").select("doc_id", text.needs_polish(F.split("text", "\n")).alias("needs_polish"))
