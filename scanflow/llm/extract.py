@@ -49,6 +49,7 @@ BAD_WORDS = frozenset(
     "signup login share sharing social related recommended recommendations widget pager pagination skip search form "
     "complementary contentinfo hidden".split()
 )
+ABOUT_WORDS = frozenset("has with without no is js".split())
 GOOD_WORDS = frozenset("article content main post entry story body text page".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
@@ -68,17 +69,28 @@ class Node:
 
 
 def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether the names of an element speak against and for article text."""
+    """Whether the names of an element speak against and for article text.
+
+    A name with a bad word speaks against, unless it only says what the element has or lacks, or another
+    name of the same attribute has good words alone: ``page-footer`` goes, ``content with-sidebar`` stays.
+    """
     bad = good = False
     for m in _NAMES.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden" or name == "aria-hidden":
             bad |= name == "hidden" or value.lower() == "true"
             continue
-        words = {w.lower() for w in _WORDS.findall(value)}
-        bad |= bool(words & BAD_WORDS)
-        good |= bool(words & GOOD_WORDS)
-    return bad and not good, good
+        against = by_itself = False
+        for token in value.split():
+            words = [w.lower() for w in _WORDS.findall(token)]
+            if not words or words[0] in ABOUT_WORDS:
+                continue
+            wrong = not BAD_WORDS.isdisjoint(words)
+            against |= wrong
+            by_itself |= not wrong and not GOOD_WORDS.isdisjoint(words)
+        bad |= against and not by_itself
+        good |= by_itself
+    return bad, good
 
 
 def parse(page: str) -> Node:

@@ -134,6 +134,19 @@ def test_parts_outside_the_article_go():
     assert extract.main_text(page).split("\n\n") == ["Head & tail", TEXT.strip(), "Short.", "item one", "item two"]
 
 
+@pytest.mark.parametrize(
+    "names, kept",
+    [
+        ('class="page-footer"', False), ('class="post-comments"', False), ('id="comments" class="content"', False),
+        ('class="content with-sidebar"', True), ('class="text no-ads"', True), ('class="entry"', True), ('role="complementary"', False),
+        ('class="adAlert"', False), ('class="shadow address"', True), ("hidden", False),
+    ],
+)
+def test_names_of_parts(names, kept):
+    page = f"<body><div><p>{TEXT * 3}</p><div {names}><p>{TEXT}</p></div></div></body>"
+    assert extract.main_text(page).count("A sentence") == (4 if kept else 3)
+
+
 def test_siblings_and_links():
     page = f"<div><div><p>{TEXT * 2}</p></div><p>{TEXT}</p><p><a href=x>{TEXT}</a></p></div>"
     got = extract.main_text(page).split("\n\n")
