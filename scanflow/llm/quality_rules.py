@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanflow.llm.ranking import sample
+
 MAX_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -210,21 +212,13 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, names: tuple[str, ...] = SHARES) -> list[Rule]:
-    """Rules from at most ``max_rows`` labelled rows, taken in the order of a hash of their id.
+    """Rules from at most ``max_rows`` labelled documents, chosen as ``ranking.sample`` does.
 
     Rows that the fixed base rule rejects teach nothing.
     """
-    picked = (
-        labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
-        .select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id", "_label")
-        .limit(max_rows)
-    )
-    # bounded by max_rows, hence small enough to send to every executor
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
-    sample = statistics(texts.join(F.broadcast(picked), "_id"))
-    # rows that share a labelled id add to the sample, never beyond its bound
-    rows = sample.select("_label", base_failed(), *names).orderBy("_label", *names).limit(max_rows).collect()
+    known = sample(docs, labels, doc_id, text, label, max_rows)
+    measured = statistics(known, "_text").select("_id", "_print", "_label", base_failed().alias("_failed"), *names)
+    rows = measured.distinct().select("_label", "_failed", *names).collect()
     table = np.array([(r[0], *r[2:]) for r in rows if not r[1]], dtype=float).reshape(-1, 1 + len(names))
     table = table[np.lexsort(table.T[::-1])]
     bad = table[:, 0] == 0

@@ -5,8 +5,8 @@ labelled bad) give feature differences; the weights minimize the logistic loss o
 the order between documents is learnt. The score's zero is then set at a quantile of the training scores:
 the quantile that separates the labels best. The published score is the logistic of the shifted strength.
 
-Fitting uses a bounded sample: at most ``max_rows`` labelled rows in the order of a hash of their id, and
-``max_pairs`` pairs drawn from them. Every row is scored, over its whole text, in one pass without a
+Fitting uses a bounded sample: at most ``max_rows`` different labelled documents, one of each id before the
+others, in the order of a hash, and ``max_pairs`` pairs drawn from them. Every row is scored, over its whole text, in one pass without a
 shuffle.
 
 Rows: null or empty text has the features of an empty text and is scored like any other. Rows without a
@@ -112,8 +112,8 @@ def _column_features(column: pa.Array) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = _column_features(batch.column("text"))
-        arrays = [batch.column("label"), *(pa.array(x[:, k]) for k in range(x.shape[1]))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["label", *FEATURES])
+        arrays = [*batch.columns[:-1], *(pa.array(x[:, k]) for k in range(x.shape[1]))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["_id", "label", "_print", *FEATURES])
 
 
 def fit_pairs(x: np.ndarray, label: np.ndarray, max_pairs: int = MAX_PAIRS, seed: int = 7, penalty: float = 1e-3, steps: int = 60) -> Model:
@@ -145,24 +145,44 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, max_pairs: int = MAX_PAIRS, seed
     return Model(mean, scale, w, float(cuts[best[len(best) // 2]]))
 
 
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int) -> DataFrame:
+    """_id, _label, _print (hash of the text) and _text of at most ``max_rows`` different labelled documents.
+
+    Rows equal in id, text and label are one document, yet all of them are returned. One document of each
+    labelled id comes first, then the others, both in the order of a hash that knows no label and no feature:
+    neither the bound nor an id with a large share of the rows decides which labels are seen.
+    """
+    picked = (
+        labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
+        .select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label"))
+        .distinct()
+        .orderBy(F.xxhash64("_id"), "_id", "_label")
+        .limit(max_rows)
+    )
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(body).alias("_print"), body.alias("_text"))
+    # picked, firsts and chosen are bounded by max_rows, hence small enough to send to every executor
+    known = texts.select("_id", "_print").join(F.broadcast(picked), "_id").distinct()
+    firsts = known.groupBy("_id").agg(F.min("_print").alias("_first"))
+    chosen = (
+        known.join(F.broadcast(firsts), "_id")
+        .orderBy(F.col("_print") != F.col("_first"), F.xxhash64("_id", "_print"), "_id", "_print", "_label")
+        .limit(max_rows)
+        .select("_id", "_print", "_label")
+    )
+    return texts.join(F.broadcast(chosen), ["_id", "_print"]).select("_id", "_label", "_print", "_text")
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
     max_rows: int = MAX_ROWS, usable: Column | None = None,
 ) -> Model:
-    """Fit on at most ``max_rows`` labelled rows for which ``usable`` (over the label table) holds."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
-    known = known.where(usable) if usable is not None else known
-    picked = (
-        known.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("_id"), "_id", "label")
-        .limit(max_rows)
-    )
-    # bounded by max_rows, hence small enough to send to every executor
-    texts = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(picked), "_id").select("label", "text")
-    schema = "label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    # rows that share a labelled id add to the sample, never beyond its bound
-    rows = sample.mapInArrow(_measure, schema).orderBy("label", *FEATURES).limit(max_rows).collect()
+    """Fit on at most ``max_rows`` labelled documents for which ``usable`` (over the label table) holds."""
+    known = labels.where(usable) if usable is not None else labels
+    rows = sample(docs, known, doc_id, text, label, max_rows).withColumnsRenamed({"_label": "label", "_text": "text"})
+    id_type = rows.schema["_id"].dataType.simpleString()
+    schema = f"_id {id_type}, label int, _print long, " + ", ".join(f"{f} double" for f in FEATURES)
+    rows = rows.mapInArrow(_measure, schema).distinct().select("label", *FEATURES).collect()
     table = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), 1 + len(FEATURES))
     table = table[np.lexsort(table.T[::-1])]
     return fit_pairs(table[:, 1:], table[:, 0])

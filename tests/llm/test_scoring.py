@@ -52,6 +52,39 @@ def test_ranking_of_odd_rows(spark, sf_dir):
     assert ranking.rate_documents(docs, labels.limit(0)).count() == 6
 
 
+def hot_labelled(spark):
+    """An id labelled 0 has a third of all rows, every other one of them a repeat; max_rows of 60 is below its share."""
+    calm = lambda k: " ".join(f"calm{(k * 7 + j) % 997} word," for j in range(40))
+    loud = lambda k: " ".join(f"WIN{(k * 5 + j) % 991}!!! $$${j}|{k}" for j in range(40))
+    good, bad = [(k, calm(k)) for k in range(2, 42)], [(k, loud(k)) for k in range(42, 82)]
+    hot = [(1, loud(k // 2 + 100)) for k in range(400)]
+    docs = spark.createDataFrame(good + bad + hot, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, int(2 <= k < 42)) for k in range(1, 82)] + [(1, 0)] * 100, "doc_id long, quality int")
+    return docs, labels
+
+
+def test_bound_of_the_sample_knows_no_label(spark):
+    docs, labels = hot_labelled(spark)
+    model = ranking.fit(docs, labels, max_rows=60)
+    assert np.abs(model.weights).max() > 0
+    rated = ranking.scored(docs, model).collect()
+    assert all((r.score >= 0.5) == (2 <= r.doc_id < 42) for r in rated)
+    rows = ranking.sample(docs, labels, "doc_id", "text", "quality", 60).distinct().collect()
+    assert len(rows) == 60 and len({r._id for r in rows}) == 60 and {r._label for r in rows} == {0, 1}
+    again = ranking.sample(docs.repartition(3), labels, "doc_id", "text", "quality", 60).distinct().collect()
+    assert set(again) == set(rows)
+    assert ranking.sample(docs, labels, "doc_id", "text", "quality", 1000).distinct().count() == 80 + 200
+
+
+def test_rules_with_a_hot_labelled_id(spark):
+    docs, labels = hot_labelled(spark)
+    # all different documents: 40 good ones, 240 others; a bound by label would leave no good one
+    rules = quality_rules.fit(docs, labels, max_rows=120)
+    assert rules
+    judged = [r for r in quality_rules.judge(docs, rules).collect() if not r.base_failed]
+    assert judged and all(r.kept == (2 <= r.doc_id < 42) for r in judged)
+
+
 def test_pairs_learn_an_order():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
