@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree with the usual repairs (implied ends, void elements, raw text, unfinished ends).
-Parts that are never article text are cut off by element, role, or by a word of their class or id. Every
+Parts that are never article text are cut off by element, role, or by a word of their class or id, unless they
+wrap the largest ``article`` or ``main`` or most of the page's text; ids of headings, and of sections inside an
+article, are slugs and cut nothing. A page that comes out empty is read again without the rules on names. Every
 paragraph-like block then scores ``1 + commas + min(length / 100, 3)``; the score passes to its parent in full,
 to the grandparent by half, and to further ancestors by ever smaller shares. A container's score is discounted
 by its link density and weighed by what its element and names promise. The best container is kept, widened to the
@@ -38,6 +40,9 @@ DROPPED = frozenset(
     "head script style title noscript template nav footer aside form button select option textarea input iframe object embed "
     "svg math canvas audio video dialog menu noembed noframes xmp map".split()
 )
+ALWAYS = DROPPED - frozenset("nav footer aside form dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template head html".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 CONTAINER = frozenset("article main".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
@@ -49,6 +54,9 @@ BAD_WORDS = frozenset(
     "signup login share sharing social related recommended recommendations widget pager pagination skip search form "
     "complementary contentinfo hidden".split()
 )
+#: Of these, the words of parts that may hold more text than the article and never wrap it.
+LONE_WORDS = frozenset("comment comments discussion disqus respond replies reply cookie cookies consent gdpr".split())
+THREAD_WORDS = frozenset("comment comments disqus respond".split())
 ABOUT_WORDS = frozenset("has with without no is js".split())
 GOOD_WORDS = frozenset("article content main post entry story body text page".split())
 
@@ -60,37 +68,48 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "bad", "good", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "bad", "good", "slug", "lone", "wraps", "plain", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False, good: bool = False):
-        self.tag, self.parent, self.bad, self.good = tag, parent, bad, good
+    def __init__(self, tag: str, parent: Node | None, bad: bool = False, good: bool = False, slug: bool = False, lone: bool = False):
+        self.tag, self.parent, self.bad, self.good, self.slug, self.lone = tag, parent, bad, good, slug, lone
         self.items: list = []
+        self.wraps, self.plain = False, 0
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether the names of an element speak against and for article text.
+def _named(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether the names of an element speak against and for article text, against it by a slug alone, and
+    against it as a part that never wraps the article.
 
     A name with a bad word speaks against, unless it only says what the element has or lacks, or another
     name of the same attribute has good words alone: ``page-footer`` goes, ``content with-sidebar`` stays.
+    The id of a heading says nothing; that of a section is a slug unless it names a thread of comments.
     """
-    bad = good = False
+    bad = good = slug = lone = False
     for m in _NAMES.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if name == "hidden" or name == "aria-hidden":
             bad |= name == "hidden" or value.lower() == "true"
             continue
-        against = by_itself = False
+        if name == "id" and tag in HEADINGS:
+            continue
+        against = by_itself = thread = False
         for token in value.split():
             words = [w.lower() for w in _WORDS.findall(token)]
             if not words or words[0] in ABOUT_WORDS:
                 continue
             wrong = not BAD_WORDS.isdisjoint(words)
             against |= wrong
+            lone |= not LONE_WORDS.isdisjoint(words)
+            thread |= not THREAD_WORDS.isdisjoint(words)
             by_itself |= not wrong and not GOOD_WORDS.isdisjoint(words)
-        bad |= against and not by_itself
+        if against and not by_itself:
+            if name == "id" and tag == "section" and not thread:
+                slug = True
+            else:
+                bad = True
         good |= by_itself
-    return bad, good
+    return bad or slug, good, slug and not bad, lone and (bad or slug)
 
 
 def parse(page: str) -> Node:
@@ -112,6 +131,8 @@ def parse(page: str) -> Node:
         if lt < 0:
             lt = n
         if lt > at:
+            if stack[-1].tag == "head" and not page[at:lt].isspace():
+                close_to(last_open("head"))
             stack[-1].items.append(page[at:lt])
         if lt >= n:
             break
@@ -139,14 +160,16 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 stack[-1].items.append(Node("p", stack[-1]))
             continue
+        # the end of head may be left out: body and the first element of the flow imply it
+        if last_open("head") and (tag == "body" or stack[-1].tag == "head" and tag not in IN_HEAD):
+            close_to(last_open("head"))
         if tag in CLOSES_P and last_open("p"):
             close_to(last_open("p"))
         for other in IMPLIED.get(tag, ()):
             depth = last_open(other)
             if depth and depth > max((last_open(t) for t in ("ul", "ol", "table", "dl", "select")), default=0):
                 close_to(depth)
-        bad, good = _named(m.group(3)) if m.group(3) else (False, False)
-        node = Node(tag, stack[-1], bad, good)
+        node = Node(tag, stack[-1], *(_named(tag, m.group(3)) if m.group(3) else ()))
         stack[-1].items.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK:
             continue
@@ -159,16 +182,57 @@ def parse(page: str) -> Node:
     return root
 
 
-def _outside(node: Node, within: bool) -> bool:
-    """True for a part that is cut off. ``within``: inside an article or main element."""
+def _mark(root: Node, names: bool) -> int:
+    """Mark what wraps the largest article or main, or over half of the page's text. Returns the text's length.
+
+    Text in links, in parts never shown, and in comments and consent notices does not count. Without ``names``
+    no name speaks against a part any more.
+    """
+    chief: Node | None = None
+    work: list = [(root, iter(root.items), False, False)]
+    order: list[Node] = []
+    while work:
+        node, items, linked, held = work[-1]
+        for item in items:
+            if isinstance(item, str):
+                node.plain += 0 if linked else len(item.strip())
+                continue
+            if not names:
+                item.bad = item.slug = item.lone = False
+            if item.tag in ALWAYS or item.lone and not (held and item.slug):
+                continue
+            work.append((item, iter(item.items), linked or item.tag == "a", held or item.tag in CONTAINER))
+            break
+        else:
+            work.pop()
+            order.append(node)
+            if node.parent is not None:
+                node.parent.plain += node.plain
+            # the outermost ones only
+            if node.tag in CONTAINER and not (work and work[-1][3]) and (chief is None or node.plain > chief.plain):
+                chief = node
+    for node in order:
+        node.wraps = 2 * node.plain > root.plain
+    while chief is not None:
+        chief.wraps, chief = True, chief.parent
+    return root.plain
+
+
+def _outside(node: Node, within: bool, strict: bool = False) -> bool:
+    """True for a part that is cut off. ``within``: inside an article or main element. ``strict``: wrapper or not."""
     if node.tag in CONTAINER or node.tag in ("body", "html"):
         return False
-    return node.tag in DROPPED or node.bad or node.tag == "header" and not within
+    if node.tag in ALWAYS:
+        return True
+    if node.wraps and not strict:
+        return False
+    bad = node.bad and not (within and node.slug)
+    return node.tag in DROPPED or bad or node.tag == "header" and not within
 
 
 def _walk(root: Node):
     """(node, item, kind) in page order; kind is enter, leave or text. Parts outside are skipped."""
-    work: list = [(root, iter(root.items), False)]
+    work: list = [(root, iter(root.items), root.tag in CONTAINER)]
     yield root, None, "enter"
     while work:
         node, items, within = work[-1]
@@ -265,6 +329,16 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    plain = _mark(root, True)
+    text = _best_text(root)
+    if text or not plain and not _NAMES.search(page):
+        return text
+    # all of it stood in parts whose names speak against it
+    root = parse(page)
+    return _best_text(root) if _mark(root, False) else ""
+
+
+def _best_text(root: Node) -> str:
     scored = _score(root)
     if not scored:
         return ""
@@ -275,7 +349,7 @@ def main_text(page: str | None) -> str:
     least = max(2.0, 0.2 * _worth(best))
     out: list[str] = []
     for item in best.parent.items if best.parent is not None else [best]:
-        if isinstance(item, str) or item is not best and _outside(item, False):
+        if isinstance(item, str) or item is not best and _outside(item, False, strict=True):
             continue
         dense = item.linked / max(1, item.chars) < 0.25
         paragraph = item.tag in PARAGRAPH and item.chars > 0 and dense

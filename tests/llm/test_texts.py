@@ -147,6 +147,40 @@ def test_names_of_parts(names, kept):
     assert extract.main_text(page).count("A sentence") == (4 if kept else 3)
 
 
+ARTICLE = f"<article><h1>Head</h1><p>{TEXT}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page, count",
+    [
+        # (a) the end of head is optional
+        (f"<html><head><meta charset=x><title>T</title><link rel=y><body>{ARTICLE}</body></html>", 1),
+        (f"<html><head><title>T</title><noscript><p>on</p></noscript><div><p>{TEXT}</p></div></html>", 1),
+        # (b) wrappers
+        (f"<body><form action=x><div><nav><a href=y>Menu</a></nav>{ARTICLE}</div></form></body>", 1),
+        (f"<body><div class='layout sidebar-right'><div>{ARTICLE}</div></div></body>", 1),
+        (f"<main><form><div class='sidebar-left'><h1>Head</h1><p>{TEXT}</p></div></form><p>Other.</p></main>", 1),
+        (f"<body><div class='search-results'><p>{TEXT}</p><p>{TEXT}</p></div><p>Other.</p></body>", 2),
+        (f"<body><div id=sidebar><p>{TEXT}</p></div><div id=popup-root><main><p>{TEXT * 2}</p></main></div></body>", 2),
+        # (c) slugs inside the article
+        (f"<article><h2 id=related-work>Head</h2><p>{TEXT}</p><section id=discussion><p>{TEXT}</p></section></article>", 2),
+        (f"<article><p>{TEXT}</p><section id=comments><p>{TEXT * 9}</p></section><div id=related>{TEXT}</div></article>", 1),
+        # names alone never empty a page
+        (f"<body><div class=comments><p>{TEXT}</p></div></body>", 1),
+        (f"<body><div><p>{TEXT}</p></div><div class=comments><article><p>{TEXT * 9}</p></article></div></body>", 1),
+    ],
+)
+def test_wrappers_slugs_and_open_heads(page, count):
+    got = extract.main_text(page)
+    assert got.count("A sentence") == count and not re.search("Menu|^T|^on$", got, re.M)
+    assert ("Head" in got) == (">Head<" in page)
+
+
+def test_slugs_of_headings():
+    page = "<div>" + "".join(f"<h2 id='{i}'>About {i}</h2><p>{TEXT}</p>" for i in ("alert-handling", "search", "footer")) + "</div>"
+    assert extract.main_text(page).count("About") == 3
+
+
 def test_siblings_and_links():
     page = f"<div><div><p>{TEXT * 2}</p></div><p>{TEXT}</p><p><a href=x>{TEXT}</a></p></div>"
     got = extract.main_text(page).split("\n\n")
