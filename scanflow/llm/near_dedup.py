@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanflow.llm import textbytes as tb
@@ -234,7 +234,7 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, rows: int, bands: int, block: int) -> DataFrame:
-    """doc, print, n and least (doc of the group's least document) of every row."""
+    """doc, print, n and least (doc and print of the group's least document) of every row."""
     texts = _keyed(docs, doc_id, text)
     signed = cut(texts.mapInArrow(_signer(shingle, percent, rows, bands), "doc long, print long, v long, n long, bands array<long>"))
     least = F.min(F.struct("doc", "print"))
@@ -268,13 +268,13 @@ def _groups(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
     late = more.join(roots, "u", "left_anti").select(F.col("u").alias("v"), F.col("root").alias("top"))
     # each table below is written, so that a class or a component with a large share of all rows meets its
     # label in a plain join of two shuffled tables, whose large partitions Spark splits
-    first = signed.where("v is not null").groupBy("v").agg(F.min("doc").alias("first"))
+    first = signed.where("v is not null").groupBy("v").agg(least.alias("first"))
     tops = cut(vertex.unionByName(late).join(first, "v"))
     least_of = cut(tops.groupBy("top").agg(F.min("first").alias("least")))
     named = tops.join(least_of, "top").select("v", "least")
     label = cut(first.join(named, "v", "left").select("v", F.coalesce("least", "first").alias("least")))
     rows_ = signed.select("doc", "print", "v", "n").join(label, "v", "left")
-    return rows_.select("doc", "print", "n", F.coalesce("least", "doc").alias("least"))
+    return rows_.select("doc", "print", "n", F.coalesce("least", F.struct("doc", "print")).alias("least"))
 
 
 def _named(c: str) -> Column:
@@ -288,8 +288,8 @@ def near_groups(
     """doc_id, n_shingles, component_id and kept of every row."""
     found = _groups(docs, doc_id, text, shingle, percent, rows, bands_for(percent, rows, miss), block)
     return found.select(
-        _named("doc").alias(doc_id), F.col("n").alias("n_shingles"), _named("least").alias("component_id"),
-        (F.col("doc") == F.col("least")).alias("kept"),
+        _named("doc").alias(doc_id), F.col("n").alias("n_shingles"), _named("least.doc").alias("component_id"),
+        (F.col("doc") == F.col("least.doc")).alias("kept"),
     )
 
 
@@ -297,10 +297,18 @@ def one_per_group(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
     rows: int = ROWS, miss: float = MISS, block: int = BLOCK,
 ) -> DataFrame:
-    """The row of least id of each group, with all its columns. Rows equal in id and text stay together."""
+    """One row of each group, with all its columns: the least by id (null last), hash of the text, other columns.
+
+    Texts without a shingle are in no group; of their rows, too, those equal in id and text leave one.
+    """
     found = _groups(docs, doc_id, text, shingle, percent, rows, bands_for(percent, rows, miss), block)
-    stay = found.where(F.col("doc") == F.col("least")).select(F.col("doc").alias("_doc"), F.col("print").alias("_print")).distinct()
+    stay = found.where((F.col("doc") == F.col("least.doc")) & (F.col("print") == F.col("least.print"))).select(F.col("doc").alias("_doc"), F.col("print").alias("_print")).distinct()
     keyed = docs.withColumns(
         {"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_print": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
     )
-    return keyed.join(stay, ["_doc", "_print"], "left_semi").select(*docs.columns)
+    # Spark takes the first row of a key before the shuffle too, so repeats never meet in one task; rows that
+    # this order does not tell apart are equal. Maps have no order.
+    others = [F.col(c) for c, kind in docs.dtypes if c != text and "map<" not in kind]
+    first = F.row_number().over(Window.partitionBy("_doc", "_print").orderBy(*others, F.col(text).isNull()))
+    single = keyed.withColumn("_nr", first).where("_nr = 1")
+    return single.join(stay, ["_doc", "_print"], "left_semi").select(*docs.columns)

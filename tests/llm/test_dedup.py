@@ -122,6 +122,24 @@ def test_one_row_of_each_group_stays(spark):
     assert left.where("doc_id in (5, 6)").count() == 2
 
 
+def test_one_row_of_repeats_and_null_ids_stays(spark):
+    rows = [(1, "a b c d", "en"), (1, "a b c d", "de"), (1, "a b c d", "de"), (1, "A b c d", "en"), (4, "a b c d", "en")]
+    rows += [(None, "x y z", "en")] * 3 + [(None, "X y z", "en"), (None, "u v w", None), (7, None, "en"), (7, "", "en"), (7, "", "en"), (8, "", "en")]
+    # one id, two unlike groups: each keeps a row
+    rows += [(9, "k l m", "en"), (9, "o p q", "en"), (10, "o p q", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in near_dedup.one_per_group(df.repartition(4)).collect()]
+    want = {(1, "a b c d"), (None, "x y z"), (None, "u v w"), (7, ""), (8, ""), (9, "k l m"), (9, "o p q")}
+    assert len(got) == len(want) and {(i, (t or "").lower()) for i, t, _ in got} == want
+    assert sorted(got, key=str) == sorted((tuple(r) for r in near_dedup.one_per_group(df.coalesce(1)).collect()), key=str)
+
+
+def test_repeats_are_cut_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, "a b c d")] * 3, "doc_id long, text string")
+    plan = near_dedup.one_per_group(df)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan
+
+
 def test_signatures_fill_every_bin():
     hashes = np.array([1 << 40, 5 << 60, 9 << 60, 7 << 50], dtype=np.uint64)
     order = np.argsort(hashes)
