@@ -89,3 +89,11 @@ def release(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_stages.pop())
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove one stage that nothing reads any more, such as a state that a later round has replaced."""
+    if path in _stages:
+        _stages.remove(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
