@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scanflow.llm import (
+    centroids,
     decontaminate,
+    exact_dedup,
     extract,
+    merkle,
     mixing,
     near_dedup,
     oracles,
@@ -111,3 +114,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pairwise_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels outside the held-out third."""
     return ranking.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_merkle_manifest", oracles.MERKLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and audit after tampering of every document, in trees by language."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_centroid_clusters", oracles.CLUSTERS)
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding after ten exact rounds over eight centroids."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_exact_dedup", oracles.EXACT_DEDUP)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document with equal text but for white space, and the row that stays."""
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
