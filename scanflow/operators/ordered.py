@@ -7,6 +7,9 @@ session's order:
 * ``scan`` runs ordinary windows inside (session, chunk), reduces every chunk to
   one summary row, runs the same function over the summary rows of a session and
   joins the carried value back. Only the summaries of a session meet in one task.
+  Rows and summaries are two readers of one input: stored columns are read twice (the summaries
+  read few of them), but an input that holds a window, such as another scan, is written to the shared
+  folder first. Chained scans thus read each input once, however long the chain.
 * ``tiles`` serves bounded row frames over dense positions: rows near a tile edge
   are copied to the neighbouring tile, so a plain window inside the tile is exact
   and one shuffle is enough.
@@ -22,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanflow.session import cut
+
 CHUNK = "_chunk"
 SESSION = "_session"
 TILE = "_tile"
@@ -68,6 +73,11 @@ def bucket(position: Column, width: float) -> Column:
     return F.floor(position / F.lit(float(width))).cast("long")
 
 
+def _ordered_before(df: DataFrame) -> bool:
+    """Whether the plan of ``df`` holds a window, such as an earlier scan."""
+    return "Window [" in df._jdf.queryExecution().analyzed().toString()
+
+
 def scan(
     df: DataFrame,
     by: Sequence[str],
@@ -81,6 +91,8 @@ def scan(
     by = [SESSION]
     keys = [SESSION, CHUNK]
     base = df.withColumns({CHUNK: chunk, SESSION: F.struct(*session) if session else F.lit(0)})
+    if _ordered_before(df):
+        base = cut(base)
     ahead = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
     back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     first, here = Window.unboundedPreceding, Window.currentRow
@@ -123,9 +135,9 @@ def scan(
         else:
             raise ValueError(spec.kind)
 
+    inner = base.select("*", *[c.alias(n) for n, c in local.items()])
     carry = base.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()])
     carry = carry.select(*keys, *[c.alias(n) for n, c in carried.items()])
-    inner = base.select("*", *[c.alias(n) for n, c in local.items()])
     out = inner.join(carry, keys, "left")
     return out.select(*df.columns, *[c.alias(n) for n, c in final.items()])
 

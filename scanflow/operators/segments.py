@@ -108,15 +108,15 @@ def dark_share(
 ) -> DataFrame:
     """Segments with a ``dark`` flag: three of five sampled frames under ``threshold``."""
     by = list(by)
-    samples = sampled_frames(segments, [*by, key], fps, F.lit(5))
-    dark = (
-        samples.join(features.select(*by, "frame_idx", "mean_luma"), [*by, "frame_idx"])
-        .groupBy(*by, key)
-        .agg(F.count_if(F.col("mean_luma") < threshold).alias("_dark"))
+    times = sample_times(F.col("start_s"), F.col("end_s"), F.lit(5))
+    samples = segments.select(*by, key, F.struct(*segments.columns).alias("_segment"), F.explode(times).alias("_t")).select(
+        *by, key, "_segment", frame_index(F.col("_t"), fps).alias("frame_idx")
     )
-    return segments.join(dark, [*by, key], "left").select(
-        *segments.columns, (F.coalesce(F.col("_dark"), F.lit(0)) >= 3).alias("dark")
+    lit = samples.join(features.select(*by, "frame_idx", "mean_luma"), [*by, "frame_idx"], "left")
+    counted = lit.groupBy(*by, key).agg(
+        F.first("_segment").alias("_segment"), (F.count_if(F.col("mean_luma") < threshold) >= 3).alias("dark")
     )
+    return counted.select("_segment.*", "dark")
 
 
 def adjacent_similarity(
@@ -153,35 +153,66 @@ def scene_consistency(
     threshold: float = 0.9,
     min_seconds: float = 1.5,
     dark_threshold: float = 10.0,
+    chunk: int = 1024,
 ) -> DataFrame:
     """Segments with ``reason`` (too_short, black_scene, passed, scene_change) and ``kept``.
 
-    Short segments skip both feature joins, dark ones skip the histogram join.
+    One pass: a segment becomes its sample points (five for darkness, two a second for likeness, none when too
+    short), which meet the features once, are compared with the readable point before them and folded back.
+    Segments without a duration go. ``key`` is unique within ``by``.
     """
     by = list(by)
-    timed = segments.withColumn("duration", F.col("end_s") - F.col("start_s"))
-    short = timed.where(F.col("duration") < min_seconds).select(
-        "*", F.lit("too_short").alias("reason"), F.lit(1.0).alias("min_score"), F.lit(1.0).alias("mean_score")
+    timed = segments.withColumn("duration", F.col("end_s") - F.col("start_s")).where(F.col("duration").isNotNull())
+    columns = timed.columns
+
+    def points(scene: bool, n: Column) -> Column:
+        times = sample_times(F.col("start_s"), F.col("end_s"), n)
+        return F.transform(times, lambda t, i: F.struct(F.lit(scene).alias("scene"), i.alias("sample"), t.alias("t")))
+
+    many = F.greatest(F.lit(5), F.floor(F.col("duration") * 2).cast("int"))
+    probes = F.when(F.col("duration") >= min_seconds, F.concat(points(False, F.lit(5)), points(True, many)))
+    flat = timed.select(*by, key, F.struct(*columns).alias("_segment"), F.explode_outer(probes).alias("_p")).select(
+        *by, key, "_segment", F.col("_p.scene").alias("_scene"), F.col("_p.sample").alias("_sample"),
+        frame_index(F.col("_p.t"), fps).alias("frame_idx"),
+    )
+    seen = features.select(*by, "frame_idx", "mean_luma", F.struct("hist").alias("_seen"))
+    scene = F.coalesce(F.col("_scene"), F.lit(False))
+    met = flat.join(seen, [*by, "frame_idx"], "left").select(
+        *by, key, "_segment", scene.alias("_scene"), F.coalesce("_sample", F.lit(0)).alias("_sample"),
+        (~scene & (F.col("mean_luma") < dark_threshold)).alias("_dark"), F.when(scene, F.col("_seen")).alias("_seen"),
+    )
+    paired = ordered.scan(
+        met,
+        [*by, key],
+        ["_scene", "_sample"],
+        F.when(F.col("_scene"), ordered.bucket(F.col("_sample"), chunk)).otherwise(F.lit(0).cast("long")),
+        _before=ordered.last_value(F.col("_seen")),
     )
-    lit_or_dark = dark_share(timed.where(F.col("duration") >= min_seconds), features, by, key, fps, dark_threshold)
-    dark = lit_or_dark.where("dark").select(
-        *timed.columns,
-        F.lit("black_scene").alias("reason"),
-        F.lit(0.0).alias("min_score"),
-        F.lit(0.0).alias("mean_score"),
+    both = F.col("_seen").isNotNull() & F.col("_before").isNotNull()
+    score = F.when(both, pearson(F.col("_before.hist"), F.col("_seen.hist")))
+    folded = (
+        paired.select(*by, key, "_segment", "_dark", F.col("_seen").isNotNull().alias("_read"), score.alias("_score"))
+        .groupBy(*by, key)
+        .agg(
+            F.first("_segment").alias("_segment"),
+            (F.count_if("_dark") >= 3).alias("_dark"),
+            (F.count_if("_read") < 2).alias("_unread"),
+            F.min("_score").alias("min_score"),
+            F.avg("_score").alias("mean_score"),
+        )
+        .select("_segment.*", "_dark", "_unread", "min_score", "mean_score")
     )
-    rest = lit_or_dark.where(~F.col("dark")).select(*timed.columns)
-    points = F.greatest(F.lit(5), F.floor(F.col("duration") * 2).cast("int"))
-    scores = adjacent_similarity(sampled_frames(rest, [*by, key], fps, points), features, by, key)
-    scored = rest.join(scores, [*by, key], "left")
-    unreadable = F.coalesce(F.col("n_readable"), F.lit(0)) < 2
-    scored = scored.select(
-        *timed.columns,
-        F.when(unreadable | (F.col("min_score") >= threshold), F.lit("passed"))
-        .otherwise(F.lit("scene_change"))
-        .alias("reason"),
-        F.when(unreadable, 1.0).otherwise(F.col("min_score")).alias("min_score"),
-        F.when(unreadable, 1.0).otherwise(F.col("mean_score")).alias("mean_score"),
+    reason = (
+        F.when(F.col("duration") < min_seconds, "too_short")
+        .when(F.col("_dark"), "black_scene")
+        .when(F.col("_unread") | (F.col("min_score") >= threshold), "passed")
+        .otherwise("scene_change")
     )
-    every = short.unionByName(dark).unionByName(scored)
-    return every.withColumn("kept", F.col("reason").isin("too_short", "passed"))
+
+    def value(name: str) -> Column:
+        whole = (F.col("reason") == "too_short") | F.col("_unread")
+        return F.when(F.col("reason") == "black_scene", 0.0).when(whole, 1.0).otherwise(F.col(name)).alias(name)
+
+    out = folded.withColumn("reason", reason)
+    kept = F.col("reason").isin("too_short", "passed").alias("kept")
+    return out.select(*columns, "reason", value("min_score"), value("mean_score"), kept)

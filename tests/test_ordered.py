@@ -150,3 +150,30 @@ def test_overlaps_of_short_and_very_long_intervals(spark, levels):
     want = {(x[1], y[1]) for x in a for y in b if x[3] >= y[2] and x[2] <= y[3]}
     pairs = [(r.id, r.match.id) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def file_scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_chained_scans_read_their_input_once(spark, tmp_path):
+    spark.range(3000).selectExpr("id % 3 AS s", "id * 7 % 1009 AS t", "id").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    want, counts = df, []
+    for k in range(4):
+        w = Window.partitionBy("s").orderBy("t", "id")
+        before = F.coalesce(F.sum("id" if k == 0 else f"r{k - 1}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        want = want.withColumn(f"r{k}", before % 1000)
+        name = "id" if k == 0 else f"r{k - 1}"
+        df = ordered.scan(df, ["s"], ["t", "id"], ordered.bucket(F.col("t"), 50), x=ordered.running_sum(F.col(name), inclusive=False))
+        df = df.withColumn(f"r{k}", F.col("x") % 1000).drop("x")
+        counts.append(file_scans(df))
+    assert counts == [2, 2, 2, 2]
+    assert rows(df, "id") == rows(want, "id")
+
+
+def test_scene_consistency_reads_each_side_once(spark, sf_dir):
+    from scanflow.plans import registered
+
+    for name, most in (("scene_consistency", 4), ("projected_gaze", 4), ("episodes", 4)):
+        assert file_scans(registered.QUERIES[name](spark, sf_dir)) <= most
