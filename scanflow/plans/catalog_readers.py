@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanflow.operators import folds, frames
+from scanflow.operators import frames
 from scanflow.plans import standins as S
 from scanflow.plans.catalog import query, r6
-from scanflow.sources import readers, sinks
+from scanflow.sources import arrays, readers, sinks
 from scanflow.streaming.runs import scratch
 
 FILE = r"part=(-?\d+)/"
@@ -84,40 +84,60 @@ def gaze_2d_files(spark, sf):
 @query(
     "sync_files",
     S.with_views("clicks")
-    + """, t AS (SELECT event_id, k, value, event_id // 100 % 4 AS part FROM clicks)
-    SELECT 'r' || CAST(part AS VARCHAR) AS session_id, event_id AS tick, r6(value) AS first, k % 2 = 1 AS valid, 896 AS width,
+    + """, t AS (SELECT event_id, k, value, event_id // 1000 AS part FROM clicks)
+    SELECT CAST(part AS VARCHAR) AS session_id, event_id AS tick, r6(value) AS first, k % 2 = 1 AS valid, 896 AS width,
     min(event_id) OVER (PARTITION BY part) AS start_tick FROM t""",
 )
 def sync_files(spark, sf):
-    """Poses, rays, lens and timing of four recordings; lines after a blank one do not count."""
+    """Poses, rays, lens and timing of recordings of a thousand samples; lines after a blank one do not count."""
     path = scratch(spark, "sync")
-    e = S.clicks(spark, sf).withColumn("part", F.floor(F.col("event_id") / 100) % 4)
+    e = S.clicks(spark, sf).withColumn("part", F.floor(F.col("event_id") / 1000)).withColumn("nr", F.col("event_id"))
     tick = F.col("event_id").cast("string")
     zeros = F.lit("\t".join(["0.5"] * 15))
     poses = F.concat_ws("\t", F.lit("0.0"), tick, F.col("value").cast("string"), zeros)
     rays = F.concat_ws("\t", F.lit("0.0"), tick, F.lit("\t".join(["0.1"] * 6)), (F.col("k") % 2).cast("string"))
     tail = [(1 << 60, ""), ((1 << 60) + 1, "\t".join(["9"] * 18))]
-    for nr in range(4):
-        own = e.where(F.col("part") == nr)
-        for folder, name, value in (("Video", "Pose", poses), ("Eyes", "Eyes", rays)):
-            rows = own.select(F.col("event_id").alias("nr"), value.alias("value"))
-            whole = rows.unionByName(spark.createDataFrame(tail, "nr long, value string")).coalesce(1)
-            whole.sortWithinPartitions("nr").select("value").write.text(f"{path}/{name}/r{nr}/{folder}")
-        low = own.agg(F.min("event_id").cast("string").alias("value"), F.max("event_id").cast("string").alias("high"))
-        both = low.select(F.explode(F.array(F.lit(""), "value", "high")).alias("value")).coalesce(1)
-        both.write.text(f"{path}/Timing/r{nr}/Video")
-        spark.createDataFrame([("\t".join("500 0 448 0 500 252 0 0 1 896 504".split()),)], "value string").coalesce(1).write.text(f"{path}/Lens/r{nr}/Video")
-    first = readers.read_poses(spark, f"{path}/Pose/*/Video/*.txt").select("session_id", "tick", F.get("pose", F.lit(0)).alias("first"))
-    look = readers.read_rays(spark, f"{path}/Eyes/*/Eyes/*.txt").select("session_id", "tick", "valid")
-    lens = readers.read_intrinsics(spark, f"{path}/Lens/*/Video/*.txt").select("session_id", "width")
-    timing = readers.read_video_timing(spark, f"{path}/Timing/*/Video/*.txt").select("session_id", "start_tick")
+    _lines(e.withColumn("value", poses), f"{path}/pose", tail)
+    _lines(e.withColumn("value", rays), f"{path}/eyes", tail)
+    bounds = e.groupBy("part").agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"))
+    ticks = F.array(F.lit(""), F.col("low").cast("string"), F.col("high").cast("string"))
+    _lines(bounds.select("part", F.posexplode(ticks).alias("nr", "value")), f"{path}/timing")
+    lens = F.lit("\t".join("500 0 448 0 500 252 0 0 1 896 504".split()))
+    _lines(bounds.select("part", F.lit(0).alias("nr"), lens.alias("value")), f"{path}/lens")
+    files = {n: f"{path}/{n}/*/*.txt" for n in ("pose", "eyes", "timing", "lens")}
+    first = readers.read_poses(spark, files["pose"], FILE).select("session_id", "tick", F.get("pose", F.lit(0)).alias("first"))
+    look = readers.read_rays(spark, files["eyes"], FILE).select("session_id", "tick", "valid")
+    lens = readers.read_intrinsics(spark, files["lens"], FILE).select("session_id", "width")
+    timing = readers.read_video_timing(spark, files["timing"], FILE).select("session_id", "start_tick")
     return first.join(look, ["session_id", "tick"]).join(lens, "session_id").join(timing, "session_id").withColumn("first", r6("first"))
 
 
+@query(
+    "gaze_array_files",
+    S.with_views("clicks")
+    + """, t AS (SELECT event_id // 5000 AS part, event_id % 5000 AS frame_idx, CASE WHEN event_type = 'error' THEN NULL ELSE value / 300 END AS x,
+      k / 80.0::DOUBLE AS y, event_type <> 'signup' AS valid FROM clicks)
+    SELECT CAST(part AS VARCHAR) AS session_id, frame_idx, r6(least(x, 1)) AS px, r6(least(y, 1)) AS py,
+    CASE WHEN x IS NULL OR NOT valid THEN 0 WHEN x > 1 OR y > 1 THEN 4 ELSE 1 END AS gaze_type FROM t""",
+)
+def gaze_array_files(spark, sf):
+    """Recordings of five arrays of a thousand frames each, read back by ranges that cut through the arrays."""
+    path = scratch(spark, "gaze-arrays")
+    part, frame = F.floor(F.col("event_id") / 5000), F.col("event_id") % 5000
+    rows = S.clicks(spark, sf).select(
+        F.format_string("r%d/%d.npy", part, F.floor(frame / 1000) * 1000).alias("file"), "event_id",
+        F.when(F.col("event_type") != "error", F.col("value") / 300).alias("x"), (F.col("k") / 80).alias("y"),
+        (F.col("event_type") != "signup").cast("double").alias("valid"),
+    )
+    arrays.write_arrays(rows, path, "file", "event_id", ["x", "y", "valid"])
+    out = readers.read_gaze_array(spark, f"{path}/*/*.npy", session=r"/r(\d+)/", task_bytes=1 << 16, first=r"(\d+)\.npy$")
+    return out.select("session_id", "frame_idx", r6("px"), r6("py"), "gaze_type")
+
+
 @query(
     "annotation_files",
     S.with_views("order_actions")
-    + """SELECT CAST(session_id % 8 AS VARCHAR) AS session_id, r6(start_s) AS start_s, r6(end_s) AS end_s, action
+    + """SELECT CAST(session_id // 100 AS VARCHAR) AS session_id, r6(start_s) AS start_s, r6(end_s) AS end_s, action
     FROM order_actions WHERE pos % 5 <> 0""",
 )
 def annotation_files(spark, sf):
@@ -126,8 +146,9 @@ def annotation_files(spark, sf):
     rows = S.order_actions(spark, sf)
     label = F.when(F.col("pos") % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "action"))
     entry = F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), label.alias("textAttribute_en"))
-    arrays = rows.groupBy((F.col("session_id") % 8).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
-    _lines(arrays.withColumn("nr", F.lit(0)), path)
+    # a hundred sessions a file: files grow in number, not in size
+    whole = rows.groupBy(F.floor(F.col("session_id") / 100).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    _lines(whole.withColumn("nr", F.lit(0)), path)
     out = readers.read_annotation_json(spark, f"{path}/*/*.txt", session=FILE)
     return out.select("session_id", r6("start_s"), r6("end_s"), "action")
 
@@ -135,7 +156,7 @@ def annotation_files(spark, sf):
 @query(
     "nested_annotation_files",
     S.with_views("order_actions")
-    + """SELECT 'v' || CAST(session_id % 8 AS VARCHAR) AS session_id, r6(start_s) AS start_s,
+    + """SELECT 'v' || CAST(session_id AS VARCHAR) AS session_id, r6(start_s) AS start_s,
     CASE WHEN pos % 3 = 0 THEN 'do' ELSE 'do ' || action END AS action, pos % 3 <> 0 AS "both" FROM order_actions WHERE pos % 4 <> 1""",
 )
 def nested_annotation_files(spark, sf):
@@ -146,7 +167,7 @@ def nested_annotation_files(spark, sf):
         kind.alias("label"), F.col("start_s").alias("start"), F.col("end_s").alias("end"),
         F.struct(F.lit("do").alias("Verb"), noun.alias("Noun")).alias("attributes"),
     )
-    name = F.concat(F.lit("v"), (F.col("session_id") % 8).cast("string"))
+    name = F.concat(F.lit("v"), F.col("session_id").cast("string"))
     S.order_actions(spark, sf).groupBy(name.alias("video_name")).agg(F.collect_list(event).alias("events")).write.json(path)
     return readers.read_nested_annotations(spark, path).select("session_id", r6("start_s"), "action", "both")
 
@@ -155,7 +176,7 @@ def nested_annotation_files(spark, sf):
     "fine_annotation_files",
     S.with_views("order_actions")
     + """SELECT CAST(session_id AS VARCHAR) AS session_id, r6(start_s) AS start_s, r6(end_s) AS end_s, action || ', slowly' AS text
-    FROM order_actions WHERE session_id % 2 = 0 AND pos % 3 = 0""",
+    FROM order_actions WHERE session_id % 2 = 0""",
 )
 def fine_annotation_files(spark, sf):
     """Columns stand in another order than the reader names them."""
@@ -168,7 +189,7 @@ def fine_annotation_files(spark, sf):
     ).write.option("header", "true").partitionBy("part").csv(path)
     wanted = rows.where("session_id % 2 = 0").select(F.col("session_id").cast("string")).distinct()
     schema = "session_id string, start_s double, end_s double, narration string, scene string"
-    out = readers.read_fine_annotations(spark, f"{path}/part=0/*.csv", schema, scene="kitchen", sessions=wanted)
+    out = readers.read_fine_annotations(spark, f"{path}/*/*.csv", schema, scene="kitchen", sessions=wanted)
     return out.select("session_id", r6("start_s"), r6("end_s"), "text")
 
 
@@ -213,17 +234,3 @@ def late_samples_dropped(spark, sf):
     begin = clock.groupBy("session_id").agg(F.min("t").alias("_t0"))
     rows = clock.join(begin, "session_id").select("session_id", "event_id", (F.col("t") - F.col("_t0")).alias("t"))
     return frames.drop_late(rows, ["session_id"], "event_id", "t", 0.01).select("session_id", "event_id")
-
-
-@query(
-    "fixations_by_source",
-    S.with_views("gaze")
-    + """SELECT source, r6(radius) AS radius, min_duration, gap, n FROM (VALUES ('egtea', 0.15), ('ego4d', 0.088), ('egoexo', 0.214286),
-    ('holoassist', 0.214286)) v(source, radius), (SELECT 2.0::DOUBLE AS min_duration, 0.01::DOUBLE AS gap, count(*) AS n FROM gaze)""",
-)
-def fixations_by_source(spark, sf):
-    """The parameters each data set's recordings are cut with, for images 448 pixels wide."""
-    n = S.gaze(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    rows = [{"source": s, **folds.fixation_parameters(s, 448)} for s in folds.FIXATION_PARAMETERS]
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
-    return n.select("n", F.inline(table)).withColumn("radius", r6("radius"))

@@ -2,20 +2,17 @@
 
 Line files are read as splittable text: a line's place in its file comes from its block
 offset and its order inside the block, so even a very long recording is not read whole by
-one task. JSON array files (one per session or task) and ``.npy`` arrays are single
+one task; arrays are read by row ranges (``sources/arrays``). JSON array files (one per session or task) are single
 records by format; ingest those once and keep the result as Parquet.
 """
 
 from __future__ import annotations
 
 import csv
-import io
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +20,7 @@ from pyspark.sql import types as T
 from scanflow.functions.text import caption_from_attributes, stem
 from scanflow.functions.timecode import frame_code
 from scanflow.operators import frames, ordered
+from scanflow.sources import arrays
 
 # The vendor header.
 HEADER_LINES = 34
@@ -197,53 +195,50 @@ def read_gaze_2d(spark: SparkSession, path: str, width: int, height: int, sessio
     )
 
 
-def read_gaze_array(spark: SparkSession, path: str, block: int = 65_536) -> DataFrame:
-    """``.npy`` arrays of (x, y, validity), one row per frame."""
-    schema = "file string, frame_idx long, x double, y double, valid double"
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for file, content in zip(batch["path"], batch["content"]):
-                array = np.load(io.BytesIO(content), allow_pickle=False)
-                for at in range(0, len(array), block):
-                    part = array[at : at + block].astype(float)
-                    yield pd.DataFrame(
-                        {"file": file, "frame_idx": np.arange(at, at + len(part)), "x": part[:, 0], "y": part[:, 1],
-                         "valid": part[:, 2]}
-                    )
+def read_gaze_array(
+    spark: SparkSession, path: str, session: str | None = None, task_bytes: int = arrays.TASK_BYTES, first: str | None = None
+) -> DataFrame:
+    """``.npy`` arrays of (x, y, validity), one row per frame, read by ranges of ``task_bytes``.
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, schema)
-    inside = F.col("x").between(0, 1) & F.col("y").between(0, 1)
+    Where a recording is split into several arrays, the pattern ``first`` finds the frame of a file's first row in its path.
+    """
+    raw = arrays.read_arrays(spark, path, ["x", "y", "valid"], task_bytes)
+    begin = F.lit(0) if first is None else F.regexp_extract("file", first, 1).cast("long")
+    x, y = (F.when(~F.isnan(c), F.col(c)) for c in ("x", "y"))
+    inside = x.between(0, 1) & y.between(0, 1)
     return raw.select(
-        session_of(F.col("file")).alias("session_id"),
-        "frame_idx",
-        F.least(F.greatest("x", F.lit(0.0)), F.lit(1.0)).alias("px"),
-        F.least(F.greatest("y", F.lit(0.0)), F.lit(1.0)).alias("py"),
-        frames.validity_type(F.col("x"), F.col("y"), F.col("valid") == 1, inside).alias("gaze_type"),
+        session_of(F.col("file"), session).alias("session_id"),
+        (F.col("row") + begin).alias("frame_idx"),
+        F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("px"),
+        F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)).alias("py"),
+        frames.validity_type(x, y, F.col("valid") == 1, inside).alias("gaze_type"),
     )
 
 
-def _sync_rows(spark: SparkSession, path: str, folder: str) -> DataFrame:
-    """Numbers of the tab-separated lines before a file's first blank line."""
+def _sync_rows(spark: SparkSession, path: str, folder: str, session: str | None) -> DataFrame:
+    """Numbers of the tab-separated lines before a file's first blank line.
+
+    A recording is the folder above ``folder``, or what the pattern ``session`` finds in the path.
+    """
     lines = numbered_lines(spark, path)
     blank = F.trim("value") == ""
     ends = lines.where(blank).groupBy("file").agg(F.min("line").alias("_end"))
     body = lines.join(ends, "file", "left").where(F.col("_end").isNull() | (F.col("line") < F.col("_end")))
     numbers = F.transform(F.split(F.trim("value"), "\t"), lambda v: v.try_cast("double"))
     return body.select(
-        F.regexp_extract("file", rf"([^/]+)/{folder}/[^/]+$", 1).alias("session_id"), "line", numbers.alias("n")
+        F.regexp_extract("file", session or rf"([^/]+)/{folder}/[^/]+$", 1).alias("session_id"), "line", numbers.alias("n")
     )
 
 
-def read_poses(spark: SparkSession, path: str) -> DataFrame:
+def read_poses(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
     """Camera poses: tick and row-major 4x4 matrix."""
-    rows = _sync_rows(spark, path, "Video")
+    rows = _sync_rows(spark, path, "Video", session)
     return rows.select("session_id", F.get("n", 1).cast("long").alias("tick"), F.slice("n", 3, 16).alias("pose"))
 
 
-def read_rays(spark: SparkSession, path: str) -> DataFrame:
+def read_rays(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
     """Gaze rays: tick, origin, direction, valid."""
-    rows = _sync_rows(spark, path, "Eyes")
+    rows = _sync_rows(spark, path, "Eyes", session)
     names = ["ox", "oy", "oz", "dx", "dy", "dz"]
     return rows.select(
         "session_id",
@@ -253,8 +248,8 @@ def read_rays(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_intrinsics(spark: SparkSession, path: str) -> DataFrame:
-    rows = _sync_rows(spark, path, "Video").where(F.col("line") == 0)
+def read_intrinsics(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
+    rows = _sync_rows(spark, path, "Video", session).where(F.col("line") == 0)
     return rows.select(
         "session_id",
         F.get("n", 0).alias("fx"),
@@ -266,7 +261,7 @@ def read_intrinsics(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_video_timing(spark: SparkSession, path: str) -> DataFrame:
+def read_video_timing(spark: SparkSession, path: str, session: str | None = None) -> DataFrame:
     """First and second non-blank line: start and end tick."""
     lines = numbered_lines(spark, path).where(F.trim("value") != "")
     placed = ordered.numbered(lines, ["file"], ["line"], ordered.bucket(F.col("line"), 65_536), name="nr")
@@ -274,7 +269,7 @@ def read_video_timing(spark: SparkSession, path: str) -> DataFrame:
     return placed.groupBy("file").agg(
         F.max(F.when(F.col("nr") == 0, tick)).alias("start_tick"),
         F.max(F.when(F.col("nr") == 1, tick)).alias("end_tick"),
-    ).select(F.regexp_extract("file", r"([^/]+)/Video/[^/]+$", 1).alias("session_id"), "start_tick", "end_tick")
+    ).select(F.regexp_extract("file", session or r"([^/]+)/Video/[^/]+$", 1).alias("session_id"), "start_tick", "end_tick")
 
 
 def read_actions_csv(spark: SparkSession, path: str) -> DataFrame:

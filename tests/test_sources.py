@@ -64,7 +64,7 @@ def test_gaze_csv_2d_array(spark, tmp_path):
     got = readers.read_gaze_2d(spark, str(tmp_path / "d"), 896, 504).orderBy("frame_idx").collect()
     assert [(r.px, r.py, r.gaze_type) for r in got] == [(0.5, 0.5, 1), (0.5, 0.5, 0), (900 / 896, 9 / 504, 4)]
     np.save(tmp_path / "s3.npy", np.array([[0.1, 0.2, 1], [1.5, 0.2, 1], [0.3, 0.4, 0]]))
-    got = readers.read_gaze_array(spark, str(tmp_path / "s3.npy"), block=2).orderBy("frame_idx").collect()
+    got = readers.read_gaze_array(spark, str(tmp_path / "s3.npy"), task_bytes=150).orderBy("frame_idx").collect()
     assert [(r.session_id, r.px, r.gaze_type) for r in got] == [("s3", 0.1, 1), ("s3", 1.0, 4), ("s3", 0.3, 0)]
 
 
@@ -230,3 +230,59 @@ def test_clip_rule_fires_on_read_questions(spark, tmp_path):
     path = write(tmp_path / "q.json", json.dumps([item]))
     flat = readers.flat_questions(readers.read_questions(spark, path))
     assert [r.reason for r in filters.scene_recall(flat).collect()] == ["short_clip"]
+
+
+def test_arrays_are_read_by_ranges(spark, tmp_path):
+    from scanflow.sources import arrays
+
+    rng = np.random.default_rng(0)
+    wide, small = rng.random((1000, 3)), rng.random((5, 2)).astype(np.float32)
+    np.save(tmp_path / "wide.npy", wide)
+    np.save(tmp_path / "turned.npy", np.asfortranarray(wide))
+    np.save(tmp_path / "line.npy", np.arange(7, dtype=np.int16))
+    np.save(tmp_path / "none.npy", np.zeros((0, 3)))
+    np.save(tmp_path / "small.npy", small)
+    df = arrays.read_arrays(spark, str(tmp_path), ["x", "y", "z"], task_bytes=1000)
+    assert df.rdd.getNumPartitions() > 40  # no array is one task's work
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], {})[r.row] = (r.x, r.y, r.z)
+    assert sorted(got) == ["line.npy", "small.npy", "turned.npy", "wide.npy"]
+    for name in ("wide.npy", "turned.npy"):
+        assert [got[name][i] for i in range(1000)] == [tuple(v) for v in wide]
+    assert [got["line.npy"][i][0] for i in range(7)] == list(range(7)) and np.isnan(got["line.npy"][0][1])
+    assert [got["small.npy"][i][:2] for i in range(5)] == [tuple(map(float, v)) for v in small]
+    file = next(r.file for r in df.select("file").distinct().collect() if "wide" in r.file)
+    part = df.where((F.col("file") == file) & (F.col("row") >= 990) & (F.col("row") < 993))
+    assert part.rdd.getNumPartitions() < 40
+    assert sorted(r.row for r in part.collect()) == [990, 991, 992]
+    assert "PostScanFilter" not in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_array_ranges_cover_every_byte_once():
+    from scanflow.sources import arrays
+
+    files = [("a", 10), ("b", 0), ("c", 250), ("d", 3), ("e", 100)]
+    for size in (1, 7, 100, 1000):
+        tasks = arrays.planned(files, size)
+        assert all(sum(h - l for _, l, h in t) <= size for t in tasks)
+        seen = [(p, b) for t in tasks for p, l, h in t for b in range(l, h)]
+        assert sorted(seen) == sorted((p, b) for p, n in files for b in range(n))
+
+
+def test_arrays_written_twice_by_attempts_appear_once(spark, tmp_path):
+    from scanflow.sources import arrays
+
+    rows = spark.range(300).selectExpr("concat('s', id % 3, '/a.npy') AS f", "id", "id * 2.0 AS v", "CASE WHEN id > 290 THEN null ELSE 1.0 END AS w")
+    arrays.write_arrays(rows, str(tmp_path), "f", "id", ["v", "w"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["s0", "s1", "s2"]  # nothing aside is left
+    whole = np.load(tmp_path / "s1" / "a.npy")
+    assert whole[:, 0].tolist() == [2.0 * i for i in range(1, 300, 3)] and np.isnan(whole[-1, 1])
+    writer = arrays.ArrayWriter({"path": str(tmp_path)})
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"file": ["n.npy"], "row": [0], "v": [1.0]})
+    lost, done = writer.write(iter([batch])), writer.write(iter([batch]))
+    writer.commit([done])
+    assert len(lost.files) == 1 and np.load(tmp_path / "n.npy").tolist() == [[1.0]]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
