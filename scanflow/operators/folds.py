@@ -74,12 +74,14 @@ def _fold_chunk(t, x, y, entry: list | None, radius: float, gap: float) -> list[
         at, search = stop, stop + 1
 
 
-def _run(frames: DataFrame, by: list[str], radius: float, gap: float) -> DataFrame:
+def _run(frames: DataFrame, by: list[str], radius: float | None, gap: float | None) -> DataFrame:
     """Fold the chunks of every (session, block) in order; only one chunk is held at a time.
 
     A block's first chunk takes its entry from the columns ``e_*`` (null: its first row starts a segment),
-    each following one the segment that the chunk before leaves open.
+    each following one the segment that the chunk before leaves open. Without ``radius`` and ``gap`` a session's own are
+    in the columns of that name, and the pieces carry them on.
     """
+    owned = ["radius", "gap"] if radius is None else []
     group = [*by, _BLOCK]
     keys = [*by, ordered.CHUNK]
     totals = ["low_x", "high_x", "low_y", "high_y", "sx_chunk", "sy_chunk", "last_s"]
@@ -87,15 +89,16 @@ def _run(frames: DataFrame, by: list[str], radius: float, gap: float) -> DataFra
         [frames.schema[k] for k in keys]
         + list(T._parse_datatype_string(_STATE).fields)
         + list(T._parse_datatype_string("open boolean, e_start_s double, n_chunk long").fields)
-        + [T.StructField(c, T.DoubleType()) for c in totals]
+        + [T.StructField(c, T.DoubleType()) for c in [*totals, *owned]]
     )
     arrow_schema = to_arrow_schema(schema)
 
     def table_of(first: dict, t, x, y, entry: list | None) -> tuple[pa.Table, list]:
         start = None if entry is None else entry[0]
-        pieces = _fold_chunk(t, x, y, None if entry is None else list(entry), radius, gap)
+        reach, step = (first[c] for c in owned) if owned else (radius, gap)
+        pieces = _fold_chunk(t, x, y, None if entry is None else list(entry), reach, step)
         n = len(pieces)
-        columns = {k: [first[k]] * n for k in keys}
+        columns = {k: [first[k]] * n for k in [*keys, *owned]}
         columns |= {f: [p[i] for p in pieces] for i, f in enumerate(_FIELDS)}
         columns |= {"open": [False] * (n - 1) + [True], "e_start_s": [start] * n, "n_chunk": [len(t)] * n}
         for name, value in zip(totals, (x.min(), x.max(), y.min(), y.max(), x.sum(), y.sum(), t[-1])):
@@ -141,7 +144,7 @@ def _run(frames: DataFrame, by: list[str], radius: float, gap: float) -> DataFra
     return dealt.mapInArrow(fold, schema)
 
 
-def _expected_entries(pieces: DataFrame, by: list[str], radius: float) -> DataFrame:
+def _expected_entries(pieces: DataFrame, by: list[str], radius: float | None) -> DataFrame:
     """Per chunk, the open segment its predecessor hands over, given what is known so far.
 
     A quiet chunk (one piece that began at its own first row, or came in and never broke)
@@ -154,6 +157,7 @@ def _expected_entries(pieces: DataFrame, by: list[str], radius: float) -> DataFr
         F.max(F.when(F.col("open"), F.struct(*_FIELDS))).alias("_exit"),
         *[F.max(c).alias(c) for c in ("e_start_s", "low_x", "high_x", "low_y", "high_y",
                                       "n_chunk", "sx_chunk", "sy_chunk", "last_s")],
+        (F.max("radius") if radius is None else F.lit(radius)).alias("_radius"),
     )
     order = Window.partitionBy(*by).orderBy(ordered.CHUNK)
     begin, here = Window.unboundedPreceding, Window.currentRow
@@ -186,7 +190,7 @@ def _expected_entries(pieces: DataFrame, by: list[str], radius: float) -> DataFr
         (F.col("_source.sum_x") + over_quiet(F.sum, "sx_chunk")).alias("sum_x"),
         (F.col("_source.sum_y") + over_quiet(F.sum, "sy_chunk")).alias("sum_y"),
     )
-    through = F.col("_quiet") & (reach <= F.lit(radius))
+    through = F.col("_quiet") & (reach <= F.col("_radius"))
     chunks = chunks.withColumn("_hand", F.when(through, crossed).otherwise(F.col("_exit")))
     return chunks.select(*keys, "e_start_s", F.lag("_hand").over(order).alias("_entry"))
 
@@ -197,11 +201,14 @@ def anchored_segments(
     radius: float = 0.05,
     gap: float = 0.2,
     size: int = 65_536,
+    parameters: DataFrame | None = None,
 ) -> DataFrame:
     """All segments of the anchored fold, before any duration filter.
 
     A segment is anchored at its first point. A point farther than ``radius`` closes it
-    unless the step from the previous sample lasts at most ``gap``; then it stays inside.
+    unless the step from the previous sample lasts at most ``gap``; then it stays inside. ``parameters`` has a row
+    of ``radius`` and ``gap`` for each session: then every session is cut by its own, and sessions without a row
+    have no segments.
     """
     by = list(by)
     keys = [*by, ordered.CHUNK]
@@ -209,6 +216,9 @@ def anchored_segments(
     base = frames.select(*by, "frame_idx", "time_seconds", "px", "py").withColumn(
         ordered.CHUNK, ordered.bucket(F.col("frame_idx"), size)
     )
+    if parameters is not None:
+        own = [F.col(c).cast("double").alias(c) for c in ("radius", "gap")]
+        base, radius, gap = base.join(parameters.select(*by, *own), by), None, None
     entry = [F.lit(None).cast("long" if f == "n" else "double").alias(f"e_{f}") for f in _FIELDS]
     span = 1
     pieces = cut(_run(base.withColumn(_BLOCK, F.col(ordered.CHUNK)).select("*", *entry), by, radius, gap))
@@ -253,9 +263,14 @@ def fixations(
     min_duration: float = 0.5,
     gap: float = 0.2,
     size: int = 65_536,
+    parameters: DataFrame | None = None,
 ) -> DataFrame:
-    """Anchored segments of at least ``min_duration`` seconds."""
-    return anchored_segments(frames, by, radius, gap, size).where(F.col("duration") >= min_duration)
+    """Anchored segments of at least ``min_duration`` seconds; ``parameters`` (radius, gap, min_duration) are a session's own."""
+    cut_ = anchored_segments(frames, by, radius, gap, size, parameters)
+    if parameters is None:
+        return cut_.where(F.col("duration") >= min_duration)
+    least = parameters.select(*by, F.col("min_duration").cast("double").alias("_least"))
+    return cut_.join(least, list(by)).where(F.col("duration") >= F.col("_least")).drop("_least")
 
 
 #: Radius (a share of the width, or pixels), least duration and gap in seconds, by data set.
@@ -271,6 +286,14 @@ def fixation_parameters(source: str, width: int) -> dict[str, float]:
     return {"radius": share, "min_duration": duration, "gap": gap}
 
 
+def source_parameters(recordings: DataFrame, source: str, width: int) -> DataFrame:
+    """``recordings`` with radius, min_duration and gap of their data set (column ``source``); unknown ones are left out."""
+    rows = [F.struct(F.lit(s).alias("_s"), *[F.lit(float(v)).alias(k) for k, v in fixation_parameters(s, width).items()]) for s in FIXATION_PARAMETERS]
+    own = F.get(F.filter(F.array(*rows), lambda r: r["_s"] == F.lower(F.col(source))), F.lit(0))
+    found = recordings.withColumn("_own", own).where(F.col("_own").isNotNull())
+    return found.select(*recordings.columns, "_own.radius", "_own.min_duration", "_own.gap")
+
+
 def _scores_high(hists: list, threshold: float) -> bool:
     """Whether all consecutive histograms correlate at least ``threshold``; true below two readable ones."""
     readable = [np.asarray(h, dtype=float) for h in hists if h is not None]

@@ -197,6 +197,28 @@ def fixations_in_chunks(spark, sf):
     )
 
 
+#: The walk with each recording's own radius.
+_WALK_BY_SOURCE = _WALK.replace("> 0.5", "> CASE g.session_id % 5 WHEN 0 THEN 0.15 WHEN 1 THEN 0.088 ELSE 96.0::DOUBLE / 448 END").replace(
+    "FROM gaze WHERE frame_idx = 0", "FROM gaze WHERE frame_idx = 0 AND session_id % 5 <> 4"
+)
+
+
+@query(
+    "fixations_by_source",
+    S.with_views("gaze")
+    + _WALK_BY_SOURCE
+    + """SELECT session_id, r6(start_s) AS start_s, r6(end_s) AS end_s, r6(cx) AS center_x, r6(cy) AS center_y, n FROM st""",
+)
+def fixations_by_source(spark, sf):
+    """Every recording cut with the radius of its data set, for images 448 pixels wide; one in five is of none."""
+    gaze = stored(spark, sf)
+    names = F.array(*[F.lit(s) for s in ("egtea", "Ego4D", "egoexo", "holoassist", "other")])
+    recordings = gaze.select("session_id").distinct().withColumn("source", F.get(names, F.col("session_id") % 5))
+    own = folds.source_parameters(recordings, "source", 448)
+    out = folds.anchored_segments(gaze, parameters=own)
+    return out.select("session_id", r6("start_s"), r6("end_s"), r6("center_x"), r6("center_y"), "n")
+
+
 def _move_sql(v, d, disp):
     return f""", s AS (SELECT *, lag(px) OVER w AS qx, lag(py) OVER w AS qy, lag(time_seconds) OVER w AS qt FROM gaze
       WINDOW w AS (PARTITION BY session_id ORDER BY frame_idx)),

@@ -117,8 +117,8 @@ def sync_files(spark, sf):
     S.with_views("clicks")
     + """, t AS (SELECT event_id // 5000 AS part, event_id % 5000 AS frame_idx, CASE WHEN event_type = 'error' THEN NULL ELSE value / 300 END AS x,
       k / 80.0::DOUBLE AS y, event_type <> 'signup' AS valid FROM clicks)
-    SELECT CAST(part AS VARCHAR) AS session_id, frame_idx, r6(least(x, 1)) AS px, r6(least(y, 1)) AS py,
-    CASE WHEN x IS NULL OR NOT valid THEN 0 WHEN x > 1 OR y > 1 THEN 4 ELSE 1 END AS gaze_type FROM t""",
+    SELECT CAST(part AS VARCHAR) AS session_id, frame_idx, CASE WHEN x IS NOT NULL THEN r6(least(x, 1)) END AS px, r6(least(y, 1)) AS py,
+    CASE WHEN NOT valid THEN 0 WHEN x IS NULL OR x > 1 OR y > 1 THEN 4 ELSE 1 END AS gaze_type FROM t""",
 )
 def gaze_array_files(spark, sf):
     """Recordings of five arrays of a thousand frames each, read back by ranges that cut through the arrays."""

@@ -200,18 +200,22 @@ def read_gaze_array(
 ) -> DataFrame:
     """``.npy`` arrays of (x, y, validity), one row per frame, read by ranges of ``task_bytes``.
 
-    Where a recording is split into several arrays, the pattern ``first`` finds the frame of a file's first row in its path.
+    A point that is not a number is null, and truncated unless it is marked invalid. Where a recording is split into several arrays, the pattern ``first`` finds the frame of a file's first row in its path.
     """
     raw = arrays.read_arrays(spark, path, ["x", "y", "valid"], task_bytes)
     begin = F.lit(0) if first is None else F.regexp_extract("file", first, 1).cast("long")
-    x, y = (F.when(~F.isnan(c), F.col(c)) for c in ("x", "y"))
-    inside = x.between(0, 1) & y.between(0, 1)
+    inside = F.col("x").between(0, 1) & F.col("y").between(0, 1)
+    kind = F.when(F.col("valid") != 1, frames.UNTRACKED).when(inside, frames.FIXATION).otherwise(frames.TRUNCATED)
+
+    def unit(c: str) -> Column:
+        return F.when(~F.isnan(c), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
+
     return raw.select(
         session_of(F.col("file"), session).alias("session_id"),
         (F.col("row") + begin).alias("frame_idx"),
-        F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("px"),
-        F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)).alias("py"),
-        frames.validity_type(x, y, F.col("valid") == 1, inside).alias("gaze_type"),
+        unit("x").alias("px"),
+        unit("y").alias("py"),
+        kind.alias("gaze_type"),
     )
 
 

@@ -96,3 +96,29 @@ def test_steady_drift_needs_few_rounds(spark, monkeypatch):
     want = [(round(a, 6), round(b, 6), c) for a, b, c in loop(t, x, y, 0.1, 0.01)]
     assert sorted((round(r.start_s, 6), round(r.end_s, 6), r.n) for r in got) == sorted(want)
     assert len(calls) <= 2 + 2 * 8
+
+
+def test_every_session_has_its_own_parameters(spark):
+    rng = np.random.default_rng(5)
+    parts, want, own = [], [], []
+    for s in range(6):
+        n = 300
+        t = np.cumsum(rng.choice([0.005, 0.05], n))
+        x, y = np.cumsum(rng.normal(0, 0.03, n)), np.cumsum(rng.normal(0, 0.03, n))
+        if s % 2:
+            x[60:240], y[60:240] = x[60], y[60]  # quiet chunks
+        radius, gap, least = 0.05 + 0.05 * s, 0.01 if s % 3 else 0.001, 0.1 * s
+        parts.append(pd.DataFrame({"session_id": s, "frame_idx": range(n), "time_seconds": t, "px": x, "py": y}))
+        if s < 5:  # the last one has no parameters and gives nothing
+            own.append((s, radius, gap, least))
+            want += [(s, round(a, 6), round(b, 6), c) for a, b, c in loop(t, x, y, radius, gap) if b - a >= least]
+    parameters = spark.createDataFrame(own, "session_id long, radius double, gap double, min_duration double")
+    df = spark.createDataFrame(pd.concat(parts))
+    got = folds.fixations(df, size=24, parameters=parameters).collect()
+    assert sorted((r.session_id, round(r.start_s, 6), round(r.end_s, 6), r.n) for r in got) == sorted(want)
+
+
+def test_parameters_of_data_sets(spark):
+    df = spark.createDataFrame([(1, "EGTEA"), (2, "egoexo"), (3, "unknown"), (4, None)], "session_id long, source string")
+    rows = {r.session_id: (r.radius, r.min_duration, r.gap) for r in folds.source_parameters(df, "source", 480).collect()}
+    assert rows == {1: (0.15, 2.0, 0.01), 2: (0.2, 2.0, 0.01)}
