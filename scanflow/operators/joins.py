@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanflow.operators import ordered
+from scanflow.session import cut
 
 
 def _stack(
@@ -60,13 +64,13 @@ def overlap_join(
     Interval columns come back as the struct ``match``. With ``key``, the column that
     identifies a segment within ``by``, segments without a match stay with a null match.
 
-    Where some intervals are far longer than ``width``, ``levels`` above 1 keeps their copies few: a level's
+    For intervals of unknown length see ``sweep_join``. Where some are far longer than ``width``, ``levels`` above 1 keeps their copies few: a level's
     buckets are ``factor`` times as wide as the level's below, an interval lives on the first level where it
     spans two buckets at most, and a pair meets on the higher of both levels.
     """
     by = list(by)
 
-    def cut(df: DataFrame, payload: str) -> DataFrame:
+    def buckets(df: DataFrame, payload: str) -> DataFrame:
         length = (F.col("end_s") - F.col("start_s")) / F.lit(float(width))
         own = sum((F.when(length > float(factor**k), 1).otherwise(0) for k in range(levels - 1)), F.lit(0))
         placed = df.where(F.col("end_s") >= F.col("start_s")).select(
@@ -79,7 +83,7 @@ def overlap_join(
         low, high = (F.floor(F.col(f"{payload}.{c}") / wide).cast("long") for c in ("start_s", "end_s"))
         return placed.withColumn(f"{payload}_low", low).withColumn("_bucket", F.explode(F.sequence(low, high)))
 
-    left, right = cut(segments, "_l"), cut(intervals, "_r")
+    left, right = buckets(segments, "_l"), buckets(intervals, "_r")
     pairs = left.join(right, [*by, "_level", "_bucket"]).where(
         (F.col("_l.end_s") >= F.col("_r.start_s"))
         & (F.col("_l.start_s") <= F.col("_r.end_s"))
@@ -89,6 +93,121 @@ def overlap_join(
     matched = pairs.select("_l.*", F.col("_r").alias("match"))
     if key is None:
         return matched
+    matched = cut(matched)
+    alone = segments.join(matched.select(*by, key).distinct(), [*by, key], "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
+_SIDES = ("_l", "_r")
+
+
+def _sweep(pairs_at_once: int):
+    """Pairs of overlapping rows of each group (``_uid``, ``_block``); rows come in the order of their place.
+
+    A row meets the later rows of the other side that start before it ends: a range of them, since they are
+    sorted by start. Later rows are those that begin in the group's chunk (``_own``); rows of block 0 and rows
+    carried in from earlier chunks are the earlier ones.
+    """
+
+    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, place = group["_side"].to_numpy(), group[ordered.PLACE].to_numpy()
+        start, end = group["start_s"].to_numpy(), group["end_s"].to_numpy()
+        own = group["_own"].to_numpy(zero_copy_only=False)
+        early = ~own | (group["_block"].to_numpy() == 0)
+        for one in (0, 1):
+            first = np.flatnonzero(early & (side == one))
+            later = np.flatnonzero(own & (side == 1 - one))
+            low = np.searchsorted(place[later], place[first], side="right")
+            count = np.maximum(np.searchsorted(start[later], end[first], side="right") - low, 0)
+            some = count > 0
+            first, low, count = first[some], low[some], count[some]
+            upto = np.cumsum(count)
+            total = int(upto[-1]) if len(upto) else 0
+            for at in range(0, total, pairs_at_once):
+                nr = np.arange(at, min(total, at + pairs_at_once))
+                row = np.searchsorted(upto, nr, side="right")
+                other = later[low[row] + nr - (upto[row] - count[row])]
+                both = (first[row], other) if one == 0 else (other, first[row])
+                yield pa.RecordBatch.from_arrays(
+                    [group[c].combine_chunks().take(pa.array(at_)) for c, at_ in zip(_SIDES, both)], names=list(_SIDES)
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            uid, block = batch.column("_uid").to_numpy(), batch.column("_block").to_numpy()
+            change = np.flatnonzero((np.diff(uid) != 0) | (np.diff(block) != 0)) + 1
+            cuts = [0, *change.tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                key = (uid[a], block[a])
+                if held and key != now:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                now = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def sweep_join(
+    segments: DataFrame, intervals: DataFrame, by: Sequence[str], key: str | None = None, bits: int = 12, pairs_at_once: int = 32_768
+) -> DataFrame:
+    """Closed-interval overlaps as ``overlap_join`` gives them, for intervals of any length and density.
+
+    Both sides are sorted together by start and cut into chunks of at most ``2**bits`` rows. A pair belongs to the chunk of
+    its later row; an interval that ends beyond its chunk is carried into each chunk it crosses, one row
+    each. Inside a chunk a sweep finds the pairs without comparing others. Where more rows are carried than a chunk holds, they are dealt over blocks,
+    each with the chunk's own rows. Intervals without start or end, or that end before they start, overlap nothing.
+    """
+    by = list(by)
+
+    def side(df: DataFrame, nr: int) -> DataFrame:
+        return df.where(F.col("end_s") >= F.col("start_s")).select(
+            F.struct(*by).alias("_key"), F.col("start_s").cast("double"), F.col("end_s").cast("double"), F.lit(nr).alias("_side"),
+            F.struct(*df.columns).alias(_SIDES[nr]),
+        )
+
+    rows = ordered.placed(side(segments, 0).unionByName(side(intervals, 1), allowMissingColumns=True), ["_key", "start_s"], bits)
+    along = Window.partitionBy("_key").orderBy(ordered.CHUNK)
+    chunks = cut(
+        rows.groupBy("_key", ordered.CHUNK)
+        .agg(F.min("start_s").alias("_from"))
+        .select("*", F.row_number().over(along).alias("_nr"), F.lead("_from").over(along).alias("_next"))
+        .withColumn("_uid", F.monotonically_increasing_id())
+    )
+    own = rows.join(chunks, ["_key", ordered.CHUNK]).select(*rows.drop(ordered.CHUNK).columns, "_nr", "_next", "_uid")
+    # how far an interval reaches: the last chunk that begins no later than its end
+    crossing = own.where(F.col("end_s") >= F.col("_next")).drop("_next", "_uid")
+    marks = crossing.select("_key", F.col("end_s").alias("_at"), F.lit(1).alias("_after"), F.struct(*crossing.columns).alias("_row")).unionByName(
+        chunks.select("_key", F.col("_from").alias("_at"), F.lit(0).alias("_after"), F.col("_nr").alias("_begun")), allowMissingColumns=True
+    )
+    stream = ordered.placed(marks, ["_key", "_at", "_after"], 16, chunk="_part").drop(ordered.PLACE)
+    reached = ordered.scan(
+        stream, ["_key"], ["_at", "_after"], F.col("_part"), _last=ordered.running_max(F.col("_begun"), inclusive=True)
+    ).where("_after = 1")
+    carried = cut(
+        reached.select("_row.*", F.explode(F.sequence(F.col("_row._nr") + 1, F.col("_last"))).alias("_to"))
+        .withColumn("_nr", F.col("_to")).drop("_to").join(chunks.select("_key", "_nr", "_uid"), ["_key", "_nr"])
+    )
+    blocks = carried.groupBy("_uid").agg(F.ceil(F.count(F.lit(1)) / F.lit(1 << bits)).cast("int").alias("_blocks"))
+    fields = ["_uid", "_block", ordered.PLACE, "_side", "start_s", "end_s", "_own", *_SIDES]
+    dealt = carried.join(blocks, "_uid").withColumns(
+        {"_block": F.pmod(F.xxhash64(ordered.PLACE), F.col("_blocks")).cast("int"), "_own": F.lit(False)}
+    )
+    many = F.coalesce(F.col("_blocks"), F.lit(1))
+    kept = own.join(blocks, "_uid", "left").withColumns(
+        {"_block": F.explode(F.sequence(F.lit(0), many - 1)), "_own": F.lit(True)}
+    )
+    met = kept.select(*fields).unionByName(dealt.select(*fields)).repartition("_uid", "_block").sortWithinPartitions("_uid", "_block", ordered.PLACE)
+    schema = T.StructType([met.schema[c] for c in _SIDES])
+    pairs = met.mapInArrow(_sweep(pairs_at_once), schema).select("_l.*", F.col("_r").alias("match"))
+    if key is None:
+        return pairs
+    matched = cut(pairs)
     alone = segments.join(matched.select(*by, key).distinct(), [*by, key], "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
 

@@ -190,3 +190,18 @@ def tile_window(by: Sequence[str], pos: str):
 
 def home(df: DataFrame) -> DataFrame:
     return df.where(F.col(HOME)).drop(TILE, HOME)
+
+
+PLACE = "_place"
+
+
+def placed(df: DataFrame, order: Sequence[str], bits: int = 12, chunk: str = CHUNK) -> DataFrame:
+    """``df`` sorted over ranges by ``order`` and written, with its place and its chunk.
+
+    ``PLACE`` is unique and grows along ``order``; a chunk is a run of at most ``2**bits`` rows, whatever the values and their
+    density, so equal rows and long sessions are spread as well. Places of different ranges are not dense.
+    """
+    base = cut(df) if _ordered_before(df) else df
+    return cut(
+        base.orderBy(*order).withColumn(PLACE, F.monotonically_increasing_id()).withColumn(chunk, F.shiftright(PLACE, bits))
+    )

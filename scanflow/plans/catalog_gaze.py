@@ -286,9 +286,8 @@ def movement_actions(spark, sf):
       AND NOT (s.end_s < a.start_s OR s.start_s > a.end_s) GROUP BY 1, 2""",
 )
 def overlap_captions(spark, sf):
-    pairs = joins.overlap_join(
-        S.short_segments(spark, sf), S.actions(spark, sf), ["session_id"], width=60.0, key="segment"
-    )
+    gaze = stored(spark, sf)
+    pairs = joins.overlap_join(S.segments_of(gaze), S.purchases(gaze), ["session_id"], width=60.0, key="segment")
     labels = F.array_sort(F.collect_list(F.struct("match.pos", "match.text")))
     return pairs.groupBy("session_id", "segment").agg(
         F.count("match.pos").alias("n_actions"),
@@ -296,6 +295,28 @@ def overlap_captions(spark, sf):
     )
 
 
+@query(
+    "overlap_any_length",
+    S.with_views("gaze", "short_segments", "actions")
+    + """, spans AS (SELECT session_id, segment, start_s, end_s FROM short_segments UNION ALL
+      SELECT session_id, -1, min(time_seconds), max(time_seconds) FROM gaze GROUP BY 1)
+    SELECT s.session_id, s.segment, count(a.pos) AS n_actions, min(a.text) AS first_text FROM spans s LEFT JOIN actions a
+      ON a.session_id = s.session_id AND NOT (s.end_s < a.start_s OR s.start_s > a.end_s) GROUP BY 1, 2""",
+)
+def overlap_any_length(spark, sf):
+    """Short segments, and one as long as its session, with the actions they overlap."""
+    gaze = stored(spark, sf)
+    spans = S.segments_of(gaze).unionByName(
+        gaze.groupBy("session_id").agg(
+            F.lit(-1).cast("long").alias("segment"), F.min("time_seconds").alias("start_s"), F.max("time_seconds").alias("end_s")
+        )
+    )
+    pairs = joins.sweep_join(spans, S.purchases(gaze), ["session_id"], key="segment")
+    return pairs.groupBy("session_id", "segment").agg(
+        F.count("match.pos").alias("n_actions"), F.min("match.text").alias("first_text")
+    )
+
+
 _NEAR = """, probe AS (SELECT session_id, event_id, t FROM gaze_clock WHERE event_type = 'view'),
     smp AS (SELECT session_id, event_id AS sid, t AS st FROM gaze_clock WHERE event_type <> 'view'),
     before AS (SELECT p.session_id, p.event_id, arg_max(s.sid, (s.st, s.sid)) AS bid, max(s.st) AS bt FROM probe p

@@ -85,10 +85,13 @@ def purchases(frames: DataFrame) -> DataFrame:
 
 def short_segments(spark: SparkSession, sf_dir: str, frames: int = 4) -> DataFrame:
     """Runs of four frames as segments."""
+    return segments_of(gaze(spark, sf_dir), frames)
+
+
+def segments_of(rows: DataFrame, frames: int = 4) -> DataFrame:
     number = F.floor(F.col("frame_idx") / F.lit(frames)).cast("long")
     return (
-        gaze(spark, sf_dir)
-        .groupBy("session_id", number.alias("segment"))
+        rows.groupBy("session_id", number.alias("segment"))
         .agg(F.min("time_seconds").alias("start_s"), F.max("time_seconds").alias("end_s"))
     )
 
