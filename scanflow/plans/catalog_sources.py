@@ -130,13 +130,13 @@ def session_files(spark, sf):
     "SELECT o_orderkey, o_orderpriority FROM orders",
 )
 def incremental_table(spark, sf):
-    """Half the rows, then all rows, then all rows again: every key is there once."""
+    """Half the rows, then all rows, then the same run again and all rows once more: every key is there once."""
     path = scratch(spark, "incremental")
     rows = S.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     sinks.write_incremental(rows.where(F.col("o_orderkey") % 2 == 0), path, ["o_orderkey"])
-    sinks.write_incremental(rows, path, ["o_orderkey"])
-    sinks.write_incremental(rows, path, ["o_orderkey"])
-    return spark.read.parquet(path)
+    for run in ("all", "all", "again"):
+        sinks.write_incremental(rows, path, ["o_orderkey"], run)
+    return sinks.read_incremental(spark, path)
 
 
 @query(

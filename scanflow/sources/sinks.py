@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+
+from scanflow.sources import commits
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ("session_id",), fmt: str = "parquet") -> None:
@@ -74,21 +75,16 @@ def pending(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def written_keys(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
-    """Keys of the rows already at ``path``; None before the first run."""
-    try:
-        return spark.read.parquet(path).select(*keys).distinct()
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return None
-        raise
+def write_incremental(df: DataFrame, path: str, keys: Sequence[str], run: str | None = None) -> int:
+    """Add the rows of keys that are not there yet; a rerun adds nothing, and repeating the run ``run`` does nothing.
+
+    Returns the number of rows added. ``read_incremental`` reads the table (see ``sources/commits``).
+    """
+    return commits.write_commit(df, path, keys, run)
 
 
-def write_incremental(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append the rows of keys that are not there yet; a rerun adds nothing."""
-    done = written_keys(df.sparkSession, path, keys)
-    fresh = df if done is None else pending(df, done, keys)
-    fresh.write.mode("append").parquet(path)
+def read_incremental(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    return commits.read_commits(spark, path, schema)
 
 
 def replace_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
