@@ -8,8 +8,6 @@ records by format; ingest those once and keep the result as Parquet.
 
 from __future__ import annotations
 
-import csv
-import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,7 +18,7 @@ from pyspark.sql import types as T
 from scanflow.functions.text import caption_from_attributes, stem
 from scanflow.functions.timecode import frame_code
 from scanflow.operators import frames, ordered
-from scanflow.sources import arrays
+from scanflow.sources import arrays, delimited
 
 # The vendor header.
 HEADER_LINES = 34
@@ -110,9 +108,6 @@ def read_gaze_csv(spark: SparkSession, path: str, session: str | None = None) ->
     )
 
 
-_LAST = "\ue000"
-
-
 def _headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """``file`` and ``header``, the first line of each file."""
     first = spark.read.text(path if isinstance(path, str) else list(path)).select(
@@ -137,47 +132,30 @@ def _json(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFr
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{schema}, _file string")
 
 
-def _csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """Delimited files with a header each, their columns taken by name; ``_file`` is the file of a row.
+def _csv(spark: SparkSession, path: str, schema: str, sep: str = ",", by_place: bool = False) -> DataFrame:
+    """Delimited files with a header each, their columns taken by name; ``_file`` is the file of a row, (``_block``, ``_nr``) its place.
 
-    Files may order, add and lack columns as they like. A line with too few fields has nulls at its end, a
-    value that does not fit its type is null, blank lines are no rows, and only lines with more fields than
-    their header are left out (``csv_drops`` counts them). The kinds of header, not the files, are known to
-    the driver. A line equal to its file's header is not data.
+    Files may order, add and lack columns as they like, and each may have a header of its own. Quoted fields may hold
+    separators, doubled quotes and line breaks. A row with too few fields has nulls at its end, a value that does not fit its type is
+    null, blank lines are no rows, and only rows with more fields than their header are left out (``csv_drops`` counts them).
+    With ``by_place`` the names of the header do not matter: the columns are the fields in their order.
     """
-    fields = T._parse_datatype_string(schema).fields
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    headers = _headers(spark, path).select(F.col("file").alias("_file"), F.col("header").alias("_header"))
-    parts = []
-    for (header,) in headers.select("_header").distinct().orderBy("_header").collect():
-        names = [n.strip().strip('"').lstrip("\ufeff") for n in next(csv.reader([header], delimiter=sep, skipinitialspace=True), [])]
-        row = ", ".join(f"f{i} string" for i in range(len(names) + 1))
-        # a mark after the last field tells how many there are: it is out of sight on long lines only
-        options = {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true"}
-        own = lines.join(headers.where(F.col("_header").eqNullSafe(F.lit(header))).select("_file"), "_file")
-        body = own.where((F.trim("value") != "") & (F.col("value") != F.lit(header)))
-        marked = body.withColumn("r", F.from_csv(F.concat("value", F.lit(sep + _LAST)), row, options))
-        kept = marked.where(reduce(Column.__or__, (F.col(f"r.f{i}").eqNullSafe(_LAST) for i in range(len(names) + 1))))
-        place = {n: i for i, n in reversed(list(enumerate(names)))}
-
-        def field(f: T.StructField, place=place) -> Column:
-            if f.name not in place:
-                return F.lit(None).cast(f.dataType).alias(f.name)
-            text = F.col(f"r.f{place[f.name]}")
-            return F.when((F.trim(text) != "") & (text != _LAST), text.try_cast(f.dataType)).alias(f.name)
-
-        parts.append(kept.select(*map(field, fields), "_file"))
-    if not parts:
-        return spark.createDataFrame([], f"{schema}, _file string")
-    return reduce(DataFrame.unionByName, parts)
+    wanted = T._parse_datatype_string(schema).fields
+    rows = delimited.rows(spark, path, sep).where(~F.col("is_header") & (F.size("fields") <= F.size("header")))
+    names = F.transform("header", lambda n: F.trim(F.regexp_replace(n, "^\ufeff", "")))
+
+    def field(i: int, f: T.StructField) -> Column:
+        place = F.lit(i) if by_place else F.array_position(names, f.name).cast("int") - 1
+        text = F.when(place >= 0, F.get("fields", place))
+        return F.when(F.trim(text) != "", text.try_cast(f.dataType)).alias(f.name)
+
+    place = [F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("nr").alias("_nr")]
+    return rows.select(*(field(i, f) for i, f in enumerate(wanted)), *place)
 
 
 def csv_drops(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """``file`` and ``dropped``: lines with more fields than their header."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    # separators outside quotes
-    count = lambda c: F.regexp_count(F.regexp_replace(c, '"[^"]*"', ""), F.lit(re.escape(sep)))
-    long_ = lines.join(_headers(spark, path), "file").where((F.trim("value") != "") & (count(F.col("value")) > count(F.col("header"))))
+    """``file`` and ``dropped``: rows with more fields than their header."""
+    long_ = delimited.rows(spark, path, sep).where(F.size("fields") > F.size("header"))
     return long_.groupBy("file").agg(F.count(F.lit(1)).alias("dropped"))
 
 
@@ -277,17 +255,15 @@ def read_video_timing(spark: SparkSession, path: str, session: str | None = None
 
 
 def read_actions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """``;``-separated actions: trimmed text, milliseconds to seconds, place in the file."""
+    """``;``-separated actions: trimmed text, milliseconds to seconds, place in the file. Columns count by their place."""
     names = ["clip_id", "clip_prefix", "session", "start_ms", "end_ms", "action", "verb", "noun"]
-    schema = ", ".join(f"{n} string" for n in names)
-    rows = spark.read.schema(schema).options(
-        sep=";", header="true", enforceSchema="true", ignoreLeadingWhiteSpace="true", ignoreTrailingWhiteSpace="true"
-    ).csv(path)
+    rows = _csv(spark, path, ", ".join(f"{n} string" for n in names), sep=";", by_place=True)
+    rows = ordered.numbered(rows, ["_file"], ["_block", "_nr"], F.col("_block"), name="pos")
     return rows.select(
         F.trim("session").alias("session_id"),
-        F.monotonically_increasing_id().alias("pos"),
-        (F.trim("start_ms").cast("double") / 1000).alias("start_s"),
-        (F.trim("end_ms").cast("double") / 1000).alias("end_s"),
+        "pos",
+        (F.trim("start_ms").try_cast("double") / 1000).alias("start_s"),
+        (F.trim("end_ms").try_cast("double") / 1000).alias("end_s"),
         F.trim("action").alias("action"),
         F.trim("verb").alias("verb"),
         F.trim("noun").alias("noun"),
@@ -347,8 +323,8 @@ def read_nested_annotations(spark: SparkSession, path: str, label: str = "Fine g
 
 
 def read_csv_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Quoted CSV by column name: every line is a row, but for lines with too many fields."""
-    return _csv(spark, path, schema).drop("_file")
+    """Quoted CSV by column name: every record is a row, but for those with too many fields."""
+    return _csv(spark, path, schema).drop("_file", "_block", "_nr")
 
 
 def union_session_files(spark: SparkSession, pattern: str, fallback: str | None, schema: str) -> DataFrame:
@@ -362,7 +338,7 @@ def union_session_files(spark: SparkSession, pattern: str, fallback: str | None,
         path = fallback
     return _csv(spark, path, schema).withColumns(
         {"session_name": F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1), "source_file": F.col("_file")}
-    ).drop("_file")
+    ).drop("_file", "_block", "_nr")
 
 
 def _matches(spark: SparkSession, pattern: str) -> bool:
