@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import json
 import unicodedata
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanflow.functions.literals import literal_as_json
+
 # Keyword lists the results depend on.
 HUMAN_WORDS = [
     "hand", "hands", "finger", "fingers", "arm", "arms", "foot", "feet",
@@ -196,27 +196,29 @@ def fenced_json(text: Column, schema: str) -> Column:
     return F.when(F.try_parse_json(bare).isNotNull(), F.from_json(bare, schema))
 
 
-@F.pandas_udf(T.StringType())
-def _literal_as_json(text: pd.Series) -> pd.Series:
-    def one(value):
-        if value is None:
-            return None
-        try:
-            return json.dumps(ast.literal_eval(value))
-        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-            return None
+#: What a Python literal can hold beyond JSON with single quotes and Python's constants: tuples, escapes, trailing commas, neighbouring and
+#: triple-quoted strings, keys that are no strings, and numbers in forms that JSON lacks.
+_RICH = (
+    r"[(\\]|,\s*[\]}]|['\"]\s*['\"][^,:\]}\s]|'{3}|[:\[,]\s*[+.rRuU]|\b0[xXoObB]|[0-9](?:_|\.(?![0-9]))|(?:None|True|False|[{,]\s*[0-9.]+)\s*:"
+)
+
 
-    return text.map(one)
+def _json_constants(text: Column) -> Column:
+    """``text`` with Python's constants outside strings as JSON has them."""
+    skip = r"""[^'"NTF]++|'[^']*+'|"[^"]*+\""""
+    names = {"None": "null", "True": "true", "False": "false"}
+    for name, json in names.items():
+        others = "|".join(n for n in names if n != name)
+        text = F.regexp_replace(text, rf"\G((?:{skip}|(?:{others}|null|true|false)\b)*+){name}\b", f"$1{json}")
+    return text
 
 
 def parse_literal(text: Column, schema: str) -> Column:
     """JSON or Python-literal text as typed data, null when it is neither.
 
-    Most values parse inside the JVM (single quotes allowed). The Arrow batch parser is handed
-    null for all but values with Python constants or quotes inside words.
+    Most values are JSON but for single quotes, which the parser allows; only the others are rewritten first.
     """
-    python_like = text.rlike(r"\b(None|True|False)\b") | text.rlike(r"\w'\w")
-    repaired = _literal_as_json(F.when(python_like, text))
+    repaired = F.when(text.rlike(_RICH), literal_as_json(text)).when(text.rlike(r"\b(?:None|True|False)\b"), _json_constants(text))
     return F.from_json(F.coalesce(repaired, text), schema, {"allowSingleQuotes": "true"})
 
 
