@@ -51,7 +51,7 @@ def _first_break(x, y, may_break, begin, ax, ay, radius) -> int:
     return -1
 
 
-def _fold_chunk(t, x, y, entry: list | None, radius: float, gap: float) -> list[list]:
+def fold_chunk(t, x, y, entry: list | None, radius: float, gap: float) -> list[list]:
     """Pieces of one chunk: closed segments, then the one left open. ``entry`` is the open
     segment handed in, or None when the first row starts one."""
     may_break = np.diff(t, prepend=-np.inf if entry is None else entry[3]) > gap
@@ -96,7 +96,7 @@ def _run(frames: DataFrame, by: list[str], radius: float | None, gap: float | No
     def table_of(first: dict, t, x, y, entry: list | None) -> tuple[pa.Table, list]:
         start = None if entry is None else entry[0]
         reach, step = (first[c] for c in owned) if owned else (radius, gap)
-        pieces = _fold_chunk(t, x, y, None if entry is None else list(entry), reach, step)
+        pieces = fold_chunk(t, x, y, None if entry is None else list(entry), reach, step)
         n = len(pieces)
         columns = {k: [first[k]] * n for k in [*keys, *owned]}
         columns |= {f: [p[i] for p in pieces] for i, f in enumerate(_FIELDS)}

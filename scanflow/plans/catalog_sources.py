@@ -222,23 +222,26 @@ def distinct_episodes(spark, sf):
     r6(cy) AS center_y, n FROM st WHERE end_s - start_s >= 0.12""",
 )
 def stream_fixations_query(spark, sf):
-    """The frames as a stream of two files, then a marker far ahead that ends every session."""
+    """The frames as a stream of many files, out of order inside a slice, then a marker far ahead that ends every session."""
     path = scratch(spark, "gaze-stream")
     # recordings start a day after the epoch: a sample at the watermark's initial 0 would be late
     at = F.timestamp_micros(F.round(F.col("time_seconds") * 1e6).cast("long") + 86_400_000_000)
     live = cut(S.gaze(spark, sf).select("session_id", at.alias("at"), "time_seconds", "px", "py"))
-    early = F.col("time_seconds") < 1.0
-    # one Spark job per part; parts keep their arrival order by modification time
-    for nr, part in enumerate((live.where(early), live.where(~early))):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/nr={nr}")
+    # slices keep their arrival order by modification time; a trigger may take files of two slices, so the
+    # watermark stays two slices behind
+    slices, files = 4, 4
+    width = max(1, -(-int(live.agg(F.ceil(F.max("time_seconds"))).first()[0] or 1) // slices))
+    for nr in range(slices):
+        own = live.where(F.floor(F.col("time_seconds") / width) == nr) if nr < slices - 1 else live.where(F.col("time_seconds") >= nr * width)
+        own.repartition(files).write.mode("append").parquet(f"{path}/nr={nr}")
     marker = spark.range(1).select(
         F.lit(-1).cast("long").alias("session_id"), F.timestamp_seconds(F.lit(10_000_000)).alias("at"),
         F.lit(1e7).alias("time_seconds"), F.lit(0.0).alias("px"), F.lit(0.0).alias("py"),
     )
-    marker.write.mode("append").parquet(f"{path}/nr=2")
-    source = spark.readStream.schema(live.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    marker.write.mode("append").parquet(f"{path}/nr={slices}")
+    source = spark.readStream.schema(live.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     out = run_to_end(
-        stream_fixations(source, "1 seconds", radius=0.5, min_duration=0.12, gap=0.01, idle_ms=60_000), "fixations"
+        stream_fixations(source, f"{2 * width} seconds", radius=0.5, min_duration=0.12, gap=0.01, idle_ms=60_000), "fixations"
     )
     return out.where(F.col("session_id") >= 0).select(
         "session_id", r6("start_s"), r6("end_s"), r6("center_x"), r6("center_y"), "n"

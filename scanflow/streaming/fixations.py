@@ -3,89 +3,89 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import (
-    DoubleType, LongType, StructField, StructType,
-)
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+
+from scanflow.operators.folds import fold_chunk
 
 OUTPUT = StructType(
     [StructField("session_id", LongType())]
     + [StructField(c, DoubleType()) for c in ("start_s", "end_s", "duration", "center_x", "center_y")]
     + [StructField("n", LongType())]
 )
-_SAMPLE = StructType([StructField(c, DoubleType()) for c in ("time_seconds", "px", "py", "at_ms")])
+_SLOT = StructType([StructField("slot", LongType())])
+_SAMPLES = StructType([StructField(c, ArrayType(DoubleType())) for c in ("t", "x", "y", "at_ms")])
 _FOLD = StructType(
-    [StructField(c, DoubleType()) for c in ("start_s", "anchor_x", "anchor_y", "last_s", "sum_x", "sum_y")]
-    + [StructField("n", LongType())]
+    [StructField(c, DoubleType()) for c in ("start_s", "anchor_x", "anchor_y", "end_s")]
+    + [StructField("n", LongType()), StructField("sum_x", DoubleType()), StructField("sum_y", DoubleType())]
+    + [StructField("at_ms", DoubleType())]
 )
 
 
 class AnchoredSegments(StatefulProcessor):
-    """Buffers samples until the watermark passes them, folds them in time order.
+    """Samples wait in time slots until the watermark passes a slot's end; then the slot is folded in time order.
 
-    The buffer holds at most the samples of one watermark delay, the fold one open segment.
-    A session ends when no sample arrives for ``idle_ms`` of event time, and its open segment with it. The batch
-    fold has no such rule: there a segment goes on over any gap if the next sample lies within the radius.
+    A batch touches the slots its own samples fall into and those that have become ripe, nothing else: a slot has its own
+    entry in the map and its own timer, and timers of a session come in the order of their times. State besides the slots
+    is one open segment. A session ends when the watermark is ``idle_ms`` past its last sample, and its open segment
+    with it. The batch fold has no such rule: there a segment goes on over any gap if the next sample lies
+    within the radius.
     """
 
-    def __init__(self, radius: float, gap: float, min_duration: float, idle_ms: int):
-        self.radius, self.gap, self.min_duration, self.idle_ms = radius, gap, min_duration, idle_ms
+    def __init__(self, radius: float, gap: float, min_duration: float, idle_ms: int, slot_ms: int):
+        if idle_ms < slot_ms:
+            raise ValueError("a session cannot end before its slot")
+        self.radius, self.gap, self.min_duration, self.idle_ms, self.slot_ms = radius, gap, min_duration, idle_ms, slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", _SAMPLE)
+        self.slots = handle.getMapState("slots", _SLOT, _SAMPLES)
         self.open = handle.getValueState("open", _FOLD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(s) for s in self.buffer.get()]
         for pdf in rows:
-            at = pdf["at"].astype("datetime64[us]").astype("int64") / 1000.0
-            held += list(zip(pdf["time_seconds"], pdf["px"], pdf["py"], at))
-        mark = timerValues.getCurrentWatermarkInMs()
-        ready = sorted(s for s in held if s[3] <= mark)
-        rest = [s for s in held if s[3] > mark]
-        self.buffer.clear()
-        if rest:
-            self.buffer.put(rest)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(max(s[3] for s in held)) + self.idle_ms)
-        yield self._rows(key, self._advance(ready))
+            at = pdf["at"].astype("datetime64[us]").astype("int64").to_numpy() / 1000.0
+            columns = [pdf[c].to_numpy(float) for c in ("time_seconds", "px", "py")] + [at]
+            slots = np.floor_divide(at, self.slot_ms).astype(np.int64)
+            for slot in np.unique(slots).tolist():
+                fresh = [c[slots == slot].tolist() for c in columns]
+                if self.slots.containsKey((slot,)):
+                    fresh = [list(old) + new for old, new in zip(self.slots.getValue((slot,)), fresh)]
+                else:
+                    self.handle.registerTimer((slot + 1) * self.slot_ms)
+                self.slots.updateValue((slot,), tuple(fresh))
+                # set here and not when the slot is folded: a timer set by a timer would wait for one more batch
+                self.handle.registerTimer(int(np.ceil(max(fresh[3]))) + self.idle_ms)
+        yield self._rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = self._advance(sorted(tuple(s) for s in self.buffer.get()))
-        if self.open.exists():
-            done.append(tuple(self.open.get()))
-        self.buffer.clear()
-        self.open.clear()
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        state = list(self.open.get()) if self.open.exists() else None
+        done = []
+        if state is not None and state[7] + self.idle_ms <= due:
+            done.append(state)
+            self.open.clear()
+            state = None
+        slot = (due // self.slot_ms - 1,)
+        if due % self.slot_ms == 0 and self.slots.containsKey(slot):
+            t, x, y, at = (np.asarray(c, dtype=float) for c in self.slots.getValue(slot))
+            order = np.lexsort((y, x, t))
+            *closed, last = fold_chunk(t[order], x[order], y[order], None if state is None else state[:7], self.radius, self.gap)
+            done += closed
+            self.slots.removeKey(slot)
+            self.open.update((*(float(v) for v in last[:4]), int(last[4]), *(float(v) for v in last[5:7]), float(np.ceil(at.max()))))
         yield self._rows(key, done)
 
     def close(self) -> None:
         pass
 
-    def _advance(self, samples: list[tuple]) -> list[tuple]:
-        state = list(self.open.get()) if self.open.exists() else None
-        closed = []
-        for t, x, y, _ in samples:
-            if state is not None and t - state[3] > self.gap:
-                dx, dy = x - state[1], y - state[2]
-                if sqrt(dx * dx + dy * dy) > self.radius:
-                    closed.append(tuple(state))
-                    state = None
-            if state is None:
-                state = [t, x, y, t, 0.0, 0.0, 0]
-            state[3], state[4], state[5], state[6] = t, state[4] + x, state[5] + y, state[6] + 1
-        if state is not None:
-            self.open.update(tuple(state))
-        return closed
-
-    def _rows(self, key, done: list[tuple]) -> pd.DataFrame:
+    def _rows(self, key, done: list[list]) -> pd.DataFrame:
         kept = [s for s in done if s[3] - s[0] >= self.min_duration]
-        rows = [(key[0], s[0], s[3], s[3] - s[0], s[4] / s[6], s[5] / s[6], s[6]) for s in kept]
+        rows = [(key[0], s[0], s[3], s[3] - s[0], s[5] / s[4], s[6] / s[4], int(s[4])) for s in kept]
         return pd.DataFrame(rows, columns=OUTPUT.fieldNames())
 
 
@@ -96,16 +96,18 @@ def stream_fixations(
     min_duration: float = 0.5,
     gap: float = 0.2,
     idle_ms: int = 60_000,
+    slot_ms: int = 1_000,
 ) -> DataFrame:
     """Segments of a stream of (session_id, at, time_seconds, px, py); late samples are dropped.
 
-    The state lives in RocksDB: set ``spark.sql.streaming.stateStore.providerClass``.
+    Samples are folded when the watermark has passed the end of their slot of ``slot_ms``, so a segment appears at most that much
+    later; a slot's samples of one session are held together. The state lives in RocksDB: set ``spark.sql.streaming.stateStore.providerClass``.
     """
     return (
         samples.withWatermark("at", delay)
         .groupBy("session_id")
         .transformWithStateInPandas(
-            statefulProcessor=AnchoredSegments(radius, gap, min_duration, idle_ms),
+            statefulProcessor=AnchoredSegments(radius, gap, min_duration, idle_ms, slot_ms),
             outputStructType=OUTPUT,
             outputMode="Append",
             timeMode="EventTime",
