@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanflow.llm import decontaminate, mixing, near_dedup, ranking, sharding
+from scanflow.llm.columns import free
 from scanflow.session import cut
 
 SHARDS = 16
@@ -21,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranking scores 0.5 or more; learnt outside the held-out third."""
     model = ranking.fit(docs, _table(spark, sf_dir, "labels"), usable=~ranking.held_out())
-    return ranking.scored(docs, model, score="_score").where("_score >= 0.5").select(*docs.columns)
+    (score,) = free(docs.columns, "score")
+    return ranking.scored(docs, model, score=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
