@@ -10,7 +10,8 @@
   the full sets, and linked classes join into components.
 * **Rest.** Two classes of one star can be linked although their centre is not. Stars whose members lie in
   several components are checked again, on full sets: only members outside the centre's component are
-  compared, with the members of other components, in blocks of bounded size. No link between members of a star
+  compared, with the members of other components, in blocks of bounded size: a star of M members with R of them
+  outside ships about M * R / ``block`` texts. No link between members of a star
   is lost; what the bands can miss is a pair at the threshold that shares none of them. There are as many
   bands as make that rarer than ``miss`` (42 for 0.85 and 1e-7).
 
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanflow.llm import textbytes as tb
+from scanflow.llm.columns import free
 from scanflow.llm.components import components
 from scanflow.session import cut
 
@@ -209,16 +211,24 @@ def _rest_links(edges: DataFrame, roots: DataFrame, texts: DataFrame, shingle: i
     hubs = edges.select("hub", F.col("hub").alias("v"), F.col("hub_doc").alias("doc"), F.col("hub_print").alias("print")).distinct()
     members = edges.select("hub", "v", "doc", "print").unionByName(hubs)
     known = members.join(roots.withColumnRenamed("u", "v"), "v", "left").withColumn("comp", F.coalesce("root", "v")).drop("root")
+    by_comp = known.groupBy("hub", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("v") == F.col("hub")).alias("own"))
+    near = F.sum(F.when(F.col("own"), F.col("n")))
     # written, so that a hub with a large share of all members is joined as two plain tables
     stars = cut(
-        known.groupBy("hub")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("v") == F.col("hub"), F.col("comp"))).alias("centre"))
-        .where("size > 2 and low <> high")
-        .select("hub", "centre", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    )
-    mine = F.pmod(F.xxhash64("v", "hub"), F.col("blocks")).cast("int")
-    open_ = known.join(stars, "hub").withColumn("rest", F.col("comp") != F.col("centre")).withColumn("mine", mine)
-    other = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        by_comp.groupBy("hub")
+        .agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps"), near.alias("near"), F.max(F.when(F.col("own"), F.col("comp"))).alias("centre"))
+        .where("size > 2 and comps > 1")
+        .select(
+            "hub", "centre", F.ceil(F.col("near") / block).cast("int").alias("near_blocks"),
+            F.ceil((F.col("size") - F.col("near")) / block).cast("int").alias("rest_blocks"),
+        )
+    )
+    # members outside the centre's component have blocks of their own and meet all blocks, the others meet only those
+    open_ = known.join(stars, "hub").withColumn("rest", F.col("comp") != F.col("centre"))
+    hashed, last = F.xxhash64("v", "hub"), F.col("near_blocks") + F.col("rest_blocks") - 1
+    mine = F.when(F.col("rest"), F.col("near_blocks") + F.pmod(hashed, F.col("rest_blocks"))).otherwise(F.pmod(hashed, F.col("near_blocks")))
+    met = F.sequence(F.when(F.col("rest"), F.lit(0)).otherwise(F.col("near_blocks")), last)
+    other = open_.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(met))
     pairs = other.select("hub", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "comp", "rest", "doc", "print")
     return (
         texts.join(pairs.hint("merge"), ["doc", "print"])
@@ -302,13 +312,15 @@ def one_per_group(
     Texts without a shingle are in no group; of their rows, too, those equal in id and text leave one.
     """
     found = _groups(docs, doc_id, text, shingle, percent, rows, bands_for(percent, rows, miss), block)
-    stay = found.where((F.col("doc") == F.col("least.doc")) & (F.col("print") == F.col("least.print"))).select(F.col("doc").alias("_doc"), F.col("print").alias("_print")).distinct()
+    d, p, nr = free(docs.columns, "doc", "print", "nr")
+    chosen = (F.col("doc") == F.col("least.doc")) & (F.col("print") == F.col("least.print"))
+    stay = found.where(chosen).select(F.col("doc").alias(d), F.col("print").alias(p)).distinct()
     keyed = docs.withColumns(
-        {"_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_print": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
+        {d: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), p: F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
     )
     # Spark takes the first row of a key before the shuffle too, so repeats never meet in one task; rows that
     # this order does not tell apart are equal. Maps have no order.
     others = [F.col(c) for c, kind in docs.dtypes if c != text and "map<" not in kind]
-    first = F.row_number().over(Window.partitionBy("_doc", "_print").orderBy(*others, F.col(text).isNull()))
-    single = keyed.withColumn("_nr", first).where("_nr = 1")
-    return single.join(stay, ["_doc", "_print"], "left_semi").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(d, p).orderBy(*others, F.col(text).isNull()))
+    single = keyed.withColumn(nr, first).where(F.col(nr) == 1)
+    return single.join(stay, [d, p], "left_semi").select(*docs.columns)

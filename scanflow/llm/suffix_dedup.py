@@ -17,8 +17,8 @@ The order of the corpus' suffixes by their first ``window`` bytes comes from two
 
 Each Arrow batch keeps the first of equal phrases (and of equal windows) before the shuffle. A passage that
 stands in a third of all rows therefore reaches a task once per batch, not once per row. Texts are shuffled
-by document only. Phrases compare by 57-bit hashes within one 64-bit trigger. A trigger that very many different
-phrases share is the one group that a single task sorts; its rows are five numbers each, and the sort spills.
+by document only. Phrases compare by 57-bit hashes within one 64-bit trigger. Triggers that very many different
+phrases share are found in a sample; their phrases are ranked in several tasks, split by phrase, with the same result.
 
 Rows: null text counts as empty. Rows that share a doc_id are told apart by a hash of their text, in whose
 order they count; rows equal in both are one document, each gets that document's result. A null doc_id
@@ -42,16 +42,17 @@ WINDOW = 100
 GRAM = 32
 SLAB = 1 << 19
 
-PIECE = "trigger long, phrase long, sides long, doc long, pos long"
+#: A trigger that stands this often in a sample, with different phrases, is dealt over ``SALTS`` tasks.
+SAMPLE, OFTEN, MOST_HOT, SALTS = 1 / 256, 16, 1000, 256
+
+PIECE = "trigger long, phrase long, sides long, doc long, tag long, pos long"
 
 
 def _identity(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc (nulls least), tag (high half of a position, tells rows of one doc_id apart), text."""
+    """doc (nulls least), tag (hash of the text, tells rows of one doc_id apart), text."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"),
-        F.shiftleft(F.xxhash64(body).bitwiseAND(F.lit((1 << 31) - 1)), 32).alias("tag"),
-        body.alias("text"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(body).alias("tag"), body.alias("text")
     )
 
 
@@ -122,7 +123,7 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return ~same
 
 
-def _settle(doc, pos, count, trigger, phrase, sides) -> pa.RecordBatch:
+def _settle(doc, tag, pos, count, trigger, phrase, sides) -> pa.RecordBatch:
     """Pieces of a batch, which stand in document order: the first of equal ones stay open (odd trigger).
 
     The others are repeats already. Neighbouring ones are joined to one run of windows; such a run has an
@@ -131,19 +132,21 @@ def _settle(doc, pos, count, trigger, phrase, sides) -> pa.RecordBatch:
     first = _firsts(trigger, phrase)
     at = np.flatnonzero(~first)
     new = np.ones(len(at), dtype=bool)
-    new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (pos[at[1:]] != pos[at[:-1]] + count[at[:-1]])
+    new[1:] = (doc[at[1:]] != doc[at[:-1]]) | (tag[at[1:]] != tag[at[:-1]]) | (pos[at[1:]] != pos[at[:-1]] + count[at[:-1]])
     head = at[np.flatnonzero(new)]
     runs = np.add.reduceat(count[at], np.flatnonzero(new)) if len(at) else count[at]
-    spread = tb.mix(doc[head].astype(np.uint64) + (pos[head] >> 12).astype(np.uint64)) & ~np.uint64(1)
+    spread = tb.mix(doc[head].astype(np.uint64) + tb.mix(tag[head].view(np.uint64)) + (pos[head] >> 12).astype(np.uint64)) & ~np.uint64(1)
     low = (phrase[first] & ~np.uint64(127)) | count[first].astype(np.uint64)
     columns = [
         np.concatenate([trigger[first] | np.uint64(1), spread]).view(np.int64),
         np.concatenate([low.view(np.int64), runs.astype(np.int64)]),
         np.concatenate([sides[first].view(np.int64), np.zeros(len(head), dtype=np.int64)]),
         np.concatenate([doc[first], doc[head]]),
+        np.concatenate([tag[first], tag[head]]),
         np.concatenate([pos[first], pos[head]]),
     ]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["trigger", "phrase", "sides", "doc", "pos"])
+    names = ["trigger", "phrase", "sides", "doc", "tag", "pos"]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def _in_order(batch: pa.RecordBatch) -> np.ndarray:
@@ -179,8 +182,8 @@ def _parser(window: int, gram: int, slab: int):
                 begin, count, trigger, phrase, sides = _parse(buf, starts, window, gram)
                 piece = np.searchsorted(starts, begin, side="right") - 1
                 row = rows[piece]
-                pos = tag[row] + inner[piece] + begin - starts[piece]
-                parts.append((doc[row], pos, count, trigger, phrase, sides))
+                pos = inner[piece] + begin - starts[piece]
+                parts.append((doc[row], tag[row], pos, count, trigger, phrase, sides))
             if parts:
                 yield _settle(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -227,7 +230,7 @@ def _suffixes(window: int):
                     content = roll.of(start, start + window)
                     half = roll.of(start, start + window // 2)
                     one = np.ones(len(start), dtype=np.int64)
-                    parts.append((one * doc[row], tag[row] + low + start, one, content, half, np.zeros_like(half)))
+                    parts.append((one * doc[row], one * tag[row], low + start, one, content, half, np.zeros_like(half)))
             if parts:
                 yield _settle(*(np.concatenate(x) for x in zip(*parts)))
 
@@ -282,18 +285,32 @@ def _cutter(window: int, with_text: bool):
     return carve
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
+def _hot_triggers(base: DataFrame, parse) -> list[int]:
+    """Triggers of many different phrases, found in a sample of the documents; at most ``MOST_HOT``.
+
+    The list decides only how the work is dealt: a trigger on it is known to have two phrases, any other is looked at as a whole.
+    """
+    seen = base.sample(False, SAMPLE, 7).mapInArrow(parse, PIECE).where(F.col("trigger").bitwiseAND(F.lit(1)) == 1)
+    often = seen.groupBy("trigger").agg(F.count(F.lit(1)).alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
+    hot = often.where((F.col("n") >= OFTEN) & (F.col("low") != F.col("high"))).orderBy(F.col("n").desc(), "trigger").limit(MOST_HOT)
+    return [r["trigger"] for r in hot.select("trigger").collect()]
+
+
+def _ranked(pieces: DataFrame, hot: list[int] = ()) -> DataFrame:
     """The pieces that matter: ``again`` (an earlier equal piece exists) or alone in their phrase, but not
-    alone with their trigger. The rest, most of a corpus, ends here."""
-    order = Window.partitionBy("trigger").orderBy("phrase", "doc", "pos")
+    alone with their trigger. The rest, most of a corpus, ends here. Phrases of a hot trigger are ranked in several tasks."""
+    known = F.col("trigger").isin(list(hot)) if len(hot) else F.lit(False)
+    salt = F.when(known, F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    order = Window.partitionBy("trigger", "salt").orderBy("phrase", "doc", "tag", "pos")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     settled = F.col("trigger").bitwiseAND(F.lit(1)) == 0
     # equal rows in different batches bring the same piece of the same document twice
-    itself = (F.lag("doc").over(order) == F.col("doc")) & (F.lag("pos").over(order) == F.col("pos"))
+    itself = (F.lag("doc").over(order) == F.col("doc")) & (F.lag("tag").over(order) == F.col("tag")) & (F.lag("pos").over(order) == F.col("pos"))
     repeat = (F.lag("phrase").over(order) == F.col("phrase")) & ~itself
     return (
-        pieces.withColumn("again", settled | F.coalesce(repeat, F.lit(False)))
-        .withColumn("shared", F.first("phrase").over(whole) != F.last("phrase").over(whole))
+        pieces.withColumn("salt", salt)
+        .withColumn("again", settled | F.coalesce(repeat, F.lit(False)))
+        .withColumn("shared", known | (F.first("phrase").over(whole) != F.last("phrase").over(whole)))
         .where("again or shared")
     )
 
@@ -302,9 +319,7 @@ def _placed(pieces: DataFrame) -> DataFrame:
     """Pieces as doc, tag, begin, count (of windows) with ``again`` and what narrowing needs."""
     settled = F.col("trigger").bitwiseAND(F.lit(1)) == 0
     return pieces.select(
-        "doc",
-        F.shiftleft(F.shiftright("pos", 32), 32).alias("tag"),
-        F.col("pos").bitwiseAND(F.lit((1 << 32) - 1)).alias("begin"),
+        "doc", "tag", F.col("pos").alias("begin"),
         F.when(settled, F.col("phrase")).otherwise(F.col("phrase").bitwiseAND(F.lit(127))).alias("count"),
         "again", "trigger", "phrase", "sides",
     )
@@ -320,13 +335,17 @@ def _narrowed(placed: DataFrame, window: int, gram: int) -> DataFrame:
     left, right = F.shiftright("sides", 32), F.shiftright("sides", 8).bitwiseAND(F.lit((1 << 24) - 1))
     there = F.col("sides").bitwiseAND(F.lit(255))
 
-    def several(side: Column) -> Column:
-        group = Window.partitionBy("trigger", side)
-        fresh = F.when(~F.col("again"), F.col("phrase"))
-        return F.coalesce(F.min(fresh).over(group) != F.max(fresh).over(group), F.lit(False))
+    # few pieces are left here; they are written, since each side's phrases are counted apart and joined back
+    split = cut(placed.withColumns({"_left": left, "_right": right}))
+
+    def several(side: str, name: str) -> DataFrame:
+        fresh = split.where(~F.col("again")).groupBy("trigger", side)
+        found = fresh.agg(F.min("phrase").alias("_a"), F.max("phrase").alias("_b")).where("_a <> _b")
+        return found.select("trigger", side, F.lit(True).alias(name))
 
-    split = placed.withColumns({"_left": left, "_right": right})
-    known = split.withColumn("_on_left", several(F.col("_left"))).withColumn("_on_right", several(F.col("_right")))
+    joined = split.join(several("_left", "_on_left"), ["trigger", "_left"], "left").join(several("_right", "_on_right"), ["trigger", "_right"], "left")
+    no = F.lit(False)
+    known = joined.withColumns({"_on_left": F.coalesce("_on_left", no), "_on_right": F.coalesce("_on_right", no)})
     whole = F.col("again")
     low = F.when(whole | F.col("_on_left"), F.lit(0)).otherwise(F.greatest(F.lit(0), there - half))
     high = F.when(whole | F.col("_on_right"), F.col("count")).otherwise(F.least(F.col("count"), there - half + 1))
@@ -355,9 +374,12 @@ def remove_repeats(
     """
     if not 2 <= gram <= window <= gram + 126:
         raise ValueError("need 2 <= gram <= window <= gram + 126")
+    if slab + window > 1 << 21:
+        raise ValueError("a slab holds at most 2**21 bytes")
     base = _identity(docs, doc_id, text)
-    pieces = base.mapInArrow(_parser(window, gram, slab), PIECE)
-    known = _narrowed(_placed(_ranked(pieces)), window, gram)
+    parse = _parser(window, gram, slab)
+    pieces = base.mapInArrow(parse, PIECE)
+    known = _narrowed(_placed(_ranked(pieces, _hot_triggers(base, parse))), window, gram)
     by_doc = cut(_by_document(known, closed=F.col("again"), open=~F.col("again")))
     named = base.repartition("doc", "tag")
     opened = named.join(by_doc.where(F.size("open") > 0).select("doc", "tag", "open"), ["doc", "tag"])

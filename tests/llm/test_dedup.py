@@ -189,3 +189,64 @@ def test_empty_tables(spark):
     assert near_dedup.near_groups(empty).count() == 0
     assert near_dedup.one_per_group(empty).count() == 0
     assert decontaminate.contained_items(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_repeats_of_many_texts_under_one_id(spark):
+    """Rows of one id are documents of their own, in the order of a hash of their text."""
+    rng = np.random.default_rng(11)
+    words = np.array("one two three four five six seven eight nine ten eleven twelve".split())
+    base = [" ".join(rng.choice(words, 60)) for _ in range(12)]
+    texts = [" ".join([base[rng.integers(12)], str(i), base[rng.integers(12)]]) for i in range(80)]
+    df = spark.createDataFrame([(None if i % 3 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    order = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    ids = sorted(texts, key=lambda t: (texts.index(t) % 3 == 0, order[t]))  # the null id comes first
+    want = sorted(repeats(list(enumerate(ids))).values())
+    got = sorted(tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df, with_text=False).collect())
+    assert got == want
+
+
+def test_a_hot_trigger_is_dealt_over_tasks(spark, monkeypatch):
+    """A line that stands between different neighbours in every document."""
+    rng = np.random.default_rng(5)
+    hot = "the line that stands everywhere, eighty bytes long or so, zzz zzz zzz "
+    texts = ["".join(rng.choice(list("abcdefgh "), 70)) + hot + "".join(rng.choice(list("abcdefgh "), 70)) for _ in range(150)]
+    texts += texts[:20] + [t[30:] for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 0.9)
+    found = []
+    real = suffix_dedup._hot_triggers
+    monkeypatch.setattr(suffix_dedup, "_hot_triggers", lambda *a: found.append(real(*a)) or found[-1])
+    check_repeats(df)
+    assert found[0]
+    pieces = suffix_dedup._identity(df, "doc_id", "text").mapInArrow(suffix_dedup._parser(100, 32, 1 << 19), suffix_dedup.PIECE)
+    salts = suffix_dedup._ranked(pieces, found[0]).where(F.col("trigger").isin(found[0])).groupBy("trigger").agg(F.countDistinct("salt").alias("n"))
+    assert max(r.n for r in salts.collect()) > 20
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(df, slab=1 << 21)
+
+
+def test_one_outsider_of_a_large_star_meets_each_member_once(spark, monkeypatch):
+    members, block = 300, 16
+    edges = spark.createDataFrame([(0, 0, 0, v, v, v) for v in range(1, members + 1)], "hub long, hub_doc long, hub_print long, v long, doc long, print long")
+    roots = spark.createDataFrame([(v, 0) for v in range(members)], "u long, root long")  # the last one is outside
+    texts = spark.createDataFrame([(v, v, f"text {v}") for v in range(members + 1)], "doc long, print long, text string")
+    sizes = []
+    monkeypatch.setattr(near_dedup, "_block_links", lambda *_: lambda t: _count(t))
+
+    def _count(table):
+        import pyarrow as pa
+
+        return pa.table({"u": pa.array([table.num_rows], pa.int64()), "v": pa.array([sum(table["rest"].to_pylist())], pa.int64())})
+
+    rows = near_dedup._rest_links(edges, roots, texts, 3, 85, block).collect()
+    sizes = [r.u for r in rows]
+    blocks = -(-members // block)
+    assert sum(sizes) <= members + blocks + 1 and max(sizes) <= 3 * block and all(r.v >= 1 for r in rows)
+
+
+def test_pipeline_helpers_keep_clashing_columns(spark):
+    names = ["doc", "print", "_doc", "_print", "nr", "_nr", "Doc", "row"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names if n != "Doc")
+    df = spark.createDataFrame([(i, LINE * 2 + str(i // 2) * 3, *["kept"] * 7) for i in range(6)], schema)
+    left = near_dedup.one_per_group(df, shingle=5, percent=80)
+    assert left.columns == df.columns and all(v == "kept" for r in left.collect() for v in r[2:])
