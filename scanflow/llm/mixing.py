@@ -10,7 +10,8 @@
   a source meets its target exactly, to a block.
 * Slot j of a source reads block ``p_e(j mod n)`` with e = j div n and n blocks: each pass e has a keyed
   pseudorandom permutation of the block numbers, so a block is read again only after all others. Slots
-  and blocks meet in an equi-join on (source, block).
+  and blocks meet in an equi-join on (source, block): ``mixed_blocks`` has the pieces of documents that make up each slot of each shard.
+  The words taken, the mixed documents and the texts of the shards are all made from that table.
 
 All draws depend on the seed, the source's rank and the block numbers alone; reruns and other partitionings agree.
 
@@ -83,7 +84,8 @@ def _offsets(sized: DataFrame, sources: DataFrame, chunks: int) -> DataFrame:
     joined = sized.join(
         sources.withColumnRenamed("source", "_s"), sized["source"].eqNullSafe(F.col("_s")), "inner"
     ).drop("_s", "_words")
-    chunk = F.pmod(F.xxhash64(F.coalesce(F.col("doc").cast("string"), F.lit(""))), F.lit(chunks)).cast("int")
+    # the text's hash spreads rows that share an id
+    chunk = F.pmod(F.xxhash64(F.coalesce(F.col("doc").cast("string"), F.lit("")), "print"), F.lit(chunks)).cast("int")
     parts = joined.withColumn("_chunk", chunk)
     along = Window.partitionBy("src").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -179,14 +181,28 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 
 def _read_pieces(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[float], repeats: int, block: int, seed: int) -> DataFrame:
-    """Pieces of all documents with ``times``, how often their block is read."""
+    """Pieces of all documents, a row for each slot that reads one; ``shard`` and ``slot`` are null where none does."""
     # texts are counted once; totals, offsets and targets read the counts
     sized = cut(_sized(docs, doc_id, text, source))
     sources = targets(sized, weights, repeats)
     pieces = _pieces(_offsets(sized, sources, CHUNKS), block)
-    times = slots(sources, block, seed=seed).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     # both sides grow with the words, though a planner sees the slots come from a few source rows
-    return pieces.join(times.hint("merge"), ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return pieces.join(slots(sources, block, seed=seed).hint("merge"), ["src", "block"], "left")
+
+
+def mixed_blocks(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """The mix: shard, source, src (the source's rank), slot, block, off (place in the source's words), doc_id, start and n.
+
+    A slot is a block of a source; its rows, by ``off``, are the words ``start .. start + n - 1`` of documents. Within a shard,
+    slots of one source are numbered in sequence.
+    """
+    read = _read_pieces(docs, doc_id, text, source, weights, repeats, block, seed).where(F.col("slot").isNotNull())
+    return read.select(
+        "shard", "source", "src", "slot", "block", (F.col("off") + F.col("start")).alias("off"), F.col("doc").alias(doc_id), "print", "start", "n"
+    )
 
 
 def mix_sizes(
@@ -197,11 +213,19 @@ def mix_sizes(
     read = _read_pieces(docs, doc_id, text, source, weights, repeats, block, seed)
     # the offset tells rows of one id apart; rows without words share one and keep a count
     keys = ["doc", "source", "size", "print", "source_size", "target", "off"]
-    rows = read.groupBy(*keys).agg(F.sum(F.col("n") * F.col("times")).alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_same"))
+    taken = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("n"))), F.lit(0))
+    rows = read.groupBy(*keys).agg(taken.alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_same"))
     copies = F.explode(F.array_repeat(F.lit(0), F.greatest(F.col("_same"), F.lit(1)).cast("int")))
     return rows.select(F.col("doc").alias(doc_id), "source", "size", "source_size", "target", "taken", copies.alias("_copy")).drop("_copy")
 
 
+def _with_pieces(docs: DataFrame, plan: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``row`` (all columns of ``docs``) and ``pieces`` of the documents that ``plan`` (doc, print, pieces) names."""
+    body = F.coalesce(docs[text], F.lit(""))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("_doc"), F.xxhash64(body).alias("_print"))
+    return rows.join(plan, rows["_doc"].eqNullSafe(plan["doc"]) & (rows["_print"] == plan["print"])).select("row", "pieces")
+
+
 def mix_texts(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED,
@@ -212,29 +236,63 @@ def mix_texts(
     follow one another in document order; passes are joined by a line break, and neighbouring pieces keep the
     text between them. Rows equal in id and text get the first one's pieces.
     """
-    read = _read_pieces(docs, doc_id, text, source, weights, repeats, block, seed).where("times > 0")
-    piece = F.struct("start", "n", "times")
-    first = read.groupBy("doc", "print", "off").agg(F.collect_list(piece).alias("pieces"))
-    plan = first.groupBy("doc", "print").agg(F.min_by("pieces", "off").alias("_pieces"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"_doc": F.col(doc_id), "_print": F.xxhash64(body)})
-    joined = keyed.join(plan, keyed["_doc"].eqNullSafe(plan["doc"]) & (keyed["_print"] == plan["print"]))
-    joined = joined.drop("doc", "print", "_doc", "_print") if "doc" not in docs.columns and "print" not in docs.columns else joined.select(*(keyed[c] for c in docs.columns), "_pieces")
+    read = _read_pieces(docs, doc_id, text, source, weights, repeats, block, seed).where(F.col("slot").isNotNull())
+    times = read.groupBy("doc", "print", "off", "start", "n").agg(F.count(F.lit(1)).alias("times"))
+    first = times.groupBy("doc", "print", "off").agg(F.collect_list(F.struct("start", "n", "times")).alias("pieces"))
+    plan = first.groupBy("doc", "print").agg(F.min_by("pieces", "off").alias("pieces"))
     names = list(docs.columns)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tb.column_bytes(batch.column(text))
-            raw = data.tobytes()
-            out = []
-            for row, pieces in enumerate(batch.column("_pieces").to_pylist()):
-                low, high = int(offsets[row]), int(offsets[row + 1])
-                begin, end, _ = tb.words(data[low:high], np.array([0, high - low]))
-                out.append(_written(raw[low:high], begin, end, pieces))
-            arrays = [pa.array(out, type=pa.string()) if c == text else batch.column(c) for c in names]
+            columns = dict(zip(names, batch.column("row").flatten()))
+            out = [
+                _written(raw, begin, end, pieces)
+                for raw, begin, end, pieces in _worded(columns[text], batch.column("pieces").to_pylist())
+            ]
+            arrays = [pa.array(out, type=pa.string()) if c == text else columns[c] for c in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.mapInArrow(rewrite, docs.schema)
+    return _with_pieces(docs, plan, doc_id, text).mapInArrow(rewrite, docs.schema)
+
+
+def _worded(column: pa.Array, pieces: list) -> Iterator[tuple]:
+    """Bytes, begin and end of the words, and pieces of every text."""
+    data, offsets = tb.column_bytes(column)
+    raw = data.tobytes()
+    for row, own in enumerate(pieces):
+        low, high = int(offsets[row]), int(offsets[row + 1])
+        begin, end, _ = tb.words(data[low:high], np.array([0, high - low]))
+        yield raw[low:high], begin, end, own
+
+
+def shard_texts(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    weights: Sequence[float] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """shard, source, slot and text of every slot: its block's words, from one document after the other, joined by spaces."""
+    mixed = cut(mixed_blocks(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.col(source).alias("source")),
+                             "doc", "text", "source", weights, repeats, block, seed))
+    # rows equal in id and text give the same words, so one of them serves all slots
+    piece = F.struct("shard", "src", "slot", "off", "start", "n")
+    plan = mixed.groupBy("doc", "print").agg(F.collect_list(piece).alias("pieces"))
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).dropDuplicates()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for raw, begin, end, pieces in _worded(batch.column("row").flatten()[1], batch.column("pieces").to_pylist()):
+                for p in pieces:
+                    words = " ".join(raw[begin[k] : end[k]].decode("utf-8") for k in range(p["start"], p["start"] + p["n"]))
+                    rows.append((p["shard"], p["src"], p["slot"], p["off"], words))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "src", "slot", "off", "words"])
+
+    cut_out = _with_pieces(texts, plan, "doc", "text").mapInArrow(parts, "shard long, src long, slot long, off long, words string")
+    whole = cut_out.groupBy("shard", "src", "slot").agg(F.array_sort(F.collect_list(F.struct("off", "words"))).alias("p"))
+    names = mixed.select("src", "source").distinct()
+    joined = F.array_join(F.transform("p", lambda x: x["words"]), " ")
+    return whole.join(names, "src").select("shard", "source", "slot", joined.alias("text"))
 
 
 def _written(body: bytes, begin: np.ndarray, end: np.ndarray, pieces: list[dict]) -> str:
