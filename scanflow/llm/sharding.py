@@ -6,10 +6,12 @@ the sum of what it holds. Draws of different children are independent, so a chan
 into or out of that child: movement stays inside the subtrees whose weights change, and an added subtree
 takes rows only into itself.
 
-A new shard joins as a subtree of its own (a region with one rack), so no row moves between older shards.
+A new shard joins as a subtree of its own (a region with one rack), so no row moves between older shards. The tree
+of more than ``BASE`` shards is the tree of ``BASE`` shards grown one by one, so the number of shards alone decides the tree, and
+placing over one more shard is the same as growing. Fewer than ``BASE`` shards are dealt evenly over regions and racks.
 
 Everything is a column expression. Slots are numbered without sorting a whole shard: rows are cut into pieces
-by a hash of the key, numbered within (shard, piece), and shifted by the sizes of the pieces before. Only
+by a hash of the key and of what breaks ties, numbered within (shard, piece), and shifted by the sizes of the pieces before. Only
 the piece counts, ``shards * pieces`` rows, are summed along a shard.
 
 Rows: a null key counts as the empty string, a null text as empty (size 1, checksum 0). Equal keys share
@@ -23,13 +25,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanflow.llm.columns import free
+
 Tree = Mapping[str, Mapping[str, Mapping[int, float]]]
 
-REGIONS, RACKS = 2, 2
+REGIONS, RACKS, BASE = 2, 2, 16
 
 
-def even_tree(shards: int, regions: int = REGIONS, racks: int = RACKS) -> dict:
-    """Shards 0 .. shards - 1 of weight 1, dealt in order over regions and racks."""
+def even_tree(shards: int, regions: int = REGIONS, racks: int = RACKS, base: int = BASE) -> dict:
+    """Shards 0 .. shards - 1 of weight 1: the first ``base`` dealt in order over regions and racks, the others grown."""
+    if shards > base:
+        return grown(even_tree(shards - 1, regions, racks, base), shards - 1)
     tree: dict = {}
     for shard in range(shards):
         region, rack = shard * regions // shards, shard * regions * racks // shards % racks
@@ -83,22 +89,26 @@ def placed(key: Column, tree: Tree) -> Column:
 
 
 def with_slots(df: DataFrame, shard: str, key: str, ties: Sequence[str], pieces: int = 256) -> DataFrame:
-    """``df`` with ``slot``: gapless from 0 in each shard, in an order given by key and ``ties``."""
-    piece = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(pieces)).cast("int")
-    cut = df.withColumn("_piece", piece)
-    along = Window.partitionBy(shard).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        cut.groupBy(shard, "_piece")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(along), F.lit(0)))
-        .drop("_rows")
+    """``df`` with ``slot``: gapless from 0 in each shard, in an order given by key and ``ties``.
+
+    Rows that share a key, or have none, are dealt over the pieces by their ties.
+    """
+    piece, place, before, rows = free(df.columns, "piece", "place", "before", "rows")
+    number = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), *ties), F.lit(pieces)).cast("int")
+    cut = df.withColumn(piece, number)
+    along = Window.partitionBy(shard).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (
+        cut.groupBy(shard, piece)
+        .agg(F.count(F.lit(1)).alias(rows))
+        .withColumn(before, F.coalesce(F.sum(rows).over(along), F.lit(0)))
+        .drop(rows)
     )
-    inner = Window.partitionBy(shard, "_piece").orderBy(key, *ties)
+    inner = Window.partitionBy(shard, piece).orderBy(key, *ties)
     return (
-        cut.withColumn("_place", F.row_number().over(inner))
-        .join(before, [shard, "_piece"])
-        .withColumn("slot", F.col("_before") + F.col("_place") - 1)
-        .drop("_piece", "_place", "_before")
+        cut.withColumn(place, F.row_number().over(inner))
+        .join(earlier, [shard, piece])
+        .withColumn("slot", F.col(before) + F.col(place) - 1)
+        .drop(piece, place, before)
     )
 
 

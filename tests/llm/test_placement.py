@@ -162,3 +162,43 @@ def test_shard_files_keep_the_slots(spark, sf_dir, tmp_path):
     sharding.write_shards(placed, str(tmp_path / "out"), files=2)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.doc_id, r["shard"], r["slot"]) for r in back.collect()} == {(r.doc_id, r["shard"], r["slot"]) for r in placed.collect()}
+
+
+def test_one_more_shard_is_the_grown_tree(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    for n in (16, 17, 20):
+        now = {r.doc_id: (r["shard"], r.grown_shard) for r in sharding.assign(df, n).collect()}
+        then = {r.doc_id: r["shard"] for r in sharding.assign(df, n + 1).collect()}
+        assert {i: g for i, (_, g) in now.items()} == then
+        assert all(s in (now[i][0], n) for i, s in then.items()) and n in then.values()
+
+
+def test_slots_of_a_hot_key_are_dealt_over_pieces(spark):
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.col("id").alias("piece"), F.lit("x").alias("before"))
+    rows = sharding.place(df, 4).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(3000)) and sorted(r["piece"] for r in rows) == list(range(3000))
+
+
+def test_mixed_blocks_make_up_the_mix(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing.slots, "__defaults__", (mixing.BLOCK, 40, mixing.SEED))
+    df = read(spark, sf_dir).limit(400).withColumn("shard", F.lit("own")).withColumn("doc", F.lit(1)).withColumn("pieces", F.lit(2))
+    df = spark.createDataFrame(df.collect(), df.schema)
+    blocks = mixing.mixed_blocks(df).collect()
+    taken, counts = Counter(), defaultdict(Counter)
+    for r in blocks:
+        taken[r.doc_id] += r.n
+    for shard, source, slot in {(r["shard"], r.source, r.slot) for r in blocks}:
+        counts[source][shard] += 1
+    assert {r.doc_id: r.taken for r in mixing.mix_sizes(df).collect() if r.taken} == taken
+    shards = {s for c in counts.values() for s in c}
+    assert len(shards) > 5 and any(len(set(c.values())) > 2 for c in counts.values())  # the draw is seen in the shards
+    # every slot's words, from the documents it reads
+    texts = dict(df.select("doc_id", "text").collect())
+    want = defaultdict(list)
+    for r in sorted(blocks, key=lambda r: r.off):
+        want[r["shard"], r.source, r.slot] += words(texts[r.doc_id])[r.start : r.start + r.n]
+    got = {(r["shard"], r.source, r.slot): r.text.split(" ") for r in mixing.shard_texts(df).collect()}
+    assert got == dict(want) and sum(map(len, got.values())) == sum(taken.values())
+    assert all(len(v) <= mixing.BLOCK for v in got.values())
+    mixed = mixing.mix_texts(df)
+    assert mixed.columns == df.columns and {(r["shard"], r["doc"], r["pieces"]) for r in mixed.collect()} == {("own", 1, 2)}
