@@ -1,13 +1,15 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree with the usual repairs (implied ends, void elements, raw text, unfinished ends).
-Parts that are never article text are cut off by element, role, or by a word of their class or id, unless they
+Parts that are never article text are cut off by element, role, a style that hides them, or by a word of their class or id, unless they
 wrap the largest ``article`` or ``main`` or most of the page's text; ids of headings, and of sections inside an
-article, are slugs and cut nothing. A page that comes out empty is read again without the rules on names. Every
+article, are slugs and cut nothing. A word that only may speak against a part (``form``, ``share``, ``search``) does not decide
+where other words stand beside it (``market-share``) or inside an article: there the part goes if it is made of links, form controls
+or no text at all. A page that comes out empty is read again without the rules on names. Every
 paragraph-like block then scores ``1 + commas + min(length / 100, 3)``; the score passes to its parent in full,
 to the grandparent by half, and to further ancestors by ever smaller shares. A container's score is discounted
 by its link density and weighed by what its element and names promise. The best container is kept, widened to the
-``article`` or ``main`` around it if there is one, else with the siblings that look like text.
+``article`` or ``main`` around it if there is one, and to articles beside it that are worth a fifth of it, else with the siblings that look like text.
 
 Text is returned as blocks in page order, joined by an empty line. Character references are decoded, white
 space within a block becomes one space; nothing else is dropped or cut.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,64 +55,108 @@ BAD_WORDS = frozenset(
     "breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar comment comments discussion disqus respond "
     "replies reply cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations widget pager pagination skip search form "
-    "complementary contentinfo hidden".split()
+    "complementary contentinfo hidden "
+    "werbung anzeige anzeigen kommentar kommentare seitenleiste fusszeile fußzeile hinweis suche teilen menü "
+    "publicité publicite commentaire commentaires recherche partager barre "
+    "publicidad anuncio anuncios comentario comentarios cabecera buscar compartir aviso menú".split()
 )
 #: Of these, the words of parts that may hold more text than the article and never wrap it.
-LONE_WORDS = frozenset("comment comments discussion disqus respond replies reply cookie cookies consent gdpr".split())
-THREAD_WORDS = frozenset("comment comments disqus respond".split())
+LONE_WORDS = frozenset(
+    "comment comments discussion disqus respond replies reply cookie cookies consent gdpr kommentar kommentare commentaire commentaires "
+    "comentario comentarios".split()
+)
+THREAD_WORDS = frozenset("comment comments disqus respond kommentar kommentare commentaire commentaires comentario comentarios".split())
+#: Of these, the words that name other things as well.
+LOOSE_WORDS = frozenset(
+    "promo promotion banner menu notice notices alert overlay subscription signup login share sharing related recommended widget skip "
+    "search form hidden anzeige anzeigen hinweis suche teilen menü recherche partager barre buscar compartir aviso menú cabecera".split()
+)
+#: Of these, the words that alone do not tell a part of an article.
+SOFT_WORDS = frozenset("form menu search share sharing suche teilen menü recherche partager buscar compartir menú".split())
+#: Words that only say what a part is made of or where it stands.
+FRAME_WORDS = frozenset(
+    "site page post global top bottom left right main primary secondary inner outer wrapper wrap container box block section area region "
+    "bar list widget unit slot module panel row col button buttons link links icon icons".split()
+)
 ABOUT_WORDS = frozenset("has with without no is js".split())
 GOOD_WORDS = frozenset("article content main post entry story body text page".split())
+CONTROLS = frozenset("input button select textarea".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""")
 _PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMING = re.compile(r"class|id|role|hidden|style", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_WORDS = re.compile(r"[^\W\d_A-ZÀ-Þ]+|[A-ZÀ-Þ][^\W\d_A-ZÀ-Þ]*")
 _SPACE = re.compile(r"\s+")
 
 
+class Names(NamedTuple):
+    """What the names of an element say of it: ``bad`` against article text, ``loose`` only perhaps, ``soft`` not inside an article,
+    ``good`` for it, ``slug`` against it by the id of a section alone, ``lone`` against it as a part that never wraps the article."""
+
+    bad: bool = False
+    loose: bool = False
+    soft: bool = False
+    good: bool = False
+    slug: bool = False
+    lone: bool = False
+
+
 class Node:
-    __slots__ = ("tag", "parent", "items", "bad", "good", "slug", "lone", "wraps", "plain", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "items", "bad", "loose", "soft", "good", "slug", "lone", "wraps", "plain", "whole", "controls", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False, good: bool = False, slug: bool = False, lone: bool = False):
-        self.tag, self.parent, self.bad, self.good, self.slug, self.lone = tag, parent, bad, good, slug, lone
+    def __init__(self, tag: str, parent: Node | None, names: Names = Names()):
+        self.tag, self.parent = tag, parent
+        self.bad, self.loose, self.soft, self.good, self.slug, self.lone = names
         self.items: list = []
-        self.wraps, self.plain = False, 0
+        self.wraps, self.plain, self.whole, self.controls = False, 0, 0, 0
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _named(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Whether the names of an element speak against and for article text, against it by a slug alone, and
-    against it as a part that never wraps the article.
+def _named(tag: str, attributes: str) -> Names:
+    """What the attributes say.
 
     A name with a bad word speaks against, unless it only says what the element has or lacks, or another
-    name of the same attribute has good words alone: ``page-footer`` goes, ``content with-sidebar`` stays.
+    name of the same attribute has good words alone: ``page-footer`` goes, ``content with-sidebar`` stays. It speaks loosely if its
+    bad words have other meanings and a word beside them is no mere frame: ``market-share``.
     The id of a heading says nothing; that of a section is a slug unless it names a thread of comments.
     """
-    bad = good = slug = lone = False
-    for m in _NAMES.finditer(attributes):
+    if not _NAMING.search(attributes):
+        return Names()
+    bad = loose = good = slug = lone = False
+    soft = True
+    for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-        if name == "hidden" or name == "aria-hidden":
-            bad |= name == "hidden" or value.lower() == "true"
+        if name in ("hidden", "aria-hidden", "style"):
+            if _UNSEEN.search(value) if name == "style" else name == "hidden" or value.lower() == "true":
+                bad, soft = True, False
             continue
-        if name == "id" and tag in HEADINGS:
+        if name not in ("class", "id", "role") or name == "id" and tag in HEADINGS:
             continue
-        against = by_itself = thread = False
+        against = perhaps = by_itself = thread = False
         for token in value.split():
-            words = [w.lower() for w in _WORDS.findall(token)]
-            if not words or words[0] in ABOUT_WORDS:
+            words = {w.lower() for w in _WORDS.findall(token)}
+            first = _WORDS.search(token)
+            if first is None or first.group().lower() in ABOUT_WORDS:
                 continue
-            wrong = not BAD_WORDS.isdisjoint(words)
-            against |= wrong
-            lone |= not LONE_WORDS.isdisjoint(words)
-            thread |= not THREAD_WORDS.isdisjoint(words)
-            by_itself |= not wrong and not GOOD_WORDS.isdisjoint(words)
+            wrong = words & BAD_WORDS
+            if wrong and wrong <= LOOSE_WORDS and not words <= BAD_WORDS | FRAME_WORDS:
+                perhaps = True
+            elif wrong:
+                against = True
+                soft &= wrong <= SOFT_WORDS
+            lone |= bool(words & LONE_WORDS)
+            thread |= bool(words & THREAD_WORDS)
+            by_itself |= not wrong and bool(words & GOOD_WORDS)
         if against and not by_itself:
             if name == "id" and tag == "section" and not thread:
                 slug = True
             else:
                 bad = True
+        loose |= perhaps and not by_itself
         good |= by_itself
-    return bad or slug, good, slug and not bad, lone and (bad or slug)
+    return Names(bad or slug, loose, bad and soft, good, slug and not bad, lone and (bad or slug))
 
 
 def parse(page: str) -> Node:
@@ -169,7 +216,7 @@ def parse(page: str) -> Node:
             depth = last_open(other)
             if depth and depth > max((last_open(t) for t in ("ul", "ol", "table", "dl", "select")), default=0):
                 close_to(depth)
-        node = Node(tag, stack[-1], *(_named(tag, m.group(3)) if m.group(3) else ()))
+        node = Node(tag, stack[-1], _named(tag, m.group(3)) if m.group(3) else Names())
         stack[-1].items.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag not in BLOCK:
             continue
@@ -195,10 +242,13 @@ def _mark(root: Node, names: bool) -> int:
         node, items, linked, held = work[-1]
         for item in items:
             if isinstance(item, str):
-                node.plain += 0 if linked else len(item.strip())
+                size = len(item.strip())
+                node.whole += size
+                node.plain += 0 if linked else size
                 continue
             if not names:
-                item.bad = item.slug = item.lone = False
+                item.bad = item.loose = item.slug = item.lone = False
+            node.controls += item.tag in CONTROLS
             if item.tag in ALWAYS or item.lone and not (held and item.slug):
                 continue
             work.append((item, iter(item.items), linked or item.tag == "a", held or item.tag in CONTAINER))
@@ -208,6 +258,8 @@ def _mark(root: Node, names: bool) -> int:
             order.append(node)
             if node.parent is not None:
                 node.parent.plain += node.plain
+                node.parent.whole += node.whole
+                node.parent.controls += node.controls
             # the outermost ones only
             if node.tag in CONTAINER and not (work and work[-1][3]) and (chief is None or node.plain > chief.plain):
                 chief = node
@@ -227,6 +279,9 @@ def _outside(node: Node, within: bool, strict: bool = False) -> bool:
     if node.wraps and not strict:
         return False
     bad = node.bad and not (within and node.slug)
+    if bad and node.soft and within or not bad and node.loose:
+        # the name alone does not tell: judge what is there
+        bad = 2 * node.plain <= node.whole or node.controls > 0
     return node.tag in DROPPED or bad or node.tag == "header" and not within
 
 
@@ -314,6 +369,20 @@ def _worth(node: Node) -> float:
     return node.score * (1 - node.linked / max(1, node.chars)) * promise
 
 
+def _beside(whole: Node, scored: list[Node]) -> list[Node]:
+    """``whole`` and the articles next to it that are worth a fifth of it, in page order."""
+    least = max(2.0, 0.2 * _worth(whole))
+    known = {id(n) for n in scored}
+    out = []
+    for item in whole.parent.items if whole.parent is not None else [whole]:
+        if item is whole:
+            out.append(item)
+        elif not isinstance(item, str) and item.tag == whole.tag == "article" and id(item) in known and not (item.bad or item.loose):
+            if _worth(item) >= least and item.linked < 0.25 * max(1, item.chars):
+                out.append(item)
+    return out
+
+
 def _around(best: Node) -> Node | None:
     """The outermost article or main element that holds the best container, or itself."""
     found, at = None, best
@@ -331,7 +400,7 @@ def main_text(page: str | None) -> str:
     root = parse(page)
     plain = _mark(root, True)
     text = _best_text(root)
-    if text or not plain and not _NAMES.search(page):
+    if text or not plain and not _NAMING.search(page):
         return text
     # all of it stood in parts whose names speak against it
     root = parse(page)
@@ -345,7 +414,7 @@ def _best_text(root: Node) -> str:
     best = max(scored, key=_worth)
     whole = _around(best)
     if whole is not None:
-        return "\n\n".join(_blocks(whole))
+        return "\n\n".join(b for part in _beside(whole, scored) for b in _blocks(part))
     least = max(2.0, 0.2 * _worth(best))
     out: list[str] = []
     for item in best.parent.items if best.parent is not None else [best]:
