@@ -1,19 +1,24 @@
 """Surrogates for personal data: keyed, type-consistent, distinct.
 
-Entities are found by kind: e-mail addresses, phone numbers, IP addresses, card or account numbers, secrets
-after a key word or a known prefix, and names after a form of address. Each is replaced by a surrogate of its own kind and format:
+Entities are found by kind: e-mail addresses, phone numbers, IP addresses of both versions, card numbers, account numbers (IBAN), social
+security numbers, secrets after a key word or a known prefix, private key blocks, and names: after one or more forms of address, after a
+listed given name, and wherever a word of a name found in the document stands again. Each is replaced by a surrogate of its own kind and format:
 
 * the same length, punctuation, letter case, script and character classes;
-* a card number that passes the checksum keeps passing it, another keeps failing it;
+* a card number that passes the checksum keeps passing it, another keeps failing it; an account number keeps country and check digits that fit;
 * an address keeps its range (private, loopback, public), a phone number its country code;
-* a given name becomes another name of the same gender and script, with the form of address kept.
+* a listed given name becomes another name of the same gender and script, with the form of address kept.
 
 For each format the surrogate is a keyed permutation of all strings of that format (a Feistel network over
 their number, walked until the result is valid). A permutation maps equal entities to equal surrogates,
 everywhere in the corpus, and different entities to different ones, so distinctness and coreference need no
-shared table. Letter case and phone punctuation are form, not identity: variants of one entity stay variants
+shared table. Words of names have one permutation, whatever their place: listed names go round among those of their script and gender, all
+others never become a listed one. Letter case and phone punctuation are form, not identity: variants of one entity stay variants
 of one surrogate. ``collisions`` checks distinctness over a whole corpus as a grouped count.
 
+What a list does not know cannot keep its gender: an unlisted name keeps script, length and last letter. A name without a form of
+address, a listed given name or a second mention stays.
+
 One pass without a shuffle; a text is rewritten whole.
 
 Rows: null texts stay null; texts without entities come back unchanged. Repeated texts give equal results.
@@ -23,6 +28,7 @@ Overlapping finds: the earlier begins, then the longer, wins.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "phone", "ip", "card", "secret", "name")
+KINDS = ("key", "email", "iban", "phone", "ip", "card", "id", "secret", "name")
 
 #: Alphabets within which a letter or digit is replaced.
 ALPHABETS = (
@@ -55,7 +61,7 @@ GIVEN = {
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Sir": "m", "Lady": "f", "Herr": "m", "Herrn": "m", "Frau": "f",
     "Monsieur": "m", "Madame": "f", "Mademoiselle": "f", "Mme": "f", "Mlle": "f", "Señor": "m", "Señora": "f",
-    "Señorita": "f", "Don": "m", "Doña": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
+    "Señorita": "f", "Don": "m", "Doña": "f", "Sr": "m", "Sra": "f", "Signor": "m", "Signora": "f", "M.": "m", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
 }
 
 _LETTER = r"[^\W\d_]"
@@ -64,9 +70,13 @@ _PHONE = re.compile(
     r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\w])"
     r"|(?<![\w.+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?![\w])"
     r"|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+    r"|(?<![\w.+/-])0\d{1,4}[ /]\d{5,8}(?![\w-]|[./]\d)"
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)")
+_IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
+_SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])")
+_IBAN = re.compile(r"(?<![^\W_])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![^\W_])")
 _CARD = re.compile(
     r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{5})(?![\w]|[.-]\d)"
 )
@@ -74,6 +84,8 @@ _SECRET = re.compile(
     r"(?<![^\W_])(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_=.-]{12,})",
     re.I,
 )
+_PASSWORD = re.compile(r"(?<![^\W_])(?:passw(?:or)?d|pwd)[\"']?\s*[:=]\s*[\"']?((?=[^\s\"']*\d)[^\s\"',;]{6,})", re.I)
+_PRIVATE = re.compile(r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 #: Public prefixes of access keys; what follows is the secret.
 KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "sk-", "xoxa-", "xoxb-", "xoxp-", "eyJ")
 _KEY = re.compile(
@@ -81,7 +93,13 @@ _KEY = re.compile(
     r"|sk-([A-Za-z0-9_-]{20,})|xox[abp]-([A-Za-z0-9-]{10,})|eyJ([\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}))(?![\w-])"
 )
 _BARE_HEX = re.compile(r"(?<![^\W_])(?=[0-9a-fA-F]*\d)(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?![^\W_])")
-_NAME = re.compile(rf"(?<![^\W_])({'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[ ]((?!\W){_LETTER}+(?:[-’']{_LETTER}+)*(?:[ ]{_LETTER}+(?:[-’']{_LETTER}+)*){{0,2}})")
+_TITLE = re.compile(
+    rf"(?<![^\W_])({'|'.join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))})(?![^\W_])\.?(?=[ ]\w)"
+)
+_NAME_WORD = re.compile(rf"{_LETTER}+(?:[-’']{_LETTER}+)*")
+_LISTED = re.compile(
+    rf"(?<![^\W_])(?:{'|'.join(sorted((n[:1].upper() + n[1:] for names in GIVEN.values() for n in names), key=len, reverse=True))})(?=[ ]{_LETTER})"
+)
 _DIGIT = re.compile(r"\d")
 
 
@@ -217,56 +235,118 @@ def _script(word: str) -> str:
     return "cyrillic" if any("а" <= c <= "я" for c in word) else "greek" if any("α" <= c <= "ώ" for c in word) else "latin"
 
 
-def _given(word: str, gender: str, key: bytes) -> str:
+def _word(word: str, key: bytes) -> str:
+    """Another word for a word of a name. A listed given name becomes one of the same script and gender, any other a word of the same
+    letters' classes that is no listed one. The last letter, which may tell a gender, stays."""
     lowered = _lower(word)
     if lowered in _KNOWN:
         group, names = _KNOWN[lowered]
-        if not gender or group[1] == gender:
-            order = sorted(names, key=lambda n: _round(key, f"given|{group}".encode(), 0, int.from_bytes(n.encode(), "big")))
-            return _recased(order[(order.index(lowered) + 1) % len(order)], word)
-    return _family(word, key, "given")
+        order = sorted(names, key=lambda n: _round(key, f"given|{group}".encode(), 0, int.from_bytes(n.encode(), "big")))
+        return _recased(order[(order.index(lowered) + 1) % len(order)], word)
+    new = scramble(lowered[::-1], key, "name", fixed=1)[::-1]
+    while new in _KNOWN:
+        new = scramble(new[::-1], key, "name", fixed=1)[::-1]
+    return _recased(new, word)
 
 
-def _family(word: str, key: bytes, kind: str = "family") -> str:
-    """A word of the same letters' classes, never a listed given name. The last letter, which may tell a
-    gender, stays."""
-    lowered = _lower(word)
-    new = scramble(lowered[::-1], key, kind, fixed=1)[::-1]
-    while new in _KNOWN and lowered not in _KNOWN:
-        new = scramble(new[::-1], key, kind, fixed=1)[::-1]
-    return _recased(new, word)
+def _name(text: str, key: bytes) -> str:
+    return " ".join(_word(w, key) for w in text.split(" "))
+
+
+def _iban_fits(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _iban(text: str, key: bytes) -> str:
+    plain = _lower(text.replace(" ", ""))
+    body = scramble(plain[4:], key, f"iban|{plain[:2]}")
+    check = 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+    take = iter(f"{plain[:2]}{check:02d}{body}".upper())
+    return "".join(next(take) if c != " " else c for c in text)
+
+
+def _ip6_fits(text: str) -> bool:
+    try:
+        return ipaddress.ip_address(text).version == 6 and len(text) > 4
+    except ValueError:
+        return False
+
 
+def _ip6(text: str, key: bytes) -> str:
+    """The first group, which tells the range, stays."""
+    first = len(text.split(":")[0])
+    return _recased(scramble(_lower(text), key, "ip6", True, fixed=first), text)
 
-def _name(text: str, gender: str, key: bytes) -> str:
-    words = text.split(" ")
-    if len(words) == 1:
-        known = _lower(words[0]) in _KNOWN
-        return _given(words[0], gender, key) if known else _family(words[0], key)
-    return " ".join([_given(words[0], gender, key), *(_family(w, key) for w in words[1:])])
 
+def _digits(text: str, key: bytes) -> str:
+    return _refilled(text, scramble("".join(c for c in text if c.isdigit()), key, "id"))
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(begin, end, kind, gender) of the entities of a text, in order and without overlap."""
+
+def _key_block(text: str, key: bytes) -> str:
+    m = _PRIVATE.match(text)
+    lowered = _lower(m.group(2))
+    return text[: m.start(2)] + _recased(scramble(lowered, key, "key"), m.group(2)) + text[m.end(2) :]
+
+
+def _capital_words(text: str, at: int, most: int = 3) -> list[tuple[int, int]]:
+    """Capitalised words from ``at`` on, single blanks between them; a form of address or a small word ends them."""
+    out = []
+    while len(out) < most:
+        m = _NAME_WORD.match(text, at)
+        if not m or not m.group()[:1].isupper() or m.group() in TITLES:
+            break
+        out.append((m.start(), m.end()))
+        if text[m.end() : m.end() + 1] != " ":
+            break
+        at = m.end() + 1
+    return out
+
+
+def _names(text: str) -> list[tuple[int, int]]:
+    """Names after forms of address and listed given names, then their words wherever they stand."""
+    found, reach = [], 0
+    for m in _TITLE.finditer(text):
+        if m.group(1) == "M." and text[m.end() - 1] != ".":
+            continue
+        if m.start() >= reach and (words := _capital_words(text, m.end() + 1)):
+            found.append((words[0][0], reach := words[-1][1]))
+    for m in _LISTED.finditer(text):
+        words = _capital_words(text, m.start())
+        if len(words) > 1:
+            found.append((words[0][0], words[min(len(words), 3) - 1][1]))
+    known = {w for a, b in found for w in text[a:b].split(" ") if len(w) > 2}
+    if known:
+        again = re.compile(rf"(?<![^\W_])(?:{'|'.join(re.escape(w) for w in sorted(known, key=len, reverse=True))})(?![^\W_])")
+        found += [m.span() for m in again.finditer(text)]
+    return found
+
+
+def find(text: str) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of the entities of a text, in order and without overlap."""
     found = []
+
+    def add(kind: str, pattern: re.Pattern, group: int = 0, fits=None) -> None:
+        found.extend((*m.span(group), kind) for m in pattern.finditer(text) if fits is None or fits(m.group(group)))
+
     if "@" in text:
-        found += [(m.start(), m.end(), "email", "") for m in _EMAIL.finditer(text)]
+        add("email", _EMAIL)
     if _DIGIT.search(text):
-        found += [(m.start(), m.end(), "phone", "") for m in _PHONE.finditer(text)]
-        found += [(m.start(), m.end(), "ip", "") for m in _IP.finditer(text)]
-        found += [(m.start(), m.end(), "card", "") for m in _CARD.finditer(text)]
-        found += [(m.start(), m.end(), "secret", "") for m in _BARE_HEX.finditer(text)]
+        add("phone", _PHONE)
+        add("ip", _IP)
+        add("id", _SSN)
+        add("iban", _IBAN, fits=_iban_fits)
+        add("card", _CARD)
+        add("secret", _BARE_HEX)
     if any(p in text for p in KEY_PREFIXES):
-        found += [(m.start(m.lastindex), m.end(m.lastindex), "secret", "") for m in _KEY.finditer(text)]
+        found += [(m.start(m.lastindex), m.end(m.lastindex), "secret") for m in _KEY.finditer(text)]
     if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "secret", "") for m in _SECRET.finditer(text)]
-    for m in _NAME.finditer(text):
-        words = []
-        for w in m.group(2).split(" "):
-            if not w[:1].isupper():
-                break
-            words.append(w)
-        if words:
-            found.append((m.start(2), m.start(2) + len(" ".join(words)), "name", TITLES[m.group(1)]))
+        add("secret", _SECRET, 1)
+        add("secret", _PASSWORD, 1)
+        add("ip", _IP6, fits=_ip6_fits)
+    if "PRIVATE KEY-----" in text:
+        add("key", _PRIVATE)
+    found += [(a, b, "name") for a, b in _names(text)]
     found.sort(key=lambda f: (f[0], -f[1], KINDS.index(f[2])))
     out, reach = [], 0
     for f in found:
@@ -276,24 +356,31 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-_MAKERS = {"email": _email, "phone": _phone, "ip": _ip, "card": _card, "secret": _secret}
+def _address(text: str, key: bytes) -> str:
+    return _ip6(text, key) if ":" in text else _ip(text, key)
+
+
+_MAKERS = {
+    "email": _email, "phone": _phone, "ip": _address, "card": _card, "secret": _secret, "iban": _iban, "id": _digits, "key": _key_block,
+    "name": _name,
+}
 
 
-def surrogate(text: str, kind: str, gender: str, key: bytes) -> str:
-    return _name(text, gender, key) if kind == "name" else _MAKERS[kind](text, key)
+def surrogate(text: str, kind: str, key: bytes) -> str:
+    return _MAKERS[kind](text, key)
 
 
 def rewrite(text: str, key: bytes, memory: dict | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and (begin, end, kind, surrogate) of each, in places of the old text."""
     memory = {} if memory is None else memory
     parts, spans, at = [], [], 0
-    for begin, end, kind, gender in find(text):
+    for begin, end, kind in find(text):
         old = text[begin:end]
-        if (kind, gender, old) not in memory:
+        if (kind, old) not in memory:
             if len(memory) > 50_000:
                 memory.clear()
-            memory[kind, gender, old] = surrogate(old, kind, gender, key)
-        new = memory[kind, gender, old]
+            memory[kind, old] = surrogate(old, kind, key)
+        new = memory[kind, old]
         parts += [text[at:begin], new]
         spans.append((begin, end, kind, new))
         at = end
@@ -335,9 +422,9 @@ def collisions(docs: DataFrame, replaced: DataFrame, doc_id: str = "doc_id", tex
     old = spans.join(docs.select(doc_id, F.col(text).alias("_old")), doc_id)
     entity = F.lower(F.substring(F.col("_old"), F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin")))
     plain = F.regexp_replace(entity, r"[ ().-]", "")
-    same = F.when(F.col("s.kind").isin("phone", "card"), plain).otherwise(entity)
+    same = F.when(F.col("s.kind").isin("phone", "card", "iban", "id"), plain).otherwise(entity)
     new = F.lower(F.col("s.surrogate"))
-    given = F.when(F.col("s.kind").isin("phone", "card"), F.regexp_replace(new, r"[ ().-]", "")).otherwise(new)
+    given = F.when(F.col("s.kind").isin("phone", "card", "iban", "id"), F.regexp_replace(new, r"[ ().-]", "")).otherwise(new)
     return (
         old.select(F.col("s.kind").alias("kind"), given.alias("surrogate"), F.xxhash64(same).alias("entity"))
         .distinct()

@@ -84,7 +84,17 @@ def test_stages_take_empty_and_odd_documents(spark):
             assert stage(spark, df, SF).columns[:5] == df.columns and stage(spark, df, SF).count() <= len(rows)
 
 
+def test_stages_keep_columns_named_like_their_own(spark):
+    names = "_doc _print _nr _score score doc print nr row pieces _pieces shard_ slot_ piece place before rows off src block size start n times tag v".split()
+    rows = [(i, f"Some words of document {i}, and what follows it. " * 12, "en", f"s{i % 2}", 10, *[f"kept {i}"] * len(names)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        assert out.columns[: len(df.columns)] == df.columns
+        assert all(r[n] == f"kept {r.doc_id}" for r in out.collect() for n in names)
+
+
 def test_queries_are_registered(spark):
     names = set(queries.QUERIES)
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and len(names) == 10
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} and len(names) == 13
     assert all(queries.QUERIES[n](spark, SF).columns for n in sorted(names))
