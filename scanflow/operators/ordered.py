@@ -8,8 +8,8 @@ session's order:
   one summary row, runs the same function over the summary rows of a session and
   joins the carried value back. Only the summaries of a session meet in one task.
   Rows and summaries are two readers of one input: stored columns are read twice (the summaries
-  read few of them), but an input that holds a window, such as another scan, is written to the shared
-  folder first. Chained scans thus read each input once, however long the chain.
+  read few of them), but an input that holds a window, such as another scan, a join or a grouping is written to the
+  shared folder first. Chained scans thus read each input once, however long the chain.
 * ``tiles`` serves bounded row frames over dense positions: rows near a tile edge
   are copied to the neighbouring tile, so a plain window inside the tile is exact
   and one shuffle is enough.
@@ -73,9 +73,10 @@ def bucket(position: Column, width: float) -> Column:
     return F.floor(position / F.lit(float(width))).cast("long")
 
 
-def _ordered_before(df: DataFrame) -> bool:
-    """Whether the plan of ``df`` holds a window, such as an earlier scan."""
-    return "Window [" in df._jdf.queryExecution().analyzed().toString()
+def _derived(df: DataFrame) -> bool:
+    """Whether ``df`` is work that should not be done twice: its plan holds a window (such as an earlier scan), a join or a grouping."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return any(node in plan for node in ("Window [", "Join ", "Aggregate ["))
 
 
 def scan(
@@ -91,7 +92,7 @@ def scan(
     by = [SESSION]
     keys = [SESSION, CHUNK]
     base = df.withColumns({CHUNK: chunk, SESSION: F.struct(*session) if session else F.lit(0)})
-    if _ordered_before(df):
+    if _derived(df):
         base = cut(base)
     ahead = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
     back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
@@ -201,7 +202,7 @@ def placed(df: DataFrame, order: Sequence[str], bits: int = 12, chunk: str = CHU
     ``PLACE`` is unique and grows along ``order``; a chunk is a run of at most ``2**bits`` rows, whatever the values and their
     density, so equal rows and long sessions are spread as well. Places of different ranges are not dense.
     """
-    base = cut(df) if _ordered_before(df) else df
+    base = cut(df) if _derived(df) else df
     return cut(
         base.orderBy(*order).withColumn(PLACE, F.monotonically_increasing_id()).withColumn(chunk, F.shiftright(PLACE, bits))
     )

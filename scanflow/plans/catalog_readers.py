@@ -14,7 +14,7 @@ from scanflow.streaming.runs import scratch
 FILE = r"part=(-?\d+)/"
 
 
-def _lines(rows: DataFrame, path: str, head: list[tuple] = ()) -> None:
+def lines_by_part(rows: DataFrame, path: str, head: list[tuple] = ()) -> None:
     """Text files, one folder per ``part``: lines in the order of ``nr``, ``head`` lines (nr, value) on top."""
     whole = rows.select("part", "nr", "value")
     if head:
@@ -50,7 +50,7 @@ def gaze_text_files(spark, sf):
     mark = "## Number of Samples: 9"
     heads = {v: [(i - 100, mark if i == at else f"## line {i}") for i in range(34)] for v, at in ((0, 9), (1, 12))}
     for version, head in heads.items():
-        _lines(rows.where(F.col("part") % 2 == version), f"{path}/v{version}", head)
+        lines_by_part(rows.where(F.col("part") % 2 == version), f"{path}/v{version}", head)
     out = readers.read_gaze_text(spark, f"{path}/*/*/*.txt", session=FILE)
     return out.select("session_id", "seq", r6("x"), r6("y"), "frame_idx", "gaze_type")
 
@@ -97,13 +97,13 @@ def sync_files(spark, sf):
     poses = F.concat_ws("\t", F.lit("0.0"), tick, F.col("value").cast("string"), zeros)
     rays = F.concat_ws("\t", F.lit("0.0"), tick, F.lit("\t".join(["0.1"] * 6)), (F.col("k") % 2).cast("string"))
     tail = [(1 << 60, ""), ((1 << 60) + 1, "\t".join(["9"] * 18))]
-    _lines(e.withColumn("value", poses), f"{path}/pose", tail)
-    _lines(e.withColumn("value", rays), f"{path}/eyes", tail)
+    lines_by_part(e.withColumn("value", poses), f"{path}/pose", tail)
+    lines_by_part(e.withColumn("value", rays), f"{path}/eyes", tail)
     bounds = e.groupBy("part").agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"))
     ticks = F.array(F.lit(""), F.col("low").cast("string"), F.col("high").cast("string"))
-    _lines(bounds.select("part", F.posexplode(ticks).alias("nr", "value")), f"{path}/timing")
+    lines_by_part(bounds.select("part", F.posexplode(ticks).alias("nr", "value")), f"{path}/timing")
     lens = F.lit("\t".join("500 0 448 0 500 252 0 0 1 896 504".split()))
-    _lines(bounds.select("part", F.lit(0).alias("nr"), lens.alias("value")), f"{path}/lens")
+    lines_by_part(bounds.select("part", F.lit(0).alias("nr"), lens.alias("value")), f"{path}/lens")
     files = {n: f"{path}/{n}/*/*.txt" for n in ("pose", "eyes", "timing", "lens")}
     first = readers.read_poses(spark, files["pose"], FILE).select("session_id", "tick", F.get("pose", F.lit(0)).alias("first"))
     look = readers.read_rays(spark, files["eyes"], FILE).select("session_id", "tick", "valid")
@@ -148,7 +148,7 @@ def annotation_files(spark, sf):
     entry = F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), label.alias("textAttribute_en"))
     # a hundred sessions a file: files grow in number, not in size
     whole = rows.groupBy(F.floor(F.col("session_id") / 100).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
-    _lines(whole.withColumn("nr", F.lit(0)), path)
+    lines_by_part(whole.withColumn("nr", F.lit(0)), path)
     out = readers.read_annotation_json(spark, f"{path}/*/*.txt", session=FILE)
     return out.select("session_id", r6("start_s"), r6("end_s"), "action")
 

@@ -21,6 +21,7 @@ from scanflow.plans import standins as S
 from scanflow.plans.catalog import query, r4, r6
 from scanflow.plans.catalog_gaze import _WALK
 from scanflow.plans.catalog_questions import RECALL_CTES, merged_entries
+from scanflow.plans.catalog_readers import lines_by_part as _lines
 from scanflow.session import cut
 from scanflow.sources import readers, sinks
 from scanflow.streaming.alerts import stream_alerts
@@ -292,6 +293,35 @@ def mixed_session_files(spark, sf):
     return read.select(shard.alias("shard"), "id", "name", "seconds")
 
 
+@query(
+    "quoted_line_files",
+    S.with_views("clicks")
+    + """SELECT event_id // 2000 AS part, event_id, CASE event_id % 4 WHEN 0 THEN event_type || chr(10) || 'says "' || CAST(k AS VARCHAR) || ', no"'
+      WHEN 1 THEN event_type || ', twice' || chr(10) || chr(10) || 'broken' WHEN 2 THEN 'a "' || event_type || '" inside' ELSE event_type END AS note,
+      CASE WHEN event_id % 3 <> 0 THEN r6(value) END AS value FROM clicks""",
+)
+def quoted_line_files(spark, sf):
+    """Records over several lines with separators and doubled quotes, in files that order their columns in two ways."""
+    path = scratch(spark, "quoted-lines")
+    e, kind = F.col("event_id"), F.col("event_type")
+    says = F.concat(F.lit('"'), kind, F.lit('\nsays ""'), F.col("k").cast("string"), F.lit(', no"""'))
+    note = (
+        F.when(e % 4 == 0, says)
+        .when(e % 4 == 1, F.concat(F.lit(' "'), kind, F.lit(', twice\n\nbroken"')))
+        .when(e % 4 == 2, F.concat(F.lit('a "'), kind, F.lit('" inside')))
+        .otherwise(kind)
+    )
+    number = F.when(e % 3 != 0, F.col("value").cast("string")).otherwise("none")
+    rows = S.clicks(spark, sf).withColumn("part", F.floor(e / 2000)).withColumn("nr", e)
+    one = F.concat_ws(",", e.cast("string"), note, number)
+    two = F.concat_ws(", ", note, number, e.cast("string"), F.lit("more"))
+    for odd, line, head in ((0, one, "event_id,note,value"), (1, two, "note,value,event_id,other")):
+        _lines(rows.where(F.col("part") % 2 == odd).withColumn("value", line), f"{path}/{odd}", [(-1, head)])
+    read = readers.union_session_files(spark, f"{path}/*/*/*.txt", None, "event_id long, note string, value double")
+    part = F.regexp_extract("session_name", r"(\d+)$", 1).cast("long")
+    return read.select(part.alias("part"), "event_id", "note", r6("value"))
+
+
 @query(
     "result_chain",
     S.with_views("merged_pos", **RECALL_CTES)

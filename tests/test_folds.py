@@ -122,3 +122,18 @@ def test_parameters_of_data_sets(spark):
     df = spark.createDataFrame([(1, "EGTEA"), (2, "egoexo"), (3, "unknown"), (4, None)], "session_id long, source string")
     rows = {r.session_id: (r.radius, r.min_duration, r.gap) for r in folds.source_parameters(df, "source", 480).collect()}
     assert rows == {1: (0.15, 2.0, 0.01), 2: (0.2, 2.0, 0.01)}
+
+
+def test_a_long_similar_run_settles_in_few_rounds(spark, monkeypatch):
+    """64 chunks that all look like the first episode."""
+    rng = np.random.default_rng(0)
+    n, fps = 64 * 6, 2.0
+    episodes = [(1, i, 10.0 * i, 10.0 * i + 8, "cup") for i in range(n)]
+    wave = np.cos(np.arange(16) * np.pi / 8)
+    hists = [(wave + rng.normal(0, 0.01, 16)).tolist() for _ in range(int(episodes[-1][3] * fps) + 1)]
+    features = spark.createDataFrame(pd.DataFrame({"session_id": 1, "frame_idx": range(len(hists)), "hist": hists}))
+    table = spark.createDataFrame(episodes, "session_id long, pos long, start_s double, end_s double, object string")
+    rounds, plain = [], folds.cut
+    monkeypatch.setattr(folds, "cut", lambda d: rounds.append(1) or plain(d))
+    got = folds.drop_consecutive_similar(table, features, fps=fps, threshold=0.7, width=60.0)
+    assert [r.pos for r in got.collect()] == [0] and len(rounds) <= 8
