@@ -313,7 +313,8 @@ def _names(text: str) -> list[tuple[int, int]]:
             found.append((words[0][0], reach := words[-1][1]))
     for m in _LISTED.finditer(text):
         words = _capital_words(text, m.start())
-        if len(words) > 1:
+        # a word that stands twice is no name
+        if len(words) > 1 and text[slice(*words[0])] != text[slice(*words[1])]:
             found.append((words[0][0], words[min(len(words), 3) - 1][1]))
     known = {w for a, b in found for w in text[a:b].split(" ") if len(w) > 2}
     if known:
