@@ -35,7 +35,7 @@ from scanflow.llm import textbytes as tb
 from scanflow.session import cut
 
 RUNS = 1024
-BITS = 3
+BITS = 4
 RANGES = 64
 SLAB = 1 << 20
 SAME = ["digest", "n_bytes", "check"]
