@@ -6,8 +6,8 @@ Texts are equal when they agree after all characters of ``[\\x20\\x09-\\x0D]`` a
   original length. Within a run equal texts are reduced to one entry: the best row and the number of rows.
 * **Rounds.** Runs merge along a binomial tree whose edges are taken ``BITS`` at a time: in each round a run
   goes to the run that has its low ``BITS`` bits cleared, and up to ``2**BITS`` sorted runs meet there. Every range of
-  digests has a tree of its own, so no task holds a whole run, and the last round leaves one sorted run a range,
-  not one in all.
+  digests (there are ``RANGES``, more than tasks) has a tree of its own, so no task holds a whole run, and the last round
+  leaves one sorted run a range, not one in all.
 * **Verified.** Entries are one text only if digest, length and check all agree; the merge then keeps the better of their
   rows at every level. A text that a third of all documents share is one entry per run after the first step, and at
   most ``2**BITS`` entries meet in a round.
@@ -36,7 +36,7 @@ from scanflow.session import cut
 
 RUNS = 1024
 BITS = 4
-RANGES = 64
+RANGES = 1 << 14
 SLAB = 1 << 20
 SAME = ["digest", "n_bytes", "check"]
 
