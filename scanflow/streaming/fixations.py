@@ -30,10 +30,10 @@ class AnchoredSegments(StatefulProcessor):
     """Samples wait in time slots until the watermark passes a slot's end; then the slot is folded in time order.
 
     A batch touches the slots its own samples fall into and those that have become ripe, nothing else: a slot has its own
-    entry in the map and its own timer, and timers of a session come in the order of their times. State besides the slots
-    is one open segment. A session ends when the watermark is ``idle_ms`` past its last sample, and its open segment
-    with it. The batch fold has no such rule: there a segment goes on over any gap if the next sample lies
-    within the radius.
+    entry in the map and its own timer, and timers of a session come in the order of their times. Only the last of a run of
+    slots has a timer for the session's end. State besides the slots is one open segment. A session ends when the watermark
+    is ``idle_ms`` past its last sample, and its open segment with it. The batch fold has no such rule: there a segment goes
+    on over any gap if the next sample lies within the radius.
     """
 
     def __init__(self, radius: float, gap: float, min_duration: float, idle_ms: int, slot_ms: int):
@@ -51,16 +51,20 @@ class AnchoredSegments(StatefulProcessor):
             at = pdf["at"].astype("datetime64[us]").astype("int64").to_numpy() / 1000.0
             columns = [pdf[c].to_numpy(float) for c in ("time_seconds", "px", "py")] + [at]
             slots = np.floor_divide(at, self.slot_ms).astype(np.int64)
-            for slot in np.unique(slots).tolist():
+            found = np.unique(slots).tolist()
+            for slot, later in zip(found, [*found[1:], None]):
                 fresh = [c[slots == slot].tolist() for c in columns]
                 if self.slots.containsKey((slot,)):
                     fresh = [list(old) + new for old, new in zip(self.slots.getValue((slot,)), fresh)]
                 else:
                     self.handle.registerTimer((slot + 1) * self.slot_ms)
                 self.slots.updateValue((slot,), tuple(fresh))
-                # set here and not when the slot is folded: a timer set by a timer would wait for one more batch
-                self.handle.registerTimer(int(np.ceil(max(fresh[3]))) + self.idle_ms)
-        yield self._rows(key, [])
+                # set here and not when the slot is folded: a timer set by a timer would wait for one more batch; a slot
+                # that another one follows before the session could end needs none
+                ends = int(np.ceil(max(fresh[3]))) + self.idle_ms
+                if later is None or (later + 1) * self.slot_ms > ends:
+                    self.handle.registerTimer(ends)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
@@ -78,15 +82,16 @@ class AnchoredSegments(StatefulProcessor):
             done += closed
             self.slots.removeKey(slot)
             self.open.update((*(float(v) for v in last[:4]), int(last[4]), *(float(v) for v in last[5:7]), float(np.ceil(at.max()))))
-        yield self._rows(key, done)
+        yield from self._rows(key, done)
 
     def close(self) -> None:
         pass
 
-    def _rows(self, key, done: list[list]) -> pd.DataFrame:
+    def _rows(self, key, done: list[list]) -> Iterator[pd.DataFrame]:
         kept = [s for s in done if s[3] - s[0] >= self.min_duration]
-        rows = [(key[0], s[0], s[3], s[3] - s[0], s[5] / s[4], s[6] / s[4], int(s[4])) for s in kept]
-        return pd.DataFrame(rows, columns=OUTPUT.fieldNames())
+        if kept:
+            rows = [(key[0], s[0], s[3], s[3] - s[0], s[5] / s[4], s[6] / s[4], int(s[4])) for s in kept]
+            yield pd.DataFrame(rows, columns=OUTPUT.fieldNames())
 
 
 def stream_fixations(

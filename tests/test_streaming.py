@@ -48,7 +48,7 @@ class Handle:
     """What Spark gives a processor: state, and timers that fire in the order of their times."""
 
     def __init__(self):
-        self.map, self.value, self.timers = Map(), Value(), set()
+        self.map, self.value, self.timers, self.registered = Map(), Value(), set(), []
 
     def getMapState(self, *_):
         return self.map
@@ -58,6 +58,7 @@ class Handle:
 
     def registerTimer(self, at):
         self.timers.add(at)
+        self.registered.append(at)
 
 
 class Due:
@@ -89,7 +90,7 @@ def drive(batches, delay_ms, **options):
             out += [tuple(r) for p in processor.handleExpiredTimer((1,), None, Due(at)) for r in p.itertuples(index=False)]
         touched.append(set(handle.map.touched))
     assert not handle.map.rows and not handle.value.exists()
-    return out, touched
+    return out, touched, handle
 
 
 @pytest.mark.parametrize("slot_ms", [100, 1000, 7000])
@@ -102,7 +103,7 @@ def test_live_fold_equals_the_fold_of_all(slot_ms):
     place = np.argsort(t + rng.uniform(0, 1.5, n))  # samples come up to 1.5 s late
     rows = [(t[i], x[i], y[i]) for i in place]
     batches = [rows[i : i + 40] for i in range(0, n, 40)]
-    got, touched = drive(batches, 2000, radius=0.1, gap=0.01, min_duration=0.0, idle_ms=60_000, slot_ms=slot_ms)
+    got, touched, _ = drive(batches, 2000, radius=0.1, gap=0.01, min_duration=0.0, idle_ms=60_000, slot_ms=slot_ms)
     assert sorted((round(r[1], 6), round(r[2], 6), r[6]) for r in got) == sorted((round(a, 6), round(b, 6), c) for a, b, c in want)
     assert list(OUTPUT.fieldNames())[1:3] == ["start_s", "end_s"]
     # a batch touches the slots of its samples and those that end before the watermark, not all that wait
@@ -114,7 +115,15 @@ def test_live_fold_equals_the_fold_of_all(slot_ms):
 
 def test_a_long_pause_ends_a_session():
     rows = [[(1.0 + 0.1 * i, 0.0, 0.0) for i in range(10)], [(200.0, 0.0, 0.0), (200.1, 0.0, 0.0)], [(400.0, 0.0, 0.0)]]
-    got, _ = drive(rows, 1000, radius=0.1, gap=0.01, min_duration=0.0, idle_ms=60_000, slot_ms=1000)
+    got, _, _ = drive(rows, 1000, radius=0.1, gap=0.01, min_duration=0.0, idle_ms=60_000, slot_ms=1000)
     assert [(round(r[1], 3), round(r[2], 3), r[6]) for r in sorted(got)] == [(1.0, 1.9, 10), (200.0, 200.1, 2), (400.0, 400.0, 1)]
     with pytest.raises(ValueError):
         AnchoredSegments(0.1, 0.1, 0.1, 10, 1000)
+
+
+def test_only_the_last_of_a_run_of_slots_has_an_end_timer():
+    rows = [[(1.0 + i, 0.0, 0.0) for i in range(20)] + [(100.0 + i, 0.0, 0.0) for i in range(5)]]
+    got, _, handle = drive(rows, 1000, radius=0.1, gap=0.01, min_duration=0.0, idle_ms=30_000, slot_ms=500)
+    assert [(r[1], r[2], r[6]) for r in sorted(got)] == [(1.0, 20.0, 20), (100.0, 104.0, 5)]
+    # 25 slots, and the ends of two runs in each of the two pieces of the batch
+    assert len(handle.registered) == 25 + 4
