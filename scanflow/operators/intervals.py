@@ -84,13 +84,6 @@ def appearances(entries: DataFrame, side: str, by: Sequence[str] = ("session_id"
     return entries.select(*by, F.explode(side).alias("object"), "start_s", "end_s")
 
 
-def object_spans(entries: DataFrame, side: str, by: Sequence[str] = ("session_id",)) -> DataFrame:
-    """First start, last end and number of appearances of each object."""
-    return appearances(entries, side, by).groupBy(*by, "object").agg(
-        F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"), F.count(F.lit(1)).alias("n_seen")
-    )
-
-
 def longest_per_object(episodes: DataFrame, by: Sequence[str], name: str, pos: Sequence[str]) -> DataFrame:
     """The longest episode of each object; equal lengths take the first by ``pos``."""
     known = episodes.where(F.col("duration").isNotNull() & F.col(name).isNotNull())

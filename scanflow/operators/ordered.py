@@ -79,6 +79,11 @@ def _derived(df: DataFrame) -> bool:
     return any(node in plan for node in ("Window [", "Join ", "Aggregate ["))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` for several readers: written to the shared folder once if it holds work, else as it is."""
+    return cut(df) if _derived(df) else df
+
+
 def scan(
     df: DataFrame,
     by: Sequence[str],
@@ -202,7 +207,7 @@ def placed(df: DataFrame, order: Sequence[str], bits: int = 12, chunk: str = CHU
     ``PLACE`` is unique and grows along ``order``; a chunk is a run of at most ``2**bits`` rows, whatever the values and their
     density, so equal rows and long sessions are spread as well. Places of different ranges are not dense.
     """
-    base = cut(df) if _derived(df) else df
+    base = stored(df)
     return cut(
         base.orderBy(*order).withColumn(PLACE, F.monotonically_increasing_id()).withColumn(chunk, F.shiftright(PLACE, bits))
     )

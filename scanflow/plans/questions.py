@@ -379,14 +379,24 @@ def next_action(
     )
 
 
-def _alerts(entries: DataFrame, targets: DataFrame, side: str, task: str, wording: tuple[str, str],
+def alert_spans(entries: DataFrame) -> DataFrame:
+    """First start in view (``fov_s``) and outside (``outside_s``) of each name of a session, from one pass over its entries."""
+
+    def marked(side: str, gazed: bool) -> Column:
+        names = F.coalesce(side, F.array().cast("array<string>"))
+        return F.transform(names, lambda o: F.struct(o.alias("object"), F.lit(gazed).alias("gazed")))
+
+    flat = entries.select(*BY, "start_s", F.explode(F.concat(marked("fov", True), marked("outside", False))).alias("_n"))
+    return flat.groupBy(*BY, F.col("_n.object").alias("object")).agg(
+        F.min(F.when(F.col("_n.gazed"), F.col("start_s"))).alias("fov_s"),
+        F.min(F.when(~F.col("_n.gazed"), F.col("start_s"))).alias("outside_s"),
+    )
+
+
+def _alerts(entries: DataFrame, spans: DataFrame, targets: DataFrame, side: str, task: str, wording: tuple[str, str],
             offsets: Sequence[float] = intervals.ALERT_OFFSETS) -> DataFrame:
     """Alert questions for (session, object, first_s) targets with labelled evaluation points."""
-    begun = (
-        entries.where((F.size("fov") > 0) | (F.size("outside") > 0))
-        .groupBy(*BY)
-        .agg(F.min("start_s").alias("question_s"))
-    )
+    begun = spans.groupBy(*BY).agg(F.min(F.least("fov_s", "outside_s")).alias("question_s"))
     asked = targets.join(begun, BY).withColumn("points", intervals.alert_points(F.col("first_s"), F.col("question_s"), offsets))
     asked = asked.where(F.size("points") > 0)
     seen = intervals.appearances(entries, side).join(asked, [*BY, "object"])
@@ -420,23 +430,34 @@ def _alerts(entries: DataFrame, targets: DataFrame, side: str, task: str, wordin
 
 def alert_target(entries: DataFrame, fixture: Callable[[Column], Column] = text.is_furniture) -> DataFrame:
     """The one viewed name per session an alert is asked for."""
-    spans = intervals.object_spans(entries, "fov").where(~fixture(F.col("object")))
+    return _gazed_target(alert_spans(entries), fixture)
+
+
+def _gazed_target(spans: DataFrame, fixture: Callable[[Column], Column]) -> DataFrame:
+    viewed = spans.where(F.col("fov_s").isNotNull() & ~fixture(F.col("object")))
     draw = draws.digest("alert", F.col("session_id"), F.col("object"))
-    return spans.groupBy(*BY).agg(F.min_by(F.struct("object", "first_s"), draw).alias("_t")).select(*BY, "_t.*")
+    first = F.struct("object", F.col("fov_s").alias("first_s"))
+    return viewed.groupBy(*BY).agg(F.min_by(first, draw).alias("_t")).select(*BY, "_t.*")
 
 
 def alert_gaze(entries: DataFrame, fixture: Callable[[Column], Column] = text.is_furniture) -> DataFrame:
     """Alert when the user gazes at one drawn name."""
     wording = ("Monitor my gaze and alert me when I gaze on the <", ">.")
-    return _alerts(entries, alert_target(entries, fixture), "fov", "future_remind_easy", wording)
+    entries = draws.ordered.stored(entries)
+    spans = cut(alert_spans(entries))  # read for the targets and the start of the session
+    return _alerts(entries, spans, _gazed_target(spans, fixture), "fov", "future_remind_easy", wording)
 
 
 def alert_appear(entries: DataFrame, fixture: Callable[[Column], Column] = text.is_furniture) -> DataFrame:
     """Alert when a name first appears outside the view; the gaze-alert name is left out."""
-    spans = intervals.object_spans(entries, "outside").where(~fixture(F.col("object"))).select(*BY, "object", "first_s")
-    rest = spans.join(alert_target(entries, fixture), [*BY, "object"], "left_anti")
+    entries = draws.ordered.stored(entries)
+    spans = cut(alert_spans(entries))
+    outside = spans.where(F.col("outside_s").isNotNull() & ~fixture(F.col("object")))
+    rest = outside.select(*BY, "object", F.col("outside_s").alias("first_s")).join(
+        _gazed_target(spans, fixture), [*BY, "object"], "left_anti"
+    )
     wording = ("Watch the scene and alert me when the <", "> first appears.")
-    return _alerts(entries, rest, "outside", "future_remind_hard", wording)
+    return _alerts(entries, spans, rest, "outside", "future_remind_hard", wording)
 
 
 def with_intervals(asked: DataFrame, entries: DataFrame, side: str, chunk: float = 600.0) -> DataFrame:

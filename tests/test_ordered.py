@@ -177,3 +177,10 @@ def test_scene_consistency_reads_each_side_once(spark, sf_dir):
 
     for name, most in (("scene_consistency", 4), ("projected_gaze", 4), ("episodes", 4)):
         assert file_scans(registered.QUERIES[name](spark, sf_dir)) <= most
+
+
+def test_alert_questions_read_entries_once_for_spans_and_once_for_labels(spark, sf_dir):
+    from scanflow.plans import registered
+
+    for name, most in (("ask_alert_gaze", 3), ("ask_alert_appear", 4)):
+        assert file_scans(registered.QUERIES[name](spark, sf_dir)) <= most
