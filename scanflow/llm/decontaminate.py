@@ -90,10 +90,11 @@ class Index:
         at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         pairs = np.unique(np.stack([np.repeat(rows[near], count), self.owner[at]], axis=1), axis=0)
         found = []
-        for row in np.unique(pairs[:, 0]):
-            a, b = np.searchsorted(rows, [row, row + 1])
+        looked, first = np.unique(pairs[:, 0], return_index=True)
+        begin, end = np.searchsorted(rows, looked), np.searchsorted(rows, looked + 1)
+        for row, a, b, mine in zip(looked, begin, end, np.split(pairs[:, 1], first[1:])):
             own = np.unique(hashes[a:b])
-            for item in pairs[pairs[:, 0] == row, 1]:
+            for item in mine:
                 if len(own) < self.least[item]:
                     continue
                 wanted = self.member[self.bounds[item] : self.bounds[item + 1]]

@@ -227,7 +227,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], labelled: DataFrame | None =
     """key, host, path, rule, verdict and log_odds of every page.
 
     ``labelled`` has the columns ``url`` and ``verdict``; by default the pages that a rule decides teach the
-    trees.
+    trees. Those labels know only the hosts of the rules, so how good the verdict is elsewhere is not measured; labels
+    of other urls are what a real use passes here.
     """
     slim = pages.select(F.col(key).alias(key), F.col(url).alias("_url"))
     if labelled is None:
