@@ -5,7 +5,8 @@ session-wide pool never pairs items with the whole pool: the pool's names get a
 rank in an md5 permutation of their session, and an item reads only as many ranks as it can
 need (k plus its own exclusions), each chosen by a hash of its own, so every subset of the pool
 can be drawn. Each read is an equi-join on (session, rank), which spreads the items and pool of a
-large session over all tasks.
+large session over all tasks. A pool of at most ``POOL_ROWS`` names is one array instead, which
+meets the items of its session in one join; nothing is exploded and gathered again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from scanflow.operators import ordered
 from scanflow.session import cut
 
 
+#: Names of a pool that an item may carry; from larger pools each rank is read for itself.
+POOL_ROWS = 256
+
+
 def digest(seed: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]))
 
@@ -35,9 +40,12 @@ def ranked_pool(names: DataFrame, by: Sequence[str], seed: str, name: str = "obj
     its sizes and by rank, so it is written to the shared folder once.
     """
     by = list(by)
-    hashed = names.select(*by, name).distinct().withColumn("_h", digest(seed, *[F.col(c) for c in by], F.col(name)))
+    named = names.select(*by, name)
+    # sixteen bytes sort like their hex digits
+    hashed = named.distinct().withColumn("_h", F.unhex(digest(seed, *[F.col(c) for c in by], F.col(name))))
     ranked = ordered.scan(
-        hashed, by, ["_h", name], F.substring("_h", 1, digits), rank=ordered.row_number(), n_pool=ordered.total(F.lit(1))
+        hashed, by, ["_h", name], F.substring(F.hex("_h"), 1, digits), counted=named,
+        rank=ordered.row_number(), n_pool=ordered.total(F.lit(1)),
     )
     return cut(ranked.select(*by, name, (F.col("rank") - 1).alias("rank"), "n_pool"))
 
@@ -66,26 +74,68 @@ def draw_from_pool(
     by, key = list(by), list(key)
     how = "left" if keep_unmatched else "inner"
     banned = F.array().cast("array<string>") if exclude is None else exclude
-    sizes = pool.groupBy(*by).agg(F.max("n_pool").alias("_n"))
-    if one_pool:
-        sizes = F.broadcast(sizes)
-    held = [F.col(c) for c in items.columns if c not in by]
-    ids = [f"_k{i}" for i in range(len(key))]
     wanted = F.lit(True) if needed is None else needed
     want = F.lit(k) if isinstance(k, int) else k
+    asked = items.select("*", banned.alias("_banned"), wanted.alias("_needed"), want.alias("_want"))
+    large = pool.where(F.col("n_pool") > POOL_ROWS)
+    many = not large.isEmpty()
+    asked = ordered.stored(asked) if many else asked  # read for small and for large pools
+    small = pool.where(F.col("n_pool") <= POOL_ROWS).groupBy(*by).agg(
+        F.max("n_pool").alias("_n"), F.array_sort(F.collect_list(F.struct("rank", F.col(name).alias("v")))).alias("_names")
+    )
+    small = F.broadcast(small) if one_pool else small
+    sizes = large.groupBy(*by).agg(F.max("n_pool").alias("_n"))
+    sizes = F.broadcast(sizes) if one_pool else sizes
+    rest = asked.join(sizes, by, "left_anti") if many and keep_unmatched else asked
+    met = rest.join(small, by, how)
+    read = F.transform(_steps(seed, [F.col(c) for c in key]), lambda r: F.get("_names", r.cast("int"))["v"])
+    free = F.filter(read, lambda v: v.isNotNull() & ~F.array_contains("_banned", v))
+    drawn = F.slice(free, 1, F.col("_want"))
+    drawn = F.coalesce(drawn, F.array().cast("array<string>")) if keep_unmatched else drawn
+    held = [c for c in items.columns if c not in by]
+    # as a generated column the draw is made once, however often it is read
+    out_of_small = met.select(*by, *held, F.inline_outer(F.array(F.struct(drawn.alias(out)))))
+    out_of_small = out_of_small if keep_unmatched else out_of_small.where(F.col(out).isNotNull())
+    if not many:
+        return out_of_small
+    return out_of_small.unionByName(_draw_by_rank(asked, large, sizes, by, key, held, seed, name, out, keep_unmatched))
+
+
+def _steps(seed: str, ids: list[Column]) -> Column:
+    """The ranks an item reads: hashed ones first, then neighbours in case too few of them differ; null if it reads none."""
     reads = F.col("_want") + F.size("_banned")
-    # hashed ranks first, then neighbours in case too few of them differ
-    hashed = F.transform(
-        F.sequence(F.lit(0), 2 * reads - 1), lambda s: F.pmod(hash60(seed, *[F.col(i) for i in ids], s), F.col("_n"))
+    some = F.least(F.col("_n"), reads).cast("int")
+
+    def hashed(first: Column, last: Column) -> Column:
+        return F.transform(F.sequence(first, last), lambda s: F.pmod(hash60(seed, *ids, s), F.col("_n")))
+
+    def more(found: Column) -> Column:
+        begin = F.pmod(hash60(seed, *ids), F.col("_n"))
+        # the first neighbour is bound to a lambda variable: it is hashed once
+        nearby = F.flatten(
+            F.transform(F.array(begin), lambda b: F.transform(F.sequence(F.lit(0), 3 * reads - 1), lambda s: F.pmod(b + s, F.col("_n"))))
+        )
+        return F.array_distinct(F.concat(found, hashed(reads, 2 * reads - 1), nearby))
+
+    once = F.transform(
+        F.array(F.array_distinct(hashed(F.lit(0), reads - 1))),
+        lambda d: F.slice(F.when(F.size(d) >= some, d).otherwise(more(d)), 1, some),
     )
-    nearby = F.transform(F.sequence(F.lit(0), 3 * reads - 1), lambda s: F.pmod(F.col("_begin") + s, F.col("_n")))
-    ranks = F.slice(F.array_distinct(F.concat(hashed, nearby)), 1, F.least(F.col("_n"), reads).cast("int"))
-    steps = F.when(F.col("_needed") & (reads > 0) & (F.col("_n") > 0), ranks)
+    ranks = F.get(once, 0)
+    return F.when(F.col("_needed") & (reads > 0) & (F.col("_n") > 0), ranks)
+
+
+def _draw_by_rank(
+    asked: DataFrame, pool: DataFrame, sizes: DataFrame, by: list[str], key: list[str], held: list[str], seed: str, name: str, out: str,
+    keep_unmatched: bool,
+) -> DataFrame:
+    """Draws from large pools: one probe per rank."""
+    ids = [f"_k{i}" for i in range(len(key))]
+    steps = _steps(seed, [F.col(i) for i in ids])
     probes = (
-        items.select(*by, F.struct(*held).alias("_item"), banned.alias("_banned"), wanted.alias("_needed"), want.alias("_want"))
-        .join(sizes, by, how)
+        asked.select(*by, F.struct(*held).alias("_item"), "_banned", "_needed", "_want")
+        .join(sizes, by)
         .withColumns({i: _held(c, by) for i, c in zip(ids, key)})
-        .withColumn("_begin", F.pmod(hash60(seed, *[F.col(i) for i in ids]), F.col("_n")))
         .select("*", (F.posexplode_outer(steps) if keep_unmatched else F.posexplode(steps)).alias("_step", "rank"))
     )
     # of an item's probes only the first one carries the item itself
@@ -97,7 +147,7 @@ def draw_from_pool(
         "rank",
         F.when(once, F.struct("_item", "_banned", "_want")).alias("_once"),
     )
-    found = probes.join(pool.select(*by, "rank", name), [*by, "rank"], how)
+    found = probes.join(pool.select(*by, "rank", name), [*by, "rank"], "left" if keep_unmatched else "inner")
     read = F.when(F.col(name).isNotNull(), F.struct("_step", F.col(name).alias("v")))
     # an item reads a few ranks; partial lists before the shuffle would only cost
     grouped = found.repartition(*by, *ids).groupBy(*by, *ids).agg(
@@ -105,7 +155,7 @@ def draw_from_pool(
     )
     free = F.filter("_found", lambda s: ~F.array_contains(F.col("_once._banned"), s["v"]))
     drawn = F.transform(F.slice(free, 1, F.col("_once._want")), lambda s: s["v"])
-    return grouped.select(*by, "_once._item.*", drawn.alias(out))
+    return grouped.select(*by, *[F.col(f"_once._item.{c}").alias(c) for c in held], drawn.alias(out))
 
 
 def _held(col: str, by: list[str]) -> Column:

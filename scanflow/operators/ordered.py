@@ -7,6 +7,7 @@ session's order:
 * ``scan`` runs ordinary windows inside (session, chunk), reduces every chunk to
   one summary row, runs the same function over the summary rows of a session and
   joins the carried value back. Only the summaries of a session meet in one task.
+  A session of at most ``SESSION_ROWS`` rows is one chunk and needs no summaries.
   Rows and summaries are two readers of one input: stored columns are read twice (the summaries
   read few of them), but an input that holds a window, such as another scan, a join or a grouping is written to the
   shared folder first. Chained scans thus read each input once, however long the chain.
@@ -31,6 +32,10 @@ CHUNK = "_chunk"
 SESSION = "_session"
 TILE = "_tile"
 HOME = "_home"
+VOID = "_void"
+
+#: Rows of a session that one window may take; longer sessions go by chunks.
+SESSION_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -89,9 +94,16 @@ def scan(
     by: Sequence[str],
     order: Sequence[str],
     chunk: Column,
+    counted: DataFrame | None = None,
+    coarse: bool = False,
     **specs: Spec,
 ) -> DataFrame:
-    """Add one column per spec, each computed along ``order`` within ``by``."""
+    """Add one column per spec, each computed along ``order`` within ``by``.
+
+    Sessions are counted first, so that only the long ones are cut into chunks. ``counted`` is another table to count instead: one
+    that is cheaper to read and has at least as many rows of each session. With ``coarse`` chunks are large by nature, such as blocks of
+    a file: nothing is counted.
+    """
     session, order = list(by), list(order)
     # one struct as the key: a null session is a session of its own, in windows and in the join alike
     by = [SESSION]
@@ -99,8 +111,17 @@ def scan(
     base = df.withColumns({CHUNK: chunk, SESSION: F.struct(*session) if session else F.lit(0)})
     if _derived(df):
         base = cut(base)
+    base, many = base.withColumn(VOID, F.col(CHUNK).isNull()), base
+    if not coarse:
+        listed = base if counted is None else counted.withColumn(SESSION, F.struct(*session) if session else F.lit(0))
+        sizes = listed.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > SESSION_ROWS)
+        # one row per SESSION_ROWS rows at most
+        long = F.broadcast(sizes.select(SESSION, F.lit(True).alias("_long")))
+        many = base.join(long, SESSION, "left_semi")
+        base = base.join(long, SESSION, "left").withColumn(CHUNK, F.when(F.col("_long"), F.col(CHUNK))).drop("_long")
     ahead = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
-    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    # rows without a chunk see no later ones that have one
+    back = Window.partitionBy(*keys, VOID).orderBy(*[F.col(c).desc() for c in order])
     first, here = Window.unboundedPreceding, Window.currentRow
     along = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(first, -1)
     against = Window.partitionBy(*by).orderBy(F.col(CHUNK).desc()).rowsBetween(first, -1)
@@ -135,17 +156,20 @@ def scan(
             carried[above] = F.last(above, ignorenulls=True).over(along if forward else against)
             final[name] = F.coalesce(F.col(inside), F.col(f"{above}.v"))
         elif spec.kind == "total":
+            local[inside] = F.sum(spec.expr).over(Window.partitionBy(*keys))
             summary[above] = F.sum(spec.expr)
             carried[above] = F.sum(above).over(whole)
-            final[name] = F.col(above)
+            final[name] = F.when(~F.col(VOID), F.coalesce(above, inside))
         else:
             raise ValueError(spec.kind)
 
     inner = base.select("*", *[c.alias(n) for n, c in local.items()])
-    carry = base.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()])
+    carry = many.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()])
     carry = carry.select(*keys, *[c.alias(n) for n, c in carried.items()])
     out = inner.join(carry, keys, "left")
-    return out.select(*df.columns, *[c.alias(n) for n, c in final.items()])
+    # the key holds the session's columns: they need not be moved twice
+    kept = [F.col(SESSION)[c].alias(c) if c in session else F.col(c) for c in df.columns]
+    return out.select(*kept, *[c.alias(n) for n, c in final.items()])
 
 
 def islands(
@@ -161,9 +185,11 @@ def islands(
     return scan(df, by, order, chunk, **{name: last_value(F.when(breaks, key), inclusive=True)})
 
 
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Column, name: str = "pos") -> DataFrame:
+def numbered(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Column, name: str = "pos", coarse: bool = False
+) -> DataFrame:
     """0-based dense position per session."""
-    out = scan(df, by, order, chunk, **{name: row_number()})
+    out = scan(df, by, order, chunk, coarse=coarse, **{name: row_number()})
     return out.withColumn(name, F.col(name) - 1)
 
 

@@ -280,7 +280,9 @@ def identify_easy(episodes: DataFrame) -> DataFrame:
         text.words(text.FALLBACK_OBJECTS),
         lambda w: (w != F.lower("object")) & ~F.array_contains(F.col("drawn"), w),
     )
-    filler = draws.md5_order(spare, "fallback", *[F.col(k) for k in KEY])
+    # only short draws are filled up: the others order no words
+    lacking = F.when(F.size("drawn") < 3, spare).otherwise(F.array().cast("array<string>"))
+    filler = draws.md5_order(lacking, "fallback", *[F.col(k) for k in KEY])
     filled = drawn.withColumn("wrong", F.slice(F.concat("drawn", filler), 1, 3))
     return _identity(filled, "identify-mix").withColumn("task", F.lit("present_ident_easy"))
 

@@ -96,13 +96,20 @@ def segments_of(rows: DataFrame, frames: int = 4) -> DataFrame:
     )
 
 
-def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat objects: one row per line item, in view when it was returned."""
-    orders = table(spark, sf_dir, "orders").select(
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session and the bounds of each order."""
+    start = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("double")
+    return table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.col("o_custkey").alias("session_id"),
-        F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("double").alias("start_s"),
+        start.alias("start_s"),
+        (start + F.col("o_orderkey") % 30 + 1).alias("end_s"),
     )
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat objects: one row per line item, in view when it was returned."""
+    orders = _intervals(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("object"))
     return (
@@ -111,7 +118,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "session_id",
             "start_s",
-            (F.col("start_s") + F.col("o_orderkey") % 30 + 1).alias("end_s"),
+            "end_s",
             "object",
             (F.col("l_returnflag") == "R").alias("in_fov"),
         )
@@ -121,17 +128,27 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Object entries: sorted distinct names in view and outside, one row per interval.
 
-    An entry is a handful of rows, so building partial sets before the shuffle only costs:
-    the rows are shuffled by entry first.
+    Line items become the names of their order before they meet it, so that orders are moved, not line items with
+    the interval of each. An order is a handful of rows: building partial sets before the shuffle only costs.
     """
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("object"))
+    named = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_partkey", (F.col("l_returnflag") == "R").alias("in_fov"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .repartition("l_orderkey")
+        .groupBy("l_orderkey")
+        .agg(
+            F.collect_set(F.when(F.col("in_fov"), F.col("object"))).alias("fov"),
+            F.collect_set(F.when(~F.col("in_fov"), F.col("object"))).alias("outside"),
+        )
+    )
     return (
-        sightings(spark, sf_dir)
+        _intervals(spark, sf_dir)
+        .join(named, F.col("o_orderkey") == F.col("l_orderkey"))
         .repartition("session_id", "start_s", "end_s")
         .groupBy("session_id", "start_s", "end_s")
-        .agg(
-            F.array_sort(F.collect_set(F.when(F.col("in_fov"), F.col("object")))).alias("fov"),
-            F.array_sort(F.collect_set(F.when(~F.col("in_fov"), F.col("object")))).alias("outside"),
-        )
+        .agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("fov", "outside")])
     )
 
 
