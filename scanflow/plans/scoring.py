@@ -53,7 +53,8 @@ def score_results(items: DataFrame, strict: bool = False) -> DataFrame:
     by = ["model", "task"]
     first = F.get("questions", F.lit(0))
     kinds = items.groupBy(*by).agg(F.max(F.coalesce(first["test_info"].isNotNull(), F.lit(False))).alias("_alert"))
-    known = items.join(kinds, by)
+    # one row per result file: the items of a file need not meet in one task
+    known = items.join(F.broadcast(kinds), by)
     points = known.where("_alert").select(*by, F.explode("questions").alias("q")).select(*by, F.inline("q.test_info"))
     choices = known.where("not _alert").select(
         *by,
