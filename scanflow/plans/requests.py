@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from scanflow.functions.text import fenced_json
 from scanflow.functions.timecode import parse_clock
+from scanflow.session import cut
 
 # Prompt texts.
 GAZE_INSTRUCTION = (
@@ -135,8 +136,22 @@ def annotate(
     return parsed.withColumn("error", F.coalesce("error", unread)).drop("text", "seconds")
 
 
+#: Rows that share one copy of a value.
+VALUE_ROWS = 100_000
+
+
 def rewrite_distinct(df: DataFrame, col: str, fn: Callable[[pd.Series], pd.Series], out: str) -> DataFrame:
-    """Apply ``fn`` once per distinct value of ``col`` and join the result back."""
+    """Apply ``fn`` once per distinct value of ``col`` and join the result back.
+
+    Rows with a frequent value, or none, are dealt over as many copies of its result as ``VALUE_ROWS`` asks for.
+    """
     udf = F.pandas_udf(fn, T.StringType())
-    values = df.select(F.col(col).alias("_value")).distinct().withColumn(out, udf("_value"))
-    return df.join(values, F.col(col).eqNullSafe(F.col("_value")), "left").drop("_value")
+    copies = F.floor(F.count(F.lit(1)) / F.lit(VALUE_ROWS)) + 1
+    values = cut(df.select(F.col(col).alias("_value")).groupBy("_value").agg(copies.alias("_copies")).withColumn(out, udf("_value")))
+    # at most one value for VALUE_ROWS rows
+    frequent = F.broadcast(values.where(F.col("_copies") > 1).select("_value", F.col("_copies").alias("_of")))
+    dealt = df.join(frequent, F.col(col).eqNullSafe(F.col("_value")), "left").drop("_value")
+    dealt = dealt.withColumn("_copy", F.pmod(F.monotonically_increasing_id(), F.coalesce("_of", F.lit(1)))).drop("_of")
+    spread = values.select("_value", out, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_nr"))
+    same = F.col(col).eqNullSafe(F.col("_value")) & (F.col("_copy") == F.col("_nr"))
+    return dealt.join(spread, same, "left").drop("_value", "_copy", "_nr")
