@@ -243,6 +243,7 @@ def filter_scene_recall(spark, sf):
     made = Q.scene_recall(merged_entries(spark, sf)).withColumn(
         "clip", F.array(F.lit(0.0), F.when(F.col("pos") % 9 < 1, F.lit(4.0)).otherwise(F.lit(30.0)))
     )
+    made = cut(made)  # read as questions and for the verdicts
     verdicts = made.select(*ID, F.when((F.col("session_id") + F.col("pos")) % 5 == 0, 0).otherwise(1).alias("verdict"))
     return G.scene_recall(made, verdicts, ID).select(*ID, "reason")
 
@@ -255,7 +256,7 @@ def filter_scene_recall(spark, sf):
       WHEN (session_id + draw) % 5 = 0 THEN 'verdict_invalid' END AS reason FROM mx""",
 )
 def filter_transition(spark, sf):
-    made = Q.transition_pattern(merged_entries(spark, sf))
+    made = cut(Q.transition_pattern(merged_entries(spark, sf)))  # read as questions and for the verdicts
     key = ["session_id", "draw"]
     verdicts = made.select(*key, F.when((F.col("session_id") + F.col("draw")) % 5 == 0, 0).otherwise(1).alias("verdict"))
     out = G.transition(made, verdicts, key)
