@@ -38,8 +38,8 @@ QUESTION_SCHEMA = (
 )
 
 
-def numbered_lines(spark: SparkSession, path: str, block: int | None = None) -> DataFrame:
-    """Lines with their ``file`` and 0-based ``line`` number."""
+def numbered_lines(spark: SparkSession, path: str, block: int | None = None, **specs: ordered.Spec) -> DataFrame:
+    """Lines with their ``file`` and 0-based ``line`` number, and a column per spec computed along the file."""
     reader = spark.read
     lines = reader.text(path).select(
         "value",
@@ -47,8 +47,8 @@ def numbered_lines(spark: SparkSession, path: str, block: int | None = None) ->
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_nr"),
     )
-    out = ordered.numbered(lines, ["file"], ["_block", "_nr"], F.col("_block"), name="line")
-    return out.drop("_block", "_nr")
+    out = ordered.scan(lines, ["file"], ["_block", "_nr"], F.col("_block"), coarse=True, line=ordered.row_number(), **specs)
+    return out.withColumn("line", F.col("line") - 1).drop("_block", "_nr")
 
 
 def session_of(file: Column, pattern: str | None = None) -> Column:
@@ -202,10 +202,8 @@ def _sync_rows(spark: SparkSession, path: str, folder: str, session: str | None)
 
     A recording is the folder above ``folder``, or what the pattern ``session`` finds in the path.
     """
-    lines = numbered_lines(spark, path)
-    blank = F.trim("value") == ""
-    ends = lines.where(blank).groupBy("file").agg(F.min("line").alias("_end"))
-    body = lines.join(ends, "file", "left").where(F.col("_end").isNull() | (F.col("line") < F.col("_end")))
+    blank = F.when(F.trim("value") == "", 1).otherwise(0)
+    body = numbered_lines(spark, path, _blanks=ordered.running_sum(blank)).where(F.col("_blanks") == 0)
     numbers = F.transform(F.split(F.trim("value"), "\t"), lambda v: v.try_cast("double"))
     return body.select(
         F.regexp_extract("file", session or rf"([^/]+)/{folder}/[^/]+$", 1).alias("session_id"), "line", numbers.alias("n")
