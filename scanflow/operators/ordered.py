@@ -115,10 +115,10 @@ def scan(
     if not coarse:
         listed = base if counted is None else counted.withColumn(SESSION, F.struct(*session) if session else F.lit(0))
         sizes = listed.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > SESSION_ROWS)
-        # one row per SESSION_ROWS rows at most
-        long = F.broadcast(sizes.select(SESSION, F.lit(True).alias("_long")))
-        many = base.join(long, SESSION, "left_semi")
-        base = base.join(long, SESSION, "left").withColumn(CHUNK, F.when(F.col("_long"), F.col(CHUNK))).drop("_long")
+        # one row per SESSION_ROWS rows at most, mostly none
+        long = cut(sizes.select(SESSION, F.lit(True).alias("_long")))
+        many = None if long.isEmpty() else base.join(F.broadcast(long), SESSION, "left_semi")
+        base = base.join(F.broadcast(long), SESSION, "left").withColumn(CHUNK, F.when(F.col("_long"), F.col(CHUNK))).drop("_long")
     ahead = Window.partitionBy(*keys).orderBy(*[F.col(c) for c in order])
     # rows without a chunk see no later ones that have one
     back = Window.partitionBy(*keys, VOID).orderBy(*[F.col(c).desc() for c in order])
@@ -164,9 +164,13 @@ def scan(
             raise ValueError(spec.kind)
 
     inner = base.select("*", *[c.alias(n) for n, c in local.items()])
-    carry = many.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()])
-    carry = carry.select(*keys, *[c.alias(n) for n, c in carried.items()])
-    out = inner.join(carry, keys, "left")
+    if many is None:  # nothing is carried
+        kinds = base.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()]).select(*[c.alias(n) for n, c in carried.items()]).schema
+        out = inner.select("*", *[F.lit(None).cast(kinds[n].dataType).alias(n) for n in summary])
+    else:
+        carry = many.groupBy(*keys).agg(*[c.alias(n) for n, c in summary.items()])
+        carry = carry.select(*keys, *[c.alias(n) for n, c in carried.items()])
+        out = inner.join(carry, keys, "left")
     # the key holds the session's columns: they need not be moved twice
     kept = [F.col(SESSION)[c].alias(c) if c in session else F.col(c) for c in df.columns]
     return out.select(*kept, *[c.alias(n) for n, c in final.items()])
