@@ -6,12 +6,14 @@ rank in an md5 permutation of their session, and an item reads only as many rank
 need (k plus its own exclusions), each chosen by a hash of its own, so every subset of the pool
 can be drawn. Each read is an equi-join on (session, rank), which spreads the items and pool of a
 large session over all tasks. A pool of at most ``POOL_ROWS`` names is one array instead, which
-meets the items of its session in one join; nothing is exploded and gathered again.
+meets the items of its session in one join; nothing is exploded and gathered again. ``packed_pool`` makes
+these arrays from a timeline's name lists in one grouping; only long sessions are ranked name by name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +52,90 @@ def ranked_pool(names: DataFrame, by: Sequence[str], seed: str, name: str = "obj
     return cut(ranked.select(*by, name, (F.col("rank") - 1).alias("rank"), "n_pool"))
 
 
+@dataclass(frozen=True)
+class Pool:
+    """Names of sessions in md5 order, as ``packed_pool`` makes them.
+
+    ``packed`` has a row per session with its names in order (``_names``) and their number (``_n``); the names of sessions
+    too long for one row are in ``long``, as ``ranked_pool`` gives them. No session is in both.
+    """
+
+    by: list[str]
+    packed: DataFrame
+    long: DataFrame | None = None
+    name: str = "object"
+
+    def sizes(self) -> DataFrame:
+        """Names of each session as ``_n``."""
+        out = self.packed.select(*self.by, "_n")
+        return out if self.long is None else out.unionByName(_sizes(self.long, self.by))
+
+    def small(self) -> DataFrame:
+        """``_n`` and ``_names`` of the pools that an item may carry."""
+        out = self.packed.where(F.col("_n") <= POOL_ROWS)
+        return out if self.long is None else out.unionByName(_gathered(self.long, self.by, self.name))
+
+    def large(self) -> DataFrame | None:
+        """The other pools by rank; None without any."""
+        big = self.packed.where(F.col("_n") > POOL_ROWS)
+        if big.isEmpty() and self.long is None:
+            return None
+        out = big.select(*self.by, F.posexplode("_names").alias("rank", self.name), F.col("_n").alias("n_pool"))
+        out = out.withColumn("rank", F.col("rank").cast("long"))
+        return out if self.long is None else out.unionByName(self.long.where(F.col("n_pool") > POOL_ROWS))
+
+
+def packed_pool(rows: DataFrame, by: Sequence[str], seed: str, names: Column, without: Column | None = None) -> Pool:
+    """Pool of the distinct names in the arrays ``names`` of a session's rows, less those in its arrays ``without``.
+
+    It has the ranks of ``ranked_pool``. Sessions are counted first: one of at most ``ordered.SESSION_ROWS`` names is gathered,
+    ordered and written as one row, longer ones are ranked name by name. Rows without a session are left out: no item meets them.
+    """
+    by = list(by)
+    empty = F.array().cast("array<string>")
+    lists = rows.select(*by, F.coalesce(names, empty).alias("_in"), (empty if without is None else F.coalesce(without, empty)).alias("_out"))
+    held = F.size("_in") + F.size("_out")
+    lists = lists.dropna(subset=by).where(held > 0)
+    counts = lists.groupBy(*by).agg(F.sum(held).alias("_rows")).where(F.col("_rows") > ordered.SESSION_ROWS)
+    listed = cut(counts.select(*by))
+    many = not listed.isEmpty()
+    short = lists.join(F.broadcast(listed), by, "left_anti") if many else lists
+
+    def all_of(col: str) -> Column:
+        return F.array_distinct(F.flatten(F.collect_list(col)))
+
+    # lists of a session seldom repeat: partial ones before the shuffle would only cost
+    gathered = short.repartition(*by).groupBy(*by).agg(all_of("_in").alias("_in"), all_of("_out").alias("_out"))
+    kept = F.col("_in") if without is None else F.array_except("_in", "_out")
+    # sixteen bytes sort like their hex digits
+    tagged = F.transform(kept, lambda x: F.struct(F.unhex(digest(seed, *[F.col(c) for c in by], x)).alias("h"), x.alias("v")))
+    packed = gathered.select(*by, F.sort_array(tagged).alias("_t")).where(F.size("_t") > 0)
+    packed = cut(packed.select(*by, F.size("_t").cast("long").alias("_n"), F.col("_t.v").alias("_names")))
+    if not many:
+        return Pool(by, packed)
+
+    def marked(col: str, left: bool) -> Column:
+        return F.transform(col, lambda x: F.struct(x.alias("v"), F.lit(left).alias("left")))
+
+    flat = lists.join(F.broadcast(listed), by, "left_semi").select(*by, F.explode(F.concat(marked("_in", False), marked("_out", True))).alias("_x"))
+    named = flat.groupBy(*by, F.col("_x.v").alias("object")).agg(F.max("_x.left").alias("_left")).where(~F.col("_left"))
+    return Pool(by, packed, ranked_pool(cut(named.select(*by, "object")), by, seed))
+
+
+def _sizes(pool: DataFrame, by: list[str]) -> DataFrame:
+    return pool.groupBy(*by).agg(F.max("n_pool").alias("_n"))
+
+
+def _gathered(pool: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The pools of ``ranked_pool`` that an item may carry, one row each."""
+    names = F.array_sort(F.collect_list(F.struct("rank", F.col(name).alias("v"))))
+    small = pool.where(F.col("n_pool") <= POOL_ROWS).groupBy(*by).agg(F.max("n_pool").alias("_n"), names.alias("_names"))
+    return small.select(*by, "_n", F.col("_names.v").alias("_names"))
+
+
 def draw_from_pool(
     items: DataFrame,
-    pool: DataFrame,
+    pool: DataFrame | Pool,
     by: Sequence[str],
     key: Sequence[str],
     k: int | Column,
@@ -66,7 +149,7 @@ def draw_from_pool(
 ) -> DataFrame:
     """Add ``out``: up to ``k`` pool names per item, none of them in ``exclude``.
 
-    ``pool`` comes from ``ranked_pool``. Items of sessions without a pool are dropped
+    ``pool`` comes from ``ranked_pool`` or ``packed_pool``. Items of sessions without a pool are dropped
     unless ``keep_unmatched``, which gives them an empty draw. With ``one_pool`` the key
     ``by`` is one constant, so the pool size is a single row and is broadcast. Items whose
     ``needed`` is false read nothing.
@@ -77,20 +160,19 @@ def draw_from_pool(
     wanted = F.lit(True) if needed is None else needed
     want = F.lit(k) if isinstance(k, int) else k
     asked = items.select("*", banned.alias("_banned"), wanted.alias("_needed"), want.alias("_want"))
-    large = pool.where(F.col("n_pool") > POOL_ROWS)
-    many = not large.isEmpty()
+    if isinstance(pool, Pool):
+        small, large = pool.small(), pool.large()
+        many = large is not None
+    else:
+        small, large = _gathered(pool, by, name), pool.where(F.col("n_pool") > POOL_ROWS)
+        many = not large.isEmpty()
     asked = ordered.stored(asked) if many else asked  # read for small and for large pools
-    small = pool.where(F.col("n_pool") <= POOL_ROWS).groupBy(*by).agg(
-        F.max("n_pool").alias("_n"), F.array_sort(F.collect_list(F.struct("rank", F.col(name).alias("v")))).alias("_names")
-    )
     small = F.broadcast(small) if one_pool else small
-    sizes = large.groupBy(*by).agg(F.max("n_pool").alias("_n"))
-    sizes = F.broadcast(sizes) if one_pool else sizes
+    sizes = _sizes(large, by) if many else None
+    sizes = F.broadcast(sizes) if many and one_pool else sizes
     rest = asked.join(sizes, by, "left_anti") if many and keep_unmatched else asked
     met = rest.join(small, by, how)
-    read = F.transform(_steps(seed, [F.col(c) for c in key]), lambda r: F.get("_names", r.cast("int"))["v"])
-    free = F.filter(read, lambda v: v.isNotNull() & ~F.array_contains("_banned", v))
-    drawn = F.slice(free, 1, F.col("_want"))
+    drawn = _read_from_array(seed, [F.col(c) for c in key])
     drawn = F.coalesce(drawn, F.array().cast("array<string>")) if keep_unmatched else drawn
     held = [c for c in items.columns if c not in by]
     # as a generated column the draw is made once, however often it is read
@@ -101,6 +183,21 @@ def draw_from_pool(
     return out_of_small.unionByName(_draw_by_rank(asked, large, sizes, by, key, held, seed, name, out, keep_unmatched))
 
 
+def _read_from_array(seed: str, ids: list[Column]) -> Column:
+    """The draw from ``_names``. Most items find ``_want`` names at their first ranks: only the others make all their steps."""
+
+    def free(ranks: Column) -> Column:
+        read = F.transform(ranks, lambda r: F.get("_names", r.cast("int")))
+        return F.filter(read, lambda v: v.isNotNull() & ~F.array_contains("_banned", v))
+
+    first = F.transform(F.sequence(F.lit(0), F.col("_want") - 1), lambda s: F.pmod(hash60(seed, *ids, s), F.col("_n")))
+    some = F.col("_needed") & (F.col("_want") > 0) & (F.col("_n") > 0)
+    quick = F.when(some, free(F.array_distinct(first))).otherwise(F.array().cast("array<string>"))
+    whole = F.slice(free(_steps(seed, ids)), 1, F.col("_want"))
+    done = F.transform(F.array(quick), lambda q: F.when((F.col("_want") > 0) & (F.size(q) == F.col("_want")), q).otherwise(whole))
+    return F.get(done, 0)
+
+
 def _steps(seed: str, ids: list[Column]) -> Column:
     """The ranks an item reads: hashed ones first, then neighbours in case too few of them differ; null if it reads none."""
     reads = F.col("_want") + F.size("_banned")

@@ -71,13 +71,19 @@ def count_rows(rows: DataFrame, by: str) -> DataFrame:
     return rows.rollup(by).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def episode_fields() -> dict[str, Column]:
+    """The names of each field of an episode, as arrays."""
+    return {"representative": F.array("object"), "cropped": F.col("cropped"), "outside": F.col("outside")}
+
+
+def trimmed(names: Column) -> Column:
+    """The names of an array without outer blanks; empty and null ones go, a null array is empty."""
+    return F.coalesce(F.filter(F.transform(names, F.trim), lambda o: o != ""), F.array().cast("array<string>"))
+
+
 def fields_of_objects(episodes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Distinct trimmed names of each episode field as flat (field, object) rows."""
-    cells = F.array(
-        F.struct(F.lit("representative").alias("field"), F.array("object").alias("names")),
-        F.struct(F.lit("cropped").alias("field"), F.col("cropped").alias("names")),
-        F.struct(F.lit("outside").alias("field"), F.col("outside").alias("names")),
-    )
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), names.alias("names")) for f, names in episode_fields().items()])
     flat = episodes.select(*by, F.explode(cells).alias("c")).select(
         *by, F.col("c.field").alias("field"), F.explode("c.names").alias("object")
     )

@@ -337,10 +337,11 @@ def drop_log(spark, sf):
     + ") UNION ALL SELECT 'future_remind_easy', count(*) FROM (" + ORACLES["ask_alert_gaze"] + ")",
 )
 def questions_per_task(spark, sf):
-    """Every builder whose input is a timeline or its episodes."""
-    entries = merged_entries(spark, sf)
+    """Every builder whose input is a timeline or its episodes, which are made once for all."""
+    seen = cut(S.timeline(spark, sf))
+    entries = merged_entries(spark, sf, seen)
     made = [Q.scene_recall(entries), Q.next_after_group(entries), Q.transition_pattern(entries), Q.never_gazed(entries, chunk=S.DAY)]
-    made += [Q.identify_easy(positioned_episodes(spark, sf)), Q.next_action(entries, chunk=S.DAY)]
-    made += [QUERIES["ask_alert_gaze"](spark, sf).withColumn("task", F.lit("future_remind_easy"))]
+    made += [Q.identify_easy(positioned_episodes(spark, sf, seen)), Q.next_action(entries, chunk=S.DAY)]
+    made += [QUERIES["ask_alert_gaze"](spark, sf, seen).withColumn("task", F.lit("future_remind_easy"))]
     tasks = reduce(DataFrame.unionByName, (m.select("task") for m in made))
     return tasks.groupBy("task").agg(F.count(F.lit(1)).alias("n"))

@@ -16,18 +16,18 @@ from scanflow.session import cut
 ID = ["session_id", "pos"]
 
 
-def merged_entries(spark, sf) -> DataFrame:
-    """Stand-in timeline of objects and actions, positioned.
+def merged_entries(spark, sf, seen: DataFrame | None = None) -> DataFrame:
+    """Stand-in timeline of objects and actions, positioned; ``seen`` is the timeline of objects where it is made already.
 
     A builder reads its entries several times, so they are a stage of their own: written
     once to the shared folder and read back.
     """
-    both = timeline.timeline_merge(S.timeline(spark, sf), S.order_actions(spark, sf))
+    both = timeline.timeline_merge(S.timeline(spark, sf) if seen is None else seen, S.order_actions(spark, sf))
     return cut(timeline.with_position(both, chunk=S.DAY))
 
 
-def positioned_episodes(spark, sf) -> DataFrame:
-    return cut(timeline.with_position(S.episodes(spark, sf), chunk=S.DAY))
+def positioned_episodes(spark, sf, seen: DataFrame | None = None) -> DataFrame:
+    return cut(timeline.with_position(S.episodes(spark, sf, seen), chunk=S.DAY))
 
 
 POS_EPISODES = """SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start_s, end_s) - 1 AS pos FROM episodes"""
@@ -338,9 +338,9 @@ def ask_next_action(spark, sf):
     )
 
 
-def kitchen_entries(spark, sf) -> DataFrame:
+def kitchen_entries(spark, sf, seen: DataFrame | None = None) -> DataFrame:
     """Timeline with some names turned into fixtures, so the fixture rule has something to drop."""
-    base = S.timeline(spark, sf)
+    base = S.timeline(spark, sf) if seen is None else seen
 
     def renamed(col):
         return F.transform(col, lambda o: F.regexp_replace(o, "anvil", "cabinet"))
@@ -395,8 +395,8 @@ def _alert_columns(df: DataFrame) -> DataFrame:
         "SELECT * FROM target", "true", "'Monitor my gaze and alert me when I gaze on the <' || object || '>.'"
     ),
 )
-def ask_alert_gaze(spark, sf):
-    return _alert_columns(Q.alert_gaze(kitchen_entries(spark, sf)))
+def ask_alert_gaze(spark, sf, seen: DataFrame | None = None):
+    return _alert_columns(Q.alert_gaze(kitchen_entries(spark, sf, seen)))
 
 
 _HARD_TARGETS = """SELECT session_id, object, first_s FROM sp WHERE NOT seen

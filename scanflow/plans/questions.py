@@ -30,10 +30,6 @@ def _not_before_zero(seconds: Column) -> Column:
     return F.greatest(seconds, F.lit(0.0))
 
 
-def all_names(entries: DataFrame) -> DataFrame:
-    return entries.select(*BY, F.explode(F.array_union("fov", "outside")).alias("object"))
-
-
 def next_after_group(entries: DataFrame, size: int = timeline.ENTRIES_PER_TILE) -> DataFrame:
     """Which new name comes into view right after a group of names."""
     pairs = timeline.neighbours(
@@ -49,7 +45,7 @@ def next_after_group(entries: DataFrame, size: int = timeline.ENTRIES_PER_TILE)
             F.col("next1.start_s").alias("next_s"), F.col("next1.end_s").alias("next_end_s"),
         )
     )
-    pool = draws.ranked_pool(all_names(entries), BY, "next")
+    pool = draws.packed_pool(entries, BY, "next", F.array_union("fov", "outside"))
     banned = F.array_append("fov", F.col("truth"))
     drawn = draws.draw_from_pool(candidates, pool, BY, KEY, 3, "next", exclude=banned).where(F.size("drawn") == 3)
     asked = draws.with_options(drawn, F.col("truth"), F.col("drawn"), "next-mix", *[F.col(k) for k in KEY])
@@ -79,10 +75,10 @@ def never_gazed(entries: DataFrame, chunk: float = 600.0, per_session: int = 3,
     counted = timeline.gazed_so_far(looked.select(*KEY, "start_s"), summary, chunk=chunk)
     ready = counted.where((F.col("pos") >= 2) & (F.col("n_gazed") >= 3))
     if prefix_pool:
-        pool = draws.ranked_pool(summary.select(*BY, "object"), BY, "never")
+        pool = draws.packed_pool(summary, BY, "never", F.array("object"))
     else:
-        pool = draws.ranked_pool(summary.where(~F.col("gazed")).select(*BY, "object"), BY, "never")
-        ready = ready.join(pool.select(*BY).distinct(), BY, "left_semi")
+        pool = draws.packed_pool(summary.where(~F.col("gazed")), BY, "never", F.array("object"))
+        ready = ready.join(pool.sizes(), BY, "left_semi")
     if prefix_pool:
         items = _unseen_truth(ready, summary, pool, chunk, per_session)
     else:
@@ -115,19 +111,50 @@ def never_gazed(entries: DataFrame, chunk: float = 600.0, per_session: int = 3,
     )
 
 
-def _unseen_truth(ready: DataFrame, summary: DataFrame, pool: DataFrame, chunk: float, per_session: int) -> DataFrame:
+def _unseen_truth(ready: DataFrame, summary: DataFrame, pool: draws.Pool, chunk: float, per_session: int) -> DataFrame:
     """Truth from names not in view up to the question: ranks past the gazed prefix."""
     order = summary.withColumn("_first", F.coalesce("first_gaze", F.lit(1e18)))
     ranked = draws.ordered.numbered(
         order, BY, ["_first", "object"], F.least(draws.ordered.bucket(F.col("_first"), chunk), F.lit(2**60)), name="rank"
     ).select(*BY, "rank", F.col("object").alias("truth"))
-    sizes = pool.groupBy(*BY).agg(F.max("n_pool").alias("_n"))
-    open_items = ready.join(sizes, BY).where(F.col("_n") > F.col("n_gazed"))
+    open_items = ready.join(pool.sizes(), BY).where(F.col("_n") > F.col("n_gazed"))
     chosen = draws.first_per_group(open_items, BY, ["pos"], per_session)
     pick = F.pmod(draws.hash60("unseen", *[F.col(k) for k in KEY]), F.col("_n") - F.col("n_gazed"))
     return chosen.withColumn("rank", F.col("n_gazed") + pick).join(ranked, [*BY, "rank"]).drop("rank", "_n")
 
 
+def _fake_ranks(ids: Sequence[Column]) -> Column:
+    """Ranks of the two names, or the one of a pool of one, in each of six made-up groups."""
+    return F.array(*[F.filter(draws.draw_ranks(F.col("_n"), 2, f"fake{g}-", *ids), lambda r: r.isNotNull()) for g in range(6)])
+
+
+def _fakes_of_small(items: DataFrame, pools: DataFrame, ids: Sequence[Column]) -> DataFrame:
+    """Items with ``_fakes``, six groups of names read from the array of their session."""
+    named = F.transform(_fake_ranks(ids), lambda g: F.transform(g, lambda r: F.get("_names", r.cast("int"))))
+    return items.join(pools, BY).select(*items.columns, named.alias("_fakes"))
+
+
+def _fakes_of_large(items: DataFrame, pool: DataFrame, item_key: list[str]) -> DataFrame:
+    """The same from pools by rank: one probe per name."""
+    held = [c for c in items.columns if c not in item_key]
+    sizes = pool.groupBy(*BY).agg(F.max("n_pool").alias("_n"))
+    probes = (
+        items.join(sizes, BY)
+        .select(*items.columns, F.posexplode(_fake_ranks([F.col(c) for c in item_key])).alias("_g", "_ranks"))
+        .select("*", F.posexplode("_ranks").alias("_j", "rank"))
+    )
+    filled = (
+        probes.join(pool.select(*BY, "rank", "object"), [*BY, "rank"])
+        .groupBy(*item_key)
+        .agg(*[F.first(c).alias(c) for c in held], F.array_sort(F.collect_list(F.struct("_g", "_j", "object"))).alias("_f"))
+    )
+
+    def group(g: int) -> Column:
+        return F.transform(F.filter("_f", lambda s: s["_g"] == g), lambda s: s["object"])
+
+    return filled.select(*items.columns, F.array(*[group(g) for g in range(6)]).alias("_fakes"))
+
+
 # Orders of three groups a wrong option may show.
 _ORDERS = [(0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)]
 
@@ -151,33 +178,18 @@ def transition_pattern(
     )
     sizes = entries.groupBy(*BY).agg(F.count(F.lit(1)).alias("n_entries"))
     starts = draws.sampled_starts(sizes, BY, 3, n_starts, "transition").select(*KEY, "draw")
-    items = starts.join(triples, KEY)
-    names = entries.select(*BY, F.explode("fov").alias("object"))
-    pool = draws.ranked_pool(names, BY, "transition")
-    pool_sizes = pool.groupBy(*BY).agg(F.max("n_pool").alias("_n"))
     item_key = ["session_id", "draw"]
     ids = [F.col(c) for c in item_key]
-    fakes = F.array(*[draws.draw_ranks(F.col("_n"), 2, f"fake{g}-", *ids) for g in range(6)])
-    probes = (
-        items.join(pool_sizes, BY)
-        .select(*KEY, "draw", "groups", "start_s", "stop_s", F.posexplode(fakes).alias("_g", "_ranks"))
-        .select("*", F.posexplode("_ranks").alias("_j", "rank"))
-        .where(F.col("rank").isNotNull())
-    )
-    filled = (
-        probes.join(pool.select(*BY, "rank", "object"), [*BY, "rank"])
-        .groupBy(*item_key)
-        .agg(
-            *[F.first(c).alias(c) for c in ("pos", "groups", "start_s", "stop_s")],
-            F.array_sort(F.collect_list(F.struct("_g", "_j", "object"))).alias("_f"),
-        )
-    )
-
-    def group(g: int) -> Column:
-        return F.transform(F.filter("_f", lambda s: s["_g"] == g), lambda s: s["object"])
+    items = starts.join(triples, KEY).dropDuplicates(item_key)
+    pool = draws.packed_pool(entries, BY, "transition", F.col("fov"))
+    large = pool.large()
+    items = items if large is None else draws.ordered.stored(items)  # read for small and for large pools
+    filled = _fakes_of_small(items, pool.small(), ids)
+    if large is not None:
+        filled = filled.unionByName(_fakes_of_large(items, large, item_key))
 
     def fake(first: int) -> Column:
-        return text.seq_text(F.array(*[group(g) for g in range(first, first + 3)]))
+        return text.seq_text(F.slice("_fakes", first + 1, 3))
 
     orders = F.array(*[F.array(*[F.lit(i) for i in o]) for o in _ORDERS])
     order = F.get(orders, F.pmod(draws.hash60("order", *ids), F.lit(6)).cast("int"))
@@ -211,9 +223,8 @@ def transition_pattern(
 
 def scene_recall(entries: DataFrame, per_session: int = 3) -> DataFrame:
     """Which background name was not visible at a moment."""
-    names = entries.select(*BY, F.explode("outside").alias("object"))
-    pool = draws.ranked_pool(names, BY, "recall")
-    sizes = pool.groupBy(*BY).agg(F.max("n_pool").alias("_n")).where(F.col("_n") >= 4)
+    pool = draws.packed_pool(entries, BY, "recall", F.col("outside"))
+    sizes = pool.sizes().where(F.col("_n") >= 4)
     looked = entries.where((F.col("kind") == "objects") & (F.size("fov") > 0) & (F.size("outside") >= 3))
     open_items = looked.select(*KEY, "fov", "outside", "start_s").join(sizes, BY)
     # names outside now are a subset of the pool, so a truth exists exactly when the pool is larger
@@ -266,13 +277,8 @@ def askable(episodes: DataFrame) -> DataFrame:
 
 def identify_easy(episodes: DataFrame) -> DataFrame:
     """Name the gazed object; wrong options are session names never seen close to the gaze."""
-    flat = objects.fields_of_objects(episodes, BY)
-    usable = (
-        flat.groupBy(*BY, F.lower("object").alias("object"))
-        .agg(F.max(F.col("field") == "cropped").alias("near"))
-        .where(~F.col("near"))
-    )
-    pool = draws.ranked_pool(usable, BY, "identify")
+    fields = {f: F.transform(objects.trimmed(names), F.lower) for f, names in objects.episode_fields().items()}
+    pool = draws.packed_pool(episodes, BY, "identify", F.concat(fields["representative"], fields["outside"]), fields["cropped"])
     items = askable(episodes).select(*KEY, "object", "start_s", "end_s")
     own = F.array(F.lower("object"))
     drawn = draws.draw_from_pool(items, pool, BY, KEY, 3, "identify", exclude=own, keep_unmatched=True)
@@ -345,8 +351,8 @@ def next_action(
         entries = entries.withColumn("action", F.coalesce("_natural", "action")).drop("_natural")
     acts = entries.where(F.col("kind") == "action")
     rich = acts.groupBy(*BY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
-    pool = draws.ranked_pool(acts.select(*BY, F.col("action").alias("object")), BY, "action")
-    wide = pool.groupBy(*BY).agg(F.max("n_pool").alias("n")).where(F.col("n") >= 4)
+    pool = draws.packed_pool(acts, BY, "action", F.array("action"))
+    wide = pool.sizes().where(F.col("_n") >= 4)
     seen = timeline.lookback(entries, lookback, size=size)
     seen = seen.where((F.col("kind") == "objects") & (F.size("context") > 0))
     seen = seen.join(rich, BY, "left_semi").join(wide, BY, "left_semi")

@@ -174,10 +174,10 @@ def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def episodes(spark: SparkSession, sf_dir: str, entries: DataFrame | None = None) -> DataFrame:
     """Timeline entries with something in view: the first name is the gazed object."""
     return (
-        timeline(spark, sf_dir)
+        (timeline(spark, sf_dir) if entries is None else entries)
         .where(F.size("fov") > 0)
         .select(
             "session_id",

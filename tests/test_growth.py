@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from scanflow.operators import draws, ordered
-from scanflow.plans import registered, requests, scoring
+from scanflow.plans import questions, registered, requests, scoring
 from scanflow.sources import readers
 
 
@@ -50,6 +50,62 @@ def test_draws_from_small_and_large_pools_agree(spark, monkeypatch):
     assert drawn() == whole
 
 
+def test_packed_pools_have_the_ranks_of_ranked_pools(spark, monkeypatch):
+    rows = [(s, [f"n{i}", f"n{i + 1}"], [f"n{i}"] if i % 4 == 1 else None) for s in (1, 2, None) for i in range(5 * (s or 1))]
+    rows += [(3, [None, "n1"], []), (3, ["n1"], None), (4, [], None), (5, ["n1"], ["n1"]), (6, None, ["n2"])]
+    lists = spark.createDataFrame(rows, "s int, ins array<string>, outs array<string>")
+    items = spark.createDataFrame([(s, p, [f"n{p % 5}"]) for s in (1, 2, 3, 4, 5, 6, None) for p in range(9)], "s int, p int, own array<string>")
+    flat = lists.select("s", F.explode("ins").alias("object"))
+    left = flat.join(lists.select("s", F.explode("outs").alias("object")).distinct(), ["s", "object"], "left_anti")
+
+    def drawn(pool):
+        out = [draws.draw_from_pool(items, pool, ["s"], ["s", "p"], 3, "seed", exclude=F.col("own"), keep_unmatched=k) for k in (False, True)]
+        return [sorted(map(repr, o.collect())) for o in out]
+
+    for names, without in ((flat, None), (left, F.col("outs"))):
+        whole = draws.ranked_pool(names, ["s"], "seed")
+        sizes = sorted((r.s, r.n) for r in whole.dropna(subset=["s"]).groupBy("s").agg(F.max("n_pool").alias("n")).collect())
+        want = drawn(whole)
+        for session_rows, pool_rows in ((1 << 16, 256), (1 << 16, 4), (4, 256), (4, 4), (0, 0)):
+            monkeypatch.setattr(ordered, "SESSION_ROWS", session_rows)
+            monkeypatch.setattr(draws, "POOL_ROWS", pool_rows)
+            pool = draws.packed_pool(lists, ["s"], "seed", F.col("ins"), without)
+            assert sorted(tuple(r) for r in pool.sizes().collect()) == sizes
+            assert drawn(pool) == want
+        monkeypatch.undo()
+
+
+def test_transitions_of_small_and_large_pools_agree(spark, monkeypatch):
+    rows = [(s, i, "objects", [f"n{s * i % 7}", f"n{i % 5}x"], [], float(i), i + 1.0) for s in (1, 2, 3) for i in range(6 * s)]
+    schema = "session_id int, pos long, kind string, fov array<string>, outside array<string>, start_s double, end_s double"
+    entries = spark.createDataFrame(rows, schema)
+
+    def asked():
+        return sorted(map(repr, questions.transition_pattern(entries).collect()))
+
+    whole = asked()
+    assert whole
+    monkeypatch.setattr(draws, "POOL_ROWS", 6)
+    assert asked() == whole
+    monkeypatch.setattr(ordered, "SESSION_ROWS", 5)
+    assert asked() == whole
+
+
+def test_questions_per_task_makes_its_timeline_once(spark, sf_dir, monkeypatch):
+    from scanflow.plans import standins
+
+    made, make = [], standins.timeline
+    monkeypatch.setattr(standins, "timeline", lambda *a: made.append(a) or make(*a))
+    monkeypatch.setattr(draws.ordered, "scan", _counted(draws.ordered.scan, scans := []))
+    registered.QUERIES["questions_per_task"](spark, sf_dir)
+    assert len(made) == 1
+    assert len(scans) < 8  # the pools of short sessions are not scanned
+
+
+def _counted(fn, calls):
+    return lambda *a, **b: calls.append(fn) or fn(*a, **b)
+
+
 def test_frequent_values_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(requests, "VALUE_ROWS", 100, raising=False)
     df = spark.range(0, 4000, 1, 4).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("v"), F.col("id") % 7)).alias("a"))
