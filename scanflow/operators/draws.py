@@ -12,7 +12,7 @@ these arrays from a timeline's name lists in one grouping; only long sessions ar
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,6 +25,9 @@ from scanflow.session import cut
 #: Names of a pool that an item may carry; from larger pools each rank is read for itself.
 POOL_ROWS = 256
 
+#: Ranks that are read as plain columns before an array of ranks is made.
+FIRST_RANKS = 4
+
 
 def digest(seed: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]))
@@ -172,7 +175,7 @@ def draw_from_pool(
     sizes = F.broadcast(sizes) if many and one_pool else sizes
     rest = asked.join(sizes, by, "left_anti") if many and keep_unmatched else asked
     met = rest.join(small, by, how)
-    drawn = _read_from_array(seed, [F.col(c) for c in key])
+    met, drawn = _read_from_array(met, seed, [F.col(c) for c in key], k)
     drawn = F.coalesce(drawn, F.array().cast("array<string>")) if keep_unmatched else drawn
     held = [c for c in items.columns if c not in by]
     # as a generated column the draw is made once, however often it is read
@@ -183,43 +186,64 @@ def draw_from_pool(
     return out_of_small.unionByName(_draw_by_rank(asked, large, sizes, by, key, held, seed, name, out, keep_unmatched))
 
 
-def _read_from_array(seed: str, ids: list[Column]) -> Column:
-    """The draw from ``_names``. Most items find ``_want`` names at their first ranks: only the others make all their steps."""
+def _read_from_array(met: DataFrame, seed: str, ids: list[Column], k: int | Column) -> tuple[DataFrame, Column]:
+    """``met`` with helper columns, and the draw from its ``_names``.
+
+    Most items find ``k`` different free names at their first ranks, which are read as plain columns. The others read as many
+    ranks as they can need, and only what still lacks names goes on to the neighbours.
+    """
 
     def free(ranks: Column) -> Column:
         read = F.transform(ranks, lambda r: F.get("_names", r.cast("int")))
         return F.filter(read, lambda v: v.isNotNull() & ~F.array_contains("_banned", v))
 
-    first = F.transform(F.sequence(F.lit(0), F.col("_want") - 1), lambda s: F.pmod(hash60(seed, *ids, s), F.col("_n")))
-    some = F.col("_needed") & (F.col("_want") > 0) & (F.col("_n") > 0)
-    quick = F.when(some, free(F.array_distinct(first))).otherwise(F.array().cast("array<string>"))
-    whole = F.slice(free(_steps(seed, ids)), 1, F.col("_want"))
-    done = F.transform(F.array(quick), lambda q: F.when((F.col("_want") > 0) & (F.size(q) == F.col("_want")), q).otherwise(whole))
-    return F.get(done, 0)
+    def fewer(found: Column) -> Column:
+        got = F.transform(F.array(free(found)), lambda f: F.when(F.size(f) >= F.col("_want"), f).otherwise(free(_steps(seed, ids, found))))
+        return F.slice(F.get(got, 0), 1, F.col("_want"))
 
+    whole = F.when(_reads(), F.get(F.transform(F.array(F.array_distinct(_hashed(seed, ids, F.lit(0), _reach() - 1))), fewer), 0))
+    if not isinstance(k, int) or not 0 < k <= FIRST_RANKS:
+        return met, whole
+    met = met.withColumns({f"_r{i}": F.when(F.col("_n") > 0, F.pmod(hash60(seed, *ids, F.lit(i)), F.col("_n"))) for i in range(k)})
+    met = met.withColumns({f"_v{i}": F.get("_names", F.col(f"_r{i}").cast("int")) for i in range(k)})
+    done = F.col("_needed")
+    for i in range(k):
+        done &= F.col(f"_v{i}").isNotNull() & ~F.array_contains("_banned", F.col(f"_v{i}"))
+        for j in range(i):
+            done &= F.col(f"_r{i}") != F.col(f"_r{j}")
+    return met, F.when(done, F.array(*[F.col(f"_v{i}") for i in range(k)])).otherwise(whole)
+
+
+def _reach() -> Column:
+    """Ranks an item can need."""
+    return F.col("_want") + F.size("_banned")
+
+
+def _reads() -> Column:
+    return F.col("_needed") & (_reach() > 0) & (F.col("_n") > 0)
 
-def _steps(seed: str, ids: list[Column]) -> Column:
-    """The ranks an item reads: hashed ones first, then neighbours in case too few of them differ; null if it reads none."""
-    reads = F.col("_want") + F.size("_banned")
-    some = F.least(F.col("_n"), reads).cast("int")
 
-    def hashed(first: Column, last: Column) -> Column:
-        return F.transform(F.sequence(first, last), lambda s: F.pmod(hash60(seed, *ids, s), F.col("_n")))
+def _hashed(seed: str, ids: list[Column], first: Column, last: Column) -> Column:
+    return F.transform(F.sequence(first, last), lambda s: F.pmod(hash60(seed, *ids, s), F.col("_n")))
 
-    def more(found: Column) -> Column:
-        begin = F.pmod(hash60(seed, *ids), F.col("_n"))
-        # the first neighbour is bound to a lambda variable: it is hashed once
-        nearby = F.flatten(
-            F.transform(F.array(begin), lambda b: F.transform(F.sequence(F.lit(0), 3 * reads - 1), lambda s: F.pmod(b + s, F.col("_n"))))
-        )
-        return F.array_distinct(F.concat(found, hashed(reads, 2 * reads - 1), nearby))
 
-    once = F.transform(
-        F.array(F.array_distinct(hashed(F.lit(0), reads - 1))),
-        lambda d: F.slice(F.when(F.size(d) >= some, d).otherwise(more(d)), 1, some),
+def _steps(seed: str, ids: list[Column], found: Column) -> Column:
+    """The ranks an item reads: the hashed ones of ``found`` first, then neighbours in case too few of them differ."""
+    reads = _reach()
+    some = F.least(F.col("_n"), reads).cast("int")
+    begin = F.pmod(hash60(seed, *ids), F.col("_n"))
+    # the first neighbour is bound to a lambda variable: it is hashed once
+    nearby = F.flatten(
+        F.transform(F.array(begin), lambda b: F.transform(F.sequence(F.lit(0), 3 * reads - 1), lambda s: F.pmod(b + s, F.col("_n"))))
     )
-    ranks = F.get(once, 0)
-    return F.when(F.col("_needed") & (reads > 0) & (F.col("_n") > 0), ranks)
+    more = F.array_distinct(F.concat(found, _hashed(seed, ids, reads, 2 * reads - 1), nearby))
+    return F.slice(F.when(F.size(found) >= some, found).otherwise(more), 1, some)
+
+
+def _ranks(seed: str, ids: list[Column]) -> Column:
+    """All ranks an item reads; null if it reads none."""
+    once = F.transform(F.array(F.array_distinct(_hashed(seed, ids, F.lit(0), _reach() - 1))), lambda d: _steps(seed, ids, d))
+    return F.when(_reads(), F.get(once, 0))
 
 
 def _draw_by_rank(
@@ -228,7 +252,7 @@ def _draw_by_rank(
 ) -> DataFrame:
     """Draws from large pools: one probe per rank."""
     ids = [f"_k{i}" for i in range(len(key))]
-    steps = _steps(seed, [F.col(i) for i in ids])
+    steps = _ranks(seed, [F.col(i) for i in ids])
     probes = (
         asked.select(*by, F.struct(*held).alias("_item"), "_banned", "_needed", "_want")
         .join(sizes, by)
@@ -261,16 +285,27 @@ def _held(col: str, by: list[str]) -> Column:
 
 def draw_ranks(size: Column, k: int, seed: str, *parts: Column) -> Column:
     """``k`` distinct ranks below ``size`` (uniform over subsets), by shifting past earlier picks."""
-    picks: list[Column] = []
-    for i in range(k):
-        left = size - i
-        pick = F.pmod(hash60(f"{seed}{i}", *parts), F.when(left > 0, left))
-        if picks:
-            for j in range(i):
-                lower = F.array_sort(F.array(*picks))[j] if i > 1 else picks[0]
-                pick = F.when(pick >= lower, pick + 1).otherwise(pick)
-        picks.append(pick)
-    return F.array(*picks)
+
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        # bound to a lambda variable, a value is computed once however often it is used
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def hashed(i: int) -> Column:
+        return F.pmod(hash60(f"{seed}{i}", *parts), F.when(size - i > 0, size - i))
+
+    def shifted(pick: Column, lowers: Column | None, i: int) -> Column:
+        for j in range(i):
+            lower = F.get(lowers, j)
+            pick = F.when(pick >= lower, pick + 1).otherwise(pick)
+        return pick
+
+    def further(picks: Column, i: int) -> Column:
+        if i == k:
+            return picks
+        pick = once(F.sort_array(picks), lambda s: once(hashed(i), lambda p: shifted(p, s, i)))
+        return once(F.array_append(picks, pick), lambda more: further(more, i + 1))
+
+    return once(F.array(hashed(0)), lambda first: further(first, 1))
 
 
 def draw_from_array(pool: Column, k: int, seed: str, *parts: Column) -> Column:

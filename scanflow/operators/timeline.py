@@ -102,8 +102,7 @@ def lookback(
     window = Window.partitionBy(*by, ordered.TILE).orderBy("pos").rowsBetween(-(n - 1), Window.currentRow)
     named = F.transform("fov", lambda o: F.struct(o.alias("o"), F.col("start_s").alias("s")))
     seen = ordered.home(tiled.withColumn("_named", named).withColumn("_seen", F.flatten(F.collect_list("_named").over(window))))
-    names = F.transform("_seen", lambda m: m["o"])
-    first = F.filter("_seen", lambda m, i: F.array_position(names, m["o"]) == i + 1)
+    first = F.filter("_seen", lambda m, i: F.array_position(F.col("_seen.o"), m["o"]) == i + 1)
     return (
         seen.withColumn("_first", first)
         .withColumn("context", F.col("_first.o"))

@@ -131,7 +131,8 @@ def _fake_ranks(ids: Sequence[Column]) -> Column:
 def _fakes_of_small(items: DataFrame, pools: DataFrame, ids: Sequence[Column]) -> DataFrame:
     """Items with ``_fakes``, six groups of names read from the array of their session."""
     named = F.transform(_fake_ranks(ids), lambda g: F.transform(g, lambda r: F.get("_names", r.cast("int"))))
-    return items.join(pools, BY).select(*items.columns, named.alias("_fakes"))
+    # as a generated column the names are read once, however often the texts use them
+    return items.join(pools, BY).select(*items.columns, F.inline(F.array(F.struct(named.alias("_fakes")))))
 
 
 def _fakes_of_large(items: DataFrame, pool: DataFrame, item_key: list[str]) -> DataFrame:
@@ -193,14 +194,14 @@ def transition_pattern(
 
     orders = F.array(*[F.array(*[F.lit(i) for i in o]) for o in _ORDERS])
     order = F.get(orders, F.pmod(draws.hash60("order", *ids), F.lit(6)).cast("int"))
-    shown = filled.select(
-        "*",
+    texts = F.struct(
         text.seq_text(F.col("groups")).alias("truth"),
         text.seq_text(F.transform(order, lambda i: F.get("groups", i))).alias("_w0"),
         F.transform(order, lambda i: F.get("groups", i)).alias("_shuffled"),
         fake(0).alias("_w1"),
         fake(3).alias("_w2"),
     )
+    shown = filled.select("*", F.inline(F.array(texts)))  # each text is written once, not for every comparison
     usable = (
         (F.col("_shuffled") != F.col("groups"))
         & (F.col("_w1") != F.col("truth")) & (F.col("_w2") != F.col("truth"))

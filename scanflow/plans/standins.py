@@ -148,7 +148,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(named, F.col("o_orderkey") == F.col("l_orderkey"))
         .repartition("session_id", "start_s", "end_s")
         .groupBy("session_id", "start_s", "end_s")
-        .agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("fov", "outside")])
+        .agg(*[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("fov", "outside")])
     )
 
 
